@@ -1 +1,180 @@
-"""Queries."""
+"""Ranking, advice, profiles and progress along a route."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.basics import half_up
+from ..operators import advice, labels
+from .registry import Source, given, query, r6
+
+# The twin folds its lists in route order too; each step keeps the best so far.
+PER = "{0}.duration_s / greatest(1, {0}.journey_count)"
+FASTER = PER.format("s") + " < " + PER.format("b")
+
+
+def _fold(items: str, better: str) -> str:
+    return f"list_reduce({items}, lambda b, s: CASE WHEN {better} THEN s ELSE b END)"
+
+
+def _clear(items: str) -> str:
+    return (f"list_filter({items}, lambda c: len(list_filter({items}, lambda o: o.route_id <> c.route_id AND NOT (c.worst_s < o.best_s))) = 0)")
+
+
+def _first(items: str) -> str:
+    return f"CASE WHEN len({items}) > 0 THEN {items}[1] END"
+
+
+PACK = "{'route_pos': route_pos, 'route_id': route_id, 'duration_s': duration_s, 'journey_count': journey_count, 'sun_s': sun_s, 'best_s': best_s, 'worst_s': worst_s, 'is_daylight': is_daylight, 'coverage_percent': coverage_percent, 'low_sun': low_sun, 'avoids_barriers': avoids_barriers}"
+
+
+def label_ctes(source: str = "schedules", key: str = "request_id") -> str:
+    return f"""
+l0 AS (SELECT {key}, profile, list({PACK} ORDER BY route_pos) AS routes FROM {source} GROUP BY {key}, profile),
+l1 AS (SELECT *, {_fold('routes', FASTER)} AS fastest,
+    {_fold('routes', 's.sun_s < b.sun_s OR (s.sun_s = b.sun_s AND ' + FASTER + ')')} AS least FROM l0),
+l2 AS (SELECT *, 30.0 * fastest.journey_count AS visible, {PER.format('fastest')} AS fast_s FROM l1),
+l3 AS (SELECT *, least(CASE WHEN profile = 'worker' THEN 180.0 ELSE 300.0 END, fast_s * CASE WHEN profile = 'worker' THEN 0.15 ELSE 0.2 END) AS allowed_s,
+    CASE WHEN profile = 'worker' THEN visible ELSE 0.0 END AS tie, greatest(visible, fastest.sun_s * 0.05) AS gain_s,
+    len(list_filter(routes, lambda s: s.is_daylight)) > 0 AS any_day,
+    list_max(list_transform(routes, lambda s: s.sun_s)) - list_min(list_transform(routes, lambda s: s.sun_s)) AS spread FROM l2),
+l4 AS (SELECT *, any_day AND spread >= visible AS differs, list_filter(routes, lambda s: {PER.format('s')} <= fast_s + allowed_s) AS eligible FROM l3),
+l5 AS (SELECT *, {_fold('eligible', 's.sun_s - b.sun_s < -tie OR (abs(s.sun_s - b.sun_s) <= tie AND ' + FASTER + ')')} AS best,
+    list_filter(eligible, lambda s: s.route_id <> fastest.route_id AND fastest.sun_s - s.sun_s >= gain_s AND s.worst_s < fastest.best_s) AS alts,
+    len(list_filter(routes, lambda o: o.route_id <> least.route_id AND NOT (least.worst_s < o.best_s))) = 0 AS lowest_sure FROM l4),
+l6 AS (SELECT *, {_clear('alts')} AS clears FROM l5),
+l7 AS (SELECT *, coalesce({_first('clears')}, CASE WHEN len(alts) > 0 THEN {_fold('alts', FASTER)} END, fastest) AS pick FROM l6),
+l8 AS (SELECT *, CASE WHEN NOT any_day THEN 'no-daylight'
+    WHEN pick.route_id = fastest.route_id AND pick.route_id = least.route_id THEN 'fastest-and-lowest'
+    WHEN best.route_id <> fastest.route_id AND fastest.sun_s - best.sun_s >= gain_s AND len(alts) = 0 THEN 'ranges-overlap'
+    WHEN pick.route_id = fastest.route_id THEN 'small-saving' WHEN len(alts) > 1 AND len(clears) = 0 THEN 'several-lower' ELSE 'lower-sun' END AS code,
+    unnest(routes) AS r FROM l7),
+labelled AS (SELECT {key}, profile, r.*, concat_ws(',', CASE WHEN r.route_id = pick.route_id THEN 'recommended' END,
+    CASE WHEN differs AND r.route_id = least.route_id THEN CASE WHEN lowest_sure THEN 'least-sun' ELSE 'lowest-estimate' END END,
+    CASE WHEN r.route_id = fastest.route_id THEN 'fastest' END) AS labels,
+    CASE WHEN r.route_id = pick.route_id THEN code END AS reason_code,
+    CASE WHEN r.route_id = pick.route_id THEN fastest.sun_s - pick.sun_s END AS saving_s,
+    CASE WHEN r.route_id = pick.route_id THEN greatest(0, {PER.format('pick')} - fast_s) END AS extra_s FROM l8)"""
+
+
+EXTRA = ["coverage_percent", "low_sun", "avoids_barriers"]
+
+
+@query("label_routes", f"""{given('schedules')},{label_ctes()}
+SELECT route_id, labels, reason_code, {r6('saving_s')} AS saving_s, {r6('extra_s')} AS extra_s FROM labelled""")
+def label_routes(src: Source) -> DataFrame:
+    out = labels.label_routes(src.view("schedules"))
+    return out.select("route_id", F.array_join("labels", ",").alias("labels"), "reason_code",
+                      half_up("saving_s", 6).alias("saving_s"), half_up("extra_s", 6).alias("extra_s"))
+
+
+@query("access_guard", f"""{given('schedules')},{label_ctes()},
+g0 AS (SELECT request_id, request_id % 3 = 1 AS step_free, list({{'route_pos': route_pos, 'route_id': route_id, 'duration_s': duration_s,
+    'journey_count': journey_count, 'sun_s': sun_s, 'best_s': best_s, 'worst_s': worst_s, 'is_daylight': is_daylight,
+    'coverage_percent': coverage_percent, 'low_sun': low_sun, 'avoids_barriers': avoids_barriers, 'labels': labels, 'reason_code': reason_code}}
+    ORDER BY route_pos) AS routes FROM labelled GROUP BY request_id),
+g1 AS (SELECT *, len(list_filter(routes, lambda s: s.is_daylight)) > 0 AND len(list_filter(routes, lambda s: s.is_daylight AND NOT (s.coverage_percent >= 90 AND NOT s.low_sun))) = 0 AS supported,
+    list_filter(routes, lambda s: s.avoids_barriers) AS suitable FROM g0),
+g2 AS (SELECT *, CASE WHEN len(suitable) > 0 THEN {_fold('suitable', FASTER)} END AS base FROM g1),
+g3 AS (SELECT *, {PER.format('base')} AS base_s, greatest(30.0 * base.journey_count, base.sun_s * 0.05) AS gain_s FROM g2),
+g4 AS (SELECT *, list_filter(list_filter(suitable, lambda s: {PER.format('s')} <= base_s + least(300.0, base_s * 0.2)),
+    lambda s: s.route_id <> base.route_id AND base.sun_s - s.sun_s >= gain_s AND s.worst_s < base.best_s) AS alts FROM g3),
+g5 AS (SELECT *, {_clear('alts')} AS clears FROM g4),
+g6 AS (SELECT *, coalesce({_first('clears')}, CASE WHEN len(alts) > 0 THEN {_fold('alts', FASTER)} END, base) AS pick FROM g5),
+g7 AS (SELECT *, unnest(routes) AS r FROM g6),
+g8 AS (SELECT *, array_to_string(list_filter(string_split(r.labels, ','), lambda x: x <> 'recommended'), ',') AS plain,
+    coalesce(supported AND step_free AND r.route_id = pick.route_id, false) AS chosen FROM g7)
+SELECT r.route_id AS route_id, CASE WHEN supported AND NOT step_free THEN r.labels
+    WHEN chosen THEN CASE WHEN plain = '' THEN 'recommended' ELSE 'recommended,' || plain END ELSE plain END AS labels,
+  CASE WHEN supported AND NOT step_free THEN r.reason_code WHEN chosen THEN CASE WHEN pick.route_id = base.route_id THEN 'access-fastest'
+    WHEN len(alts) > 1 AND len(clears) = 0 THEN 'access-several-lower' ELSE 'access-lower-sun' END END AS reason_code FROM g8""")
+def access_guard(src: Source) -> DataFrame:
+    scores = src.view("schedules")
+    labelled = labels.label_routes(scores, extra=EXTRA).withColumn("step_free", F.col("request_id") % 3 == 1)
+    out = labels.apply_access_guard(labelled)
+    return out.select("route_id", F.array_join("labels", ",").alias("labels"), "reason_code")
+
+
+@query("display_order", f"""{given('schedules')},{label_ctes()},
+f AS (SELECT *, min(duration_s) OVER (PARTITION BY request_id) AS fastest_s,
+  row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN labels LIKE 'recommended%' THEN 0 ELSE 1 END, route_pos) AS rk FROM labelled)
+SELECT route_id, CAST(rk AS INT) AS display_rank, CASE WHEN duration_s - fastest_s <= 1 THEN 'same'
+    WHEN floor(duration_s / 60 + 0.5) - floor(fastest_s / 60 + 0.5) > 0 THEN 'minutes' ELSE 'under-minute' END AS time_kind,
+  CAST(CASE WHEN duration_s - fastest_s <= 1 THEN 0 ELSE greatest(0, floor(duration_s / 60 + 0.5) - floor(fastest_s / 60 + 0.5)) END AS BIGINT) AS shown_minutes
+FROM f""")
+def display_order(src: Source) -> DataFrame:
+    out = labels.with_display_order(labels.label_routes(src.view("schedules")))
+    return out.select("route_id", "display_rank", "time_kind", "shown_minutes")
+
+
+@query("label_routes_footprint", f"""{given('schedules')},
+f0 AS (SELECT request_id, profile, list({{'route_pos': route_pos, 'route_id': route_id, 'duration_s': duration_s, 'sun_s': sun_s}} ORDER BY route_pos) AS routes
+  FROM schedules GROUP BY request_id, profile),
+f1 AS (SELECT *, {_fold('routes', 's.duration_s < b.duration_s')} AS fastest,
+  {_fold('routes', 's.sun_s < b.sun_s OR (s.sun_s = b.sun_s AND s.duration_s < b.duration_s)')} AS least FROM f0),
+f2 AS (SELECT *, list_filter(routes, lambda s: s.duration_s <= fastest.duration_s + least(300.0, fastest.duration_s * 0.2) + 1e-9) AS eligible FROM f1),
+f3 AS (SELECT *, {_fold('eligible', "CASE WHEN profile = 'worker' AND abs(s.sun_s - b.sun_s) < 30 THEN s.duration_s < b.duration_s ELSE s.sun_s < b.sun_s OR (s.sun_s = b.sun_s AND s.duration_s < b.duration_s) END")} AS pick FROM f2),
+f4 AS (SELECT *, unnest(routes) AS r FROM f3)
+SELECT r.route_id AS route_id, concat_ws(',', CASE WHEN r.route_id = pick.route_id THEN 'recommended' END,
+  CASE WHEN r.route_id = least.route_id THEN 'least-sun' END, CASE WHEN r.route_id = fastest.route_id THEN 'fastest' END) AS labels FROM f4""")
+def label_routes_footprint(src: Source) -> DataFrame:
+    out = labels.label_routes_footprint(src.view("schedules"))
+    return out.select("route_id", F.array_join("labels", ",").alias("labels"))
+
+
+def slot_schedules(src: Source) -> DataFrame:
+    """Nine departure slots per request, values shifting from slot to slot."""
+    out = src.view("schedules").withColumn("offset_min", F.explode(F.array(*[F.lit(m) for m in advice.slot_minutes()])))
+    moved = F.pmod(F.col("route_id") * 53 + F.col("offset_min") * 31, F.lit(400)).cast("double")
+    return out.withColumns({
+        "sun_s": moved, "best_s": F.greatest(F.lit(0.0), moved - F.col("route_id") * 7 % 40),
+        "worst_s": moved + (F.col("route_id") * 11 + F.col("offset_min")) % 60,
+        "is_daylight": F.col("is_daylight") & (F.col("offset_min") < 105)})
+
+
+SLOT_CTES = f"""
+slotted AS (SELECT * REPLACE (CAST((route_id * 53 + offset_min * 31) % 400 AS DOUBLE) AS sun_s), is_daylight AS base_day FROM (
+    SELECT *, unnest(range(9)) * 15 AS offset_min FROM schedules)),
+slots AS (SELECT * REPLACE (greatest(0.0, sun_s - route_id * 7 % 40) AS best_s, sun_s + (route_id * 11 + offset_min) % 60 AS worst_s,
+    base_day AND offset_min < 105 AS is_daylight) FROM slotted),{label_ctes('slots', 'request_id, offset_min')},
+choice AS (SELECT *, row_number() OVER (PARTITION BY request_id, offset_min ORDER BY CASE WHEN labels LIKE 'recommended%' THEN 0 ELSE 1 END, route_pos) AS rn FROM labelled),
+options AS (SELECT request_id, offset_min, route_id, route_pos, duration_s / journey_count AS walk_s, sun_s / journey_count AS sun_s,
+    best_s / journey_count AS best_s, worst_s / journey_count AS worst_s, is_daylight, coverage_percent, low_sun FROM choice WHERE rn = 1)"""
+
+
+def _options(src: Source) -> DataFrame:
+    labelled = labels.label_routes(slot_schedules(src), ["request_id", "offset_min"], ["coverage_percent", "low_sun"])
+    return advice.departure_options(labelled)
+
+
+@query("departure_options", f"""{given('schedules')},{SLOT_CTES}
+SELECT request_id, CAST(offset_min AS INT) AS offset_min, route_id, {r6('walk_s')} AS walk_s, {r6('sun_s')} AS sun_s, {r6('best_s')} AS best_s,
+  {r6('worst_s')} AS worst_s, is_daylight FROM options""")
+def departure_options(src: Source) -> DataFrame:
+    return _options(src).select(
+        "request_id", "offset_min", "route_id", *[half_up(c, 6).alias(c) for c in ("walk_s", "sun_s", "best_s", "worst_s")], "is_daylight")
+
+
+BETTER_SQL = """CASE WHEN s.sun_s - b.sun_s < -1e-6 THEN true WHEN s.sun_s - b.sun_s > 1e-6 THEN false
+  WHEN s.worst_s - b.worst_s < -1e-6 THEN true WHEN s.worst_s - b.worst_s > 1e-6 THEN false
+  WHEN s.walk_s - b.walk_s < -1e-6 THEN true WHEN s.walk_s - b.walk_s > 1e-6 THEN false
+  WHEN s.offset_min <> b.offset_min THEN s.offset_min < b.offset_min ELSE s.route_pos < b.route_pos END"""
+
+
+@query("departure_advice", f"""{given('schedules')},{SLOT_CTES},
+a0 AS (SELECT request_id, list({{'offset_min': offset_min, 'route_pos': route_pos, 'route_id': route_id, 'walk_s': walk_s, 'sun_s': sun_s, 'best_s': best_s,
+    'worst_s': worst_s, 'is_daylight': is_daylight, 'coverage_percent': coverage_percent, 'low_sun': low_sun}} ORDER BY offset_min) AS o FROM options GROUP BY request_id),
+a1 AS (SELECT *, o[1] AS cur, list_filter(o, lambda x: NOT o[1].is_daylight OR x.is_daylight) AS open FROM a0),
+a2 AS (SELECT *, {_fold('list_prepend(cur, open)', BETTER_SQL)} AS best FROM a1),
+a3 AS (SELECT *, greatest(0, cur.sun_s - best.sun_s) AS saved_s FROM a2),
+a4 AS (SELECT *, CASE WHEN NOT cur.is_daylight THEN 'no-daylight' WHEN least(cur.coverage_percent, best.coverage_percent) < 90 THEN 'low-model-coverage'
+    WHEN saved_s + 1e-6 < greatest(60, cur.sun_s * 0.1) THEN 'insufficient-saving' WHEN cur.low_sun OR best.low_sun THEN 'low-sun-confidence'
+    WHEN cur.best_s - best.worst_s <= 1e-6 THEN 'sensitivity-overlap' END AS withheld_reason FROM a3)
+SELECT request_id, best.route_id AS route_id, CAST(best.offset_min AS INT) AS offset_min, {r6('best.sun_s')} AS sun_s, {r6('saved_s')} AS saved_s,
+  {r6('greatest(0, best.walk_s - cur.walk_s)')} AS extra_walk_s, least(cur.coverage_percent, best.coverage_percent) AS coverage_percent,
+  CASE WHEN withheld_reason IS NULL THEN 'moderate' WHEN withheld_reason IN ('no-daylight', 'low-model-coverage') THEN 'unavailable' ELSE 'limited' END AS confidence,
+  withheld_reason, withheld_reason IS NULL AS recommended, CAST(len(o) AS INT) AS scanned FROM a4""")
+def departure_advice(src: Source) -> DataFrame:
+    out = advice.departure_advice(_options(src), min_coverage=90)
+    return out.withColumns({c: half_up(c, 6) for c in ("sun_s", "saved_s", "extra_walk_s")})

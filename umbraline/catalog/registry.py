@@ -19,12 +19,17 @@ class Source:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._known: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._known[name]
 
     def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+        if name not in self._known:
+            self._known[name] = self.sql(VIEWS[name])
+        return self._known[name]
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views named in braces."""
@@ -108,6 +113,19 @@ VIEWS: dict[str, str] = {
             WHEN 2 THEN 'Continue on the crosswalk.' WHEN 3 THEN 'Walk north on York Road.' WHEN 4 THEN 'Enter the subway.'
             WHEN 5 THEN '' WHEN 6 THEN 'Turn right onto the walkway.' ELSE 'Keep left.' END AS instruction
         FROM {route_vertices}""",
+    # Whole schedules per route, for the ranking operators.
+    "schedules": """
+        SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS request_id, o_orderkey AS route_id, CAST(o_orderkey % 3 AS INT) AS route_pos,
+          CASE WHEN floor(o_orderkey / 3.0) % 2 = 0 THEN 'vulnerable' ELSE 'worker' END AS profile,
+          CAST(1 + floor(o_orderkey / 3.0) % 3 AS INT) AS journey_count,
+          CAST((300 + (o_orderkey * 37) % 120) * (1 + floor(o_orderkey / 3.0) % 3) AS DOUBLE) AS duration_s,
+          CAST((o_orderkey * 53) % 400 AS DOUBLE) AS sun_s,
+          CAST(greatest(0, (o_orderkey * 53) % 400 - (o_orderkey * 7) % 40) AS DOUBLE) AS best_s,
+          CAST((o_orderkey * 53) % 400 + (o_orderkey * 11) % 60 AS DOUBLE) AS worst_s,
+          (floor(o_orderkey / 3.0) % 13 <> 0) AS is_daylight, CAST(84 + (o_orderkey * 3) % 17 AS DOUBLE) AS coverage_percent,
+          (floor(o_orderkey / 3.0) % 17 = 0) AS low_sun, (o_orderkey % 4 <> 1) AS avoids_barriers,
+          (floor(o_orderkey / 3.0) % 3 = 1) AS step_free
+        FROM {orders}""",
     "walks": """
         SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS comparison_id, o_orderkey AS route_id, CAST(o_orderkey % 3 AS INT) AS route_pos,
           CAST(1000 * (3 + (o_orderkey * 7) % 11) AS BIGINT) AS predicted_sun_mmin, CAST(1000 * (2 + (o_orderkey * 5) % 13) AS BIGINT) AS observed_sun_mmin,
