@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import half_up
-from ..operators import advice, labels
-from .registry import Source, given, query, r6
+from ..functions.lookups import EXPOSURES
+from ..operators import advice, geometry, labels, profile, progress
+from .registry import Source, given, haversine_sql, query, r6
 
 # The twin folds its lists in route order too; each step keeps the best so far.
 PER = "{0}.duration_s / greatest(1, {0}.journey_count)"
@@ -178,3 +179,156 @@ SELECT request_id, best.route_id AS route_id, CAST(best.offset_min AS INT) AS of
 def departure_advice(src: Source) -> DataFrame:
     out = advice.departure_advice(_options(src), min_coverage=90)
     return out.withColumns({c: half_up(c, 6) for c in ("sun_s", "saved_s", "extra_walk_s")})
+
+
+# --- Profiles ---------------------------------------------------------------
+
+RUN_CTES = f"""{given('sections', 'reported')},
+p0 AS (SELECT s.route_id, s.seq, s.length_m, CASE WHEN exposure = 'haze' THEN 'unknown' ELSE exposure END AS exposure,
+    greatest(sum(s.length_m) OVER (PARTITION BY s.route_id), r.distance_m) AS den FROM sections s JOIN reported r ON r.route_id = s.route_id),
+p1 AS (SELECT route_id, seq, length_m, exposure, den FROM p0 UNION ALL
+    SELECT route_id, max(seq) + 1, max(den) - sum(length_m), 'unknown', max(den) FROM p0 GROUP BY route_id HAVING max(den) - sum(length_m) > 0.01),
+p2 AS (SELECT *, CASE WHEN lag(exposure) OVER w = exposure THEN 0 ELSE 1 END AS ch FROM p1 WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+p3 AS (SELECT *, sum(ch) OVER (PARTITION BY route_id ORDER BY seq) - 1 AS run FROM p2),
+runs AS (SELECT route_id, run, exposure, max(den) AS den, sum(length_m) AS length_m FROM p3 GROUP BY route_id, run, exposure)"""
+
+
+def _runs(src: Source) -> DataFrame:
+    sections = src.view("sections").join(src.view("reported"), "route_id")
+    return profile.exposure_runs(sections, ["route_id"], "seq", supplied="distance_m")
+
+
+@query("exposure_profile", f"""{RUN_CTES}
+SELECT route_id, CAST(run AS BIGINT) AS run, exposure, length_m, coalesce(sum(length_m) OVER (PARTITION BY route_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start_m,
+  {r6('length_m / den * 100')} AS percent FROM runs""")
+def exposure_profile(src: Source) -> DataFrame:
+    return _runs(src).select("route_id", "run", "exposure", "length_m", "start_m", half_up("percent", 6).alias("percent"))
+
+
+@query("profile_totals", f"""{RUN_CTES}
+SELECT route_id, {', '.join(f"sum(CASE WHEN exposure = '{e}' THEN length_m ELSE 0.0 END) AS {e}_m, {r6(f'''sum(CASE WHEN exposure = '{e}' THEN length_m ELSE 0.0 END) / max(den) * 100''')} AS {e}_percent" for e in EXPOSURES)}
+FROM runs GROUP BY route_id""")
+def profile_totals(src: Source) -> DataFrame:
+    out = profile.exposure_totals(_runs(src), ["route_id"])
+    return out.select("route_id", *[f"{e}_m" for e in EXPOSURES], *[half_up(f"{e}_percent", 6).alias(f"{e}_percent") for e in EXPOSURES])
+
+
+def _spans(src: Source) -> DataFrame:
+    """Deliberately gappy, overlapping spans."""
+    return src.view("sections").select(
+        "route_id", "exposure", F.lit(ROUTE_M).alias("route_m"),
+        (F.col("seq") * 40 + F.col("length_m") % 7).alias("start_m"), (F.col("seq") * 40 + F.col("length_m") + 8).alias("end_m"))
+
+
+ROUTE_M = 600_000.0
+SPAN_CTES = f"""{given('sections')},
+q0 AS (SELECT route_id, seq, CASE WHEN exposure = 'haze' THEN 'unknown' ELSE exposure END AS exposure, least(600000.0, seq * 40 + length_m % 7) AS a,
+    least(600000.0, seq * 40 + length_m + 8) AS b FROM sections),
+q1 AS (SELECT *, coalesce(max(b) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cur FROM q0),
+q2 AS (SELECT route_id, seq * 2 + 1 AS pos, exposure, greatest(a, cur) AS a, greatest(b, greatest(a, cur)) AS b FROM q1
+  UNION ALL SELECT route_id, seq * 2, 'unknown', cur, a FROM q1 WHERE a > cur + 0.01
+  UNION ALL SELECT route_id, max(seq) * 2 + 2, 'unknown', max(b), 600000.0 FROM q0 GROUP BY route_id),
+q3 AS (SELECT * FROM q2 WHERE b - a > 0.01),
+q4 AS (SELECT *, CASE WHEN lag(exposure) OVER w = exposure AND abs(lag(b) OVER w - a) <= 0.1 THEN 0 ELSE 1 END AS fresh FROM q3 WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+q5 AS (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY pos) - 1 AS span_no FROM q4),
+spans AS (SELECT route_id, CAST(span_no AS BIGINT) AS span_no, exposure, min(a) AS start_m, max(b) AS end_m FROM q5 GROUP BY route_id, span_no, exposure)"""
+
+
+@query("complete_coverage", f"{SPAN_CTES} SELECT route_id, span_no, exposure, start_m, end_m FROM spans")
+def complete_coverage(src: Source) -> DataFrame:
+    return profile.complete_coverage(_spans(src), ["route_id"])
+
+
+@query("upcoming_exposure", f"""{SPAN_CTES},{given('positions')[5:]},
+spot AS (SELECT position_id, p.route_id, least(600000.0, distance_m) AS d FROM positions p),
+now AS (SELECT a.*, s.span_no, s.exposure, s.end_m, row_number() OVER (PARTITION BY position_id ORDER BY span_no) AS rn
+  FROM spot a JOIN (SELECT *, max(span_no) OVER (PARTITION BY route_id) AS last FROM spans) s ON s.route_id = a.route_id
+   AND (s.end_m > d + 0.01 OR (s.span_no = s.last AND d <= s.end_m + 0.01))),
+later AS (SELECT n.position_id, min(s.span_no) AS nxt FROM now n JOIN spans s ON s.route_id = n.route_id AND s.span_no > n.span_no AND s.exposure <> n.exposure WHERE n.rn = 1 GROUP BY n.position_id)
+SELECT a.position_id, CASE WHEN a.d >= 599999.99 THEN 'unknown' ELSE coalesce(n.exposure, 'unknown') END AS exposure,
+  CASE WHEN a.d >= 599999.99 THEN 0.0 ELSE coalesce(n.end_m - a.d, 600000.0 - a.d) END AS exposure_left_m, CASE WHEN a.d < 599999.99 THEN s.exposure END AS next_exposure
+FROM spot a LEFT JOIN now n ON n.position_id = a.position_id AND n.rn = 1 LEFT JOIN later l ON l.position_id = a.position_id
+LEFT JOIN spans s ON s.route_id = a.route_id AND s.span_no = l.nxt""")
+def upcoming_exposure(src: Source) -> DataFrame:
+    spans = profile.complete_coverage(_spans(src), ["route_id"])
+    positions = src.view("positions").select("position_id", "route_id", "distance_m", F.lit(ROUTE_M).alias("route_m"))
+    return progress.upcoming_exposure(positions, spans).select("position_id", "exposure", "exposure_left_m", "next_exposure")
+
+
+@query("shift_timeline", f"""{given('sections', 'routes')},
+j AS (SELECT route_id, duration_s, request_id, unnest(range(journey_count)) AS journey FROM routes),
+s0 AS (SELECT j.route_id, j.journey, s.seq, s.length_m, CASE WHEN (s.seq + j.journey) % 3 = 0 THEN 'sun' ELSE s.exposure END AS exposure FROM j JOIN sections s ON s.route_id = j.route_id),
+s1 AS (SELECT *, sum(CASE WHEN exposure = 'sun' THEN 0 ELSE 1 END) OVER (PARTITION BY route_id, journey ORDER BY seq) AS blk FROM s0),
+s2 AS (SELECT route_id, journey, blk, sum(CASE WHEN exposure = 'sun' THEN length_m ELSE 0.0 END) AS m FROM s1 GROUP BY route_id, journey, blk),
+s3 AS (SELECT route_id, journey, max(m) AS longest_sun_m FROM s2 GROUP BY route_id, journey),
+s4 AS (SELECT route_id, journey, sum(CASE WHEN exposure = 'sun' THEN length_m ELSE 0.0 END) AS sun_s, (route_id + journey) % 5 <> 0 AS is_daylight FROM s0 GROUP BY route_id, journey),
+s5 AS (SELECT route_id, journey, row_number() OVER (PARTITION BY route_id ORDER BY sun_s DESC, journey) AS rn FROM s4 WHERE is_daylight)
+SELECT s4.route_id, CAST(s4.journey AS INT) AS journey, s4.sun_s, s3.longest_sun_m, coalesce(s5.rn = 1, false) AS highest_sun
+FROM s4 JOIN s3 ON s3.route_id = s4.route_id AND s3.journey = s4.journey LEFT JOIN s5 ON s5.route_id = s4.route_id AND s5.journey = s4.journey""")
+def shift_timeline(src: Source) -> DataFrame:
+    journeys = src.view("routes").withColumn("journey", F.explode(F.sequence(F.lit(0), F.col("journey_count") - 1)))
+    sections = src.view("sections").join(journeys.select("route_id", "journey"), "route_id").withColumn(
+        "exposure", F.when((F.col("seq") + F.col("journey")) % 3 == 0, "sun").otherwise(F.col("exposure")))
+    keys = ["route_id", "journey"]
+    sums = sections.groupBy(*keys).agg(F.sum(F.when(F.col("exposure") == "sun", F.col("length_m")).otherwise(0.0)).alias("sun_s"))
+    sums = sums.withColumn("is_daylight", (F.col("route_id") + F.col("journey")) % 5 != 0)
+    runs = profile.longest_sun_run(sections, keys, "seq")
+    return profile.shift_timeline(sums.join(runs, keys)).select(*keys, "sun_s", "longest_sun_m", "highest_sun")
+
+
+# --- Steps and positions ----------------------------------------------------
+
+STEP_CTES = f"""{given('geo_vertices', 'directions', 'reported', 'positions')},
+h0 AS (SELECT route_id, seq, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM geo_vertices WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+h1 AS (SELECT *, CASE WHEN plon IS NULL THEN 0.0 ELSE {haversine_sql('plat', 'plon', 'lat', 'lon')} END AS hop FROM h0),
+v AS (SELECT route_id, seq, lon, lat, plon, plat, hop, sum(hop) OVER (PARTITION BY route_id ORDER BY seq) AS along, sum(hop) OVER (PARTITION BY route_id) AS total, count(*) OVER (PARTITION BY route_id) AS n FROM h1),
+d0 AS (SELECT r.route_id, r.distance_m AS rm, r.duration_s AS rs, coalesce(dir_idx, 0) AS dir_idx, CASE WHEN dir_idx IS NULL THEN 'Continue to the destination.' WHEN trim(instruction) = '' THEN 'Continue.' ELSE instruction END AS instruction,
+    begin_idx, end_idx, coalesce(CAST(d.distance_m AS DOUBLE), r.distance_m) AS sm, coalesce(CAST(d.duration_s AS DOUBLE), r.duration_s) AS ss
+  FROM reported r LEFT JOIN directions d ON d.route_id = r.route_id),
+d1 AS (SELECT d0.*, b.along AS fa, e.along AS ta, b.total, sum(sm) OVER p AS am, sum(ss) OVER p AS tot_s, coalesce(sum(sm) OVER u, 0.0) AS dm, coalesce(sum(ss) OVER u, 0.0) AS ds
+  FROM d0 LEFT JOIN v b ON b.route_id = d0.route_id AND b.seq = d0.begin_idx AND b.n > 1 LEFT JOIN v e ON e.route_id = d0.route_id AND e.seq = d0.end_idx AND e.n > 1
+  WINDOW p AS (PARTITION BY d0.route_id), u AS (PARTITION BY d0.route_id ORDER BY dir_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d2 AS (SELECT *, coalesce(total > 0 AND fa IS NOT NULL AND ta IS NOT NULL AND end_idx >= begin_idx, false) AS ok FROM d1),
+d3 AS (SELECT *, greatest(0.0, least(rm, CASE WHEN ok THEN fa / total * rm WHEN am > 0 THEN dm / am * rm WHEN dir_idx = 0 THEN 0.0 ELSE rm END)) AS start_m,
+    CASE WHEN ok THEN ta / total * rm WHEN am > 0 THEN (dm + sm) / am * rm ELSE rm END AS e0 FROM d2),
+d4 AS (SELECT *, greatest(0.0, least(rm, greatest(start_m, e0))) AS end_m FROM d3),
+steps AS (SELECT *, CASE WHEN tot_s > 0 THEN ds / tot_s * rs ELSE start_m / rm * rs END AS start_s, CASE WHEN tot_s > 0 THEN (ds + ss) / tot_s * rs ELSE end_m / rm * rs END AS end_s FROM d4)"""
+
+
+def _geo_segments(src: Source) -> DataFrame:
+    return geometry.segments(src.view("geo_vertices"))
+
+
+def _steps(src: Source) -> DataFrame:
+    return progress.journey_steps(src.view("directions"), src.view("reported"), _geo_segments(src))
+
+
+@query("journey_steps", f"""{STEP_CTES}
+SELECT route_id, CAST(dir_idx AS INT) AS dir_idx, instruction, {r6('start_m')} AS start_m, {r6('end_m')} AS end_m, {r6('start_s')} AS start_s, {r6('least(rs, end_s)')} AS end_s FROM steps""")
+def journey_steps(src: Source) -> DataFrame:
+    return _steps(src).select("route_id", "dir_idx", "instruction", *[half_up(c, 6).alias(c) for c in ("start_m", "end_m", "start_s", "end_s")])
+
+
+@query("journey_progress", f"""{STEP_CTES},
+k AS (SELECT route_id, max(dir_idx) AS top FROM steps GROUP BY route_id),
+a AS (SELECT p.position_id, p.route_id, least(p.active_idx, k.top) AS i FROM positions p JOIN k ON k.route_id = p.route_id)
+SELECT position_id, CAST(i AS INT) AS active_idx, c.instruction, n.instruction AS next_instruction, {r6('c.rm - c.start_m')} AS remaining_m, {r6('c.rs - c.start_s')} AS remaining_s,
+  c.rm - c.start_m <= 0.01 AND c.rs - c.start_s <= 0.01 AS complete
+FROM a JOIN steps c ON c.route_id = a.route_id AND c.dir_idx = a.i LEFT JOIN steps n ON n.route_id = a.route_id AND n.dir_idx = a.i + 1""")
+def journey_progress(src: Source) -> DataFrame:
+    out = progress.journey_progress(src.view("positions").select("position_id", "route_id", "active_idx"), _steps(src))
+    return out.select("position_id", "active_idx", "instruction", "next_instruction", half_up("remaining_m", 6).alias("remaining_m"),
+                      half_up("remaining_s", 6).alias("remaining_s"), "complete")
+
+
+@query("match_positions", f"""{STEP_CTES},
+m0 AS (SELECT p.position_id, p.route_id, v.seq, v.along - v.hop AS sofar, v.hop, v.total, (plon - p.lon) * 111320.0 * cos(radians(p.lat)) AS ax, (plat - p.lat) * 110540.0 AS ay,
+    (v.lon - p.lon) * 111320.0 * cos(radians(p.lat)) AS bx, (v.lat - p.lat) * 110540.0 AS by_ FROM positions p JOIN v ON v.route_id = p.route_id AND v.plon IS NOT NULL),
+m1 AS (SELECT *, CASE WHEN (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) > 0 THEN greatest(0.0, least(1.0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) ELSE 0.0 END AS f FROM m0),
+m2 AS (SELECT *, sqrt((ax + (bx - ax) * f) * (ax + (bx - ax) * f) + (ay + (by_ - ay) * f) * (ay + (by_ - ay) * f)) AS away FROM m1),
+m3 AS (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY floor(away * 1e6), seq) AS rn FROM m2),
+m4 AS (SELECT position_id, m3.route_id, away, CASE WHEN total > 0 THEN (sofar + hop * f) / total * r.distance_m ELSE 0.0 END AS along FROM m3 JOIN reported r ON r.route_id = m3.route_id WHERE rn = 1)
+SELECT position_id, {r6('away')} AS away_m FROM m4""")
+def match_positions(src: Source) -> DataFrame:
+    out = progress.match_positions(src.view("positions"), _geo_segments(src), src.view("reported"))
+    return out.select("position_id", half_up("away_m", 6).alias("away_m"))

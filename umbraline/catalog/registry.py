@@ -71,6 +71,12 @@ def r6(expression: str) -> str:
     return f"floor(({expression}) * 1e6 + 0.5) / 1e6"
 
 
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = 6_371_000.0) -> str:
+    up, across = f"sin((radians({lat2}) - radians({lat1})) / 2)", f"sin(radians({lon2} - {lon1}) / 2)"
+    h = f"{up} * {up} + cos(radians({lat1})) * cos(radians({lat2})) * {across} * {across}"
+    return f"2 * {radius} * asin(sqrt(greatest(0, least(1, {h}))))"
+
+
 # Domain views.  The given tables carry no geography, so these map them onto
 # the domain with integer arithmetic; each text runs in both engines.
 VIEWS: dict[str, str] = {
@@ -113,6 +119,21 @@ VIEWS: dict[str, str] = {
             WHEN 2 THEN 'Continue on the crosswalk.' WHEN 3 THEN 'Walk north on York Road.' WHEN 4 THEN 'Enter the subway.'
             WHEN 5 THEN '' WHEN 6 THEN 'Turn right onto the walkway.' ELSE 'Keep left.' END AS instruction
         FROM {route_vertices}""",
+    "geo_vertices": """
+        SELECT route_id, area_id, seq, -0.12 + x_m * 0.00001 AS lon, 51.5 + y_m * 0.00001 AS lat FROM {route_vertices}""",
+    # Reported length and time per route: a little more than the geometry.
+    "reported": """
+        SELECT o_orderkey AS route_id, CAST(200 + (o_orderkey * 29) % 300 AS DOUBLE) AS distance_m, CAST(300 + (o_orderkey * 37) % 400 AS DOUBLE) AS duration_s
+        FROM {orders}""",
+    # Scored sections, one exposure per vertex; 'haze' is no known state.
+    "sections": """
+        SELECT route_id, seq, CAST((abs(x_m) + abs(y_m)) % 50 + 1 AS DOUBLE) AS length_m,
+          CASE CAST(abs(x_m) AS INT) % 7 WHEN 0 THEN 'sun' WHEN 1 THEN 'sun' WHEN 2 THEN 'sun' WHEN 3 THEN 'shade' WHEN 4 THEN 'uncertain' WHEN 5 THEN 'haze' ELSE 'night' END AS exposure
+        FROM {route_vertices}""",
+    "positions": """
+        SELECT event_id AS position_id, (event_id * 3) % (SELECT count(*) FROM {orders}) AS route_id, -0.12 + ((event_id * 13) % 200) * 0.00001 AS lon,
+          51.5 - ((event_id * 17) % 160) * 0.00001 AS lat, CAST((event_id * 7) % 500 AS DOUBLE) AS distance_m, CAST(event_id % 9 AS INT) AS active_idx
+        FROM {events}""",
     # Whole schedules per route, for the ranking operators.
     "schedules": """
         SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS request_id, o_orderkey AS route_id, CAST(o_orderkey % 3 AS INT) AS route_pos,
