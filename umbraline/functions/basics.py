@@ -25,7 +25,8 @@ def half_up(value: ColumnLike, decimals: int = 0) -> Column:
 def clamp(value: ColumnLike, low: ColumnLike | float, high: ColumnLike | float) -> Column:
     low_c = F.lit(low) if isinstance(low, (int, float)) else col(low)
     high_c = F.lit(high) if isinstance(high, (int, float)) else col(high)
-    return F.greatest(low_c, F.least(high_c, col(value)))
+    # greatest/least skip nulls, so a missing value has to be kept missing by hand.
+    return F.when(col(value).isNotNull(), F.greatest(low_c, F.least(high_c, col(value))))
 
 
 def is_finite(value: ColumnLike) -> Column:

@@ -112,7 +112,7 @@ def upcoming_exposure(positions: DataFrame, spans: DataFrame, key: str = "route_
     finished = (F.col(route_m) <= NEAR_M) | (F.col("_at") >= F.col(route_m) - NEAR_M)
     state = F.coalesce(F.col("_now.exposure"), F.lit("unknown"))
     later = F.get(F.filter("_ahead", lambda s: s["exposure"] != F.col("_now.exposure")), F.lit(0))
-    left = F.coalesce(F.greatest(F.lit(0.0), F.col("_now.end_m") - F.col("_at")), F.greatest(F.lit(0.0), F.col(route_m) - F.col("_at")))
+    left = F.greatest(F.lit(0.0), F.coalesce(F.col("_now.end_m"), F.col(route_m)) - F.col("_at"))
     return joined.withColumns({
         "exposure": F.when(finished, "unknown").otherwise(state),
         "exposure_left_m": F.when(finished, 0.0).otherwise(left),
