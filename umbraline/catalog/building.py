@@ -76,7 +76,7 @@ lit AS (SELECT p.*, altitude_deg > 0 AS daylight, CASE WHEN altitude_deg <= 0 TH
 raw AS (SELECT event_id AS ray_id, CAST(event_id % (SELECT count(*) FROM grids) AS INT) AS area_id, CAST((event_id * 13) % 1999 AS DOUBLE) / 10 + 0.013 AS px,
     -(CAST((event_id * 17) % 1599 AS DOUBLE) / 10) - 0.017 AS py, CAST(event_id % 60 AS BIGINT) AS minute FROM events),
 pts AS (SELECT *, {SUN_SQL} FROM raw),{shade_ctes('pts')}
-SELECT ray_id AS point_id, {r6('direct')} AS direct_probability, best AS best_direct, worst AS worst_direct, {r6('nearest')} AS nearest_m, CAST(coalesce(n, 0) AS INT) AS occluders FROM lit""")
+SELECT ray_id AS point_id, {r6('direct')} AS direct_probability, CAST(best AS DOUBLE) AS best_direct, CAST(worst AS DOUBLE) AS worst_direct, {r6('nearest')} AS nearest_m, CAST(coalesce(n, 0) AS INT) AS occluders FROM lit""")
 def footprint_point_shade(src: Source) -> DataFrame:
     blocks, edges = _blocks(src)
     points = with_slot_sun(src.sql("""

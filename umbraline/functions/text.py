@@ -16,7 +16,6 @@ UNSAFE = r"[\x00-\x1F\x7F-\x9F\u202A-\u202E\u2066-\u2069]"
 PLACEHOLDER = r"(?i)^(not provided|unknown|n/a)$"
 
 
-@F.pandas_udf("string")
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
 
@@ -24,7 +23,7 @@ def _compose(values: pd.Series) -> pd.Series:
 def compatibility_form(value: ColumnLike) -> Column:
     """NFKC; plain ASCII text never leaves the JVM."""
     text = col(value)
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_compose(text))
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.pandas_udf(_compose, "string")(text))
 
 
 def squeeze(value: ColumnLike) -> Column:
