@@ -74,7 +74,7 @@ def national_grid_inverse(src: Source) -> DataFrame:
 
 
 SOLAR = f"""{given('pings')},
-s0 AS (SELECT event_id, lon, lat, epoch_ms(ts)::DOUBLE AS ms, (epoch_ms(ts) / 86400000.0::DOUBLE + 2440587.5 - 2451545) / 36525 AS t FROM pings),
+s0 AS (SELECT event_id, lon, lat, (epoch_us(ts) // 1000)::DOUBLE AS ms, ((epoch_us(ts) // 1000) / 86400000.0::DOUBLE + 2440587.5 - 2451545) / 36525 AS t FROM pings),
 s1 AS (SELECT *, ((280.46646 + t * (36000.76983 + t * 0.0003032)) % 360 + 360) % 360 AS l0, radians(357.52911 + t * (35999.05029 - 0.0001537 * t)) AS m,
     0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, radians(125.04 - 1934.136 * t) AS om, 23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60) / 60 AS ob FROM s0),
 s2 AS (SELECT *, l0 + sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289 - 0.00569 - 0.00478 * sin(om) AS app, radians(ob + 0.00256 * cos(om)) AS obr FROM s1),
