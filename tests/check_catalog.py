@@ -39,6 +39,7 @@ def compare(spark, folder: str, name: str) -> dict:
         return report
     start = time.time()
     con = duckdb.connect()
+    con.execute("SET memory_limit = '8GB'")
     for table in registry.TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     cursor = con.execute(registry.ORACLE[name])

@@ -1 +1,176 @@
-"""Queries."""
+"""Trips, requests and records as they arrive: decoding, rules, duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.basics import half_up, reasons
+from ..operators import geometry, routes as rt
+from .registry import Source, VIEWS, given, haversine_sql, query, r6
+
+
+def _encoded(value: str) -> str:
+    """SQL: one zig-zag value in 0..2^20-1 as base-32 groups, lowest first."""
+    parts, rest = [], value
+    for i in range(4):
+        group = f"floor({rest} / {32 ** i}) % 32"
+        more = f"{rest} >= {32 ** (i + 1)}"
+        parts.append(f"CASE WHEN {i} = 0 OR {rest} >= {32 ** i} THEN chr(CAST({group} + CASE WHEN {more} THEN 95 ELSE 63 END AS INT)) ELSE '' END")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+# Deltas: north by part number (even zig-zag), east or west by supplier number.
+VIEWS["shape_steps"] = f"""
+    SELECT route_id, seq, part, CASE WHEN seq % 2 = 0 THEN supp ELSE -supp - 1 END AS dlon, {_encoded('(part * 2)')} AS lat_text,
+      {_encoded('(CASE WHEN seq % 2 = 0 THEN supp * 2 ELSE supp * 2 + 1 END)')} AS lon_text
+    FROM (SELECT l_orderkey AS route_id, l_partkey AS part, l_suppkey AS supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS seq
+      FROM {{lineitem}} WHERE l_orderkey NOT IN (SELECT l_orderkey FROM {{lineitem}} GROUP BY l_orderkey HAVING count(*) > 10000)) v"""
+
+
+@query("decode_shapes", f"""{given('shape_steps')}
+SELECT route_id, CAST(seq AS INT) AS seq, CASE WHEN route_id % 50 <> 7 THEN {r6('sum(dlon) OVER (PARTITION BY route_id ORDER BY seq) / 1000000.0::DOUBLE')} END AS lon,
+  CASE WHEN route_id % 50 <> 7 THEN {r6('sum(part) OVER (PARTITION BY route_id ORDER BY seq) / 1000000.0::DOUBLE')} END AS lat
+FROM shape_steps WHERE route_id % 50 <> 7 UNION ALL SELECT DISTINCT route_id, NULL, NULL, NULL FROM shape_steps WHERE route_id % 50 = 7""")
+def decode_shapes(src: Source) -> DataFrame:
+    """Every fiftieth shape is cut short and must land among the rejected keys."""
+    text = src.view("shape_steps").groupBy("route_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "lat_text", "lon_text"))), lambda p: F.concat(p["lat_text"], p["lon_text"])), "").alias("shape"))
+    cut = F.when(F.col("route_id") % 50 == 7, F.concat("shape", F.lit("_"))).otherwise(F.col("shape"))
+    good, bad = rt.decode_shapes(text.withColumn("shape", cut))
+    good = good.select("route_id", "seq", half_up("lon", 6).alias("lon"), half_up("lat", 6).alias("lat"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query("validate_trips", """
+WITH t AS (SELECT o_orderkey, CAST((o_orderkey * 7) % 12000 AS DOUBLE) / 1000 AS km, CAST((o_orderkey * 13) % 16000 AS DOUBLE) - 100 AS s, CAST(1 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS INT) AS legs, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'x' END AS shape FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN NOT (km > 0 AND floor(km * 1000 + 0.5) > 0 AND km * 1000 <= 10000) THEN 'length' END, CASE WHEN NOT (s > 0 AND floor(s + 0.5) > 0 AND s <= 14400) THEN 'time' END,
+  CASE WHEN legs <> 1 THEN 'legs' END, CASE WHEN shape = '' THEN 'shape' END) AS problems FROM t""")
+def validate_trips(src: Source) -> DataFrame:
+    trips = src.sql("""SELECT o_orderkey, CAST((o_orderkey * 7) % 12000 AS DOUBLE) / 1000 AS length_km, CAST((o_orderkey * 13) % 16000 AS DOUBLE) - 100 AS time_s,
+        CAST(1 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS INT) AS legs, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'x' END AS shape FROM {orders}""")
+    return trips.select("o_orderkey", F.array_join(reasons(rt.trip_checks()), ",").alias("problems"))
+
+
+@query("project_directions", f"""{given('directions')},
+m AS (SELECT *, distance_m / 1000.0::DOUBLE AS km, CAST(duration_s AS DOUBLE) + 0.5 AS s, CASE WHEN route_id % 31 = 4 AND dir_idx = 2 THEN begin_idx - 9 ELSE least(begin_idx, dir_idx) END AS b FROM directions),
+n AS (SELECT *, count(*) OVER (PARTITION BY route_id) AS pts FROM m),
+bad AS (SELECT DISTINCT route_id FROM n WHERE b < 0 OR dir_idx < b OR dir_idx >= pts)
+SELECT route_id, dir_idx, CASE WHEN trim(instruction) = '' THEN 'Continue' ELSE instruction END AS instruction, CAST(floor(km * 1000 + 0.5) AS BIGINT) AS distance_m, CAST(floor(s + 0.5) AS BIGINT) AS duration_s, CAST(b AS INT) AS begin_idx, rough
+FROM n WHERE route_id NOT IN (SELECT route_id FROM bad)""")
+def project_directions(src: Source) -> DataFrame:
+    raw = src.view("directions").select(
+        "route_id", "dir_idx", "instruction", (F.col("distance_m") / 1000).alias("length_km"), (F.col("duration_s") + 0.5).alias("time_s"),
+        F.when((F.col("route_id") % 31 == 4) & (F.col("dir_idx") == 2), F.col("begin_idx") - 9).otherwise(F.least("begin_idx", "dir_idx")).alias("begin_idx"),
+        F.col("dir_idx").alias("end_idx"), "rough", F.lit("foot").alias("travel_type"))
+    points = src.view("route_vertices").groupBy("route_id").agg(F.count(F.lit(1)).alias("points"))
+    good, _ = rt.project_directions(raw, points)
+    return good.select("route_id", "dir_idx", "instruction", "distance_m", "duration_s", "begin_idx", "rough")
+
+
+VIEWS["claims"] = """
+    SELECT o_orderkey AS route_id, CAST(floor(o_orderkey / 15000.0) AS INT) AS area_id, CAST((o_orderkey * 29) % 900 AS DOUBLE) AS distance_m, CAST((o_orderkey * 37) % 400 AS DOUBLE) AS duration_s,
+      CAST((o_orderkey * 13) % 200 AS DOUBLE) AS ox, -CAST((o_orderkey * 17) % 160 AS DOUBLE) AS oy, CAST((o_orderkey * 19) % 200 AS DOUBLE) AS dx, -CAST((o_orderkey * 23) % 160 AS DOUBLE) AS dy FROM {orders}"""
+
+
+@query("validate_routes", f"""{given('claims', 'route_vertices')},
+h AS (SELECT route_id, seq, x_m, y_m, lead(x_m) OVER w AS nx, lead(y_m) OVER w AS ny FROM route_vertices WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+s AS (SELECT route_id, count(*) AS pts, coalesce(sum(sqrt((nx - x_m) * (nx - x_m) + (ny - y_m) * (ny - y_m))), 0) AS g, arg_min(x_m, seq) AS ax, arg_min(y_m, seq) AS ay, arg_max(x_m, seq) AS bx, arg_max(y_m, seq) AS by_, max(x_m) AS e FROM h GROUP BY route_id)
+SELECT c.route_id, concat_ws(',', CASE WHEN NOT coalesce(pts >= 2 AND distance_m > 0 AND duration_s > 0, false) THEN 'measures' END, CASE WHEN NOT coalesce(sqrt((ax - ox) * (ax - ox) + (ay - oy) * (ay - oy)) <= 100, false) THEN 'origin' END,
+  CASE WHEN NOT coalesce(sqrt((bx - dx) * (bx - dx) + (by_ - dy) * (by_ - dy)) <= 100, false) THEN 'destination' END, CASE WHEN NOT coalesce(e <= 190, false) THEN 'outside-area' END,
+  CASE WHEN NOT coalesce(abs(g - distance_m) <= greatest(100, distance_m * 0.15), false) THEN 'length' END) AS problems FROM claims c LEFT JOIN s ON s.route_id = c.route_id""")
+def validate_routes(src: Source) -> DataFrame:
+    areas = src.view("grids").select("area_id", F.lit(0.0).alias("west"), F.lit(-200.0).alias("south"), F.lit(190.0).alias("east"), F.lit(0.0).alias("north"))
+    out = rt.route_problems(src.view("claims"), src.view("route_vertices"), areas, metric="planar", x="x_m", y="y_m")
+    return out.select("route_id", F.array_join("problems", ",").alias("problems"))
+
+
+# Candidates: the second of each request shadows the first a few metres off, some backwards.
+VIEWS["twin_vertices"] = """
+    SELECT route_id, seq, x_m, y_m FROM {route_vertices} WHERE route_id % 3 <> 1
+    UNION ALL
+    SELECT route_id + 1, CASE WHEN route_id % 2 = 0 THEN seq ELSE 100000 - seq END, x_m + CASE WHEN route_id % 4 = 0 THEN 3 ELSE 9 END, y_m + CASE WHEN route_id % 9 = 0 THEN 12 ELSE 1 END
+    FROM {route_vertices} WHERE route_id % 3 = 0"""
+
+TWIN = f"""{given('twin_vertices', 'routes')},
+hops AS (SELECT route_id, seq, x_m AS x1, y_m AS y1, lead(x_m) OVER w AS x2, lead(y_m) OVER w AS y2 FROM twin_vertices WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+len_ AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS m FROM hops WHERE x2 IS NOT NULL),
+seg AS (SELECT *, sum(m) OVER (PARTITION BY route_id ORDER BY seq) AS till, sum(m) OVER (PARTITION BY route_id) AS tot FROM len_),
+tg AS (SELECT DISTINCT route_id, tot, unnest(range(41)) AS k FROM seg WHERE tot > 0),
+pick AS (SELECT t.route_id, t.k, s.*, row_number() OVER (PARTITION BY t.route_id, t.k ORDER BY CASE WHEN s.till >= t.tot * t.k / 40 THEN 0 ELSE 1 END, CASE WHEN s.till >= t.tot * t.k / 40 THEN s.seq ELSE -s.seq END) AS rn,
+    t.tot * t.k / 40 AS goal FROM tg t JOIN seg s ON s.route_id = t.route_id),
+pt AS (SELECT route_id, k, x1 + (x2 - x1) * CASE WHEN m > 0 THEN (goal - (till - m)) / m ELSE 0 END AS x, y1 + (y2 - y1) * CASE WHEN m > 0 THEN (goal - (till - m)) / m ELSE 0 END AS y FROM pick WHERE rn = 1),
+pr AS (SELECT a.request_id, a.route_id AS a_id, b.route_id AS b_id, a.route_pos AS a_pos, b.route_pos AS b_pos FROM routes a JOIN routes b ON a.request_id = b.request_id AND a.route_pos < b.route_pos),
+ln AS MATERIALIZED (SELECT route_id, list({{'x': x, 'y': y}} ORDER BY k) AS l FROM pt GROUP BY route_id),
+both_ AS (SELECT pr.*, list_transform(range(1, 42), lambda i: sqrt((a.l[i].x - b.l[i].x) ** 2 + (a.l[i].y - b.l[i].y) ** 2)) AS d, list_transform(range(1, 42), lambda i: sqrt((a.l[i].x - b.l[42 - i].x) ** 2 + (a.l[i].y - b.l[42 - i].y) ** 2)) AS dz
+  FROM pr JOIN ln a ON a.route_id = a_id JOIN ln b ON b.route_id = b_id),
+way AS (SELECT request_id, a_id, b_id, a_pos, b_pos, list_sort(CASE WHEN dz[1] + dz[41] < d[1] + d[41] THEN dz ELSE d END) AS g FROM both_),
+gap AS (SELECT *, list_avg(g) AS mean_m, g[41] AS max_m, g[37] AS p90_m FROM way),
+dup AS (SELECT * FROM gap WHERE mean_m <= 10 AND p90_m <= 20 AND max_m <= 35)"""
+
+
+@query("near_duplicates", f"{TWIN} SELECT request_id, a_id, b_id, {r6('mean_m')} AS mean_m, {r6('p90_m')} AS p90_m, {r6('max_m')} AS max_m FROM dup")
+def near_duplicates(src: Source) -> DataFrame:
+    out = rt.near_duplicates(src.view("twin_vertices"), src.view("routes"), x="x_m", y="y_m", metric="planar")
+    return out.select("request_id", "a_id", "b_id", *[half_up(c, 6).alias(c) for c in ("mean_m", "p90_m", "max_m")])
+
+
+@query("distinct_routes", f"""{TWIN},
+k0 AS (SELECT route_id FROM routes WHERE route_pos = 0), k1 AS (SELECT route_id FROM routes r WHERE route_pos = 1 AND NOT EXISTS (SELECT 1 FROM dup WHERE b_id = r.route_id)),
+k2 AS (SELECT route_id FROM routes r WHERE route_pos = 2 AND NOT EXISTS (SELECT 1 FROM dup WHERE b_id = r.route_id AND (a_pos = 0 OR a_id IN (SELECT route_id FROM k1)))),
+k AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)
+SELECT r.request_id, r.route_id, CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY r.route_pos) AS INT) AS position FROM routes r JOIN k ON k.route_id = r.route_id""")
+def distinct_routes(src: Source) -> DataFrame:
+    routes = src.view("routes")
+    return rt.distinct_routes(routes, rt.near_duplicates(src.view("twin_vertices"), routes, x="x_m", y="y_m", metric="planar"))
+
+
+@query("access_summary", f"""{given('directions', 'routes')},
+g AS (SELECT route_id, bool_or(regexp_matches(lower(instruction), '\\bstair(s|way)?\\b')) AS st, bool_or(regexp_matches(lower(instruction), 'level\\s*-\\d|underground|subway|tunnel|below ground')) AS un,
+  bool_or(regexp_matches(lower(instruction), 'cross(ing|walk)|traffic signal|zebra')) AS cr, bool_or(rough) AS ro, bool_or(trim(instruction) <> '') AS tx FROM directions GROUP BY route_id)
+SELECT r.route_id, coalesce(st, false) AS has_stairs, coalesce(un, false) AS has_underground, coalesce(tx, false) AS has_evidence, coalesce(tx AND NOT st, false) AS avoids_barriers,
+  CASE WHEN tx IS NULL THEN 'unavailable' WHEN cr THEN 'mapped' ELSE 'not-mentioned' END AS crossing_evidence, CASE WHEN tx IS NULL THEN 'unavailable' WHEN ro THEN 'rough-flag' ELSE 'not-flagged' END AS surface_evidence
+FROM routes r LEFT JOIN g ON g.route_id = r.route_id""")
+def access_summary(src: Source) -> DataFrame:
+    out = rt.access_summary(src.view("routes").select("route_id"), src.view("directions"))
+    return out.select("route_id", "has_stairs", "has_underground", "has_evidence", "avoids_barriers", "crossing_evidence", "surface_evidence")
+
+
+@query("route_names", f"""{given('directions', 'routes')},
+s AS (SELECT route_id, dir_idx, trim(regexp_extract(instruction, '(?i)(?:onto|on) ([^.]*)', 1)) AS street FROM directions),
+f AS (SELECT route_id, arg_min(street, dir_idx) AS street FROM s WHERE street <> '' AND NOT regexp_matches(street, '(?i)walkway|crosswalk|ramp') GROUP BY route_id)
+SELECT r.route_id, coalesce('Via ' || street, CASE route_pos WHEN 0 THEN 'Route one' WHEN 1 THEN 'Route two' ELSE 'Route three' END) AS route_name FROM routes r LEFT JOIN f ON f.route_id = r.route_id""")
+def route_names(src: Source) -> DataFrame:
+    return rt.route_names(src.view("routes").select("route_id", "route_pos"), src.view("directions")).select("route_id", "route_name")
+
+
+@query("reverse_routes", f"""{given('geo_vertices')}
+SELECT route_id || '-reversed' AS route_id, count(*) AS points, {r6('arg_max(lon, seq)')} AS first_lon, {r6('arg_min(lon, seq)')} AS last_lon, string_agg('step ' || seq, ' ' ORDER BY seq) AS access_reference, CAST(0 AS INT) AS directions FROM geo_vertices GROUP BY route_id""")
+def reverse_routes(src: Source) -> DataFrame:
+    packed = src.view("geo_vertices").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("p"))
+    routes = packed.select(F.col("route_id").cast("string").alias("route_id"), F.transform("p", lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"))).alias("coordinates"),
+                           F.transform("p", lambda v: F.struct(F.concat(F.lit("step "), v["seq"].cast("string")).alias("instruction"))).alias("directions"))
+    out = geometry.reverse_routes(routes)
+    return out.select("route_id", F.size("coordinates").cast("bigint").alias("points"), half_up(F.element_at("coordinates", 1)["lon"], 6).alias("first_lon"),
+                      half_up(F.element_at("coordinates", -1)["lon"], 6).alias("last_lon"), "access_reference", F.size("directions").alias("directions"))
+
+
+VIEWS["asked"] = """
+    SELECT o_orderkey AS request_id, CAST(o_custkey % 25 AS INT) AS area_id, -0.12 + (o_orderkey % 5) * 0.0001 AS olon, 51.5 + (o_orderkey % 3) * 0.00002 AS olat,
+      -0.12 + (o_orderkey % 7) * 0.0001 AS dlon, 51.5 + (o_orderkey % 11) * 0.002 AS dlat, CASE WHEN o_orderkey % 13 = 0 THEN 'teleport' ELSE 'standard' END AS access,
+      CASE WHEN o_orderkey % 17 = 0 THEN 'tourist' ELSE 'worker' END AS profile FROM {orders}"""
+
+
+@query("validate_requests", f"""{given('asked')}
+SELECT request_id, concat_ws(',', CASE WHEN dlat > 51.5151 THEN 'area' END, CASE WHEN {haversine_sql('olat', 'olon', 'dlat', 'dlon')} < 20 THEN 'apart' END, CASE WHEN access = 'teleport' THEN 'access' END, CASE WHEN profile = 'tourist' THEN 'profile' END) AS problems FROM asked""")
+def validate_requests(src: Source) -> DataFrame:
+    boxed = src.view("asked").withColumns({"west": F.lit(-0.13), "south": F.lit(51.49), "east": F.lit(-0.10), "north": F.lit(51.5151)})
+    return boxed.select("request_id", F.array_join(reasons(rt.request_checks()), ",").alias("problems"))
+
+
+@query("match_stored_routes", f"""{given('asked')}
+SELECT request_id, CASE WHEN {haversine_sql('olat', 'olon', '51.5', '-0.12')} < 4 AND {haversine_sql('dlat', 'dlon', '51.504', '-0.12 + n_nationkey * 0.0001')} < 4 THEN 'forward'
+  WHEN {haversine_sql('dlat', 'dlon', '51.5', '-0.12')} < 4 AND {haversine_sql('olat', 'olon', '51.504', '-0.12 + n_nationkey * 0.0001')} < 4 THEN 'reverse' END AS stored_direction FROM asked JOIN nation ON n_nationkey = area_id""")
+def match_stored_routes(src: Source) -> DataFrame:
+    areas = src.sql("SELECT n_nationkey AS area_id, -0.12D AS start_lon, 51.5D AS start_lat, -0.12D + n_nationkey * 0.0001D AS end_lon, 51.504D AS end_lat FROM {nation}")
+    return rt.match_stored_routes(src.view("asked"), areas).select("request_id", "stored_direction")
