@@ -28,7 +28,7 @@ class Source:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._known:
-            self._known[name] = self.sql(VIEWS[name])
+            self._known[name] = self.sql(view_text(name, 0))
         return self._known[name]
 
     def sql(self, text: str) -> DataFrame:
@@ -49,8 +49,14 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def view_text(name: str, engine: int) -> str:
+    """Text of a view: one for both engines, or a (Spark, twin) pair where they spell exploding differently."""
+    text = VIEWS[name]
+    return text if isinstance(text, str) else text[engine]
+
+
 def _needs(name: str, seen: list[str]) -> None:
-    for inner in re.findall(r"\{(\w+)\}", VIEWS[name]):
+    for inner in re.findall(r"\{(\w+)\}", view_text(name, 1)):
         if inner not in TABLES:
             _needs(inner, seen)
     if name not in seen:
@@ -63,7 +69,7 @@ def given(*names: str) -> str:
     for name in names:
         _needs(name, ordered)
     strip = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
-    return "WITH " + ",\n".join(f"{n} AS ({strip(VIEWS[n])})" for n in ordered)
+    return "WITH " + ",\n".join(f"{n} AS ({strip(view_text(n, 1))})" for n in ordered)
 
 
 def r6(expression: str) -> str:
@@ -79,7 +85,7 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = 6_
 
 # Domain views.  The given tables carry no geography, so these map them onto
 # the domain with integer arithmetic; each text runs in both engines.
-VIEWS: dict[str, str] = {
+VIEWS: dict[str, str | tuple[str, str]] = {
     # 50 x 40 cells of 4 m per area; one area per 2,000 parts.
     "cells": """
         SELECT CAST(floor(p_partkey / 2000.0) AS INT) AS area_id, CAST(p_partkey % 50 AS INT) AS x,
