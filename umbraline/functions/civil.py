@@ -77,4 +77,6 @@ def epoch_ms(ts: ColumnLike) -> Column:
 
 def instant_from_iso(value: ColumnLike) -> Column:
     """Instant of an ISO date-time string of at most 40 characters; null if unreadable."""
-    return F.when(F.length(col(value)) <= 40, col(value).try_cast("timestamp"))
+    # Spark wants seconds; feeds often stop at the minute.
+    full = F.regexp_replace(col(value), r"T(\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "T$1:00$2")
+    return F.when(F.length(col(value)) <= 40, full.try_cast("timestamp"))

@@ -29,9 +29,13 @@ def _admit(window_ms: int, limit: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # State: where the client's current window began and how many requests it holds.
         start, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches), ignore_index=True).groupby("at_ms", as_index=False)["n"].sum().sort_values("at_ms")
+        # Requests per millisecond, folded batch by batch: memory follows the trigger interval, not the traffic.
+        per_ms: dict[int, int] = {}
+        for batch in batches:
+            for at, n in batch.groupby("at_ms")["n"].sum().items():
+                per_ms[at] = per_ms.get(at, 0) + int(n)
         out = []
-        for at, n in zip(rows["at_ms"].tolist(), rows["n"].tolist()):
+        for at, n in sorted(per_ms.items()):
             if start is None or at - start >= window_ms:
                 start, used = at, 0
             admitted = max(0, min(n, limit - used))
@@ -43,16 +47,20 @@ def _admit(window_ms: int, limit: int):
     return step
 
 
-def admission_stream(events: DataFrame, window_ms: int = 60_000, limit: int = 30, late: str = "1 minute") -> DataFrame:
+def _count_per_ms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.groupby(["client", "at_ms"], as_index=False).size().rename(columns={"size": "n"})
+
+
+def admission_stream(events: DataFrame, window_ms: int = 60_000, limit: int = 30) -> DataFrame:
     """Exact per-client windows that begin at the client's first request.
 
-    Requests (client, ts) are counted per client and millisecond before they
-    reach the state, so a flood from one client arrives as its distinct
-    milliseconds only.
+    Requests (client, ts) are counted per client and millisecond on the map
+    side, before the shuffle to the state, so a flood from one client travels
+    as its distinct milliseconds.  A late request counts in the open window.
     """
-    counted = events.withWatermark("ts", late).groupBy("client", F.window("ts", "1 millisecond").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    flat = counted.select("client", F.unix_millis("w.start").alias("at_ms"), "n")
     kind = dict(events.dtypes)["client"]
+    flat = events.select("client", F.unix_millis("ts").alias("at_ms")).mapInPandas(_count_per_ms, f"client {kind}, at_ms bigint, n bigint")
     return flat.groupBy("client").applyInPandasWithState(
         _admit(window_ms, limit), f"client {kind}, at_ms bigint, window_start_ms bigint, requests bigint, admitted bigint, refused bigint",
         "start bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
