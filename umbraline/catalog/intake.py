@@ -109,10 +109,10 @@ gap AS (SELECT *, list_avg(g) AS mean_m, g[41] AS max_m, g[37] AS p90_m FROM way
 dup AS (SELECT * FROM gap WHERE mean_m <= 10 AND p90_m <= 20 AND max_m <= 35)"""
 
 
-@query("near_duplicates", f"{TWIN} SELECT request_id, a_id, b_id, {r6('mean_m')} AS mean_m, {r6('p90_m')} AS p90_m, {r6('max_m')} AS max_m FROM dup")
+@query("near_duplicates", f"{TWIN} SELECT request_id, a_id, b_id, {r6('mean_m')} AS mean_m, CAST(len(list_filter(g, lambda v: v <= 20)) AS BIGINT) AS close_points, {r6('max_m')} AS max_m FROM dup")
 def near_duplicates(src: Source) -> DataFrame:
     out = rt.near_duplicates(src.view("twin_vertices"), src.view("routes"), x="x_m", y="y_m", metric="planar")
-    return out.select("request_id", "a_id", "b_id", *[half_up(c, 6).alias(c) for c in ("mean_m", "p90_m", "max_m")])
+    return out.select("request_id", "a_id", "b_id", half_up("mean_m", 6).alias("mean_m"), "close_points", half_up("max_m", 6).alias("max_m"))
 
 
 @query("distinct_routes", f"""{TWIN},

@@ -14,6 +14,8 @@ from ..functions.lookups import CATEGORIES, SUBTYPE_CATEGORY, TREE_LOCATIONS
 RADIUS_M, RADIUS_RANGE, LIMIT, LIMIT_RANGE = 250.0, (10.0, 2_000.0), 3, (1, 20)
 LISTED, LOOKAHEAD_MS = 12, 7 * 86_400_000
 DEGREE_M = 111_320.0
+# Bins no finer than a usual segment: a small radius must not list it many times over.
+MIN_BIN_M = 60.0
 MAX_TREES_PER_AREA = 20_000
 
 
@@ -26,23 +28,15 @@ def round_up_10(metres: Column) -> Column:
     return F.when(metres > 0, F.ceil(metres / 10) * 10).otherwise(0).cast("double")
 
 
-def _project(metric: str) -> tuple[Column, Column, Column]:
-    """(fraction along the segment, distance to it, of the point px, py)."""
+def _offsets(metric: str) -> tuple[Column, Column, Column, Column]:
+    """Segment start and span in metres relative to the point px, py."""
     if metric == "haversine":
         mid = F.radians((F.col("py") + F.col("y1") + F.col("y2")) / 3)
         kx, ky = F.lit(ROUTE_RADIUS_M) * F.cos(mid) * F.radians(F.lit(1.0)), F.lit(ROUTE_RADIUS_M) * F.radians(F.lit(1.0))
     else:
         kx = ky = F.lit(1.0)
     ax, ay = (F.col("x1") - F.col("px")) * kx, (F.col("y1") - F.col("py")) * ky
-    dx, dy = (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * ky
-    square = dx * dx + dy * dy
-    fraction = F.when(square > 0, clamp(-(ax * dx + ay * dy) / square, 0.0, 1.0)).otherwise(0.0)
-    cx, cy = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_f"), F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("_f")
-    if metric == "haversine":
-        away = haversine_m("py", "px", cy, cx)
-    else:
-        away = F.sqrt((cx - F.col("px")) * (cx - F.col("px")) + (cy - F.col("py")) * (cy - F.col("py")))
-    return fraction, away, cx
+    return ax, ay, (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * ky
 
 
 def nearby_features(segs: DataFrame, features: DataFrame, radius_m: float | None = None, metric: str = "haversine",
@@ -55,27 +49,41 @@ def nearby_features(segs: DataFrame, features: DataFrame, radius_m: float | None
     radius = bounded_option(radius_m, RADIUS_M, *RADIUS_RANGE)
     points = features.withColumnsRenamed({"x": "px", "y": "py"}) if "px" not in features.columns else features
     if metric == "haversine":
-        # A bin is one radius high, and at least as wide at the latitudes in use.
-        size_y = radius / DEGREE_M
-        grow_x = F.lit(radius / DEGREE_M) / F.greatest(F.lit(0.1), F.cos(F.radians(F.greatest(F.abs("y1"), F.abs("y2")) + size_y)))
-        grow_y, size_x = F.lit(size_y * 1.01), size_y * 1.6
+        reach = radius / DEGREE_M
+        grow_x = F.lit(reach) / F.greatest(F.lit(0.1), F.cos(F.radians(F.greatest(F.abs("y1"), F.abs("y2")) + reach)))
+        # Degrees of longitude are the shorter ones, so a bin is wider in them.
+        grow_y, size_y = F.lit(reach * 1.01), max(radius, MIN_BIN_M) / DEGREE_M
+        size_x = size_y * 1.6
     else:
         grow_x = grow_y = F.lit(radius)
-        size_x = size_y = radius
+        size_x = size_y = max(radius, MIN_BIN_M)
     spread = lambda a, b, grow, size: F.explode(F.sequence(
         F.floor((F.least(a, b) - grow) / size).cast("int"), F.floor((F.greatest(a, b) + grow) / size).cast("int")))
     listed = segs.withColumn("_gx", grow_x).withColumn("_bx", spread("x1", "x2", F.col("_gx"), size_x)).withColumn("_by", spread("y1", "y2", grow_y, size_y)).drop("_gx")
     asked = points.withColumns({"_bx": F.floor(F.col("px") / size_x).cast("int"), "_by": F.floor(F.col("py") / size_y).cast("int")})
     met = listed.join(asked, ["area_id", "_bx", "_by"])
-    fraction, away, _ = _project(metric)
-    met = met.withColumn("_f", fraction).withColumn("_away", away).filter(F.col("_away") <= radius)
+    ax, ay, dx, dy = _offsets(metric)
+    dot, square = ax * dx + ay * dy, dx * dx + dy * dy
+    # A zero span divides to null, which least() skips: any fraction of nothing is the start.
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-dot, square)))
+    # A cheap planar test (with slack) is what reaches the join; the exact distance is only taken for what is left.
+    met = met.filter(ax * ax + ay * ay + t * (2 * dot + t * square) <= (radius * 1.01) ** 2)
+    met = met.withColumn("_f", F.when(square > 0, t).otherwise(0.0))
+    cx, cy = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_f"), F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("_f")
+    met = met.withColumns({"_cx": cx, "_cy": cy})
+    if metric == "haversine":
+        away = haversine_m("py", "px", "_cy", "_cx")
+    else:
+        away = F.sqrt((F.col("_cx") - F.col("px")) * (F.col("_cx") - F.col("px")) + (F.col("_cy") - F.col("py")) * (F.col("_cy") - F.col("py")))
+    met = met.withColumn("_away", away)
     kept = [c for c in points.columns if c not in ("area_id", "px", "py")]
-    best = met.groupBy(key, *kept).agg(F.min(F.struct(
-        F.col("_away").alias("away"), "seg_idx", (F.col("start_m") + F.col("length_m") * F.col("_f")).alias("along"), "total_m")).alias("b"))
-    return best.select(
-        key, *kept, F.col("b.away").alias("raw_m"), round_up_10(F.col("b.away")).alias("distance_m"),
-        round_up_10(F.col("b.away") * 2).alias("return_detour_m"), round_up_10(F.col("b.along")).alias("progress_m"),
-        F.when(F.col("b.total_m") > 0, clamp(F.col("b.along") / F.col("b.total_m") * 100, 0.0, 100.0)).otherwise(0.0).alias("progress_percent"))
+    # Numeric buffers keep this a hash aggregate; equal distances meet at a shared vertex, where progress is equal too.
+    along = F.col("start_m") + F.col("length_m") * F.col("_f")
+    best = met.groupBy(key, *kept).agg(F.min("_away").alias("raw_m"), F.min_by(along, "_away").alias("_along"), F.max("total_m").alias("_total"))
+    return best.filter(F.col("raw_m") <= radius).select(
+        key, *kept, "raw_m", round_up_10(F.col("raw_m")).alias("distance_m"),
+        round_up_10(F.col("raw_m") * 2).alias("return_detour_m"), round_up_10(F.col("_along")).alias("progress_m"),
+        F.when(F.col("_total") > 0, clamp(F.col("_along") / F.col("_total") * 100, 0.0, 100.0)).otherwise(0.0).alias("progress_percent"))
 
 
 def nearest_per_category(nearby: DataFrame, limit: int | None = None, key: str = "route_id", category: str = "category",

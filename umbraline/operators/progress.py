@@ -138,12 +138,12 @@ def match_positions(positions: DataFrame, segs: DataFrame, routes: DataFrame, st
     joined = joined.withColumn("_f", F.when(square > 0, clamp(
         -(F.col("_ax") * F.col("_dx") + F.col("_ay") * F.col("_dy")) / square, 0.0, 1.0)).otherwise(0.0))
     px, py = F.col("_ax") + F.col("_dx") * F.col("_f"), F.col("_ay") + F.col("_dy") * F.col("_f")
-    best = joined.groupBy(position, key).agg(F.min(F.struct(
-        F.sqrt(px * px + py * py).alias("away"), F.col("seg_idx"),
-        (F.col("start_m") + F.col("length_m") * F.col("_f")).alias("along"), F.col("total_m").alias("total"))).alias("b"))
+    away = F.sqrt(px * px + py * py)
+    along = F.col("start_m") + F.col("length_m") * F.col("_f")
+    best = joined.groupBy(position, key).agg(F.min(away).alias("away_m"), F.min_by(along, away).alias("_along"), F.max("total_m").alias("_total"))
     out = best.join(routes.select(key, F.greatest(F.lit(0.0), F.coalesce(F.col("distance_m").cast("double"), F.lit(0.0))).alias("route_m")), key)
-    out = out.select(position, key, F.col("b.away").alias("away_m"), "route_m",
-                     F.when(F.col("b.total") > 0, F.col("b.along") / F.col("b.total") * F.col("route_m")).otherwise(0.0).alias("along_m"))
+    out = out.select(position, key, "away_m", "route_m",
+                     F.when(F.col("_total") > 0, F.col("_along") / F.col("_total") * F.col("route_m")).otherwise(0.0).alias("along_m"))
     if steps is None:
         return out
     packed = step_arrays(steps, key).select(key, "steps")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basics import half_up, holds, is_finite
 from ..functions.geo import haversine_m
+from ..session import cut_lineage
 from .geometry import DUPLICATE_SAMPLES, MAX_POINTS, resample, segments, span_m
 
 # Fixed values.
@@ -123,33 +124,42 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
     """Pairs of routes of one request that follow the same path.
 
     A request has at most eight candidates, so a route meets at most seven
-    others; each route travels as one short array of sample points.
+    others.  End points settle the direction of comparison and most pairs; only
+    the routes of pairs left over are resampled and compared point by point, as
+    plain aggregates.
     """
-    points = resample(segments(vertices, x=x, y=y, metric=metric))
-    line = points.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("sample_no", "x", "y"))).alias("line"))
-    line = line.filter(F.size("line") == DUPLICATE_SAMPLES)
-    own = routes.select(request, "route_id", "route_pos").join(line, "route_id")
-    a = own.select(request, F.col("route_id").alias("a_id"), F.col("route_pos").alias("a_pos"), F.col("line").alias("a"))
-    b = own.select(request, F.col("route_id").alias("b_id"), F.col("route_pos").alias("b_pos"), F.col("line").alias("b"))
-    pairs = a.join(b, request).filter(F.col("a_pos") < F.col("b_pos"))
-
-    def apart(p: Column, q: Column) -> Column:
-        if metric == "haversine":
-            return haversine_m(p["y"], p["x"], q["y"], q["x"])
-        return F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
-
-    end = lambda c, last: F.get(c, F.lit(DUPLICATE_SAMPLES - 1 if last else 0))
-    straight = apart(end("a", False), end("b", False)) + apart(end("a", True), end("b", True))
-    crossed = apart(end("a", False), end("b", True)) + apart(end("a", True), end("b", False))
-    pairs = pairs.withColumn("b", F.when(crossed < straight, F.reverse("b")).otherwise(F.col("b")))
-    close = (apart(end("a", False), end("b", False)) <= MAX_APART_M) & (apart(end("a", True), end("b", True)) <= MAX_APART_M)
-    pairs = pairs.filter(close).withColumn("_gaps", F.array_sort(F.zip_with("a", "b", apart)))
-    # The 37th of 41 ordered gaps is the ninetieth percentile.
-    p90 = F.get("_gaps", F.lit(-(-DUPLICATE_SAMPLES * 9 // 10) - 1))
-    mean = F.aggregate("_gaps", F.lit(0.0), lambda t, g: t + g) / DUPLICATE_SAMPLES
-    return pairs.withColumns({"mean_m": mean, "p90_m": p90, "max_m": F.element_at("_gaps", -1)}).filter(
-        (F.col("mean_m") <= MEAN_APART_M) & (F.col("p90_m") <= P90_APART_M) & (F.col("max_m") <= MAX_APART_M)).select(
-        request, "a_id", "a_pos", "b_id", "b_pos", "mean_m", "p90_m", "max_m")
+    segs = segments(vertices, x=x, y=y, metric=metric).filter(F.col("total_m") > 0)
+    first = lambda c: F.max(F.when(F.col("seg_idx") == 0, F.col(c)))
+    ends = segs.groupBy("route_id").agg(
+        first("x1").alias("hx"), first("y1").alias("hy"), F.max_by("x2", "seg_idx").alias("tx"), F.max_by("y2", "seg_idx").alias("ty")).select(
+        "route_id", F.struct(F.col("hx").alias("x"), F.col("hy").alias("y")).alias("head"), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")).alias("tail"))
+    own = routes.select(request, "route_id", "route_pos").join(ends, "route_id")
+    side = lambda p: own.select(request, *[F.col(c).alias(f"{p}_{n}") for c, n in (("route_id", "id"), ("route_pos", "pos"), ("head", "head"), ("tail", "tail"))])
+    pairs = side("a").join(side("b"), request).filter(F.col("a_pos") < F.col("b_pos"))
+
+    def apart(p: str, q: str) -> Column:
+        return span_m(f"{p}.x", f"{p}.y", f"{q}.x", f"{q}.y", metric)
+
+    pairs = pairs.withColumns({
+        "_hh": apart("a_head", "b_head"), "_tt": apart("a_tail", "b_tail"), "_ht": apart("a_head", "b_tail"), "_th": apart("a_tail", "b_head")})
+    pairs = pairs.withColumn("turned", F.col("_ht") + F.col("_th") < F.col("_hh") + F.col("_tt"))
+    worst = F.when(F.col("turned"), F.greatest("_ht", "_th")).otherwise(F.greatest("_hh", "_tt"))
+    # Few pairs are left and four branches below read them: written once rather than planned four times.
+    pairs = cut_lineage(pairs.filter(worst <= MAX_APART_M).select(request, "a_id", "a_pos", "b_id", "b_pos", "turned"))
+    wanted = pairs.select(F.col("a_id").alias("route_id")).unionByName(pairs.select(F.col("b_id").alias("route_id"))).distinct()
+    points = resample(segs.join(wanted, "route_id", "left_semi")).select("route_id", "sample_no", F.struct("x", "y").alias("p"))
+    a = points.select(F.col("route_id").alias("a_id"), F.col("sample_no").alias("k"), F.col("p").alias("a"))
+    b = points.select(F.col("route_id").alias("b_id"), F.col("sample_no").alias("k"), F.col("p").alias("b"))
+    last = DUPLICATE_SAMPLES - 1
+    lined = pairs.join(a, "a_id").withColumn("k", F.when(F.col("turned"), last - F.col("k")).otherwise(F.col("k"))).join(b, ["b_id", "k"])
+    gaps = lined.select(request, "a_id", "a_pos", "b_id", "b_pos", apart("a", "b").alias("gap"))
+    # The 37th of 41 ordered gaps is the ninetieth percentile: at least 37 must be small enough.
+    needed = -(-DUPLICATE_SAMPLES * 9 // 10)
+    found = gaps.groupBy(request, "a_id", "a_pos", "b_id", "b_pos").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("gap").alias("mean_m"), F.max("gap").alias("max_m"),
+        F.sum(F.when(F.col("gap") <= P90_APART_M, 1).otherwise(0)).alias("close_points"))
+    return found.filter(
+        (F.col("_n") == DUPLICATE_SAMPLES) & (F.col("mean_m") <= MEAN_APART_M) & (F.col("close_points") >= needed) & (F.col("max_m") <= MAX_APART_M)).drop("_n")
 
 
 def distinct_routes(routes: DataFrame, duplicates: DataFrame, request: str = "request_id", limit: int = KEEP_ROUTES) -> DataFrame:

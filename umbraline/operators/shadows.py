@@ -66,35 +66,33 @@ def ground_shadow(cells: DataFrame, grids: DataFrame, frames: DataFrame, mode: s
 
     Frames at night have no cells here; :func:`shadow_summary` reports them.
     """
-    ready = frame_reach(cells, grids, frames, mode).filter("daylight").withColumn(
-        "offsets", F.coalesce(cast_offsets(F.col("azimuth_deg"), F.col("trace_m"), F.col("res_m")),
-                              F.expr("CAST(array() AS array<struct<dx:int,dy:int,metres:double>>)")))
+    # Entry 0 of the offsets is the cell itself; the others are the targets it may shade.
+    own = F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0.0).alias("metres"))
+    ready = frame_reach(cells, grids, frames, mode).filter("daylight").withColumn("offsets", F.concat(
+        F.array(own), F.coalesce(cast_offsets(F.col("azimuth_deg"), F.col("trace_m"), F.col("res_m")),
+                                 F.expr("CAST(array() AS array<struct<dx:int,dy:int,metres:double>>)"))))
     if mode == "absolute":
         low, high, base = F.col("surf_min").cast("double"), F.col("surf_max").cast("double"), F.col("terrain").cast("double")
     else:
         low = high = F.col("height_steps") * F.col("step_m")
         base = F.lit(0.0)
     sources = cells.join(ready, "area_id").withColumns({"_ok": _valid(mode), "_low": low, "_high": high, "_base": base})
-    # Entry 0 is the cell itself; the others are the targets it may shade.
-    own = F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0.0).alias("metres"), F.lit(True).alias("own"))
-    cast = F.transform("offsets", lambda o: F.struct(o["dx"].alias("dx"), o["dy"].alias("dy"), o["metres"].alias("metres"), F.lit(False).alias("own")))
     hits = sources.select(
-        "frame_id", "area_id", "x", "y", "width", "height", "res_m", "azimuth_deg", "natural_m", "limited", "tangent",
-        "_ok", "_low", "_high", "_base", F.explode(F.concat(F.array(own), cast)).alias("o"))
-    tx, ty = F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy")
-    hits = hits.withColumns({"tx": tx, "ty": ty}).filter(
+        "frame_id", "area_id", "x", "y", "width", "height", "tangent", "_ok", "_low", "_high", "_base", F.inline("offsets"))
+    hits = hits.withColumns({"tx": F.col("x") + F.col("dx"), "ty": F.col("y") + F.col("dy")}).filter(
         (F.col("tx") >= 0) & (F.col("ty") >= 0) & (F.col("tx") < F.col("width")) & (F.col("ty") < F.col("height")))
-    is_own, far = F.col("o.own"), ~F.col("o.own")
-    spent = OBSERVER_M + F.col("o.metres") * F.col("tangent")
-    keys = ["frame_id", "area_id", "tx", "ty", "width", "height", "res_m", "azimuth_deg", "natural_m", "limited"]
-    cells_out = hits.groupBy(*keys).agg(
+    is_own, spent = F.col("metres") == 0, OBSERVER_M + F.col("metres") * F.col("tangent")
+    far = ~is_own
+    lit = F.when(far & F.col("_ok"), F.lit(1))
+    cells_out = hits.groupBy("frame_id", "area_id", "tx", "ty").agg(
         F.max(F.when(is_own, F.col("_ok"))).alias("ok"), F.max(F.when(is_own, F.col("_base"))).alias("base"),
         F.max(F.when(is_own & F.col("_ok"), F.col("_low") - F.col("_base"))).alias("own_low"),
         F.max(F.when(is_own & F.col("_ok"), F.col("_high") - F.col("_base"))).alias("own_high"),
-        F.max(F.when(far & F.col("_ok"), F.col("_low") - spent - MARGIN_M)).alias("reach_low"),
-        F.max(F.when(far & F.col("_ok"), F.col("_high") - spent + MARGIN_M)).alias("reach_high"),
+        F.max(F.when(lit == 1, F.col("_low") - spent - MARGIN_M)).alias("reach_low"),
+        F.max(F.when(lit == 1, F.col("_high") - spent + MARGIN_M)).alias("reach_high"),
         F.max(far & ~F.col("_ok")).alias("hidden"),
     ).filter(F.col("ok").isNotNull())
+    cells_out = cells_out.join(ready.select("frame_id", "width", "height", "res_m", "azimuth_deg", "natural_m", "limited"), "frame_id")
     yes = lambda c: F.coalesce(c, F.lit(False))
     certain = F.col("ok") & (yes(F.col("own_low") >= OBSERVER_M + MARGIN_M) | yes(F.col("reach_low") >= F.col("base")))
     possible = F.col("ok") & (yes(F.col("own_high") > OBSERVER_M) | (~F.col("limited") & yes(F.col("reach_high") >= F.col("base"))))
