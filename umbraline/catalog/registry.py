@@ -107,7 +107,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
           CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INT) AS seq,
           CAST((l_partkey * 13) % 200 AS DOUBLE) AS x_m, CAST(-((l_suppkey * 17) % 160) AS DOUBLE) AS y_m
         FROM {lineitem}
-        WHERE l_orderkey NOT IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING count(*) > 10000)""",
+        WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey AS big_key FROM {lineitem} GROUP BY l_orderkey HAVING count(*) > 10000) big WHERE big_key = l_orderkey)""",
     "routes": """
         SELECT o_orderkey AS route_id, CAST(floor(o_orderkey / 3.0) AS BIGINT) AS request_id, CAST(o_orderkey % 3 AS INT) AS route_pos,
           CAST(floor(o_orderkey / 15000.0) AS INT) AS area_id, CAST(300 + (o_orderkey * 37) % 400 AS DOUBLE) AS duration_s,

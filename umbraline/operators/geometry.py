@@ -27,15 +27,21 @@ def split_oversize_routes(vertices: DataFrame, key: str = "route_id", limit: int
     return vertices.join(oversize.select(key), key, "left_anti"), oversize
 
 
+PARTITION_BYTES, MAX_WAVES = 64 * 1024 * 1024, 50
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key into a fixed number of partitions.
+    """Hash-partition by key, one partition per 64 MB that Spark estimates and never fewer than the cores.
 
     Samples and ray steps multiply a row a hundredfold after the shuffle, so
     AQE must not merge these partitions by their (small) size before that.
     Windows and groupings on the keys reuse the partitioning.
     """
     spark = df.sparkSession
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Estimates multiply through joins, hence the upper bound.
+    count = min(max(base, -(-estimate // PARTITION_BYTES)), base * MAX_WAVES)
     return df.repartition(count, *keys)
 
 
