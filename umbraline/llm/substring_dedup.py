@@ -2,12 +2,13 @@
 
 Suffixes are sorted bucket by bucket, with a difference cover for long ties.
 
+0. Texts are dealt to document buckets by their digest, compressed. Equal texts of one batch go once; equal texts of a bucket are
+   seen there. A whole copy of a text with a smaller id loses all its bytes and takes no further part.
 1. Which 50-byte windows can repeat at all? Each window is known by its minimizer, the smallest hash of its GRAM-byte strings;
-   equal windows have equal minimizers. Documents send their distinct minimizers to hash buckets, already resolved
-   within a task: a minimizer that a task sees in two documents is sent for two of them only. A window whose minimizer
-   occurs in one document only drops out here, and with it most text.
+   equal windows have equal minimizers. A document bucket sends its distinct minimizers to hash buckets, and those
+   that two buckets have sent, or that two texts of a bucket hold, come back. All other windows drop out here.
 2. Stretches of neighbouring windows with one minimizer go, as at most 80 bytes of context, to the suffix bucket of that
-   minimizer. Equal contexts of one task go once, for the smallest id; the larger ids lose those bytes at once.
+   minimizer. Equal contexts are kept once, for the smallest id; the larger ids lose those windows at once.
 3. A bucket's suffixes are sorted on their own, one bucket after the other. First the suffixes at cover positions (byte offset
    in the document modulo COVER_SIZE in COVER) are sorted and ranked. Then all suffixes are sorted by their first COVER_SIZE bytes, and longer
    ties are split around a pivot: of any two suffixes some shift below COVER_SIZE puts both on cover positions,
@@ -28,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as B
@@ -41,9 +43,8 @@ CONTEXT = WIDTH + REACH - 1     # bytes of a context at most
 STRIDE = 96                     # bytes of a context row, with padding
 COVER_SIZE, COVER = 13, (0, 1, 3, 9)   # every difference modulo 13 is one of two members
 LATE = 2**63 - 1                # stands for a null id
-SLICE = 3_000_000               # bytes hashed at once
-HELD = 3_000_000                # minimizers held by a task before they are sent
-BUCKET_BYTES = 12_000_000       # bytes of text per bucket on average
+SLICE = 1_000_000               # bytes hashed at once
+BUCKET_BYTES = 4_000_000        # bytes of text per bucket on average
 
 #: shift[a, b]: the least d with (a + d) and (b + d) modulo COVER_SIZE in COVER.
 SHIFT = np.array([[next(d for d in range(COVER_SIZE) if (a + d) % COVER_SIZE in COVER and (b + d) % COVER_SIZE in COVER)
@@ -71,7 +72,9 @@ def minimizers(data: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, windows, minimizer) of the runs of windows with one minimizer, at most REACH windows long."""
+    """(row, first window, windows, minimizer) of the runs of windows with one minimizer, at most REACH windows long.
+    Minimizers are small numbers, so they are mixed again before they deal out buckets, and cut to 48 bits: they only
+    narrow the search, and a chance equality costs work and no result."""
     least = minimizers(data)
     room = np.maximum(np.diff(ends) - WIDTH + 1, 0)  # windows of each row
     row = np.repeat(np.arange(len(room)), room)
@@ -85,34 +88,28 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     first = np.repeat(at, parts) + step * REACH
     count = np.minimum(REACH, np.repeat(at + size, parts) - first)
-    return row[first], start[first], count, own[first]
+    return row[first], start[first], count, B.mix(own[first] + np.uint64(1)) >> np.uint64(16)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Rises with the hash, so the buckets of sorted hashes are slices."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the 48-bit key, so the buckets of sorted keys are slices."""
+    return ((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The same as bucket_column: plain shifts, so that both sides agree."""
-    bits = ids.astype(np.int64).view(np.uint64)
-    return np.mod((bits ^ bits >> np.uint64(7) ^ bits >> np.uint64(17)).view(np.int64), buckets)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane: high bytes of sorted or small numbers nearly vanish."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def bucket_column(buckets: int) -> Column:
-    known = F.coalesce(F.col("id"), F.lit(LATE))
-    return F.pmod(known.bitwiseXOR(F.shiftrightunsigned(known, 7)).bitwiseXOR(F.shiftrightunsigned(known, 17)), F.lit(buckets).cast("bigint"))
-
-
-def narrow_ids(ids: np.ndarray) -> bytes:
-    """Ids in four bytes where they fit; a leading byte tells."""
-    if len(ids) and 0 <= ids.min() and ids.max() < 2**32:
-        return b"4" + ids.astype(np.uint32).tobytes()
-    return b"8" + ids.astype(np.int64).tobytes()
-
-
-def wide_ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], np.uint32 if raw[:1] == b"4" else np.int64).astype(np.int64)
+def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(data[at:at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -131,17 +128,6 @@ def blobs(rows: list[Blob]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=BLOBS)
 
 
-def parted(group: pa.Table) -> tuple[list[Blob], list[tuple[bytes, bytes]]]:
-    """Finished rows of a bucket, on their way to their document bucket, and the rows to work on."""
-    done, open_ = [], []
-    for to, a, b in zip(*(group.column(c).to_pylist() for c in BLOBS[1:]), strict=True):
-        if to < 0:
-            open_.append((a, b))
-        else:
-            done.append((to, to, a, b))
-    return done, open_
-
-
 def slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal keys in a sorted array."""
     at = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -149,65 +135,131 @@ def slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(keys[a]), slice(int(a), int(b))
 
 
-def suspects_of(hashes: np.ndarray, ids: np.ndarray, buckets: int) -> list[Blob]:
-    """Finished rows: for each document bucket those of the minimizers that occur there."""
-    where = doc_bucket(ids, buckets)
-    order = np.lexsort((hashes, where))
-    where, hashes = where[order], hashes[order]
-    return [(k, k, np.unique(hashes[s]).tobytes(), b"") for k, s in slices(where)]
-
-
-def gather_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
-    """Open rows by hash bucket (minimizers, ids), and finished ones with minimizers already known to repeat."""
-
-    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        hashes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, hashes))
-        hashes, ids = hashes[order], ids[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
-        hashes, ids = hashes[new], ids[new]
-        at = starts_of(hashes)
-        size = np.diff(at, append=len(hashes))
-        many = np.repeat(size > 1, size)
-        rows = suspects_of(hashes[many], ids[many], buckets) if many.any() else []
-        ask = np.sort(np.concatenate([at, at[size > 1] + 1]))  # two documents prove a repeat as well as all
-        hashes, ids = hashes[ask], ids[ask]
-        rows += [(k, -1, hashes[s].tobytes(), narrow_ids(ids[s])) for k, s in slices(bucket_of(hashes, buckets))]
-        return blobs(rows)
+def row_hash(raw: memoryview | bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for part in sliced(batch, 1, SLICE):
-                data, ends = raw_bytes(part.column(1))
-                row, _, _, least = stretches(data, ends)
-                if len(row):
-                    parts.append((least, ids_of(part.column(0))[row]))
-                    held += len(row)
-                if held > HELD:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if parts:
-            yield flush(parts)
-
-    return docs.select("id", "text").mapInArrow(run, BLOB_SCHEMA)
 
+def deal(docs: DataFrame, buckets: int) -> DataFrame:
+    """Open rows by document bucket (ids, text keys, lengths; compressed texts), and finished ones (ids, text keys, lengths of
+    whole copies). Texts too short to lose anything are spread by id."""
 
-def repeated_minimizers(asked: DataFrame, buckets: int) -> DataFrame:
-    """By document bucket the minimizers that occur in two documents or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in sliced(batch, 2, 8 * SLICE):
+                data, ends = raw_bytes(part.column(2))
+                ids, keys, size = ids_of(part.column(0)), part.column(1).to_numpy(), np.diff(ends)
+                view = memoryview(data)
+                digest = np.array([row_hash(view[a:b]) if b - a >= WIDTH else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64)
+                first: dict[bytes, int] = {}
+                order = np.argsort(ids, kind="stable")
+                copy = np.zeros(len(ids), bool)
+                again = np.isin(digest, np.unique(digest[order])[np.unique(digest, return_counts=True)[1] > 1]) & (size >= WIDTH)
+                for n in order[again[order]]:
+                    text = view[ends[n]:ends[n + 1]].tobytes()
+                    copy[n] = ids[n] > first.setdefault(text, int(ids[n]))
+                where = bucket_of(np.where(size >= WIDTH, B.mix(digest), B.mix(ids.view(np.uint64))) >> np.uint64(16), buckets)
+                rows = []
+                by = np.argsort(where, kind="stable")
+                for k, s in slices(where[by]):
+                    own = by[s]
+                    kept, gone = own[~copy[own]], own[copy[own]]
+                    if len(kept):
+                        text = press.compress(b"".join(view[ends[n]:ends[n + 1]] for n in kept))
+                        rows.append((k, -1, packed(ids[kept], keys[kept], size[kept]), text))
+                    if len(gone):  # by id, so that the copies of one text are spread
+                        rows.append((int(bucket_of(B.mix(ids[gone[:1]].view(np.uint64)) >> np.uint64(16), buckets)[0]), 0, packed(ids[gone], keys[gone], size[gone]), b""))
+                yield blobs(rows)
+
+    return docs.select("id", "k_text", "text").mapInArrow(run, BLOB_SCHEMA)
+
+
+class Texts:
+    """The texts of a document bucket by id and key: equal rows once, whole copies of a smaller id marked."""
+
+    def __init__(self, group: pa.Table):
+        opened = [(a, b) for to, a, b in zip(*(group.column(c).to_pylist() for c in BLOBS[1:]), strict=True) if to < 0]
+        self.copies = [unpacked(a, "<i8", "<i8", "<i8") for to, a in zip(group.column("next").to_pylist(), group.column("a").to_pylist(), strict=True) if to >= 0]
+        press = zstandard.ZstdDecompressor()
+        heads = [unpacked(a, "<i8", "<i8", "<i8") for a, _ in opened]
+        ids, keys, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*heads, strict=True) if heads else ((), (), ())))
+        texts = []
+        for (_, b), (_, _, own) in zip(opened, heads, strict=True):
+            raw, ends = press.decompress(b), np.concatenate([[0], np.cumsum(own)])
+            texts += [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        order = np.lexsort((keys, ids))
+        self.ids, self.keys, self.texts = ids[order], keys[order], [texts[n] for n in order]
+        # Equal rows have one result and are worked on once; how often each is there is kept.
+        lowest: dict[bytes, int] = {}
+        self.whole = np.array([len(t) >= WIDTH and lowest.setdefault(t, int(i)) < i for i, t in zip(self.ids, self.texts, strict=True)], bool)
+        same = np.zeros(len(self.ids), bool)
+        for n in range(1, len(same)):
+            same[n] = self.ids[n] == self.ids[n - 1] and self.keys[n] == self.keys[n - 1] and self.texts[n] == self.texts[n - 1]
+        self.repeats = np.cumsum(~same) - 1  # row -> its first equal row, counted among the first ones
+        self.first = np.flatnonzero(~same)
+        self.open = np.flatnonzero(~same & ~self.whole & np.array([len(t) >= WIDTH for t in self.texts], bool))
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, bytes without gaps, offsets) of the open texts, at most SLICE bytes or one text at a time. The numbers
+        count the open texts by id and key, so they are the same whenever and however the bucket is gathered."""
+        at = 0
+        while at < len(self.open):
+            stop, total = at, 0
+            while stop < len(self.open) and (stop == at or total + len(self.texts[self.open[stop]]) <= SLICE):
+                total += len(self.texts[self.open[stop]])
+                stop += 1
+            rows = self.open[at:stop]
+            yield np.arange(at, stop), np.frombuffer(b"".join(self.texts[n] for n in rows), np.uint8), np.concatenate([[0], np.cumsum([len(self.texts[n]) for n in rows])])
+            at = stop
+
+
+def gather_minimizers(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Open rows by hash bucket (minimizers; next is -1 - document bucket), and finished ones with the minimizers that two
+    texts of the bucket hold."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        home, texts = key[0].as_py(), Texts(group)
+        found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for rows, data, ends in texts.parts():
+            row, _, _, least = stretches(data, ends)
+            found.append(least)
+            owner.append(rows[row])
+        keys, owner = np.concatenate(found), np.concatenate(owner)
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        at = starts_of(keys)
+        last = np.concatenate([at[1:], [len(keys)]]) - 1 if len(keys) else at
+        many = keys[at[owner[at] != owner[last]]]
+        out = [(home, home, packed(many), b"")] if len(many) else []
+        keys = keys[at]
+        out += [(k, -1 - home, packed(keys[s]), b"") for k, s in slices(bucket_of(keys, buckets))]
+        return pa.Table.from_batches([blobs(out)])
+
+    return dealt.groupBy("bucket").applyInArrow(run, BLOB_SCHEMA)
+
+
+def repeated_minimizers(asked: DataFrame) -> DataFrame:
+    """By document bucket the minimizers that another bucket or another text holds as well."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows, open_ = parted(group)
-        if open_:
-            hashes, ids = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in open_]), np.concatenate([wide_ids(b) for _, b in open_])
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            at = starts_of(hashes)
-            size = np.diff(at, append=len(hashes))
-            many = np.repeat(ids[at] != ids[at + size - 1], size)
-            rows += suspects_of(hashes[many], ids[many], buckets) if many.any() else []
-        return pa.Table.from_batches([blobs(rows)])
+        out, keys, home = [], [], []
+        for to, a in zip(group.column("next").to_pylist(), group.column("a").to_pylist(), strict=True):
+            if to >= 0:
+                out.append((to, to, a, b""))
+            else:
+                keys.append(unpacked(a, "<u8")[0])
+                home.append(np.full(len(keys[-1]), -1 - to, np.int32))
+        if keys:
+            keys, home = np.concatenate(keys), np.concatenate(home)
+            order = np.argsort(keys, kind="stable")
+            keys, home = keys[order], home[order]
+            at = starts_of(keys)
+            size = np.diff(at, append=len(keys))
+            many = np.repeat(size > 1, size)
+            keys, home = keys[many], home[many]
+            by = np.argsort(home, kind="stable")
+            out += [(k, k, packed(keys[by][s]), b"") for k, s in slices(home[by])]
+        return pa.Table.from_batches([blobs(out)])
 
     return asked.groupBy("bucket").applyInArrow(run, BLOB_SCHEMA)
 
@@ -221,68 +273,82 @@ def packed_contexts(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> n
     return out
 
 
-HEADER = np.dtype([("id", "<i8"), ("key", "<i8"), ("at", "<i8"), ("count", "<u4"), ("mask", "<u4")])
-
-
-def contexts_of(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, keys: np.ndarray, seen: np.ndarray, buckets: int) -> list[Blob]:
-    """Open rows by suffix bucket (headers, context bytes), and finished ones (headers with removed windows)."""
-    row, start, count, least = stretches(data, ends)
-    if not len(row) or not len(seen):
-        return []
-    at = np.minimum(np.searchsorted(seen, least), len(seen) - 1)
-    pick = np.flatnonzero(seen[at] == least)
-    row, start, count, least = row[pick], start[pick], count[pick], least[pick]
-    if not len(row):
-        return []
-    rows = []
-    text = packed_contexts(data, start, count)
-    head = np.zeros(len(row), HEADER)
-    head["id"], head["key"], head["at"], head["count"] = ids[row], keys[row], start - ends[row], count
-    # Equal contexts: the smallest id is sorted, larger ids lose all these windows.
-    total = np.zeros(len(row), np.uint64)
+#: Columns of a context: document id, document bucket, row in it, first byte, windows, removed windows as bits.
+HEADER = {"id": "<i8", "home": "<i4", "row": "<i4", "at": "<i8", "count": "<i4", "mask": "<u4"}
+Head = dict[str, np.ndarray]
+
+
+def chosen(head: Head, rows: np.ndarray | slice) -> Head:
+    return {k: v[rows] for k, v in head.items()}
+
+
+def packed_head(head: Head) -> bytes:
+    return packed(*(head[k].astype(kind) for k, kind in HEADER.items()))
+
+
+def joined_heads(raws: list[bytes]) -> Head:
+    parts = zip(*(unpacked(r, *HEADER.values()) for r in raws), strict=True)
+    return {k: np.concatenate(p) for k, p in zip(HEADER, parts, strict=True)}
+
+
+def distinct_contexts(text: np.ndarray, head: Head) -> tuple[np.ndarray, Head, Head]:
+    """(texts, heads) of each different context with its smallest id, and the heads of larger ids, which lose all windows."""
+    total = np.zeros(len(text), np.uint64)
     words = text.view(np.uint64)
     for j in range(words.shape[1]):
         total = B.mix(total + words[:, j] * B._TURNS[j])
-    total = total + count.astype(np.uint64)
+    total = total + head["count"].astype(np.uint64)
     order = np.lexsort((head["id"], total))
-    text, head, total, least = text[order], head[order], total[order], least[order]
+    text, head, total = text[order], chosen(head, order), total[order]
     same = np.zeros(len(order), bool)
     same[1:] = (total[1:] == total[:-1]) & (head["count"][1:] == head["count"][:-1]) & (text[1:] == text[:-1]).all(1)
-    group = np.cumsum(~same) - 1
-    lowest = head["id"][np.flatnonzero(~same)][group]
-    beaten = head["id"] > lowest
-    if beaten.any():
-        lost = head[beaten].copy()
-        lost["mask"] = ((np.uint64(1) << lost["count"].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-        where = doc_bucket(lost["id"], buckets)
-        by = np.argsort(where, kind="stable")
-        rows += [(k, k, lost[by][s].tobytes(), b"") for k, s in slices(where[by])]
-    text, head, least = text[~beaten], head[~beaten], least[~beaten]
-    where = bucket_of(least, buckets)
-    by = np.argsort(where, kind="stable")
-    text, head = text[by], head[by]
-    size = head["count"].astype(np.int64) + WIDTH - 1
-    for k, s in slices(where[by]):
-        inside = np.arange(STRIDE) < size[s][:, None]
-        rows.append((k, -1, head[s].tobytes(), text[s][inside].tobytes()))
-    return rows
-
-
-def make_contexts(docs: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = [np.frombuffer(x.as_py(), np.uint64) for x in right.column("a")] if right.num_rows else []
-        if not known or not left.num_rows:
-            return pa.Table.from_batches([blobs([])])
-        known = np.unique(np.concatenate(known))
-        out = []
-        for batch in left.combine_chunks().to_batches():
-            for part in sliced(batch, 3, SLICE):
-                data, ends = raw_bytes(part.column(3))
-                out.append(blobs(contexts_of(data, ends, ids_of(part.column(1)), part.column(2).to_numpy(), known, buckets)))
-        return pa.Table.from_batches(out)
-
-    own = docs.select("bucket", "id", "k_text", "text")
-    return own.groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(run, BLOB_SCHEMA)
+    beaten = head["id"] > head["id"][np.flatnonzero(~same)][np.cumsum(~same) - 1]
+    lost = chosen(head, beaten)
+    lost["mask"] = ((np.uint64(1) << lost["count"].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    return text[~beaten], chosen(head, ~beaten), lost
+
+
+def cut_rows(head: Head) -> list[Blob]:
+    """Finished rows: contexts with removed windows, by document bucket."""
+    by = np.argsort(head["home"], kind="stable")
+    head = chosen(head, by)
+    return [(k, k, packed_head(chosen(head, s)), b"") for k, s in slices(head["home"])]
+
+
+def make_contexts(dealt: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
+    """Open rows by suffix bucket (heads, context bytes), and finished ones."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[Blob] = []
+        if left.num_rows and right.num_rows:
+            home, texts, press = key[0].as_py(), Texts(left), zstandard.ZstdCompressor(level=3)
+            known = np.unique(np.concatenate([unpacked(x.as_py(), "<u8")[0] for x in right.column("a")]))
+            held: dict[int, list[tuple[Head, bytes]]] = {}
+            for rows, data, ends in texts.parts():
+                row, start, count, least = stretches(data, ends)
+                pick = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
+                if not len(pick):
+                    continue
+                row, start, count, least = row[pick], start[pick], count[pick], least[pick]
+                text = packed_contexts(data, start, count)
+                head = {"id": texts.ids[texts.open[rows[row]]], "home": np.full(len(row), home, np.int32), "row": rows[row].astype(np.int32), "at": start - ends[row],
+                        "count": count, "mask": np.arange(len(row)).astype(np.uint32)}
+                text, head, lost = distinct_contexts(text, head)
+                if len(lost["id"]):
+                    out += cut_rows(lost)
+                where = bucket_of(least[head["mask"]], buckets)
+                by = np.argsort(where, kind="stable")
+                text, head = text[by], chosen(head, by)
+                head["mask"][:] = 0
+                size = head["count"] + WIDTH - 1
+                for k, s in slices(where[by]):
+                    held.setdefault(k, []).append((chosen(head, s), text[s][np.arange(STRIDE) < size[s][:, None]].tobytes()))
+            for k, parts in held.items():
+                head = {c: np.concatenate([h[c] for h, _ in parts]) for c in HEADER}
+                out.append((k, -1, packed_head(head), press.compress(b"".join(t for _, t in parts))))
+        return pa.Table.from_batches([blobs(out)])
+
+    return dealt.groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(run, BLOB_SCHEMA)
 
 
 def load(flat: np.ndarray) -> np.ndarray:
@@ -306,12 +372,12 @@ def dense_ranks(keys: list[np.ndarray]) -> np.ndarray:
     return ranks
 
 
-def sort_bucket(text: np.ndarray, head: np.ndarray) -> np.ndarray:
+def sort_bucket(text: np.ndarray, head: Head) -> np.ndarray:
     """The mask of removed windows of every context of one suffix bucket. text: rows of STRIDE bytes."""
-    n, count = len(head), head["count"].astype(np.int64)
+    n, count = len(head["id"]), head["count"].astype(np.int64)
     flat = np.concatenate([text.ravel(), np.zeros(64, np.uint8)])
     eight = load(flat)
-    phase = head["at"] % COVER_SIZE
+    phase = (head["at"] % COVER_SIZE).astype(np.int32)
     # Ranks of the suffixes at cover positions, 56 bytes deep: beyond the 50 that any comparison needs.
     offset = np.arange(REACH + COVER_SIZE)
     on_cover = np.isin((phase[:, None] + offset) % COVER_SIZE, COVER) & (offset < (count + COVER_SIZE)[:, None])
@@ -362,22 +428,26 @@ def sort_bucket(text: np.ndarray, head: np.ndarray) -> np.ndarray:
     return mask
 
 
-def sorted_buckets(contexts: DataFrame, buckets: int) -> DataFrame:
-    """By document bucket the headers with removed windows; one suffix bucket is sorted after the other."""
+def sorted_buckets(contexts: DataFrame) -> DataFrame:
+    """By document bucket the heads with removed windows; one suffix bucket is sorted after the other."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows, open_ = parted(group)
-        if open_:
-            head = np.concatenate([np.frombuffer(a, HEADER) for a, _ in open_])
-            raw = np.concatenate([np.frombuffer(b, np.uint8) for _, b in open_])
-            text = np.zeros((len(head), STRIDE), np.uint8)
-            text[np.arange(STRIDE) < (head["count"].astype(np.int64) + WIDTH - 1)[:, None]] = raw
+        out, heads, texts = [], [], []
+        press = zstandard.ZstdDecompressor()
+        for to, a, b in zip(*(group.column(c).to_pylist() for c in BLOBS[1:]), strict=True):
+            if to >= 0:
+                out.append((to, to, a, b))
+            else:
+                heads.append(a)
+                texts.append(np.frombuffer(press.decompress(b), np.uint8))
+        if heads:
+            head = joined_heads(heads)
+            text = np.zeros((len(head["id"]), STRIDE), np.uint8)
+            text[np.arange(STRIDE) < (head["count"] + WIDTH - 1)[:, None]] = np.concatenate(texts)
+            text, head, lost = distinct_contexts(text, head)
             head["mask"] = sort_bucket(text, head)
-            head = head[head["mask"] > 0]
-            where = doc_bucket(head["id"], buckets)
-            by = np.argsort(where, kind="stable")
-            rows += [(k, k, head[by][s].tobytes(), b"") for k, s in slices(where[by])]
-        return pa.Table.from_batches([blobs(rows)])
+            out += cut_rows(lost) + cut_rows(chosen(head, head["mask"] > 0))
+        return pa.Table.from_batches([blobs(out)])
 
     return contexts.groupBy("bucket").applyInArrow(run, BLOB_SCHEMA)
 
@@ -394,46 +464,57 @@ def kept_bytes(text: bytes, windows: np.ndarray) -> tuple[bytes, int, int]:
     return kept, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
 
 
-def cut(docs: DataFrame, cuts: DataFrame, with_text: bool) -> DataFrame:
+def cut(dealt: DataFrame, cuts: DataFrame, with_text: bool) -> DataFrame:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    nothing = hashlib.sha256(b"").hexdigest()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lost: dict[tuple[int, int], np.ndarray] = {}
+        texts = Texts(left)
+        lost: dict[int, slice] = {}
         if right.num_rows:
-            head = np.concatenate([np.frombuffer(x.as_py(), HEADER) for x in right.column("a")])
-            row, bit = np.nonzero((head["mask"][:, None] >> np.arange(REACH, dtype=np.uint32)) & 1)
-            order = np.lexsort((head["key"][row], head["id"][row]))
-            row, at = row[order], (head["at"][row] + bit)[order]
-            new = np.flatnonzero(np.concatenate([[True], (head["id"][row][1:] != head["id"][row][:-1]) | (head["key"][row][1:] != head["key"][row][:-1])])) if len(row) else []
-            for a, b in zip(new, [*new[1:], len(row)], strict=True):
-                lost[int(head["id"][row[a]]), int(head["key"][row[a]])] = at[a:b]
-        out = []
-        for batch in left.combine_chunks().to_batches():
-            ids = ids_of(batch.column(1)) if batch.num_rows else []
-            rows = []
-            for key, hashed, text in zip(ids, batch.column(2).to_pylist(), batch.column(3), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                kept, removed, spans = kept_bytes(raw, lost.get((int(key), hashed), ()))
-                rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else b""))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(4 + with_text)]
-            out.append(pa.RecordBatch.from_arrays([batch.column(1), *columns], names=names))
-        return pa.Table.from_batches(out)
+            head = joined_heads([x.as_py() for x in right.column("a")])
+            head = chosen(head, np.argsort(head["row"], kind="stable"))
+            lost = {int(texts.open[k]): s for k, s in slices(head["row"])}
+
+        def windows(n: int) -> np.ndarray:
+            own = lost.get(int(texts.first[texts.repeats[n]]))
+            if own is None:
+                return np.zeros(0, np.int64)
+            row, bit = np.nonzero((head["mask"][own, None] >> np.arange(REACH, dtype=np.uint32)) & 1)
+            return head["at"][own][row] + bit
+
+        rows = []
+        for n, text in enumerate(texts.texts):
+            if texts.whole[n]:
+                rows.append((len(text), len(text), 1, nothing, b""))
+            else:
+                kept, removed, spans = kept_bytes(text, windows(n))
+                rows.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else b""))
+        ids = [texts.ids]
+        for gone, _, size in texts.copies:
+            ids.append(gone)
+            rows += [(int(x), int(x), 1, nothing, b"") for x in size]
+        every = np.concatenate(ids)
+        columns = [pa.array(every, pa.int64(), mask=every == LATE), *(pa.array([r[i] for r in rows], kinds[1 + i]) for i in range(4 + with_text))]
+        return pa.table(columns, names=names)
 
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return docs.select("bucket", "id", "k_text", "text").groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(run, schema)
+    return dealt.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def find_cuts(own: DataFrame, buckets: int) -> DataFrame:
+    dealt = deal(own, buckets)
+    seen = repeated_minimizers(gather_minimizers(dealt, buckets))
+    return stored(sorted_buckets(make_contexts(dealt, seen, buckets)), "cuts")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
-    spark = docs.sparkSession
     id_key, hashed = text_key(id_col, text_col)
     own = docs.select(id_key.cast("bigint").alias("id"), hashed, F.col(text_col).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(total / BUCKET_BYTES))
-
-    own = own.withColumn("bucket", bucket_column(buckets))
-    seen = repeated_minimizers(gather_minimizers(own, buckets), buckets)
-    cuts = stored(sorted_buckets(make_contexts(own, seen, buckets), buckets), "cuts")
-    release(spark)
-    return cut(own, cuts, with_text).withColumnRenamed("id", id_col)
+    cuts = find_cuts(own, buckets)
+    release(docs.sparkSession)
+    return cut(deal(own, buckets), cuts, with_text).withColumnRenamed("id", id_col)
