@@ -108,20 +108,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Labels move to neighbours and then jump to their label's label, so stars end after two rounds and chains after a
     logarithmic number. Every round is stored; hubs are aggregated before the shuffle.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both, n = counted(both.union(both.select("y", "x")).distinct())
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label"))
-    labels, _ = counted(labels)
-    while n:
+    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    both = cut_lineage(pairs.union(pairs.select("y", "x")).distinct())
+    labels = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label")))
+    while True:
         sent = both.join(labels.select(F.col("node").alias("x"), "label"), "x").groupBy(F.col("y").alias("node")).agg(F.min("label").alias("heard"))
-        heard = labels.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        heard, _ = counted(heard)
-        jump = heard.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        after = heard.join(jump, heard["label"] == jump["at"]).select("node", "old", F.col("far").alias("label"))
-        after, _ = counted(after)
-        n = after.where("label <> old").count()
+        heard = labels.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        after = cut_lineage(heard.join(jump, heard["near"] == jump["at"]).select("node", "old", F.least("near", "far").alias("label")))
         labels = after.select("node", "label")
-    return labels.select("node", F.col("label").alias("component"))
+        if after.where("label <> old").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def sliced(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

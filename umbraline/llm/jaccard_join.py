@@ -12,8 +12,8 @@ groups. At least one of them is untouched by the difference, so linked sets shar
 and the sum of its elements). Sets with fewer than r + 1 groups in use also emit their unused groups, which keeps
 the argument exact. Groups shared by two sets or more form runs.
 
-Runs are joined without listing pairs: first each member is verified against one leader of its run, in several rounds with
-other leaders, and components are merged. Only runs whose members still lie in different components go
+Runs are joined without listing pairs: each member is verified against LEADERS members of its run, which are then done, and
+components are merged. Only runs whose other members still lie in different components go
 through the R-tree, which looks at pairs across components; large runs are cut into blocks, and a task holds two blocks.
 So a group of near copies costs a few verifications per member, and no link between different texts is lost.
 
@@ -33,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import bytes_text as B
-from .common import components, counted, map_arrow, raw_bytes, release, sliced, stored, text_key
+from .common import bounded_broadcast, components, map_arrow, raw_bytes, release, sliced, stored, text_key
 
 WORDS = 3
 PERCENT = 90        # of the union
-VECTOR = 32         # groups of a point
+VECTOR = 32         # groups of a coarse point, for single pairs
+FINE = 128          # groups of a fine point, for the R-tree
+BROADCAST_ROWS = 300_000  # sets to fetch, up to which their ids are broadcast (16 bytes each)
 GROWTH = 1.25       # size classes
 SLACK = 2
-ROUNDS = 3          # of leaders before the R-tree
+LEADERS = 3         # members of a run that meet all others before the R-tree
 BLOCK = 2_048       # points of a block
 SLICE = 4_000_000  # bytes of text worked on at once
 LEAF = 32           # points of an R-tree box
@@ -114,29 +117,32 @@ def list_of(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k_text, n, sid, point, digests): k_text tells texts of one id apart, sid names the set, point counts its groups."""
+    """(id, k_text, n, sid, point, fine, digests): k_text tells texts of one id apart, sid names the set, point and fine
+    count its groups."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in sliced(batch, 2, SLICE):
-            sizes, names, points, digests = [], [], [], []
+            sizes, names, points, fine, digests = [], [], [], [], []
             for own in sets_of(part.column(2)):
                 sizes.append(len(own))
                 names.append(int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0]) if len(own) else None)
                 points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32))
+                fine.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=FINE).astype("<i4").tobytes())
                 digests.append(signed(all_digests(own)) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), list_of(points, np.int32), list_of(digests, np.int64)],
-                names=["id", "k_text", "n", "sid", "point", "digests"])
+                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), list_of(points, np.int32), pa.array(fine, pa.binary()),
+                 list_of(digests, np.int64)],
+                names=["id", "k_text", "n", "sid", "point", "fine", "digests"])
 
     key = docs.schema[id_col].dataType.simpleString()
     id_key, hashed = text_key(id_col, text_col)
-    return map_arrow(docs.select(id_key.alias("id"), hashed, text_col), f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, digests array<bigint>", run)
+    return map_arrow(docs.select(id_key.alias("id"), hashed, text_col), f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, digests array<bigint>", run)
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sid, elements): the exact sets of the wanted (sid, rep), worked out again from the text of one document each."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("sid", "text")
+    joined = texts.join(bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS), texts["id"].eqNullSafe(wanted["rep"])).select("sid", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in sliced(batch, 1, SLICE):
@@ -156,8 +162,7 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
     one = points.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
     two = points.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
     need = F.expr(f"aggregate(zip_with(p_a, p_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) * {100 + PERCENT} >= {PERCENT} * (n_a + n_b)")
-    near = pairs.join(one, "a").join(two, "b").where(need).select("a", "b")
-    near, _ = counted(near)
+    near = cut_lineage(pairs.join(one, "a").join(two, "b").where(need).select("a", "b"))
     full = near.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("s_a")), "a").join(
         sets.select(F.col("sid").alias("b"), F.col("elements").alias("s_b")), "b").select("a", "b", "s_a", "s_b")
 
@@ -209,17 +214,17 @@ class CountTree:
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of each run's members (digest, sid, component, n, point) in different components that the bound allows."""
+    """(a, b) of each run's members (digest, sid, component, n, fine) in different components that the bound allows."""
     sizes = members.groupBy("digest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes, _ = counted(sizes)
+    sizes = cut_lineage(sizes)
     split = members.join(sizes, "digest").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = split.select("*", other.alias("other")).select(
-        "digest", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "component", "n", "point")
+        "digest", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "component", "n", "fine")
 
     def run(group: pa.Table) -> pa.Table:
         sid, part, block, n = (group.column(c).to_numpy() for c in ("sid", "component", "block", "n"))
-        points = np.array(group.column("point").to_pylist(), np.int32)
+        points = np.frombuffer(b"".join(group.column("fine").to_pylist()), "<i4").reshape(-1, FINE)
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         inside = np.flatnonzero(block == low)
         tree, local = CountTree(points[inside]), n[inside]
@@ -240,42 +245,37 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str) ->
     spark = docs.sparkSession
     entries = described.where("n > 0").select("sid", F.explode("digests").alias("digest"))
     shared = entries.groupBy("digest").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("digest")
-    shared, _ = counted(shared)
+    shared = cut_lineage(shared)
     release(spark)
     members = stored(entries.join(shared, "digest").distinct(), "members")
     release(spark)
-    wanted = members.select("sid").distinct()
-    points = described.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
+    wanted = cut_lineage(members.select("sid").distinct())
+    points = described.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
     points = stored(points.join(wanted, "sid", "left_semi"), "points")
     sets = stored(set_table(docs, points.select("sid", "rep"), id_col, text_col), "sets")
     release(spark)
 
-    linked, label = None, None
-    open_runs = members
-    for turn in range(ROUNDS + 1):
-        if label is not None:  # runs that still hold members of different components
-            marked = members.join(open_runs, "digest", "left_semi") if turn > 1 else members
-            marked = marked.join(label, marked["sid"] == label["node"], "left").select("digest", "sid", F.coalesce("component", "sid").alias("component"))
-            marked, _ = counted(marked)
-            mixed = marked.groupBy("digest").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("digest")
-            open_runs, n = counted(mixed)
-            if not n:
-                break
-            members_now = marked.join(open_runs, "digest", "left_semi")
-        else:
-            members_now = members.withColumn("component", F.col("sid"))
-        if turn < ROUNDS:
-            order = F.xxhash64("sid", F.lit(turn))
-            led = members_now.groupBy("digest").agg(F.min_by(F.struct("sid", "component"), order).alias("leader"))
-            led, _ = counted(led)
-            pairs = members_now.join(led, "digest").where("component <> leader.component").select(
-                F.least("sid", "leader.sid").alias("a"), F.greatest("sid", "leader.sid").alias("b")).distinct()
-        else:
-            pairs = tree_pairs(members_now.join(points.select("sid", "n", "point"), "sid"))
-        found, _ = counted(verified(pairs, points, sets))
-        linked = found if linked is None else linked.union(found)
-        label = components(linked, "a", "b")
-    return label
+    label = wanted.select("sid", F.col("sid").alias("component"))
+
+    def merge(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Verify the pairs; links between components merge them."""
+        found = verified(pairs.distinct(), points, sets)
+        one, two = (label.select(F.col("sid").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
+        into = components(found.join(one, "a").join(two, "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        return cut_lineage(label.join(into, "component", "left").select("sid", F.coalesce("into", "component").alias("component")))
+
+    # Leaders of each run meet all its members, and are done.
+    led = members.groupBy("digest").agg(F.array_distinct(F.array(*(F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(LEADERS)))).alias("leaders"))
+    led = cut_lineage(members.join(led, "digest"))
+    met = led.select("sid", F.explode("leaders").alias("leader")).where("sid <> leader")
+    label = merge(met.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")), label)
+    # Other members that are still in different components.
+    left = led.where(~F.array_contains("leaders", F.col("sid"))).select("digest", "sid").join(label, "sid")
+    mixed = left.groupBy("digest").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("digest")
+    left = cut_lineage(left.join(mixed, "digest", "left_semi"))
+    if not left.isEmpty():
+        label = merge(tree_pairs(left.join(points.select("sid", "n", "fine"), "sid")), label)
+    return label.withColumnRenamed("sid", "node")
 
 
 def components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,9 +284,9 @@ def components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     label = links(docs, described, id_col, text_col)
     narrow = described.select("id", "k_text", "n", "sid")
     marked = narrow.join(label, narrow["sid"] == label["node"], "left").select("id", "k_text", "n", F.coalesce("component", "sid").alias("component"))
-    marked, _ = counted(marked)
+    marked = cut_lineage(marked)
     least = marked.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    least, _ = counted(least.withColumnRenamed("component", "c"))
+    least = cut_lineage(least.withColumnRenamed("component", "c"))
     return marked.join(least, marked["component"] == least["c"], "left").select("id", "k_text", "n", F.coalesce("least", "id").alias("component_id"))
 
 
