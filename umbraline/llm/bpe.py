@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow, strings
+from .common import map_arrow, sliced, strings
 
-MEMO_PIECES = 300_000  # pieces held per worker before the memo starts afresh
+MEMO_PIECES = 400_000  # pieces held by a task before the memo starts afresh
 MEMO_CHARS = 48        # longer pieces are merged each time
+SLICE = 8_000_000      # bytes of text worked on at once
 
 
 def byte_alphabet() -> list[str]:
@@ -72,51 +75,37 @@ class Coder:
         # The byte table reversed: character -> byte, token -> bytes.
         byte_of = {c: b for b, c in enumerate(self.letters)}
         self.token_bytes = {v: bytes(byte_of[c] for c in k) for k, v in self.model.get_vocab().items()}
-        self.forget()
-
-    def forget(self) -> None:
-        self.packed: dict[str, bytes] = {}
-        self.decimal: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self.spelling = {b: c for b, c in enumerate(self.letters)}
+        self.memo: dict[str, tuple[bytes, str, bytes]] = {}
 
     def spelled(self, piece: str) -> str:
-        return "".join(map(self.letters.__getitem__, piece.encode()))
+        return piece.encode().decode("latin-1").translate(self.spelling)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids; a character split over tokens is whole again once its bytes stand together."""
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.packed) + len(pieces) > MEMO_PIECES:
-            self.forget()
-        for piece, coded in zip(pieces, self.model.encode_batch([self.spelled(p) for p in pieces], add_special_tokens=False), strict=True):
-            ids = coded.ids
-            self.packed[piece] = np.array(ids, np.int32).tobytes()
-            self.decimal[piece] = " ".join(map(str, ids))
-            self.raw[piece] = self.decode(ids)
+    def coded(self, pieces: list[str]) -> Iterator[tuple[bytes, str, bytes]]:
+        """Packed ids, ids in decimal and decoded bytes of each piece."""
+        for x in self.model.encode_batch_fast([self.spelled(p) for p in pieces], add_special_tokens=False):
+            ids = x.ids
+            yield array("i", ids).tobytes(), " ".join(map(str, ids)), self.decode(ids)
 
     def encode(self, text: str) -> tuple[bytes, str, bytes]:
         """Packed ids, ids in decimal, and the bytes that the ids decode to."""
-        pieces = self.split(text)
-        different = set(pieces)
-        if len(different) * 2 > MEMO_PIECES:  # a vast text of ever new pieces: in parts, so that the memo stays bounded
-            done = [self._coded(pieces[i:i + MEMO_PIECES // 2]) for i in range(0, len(pieces), MEMO_PIECES // 2)]
-            return b"".join(x[0] for x in done), " ".join(x[1] for x in done), b"".join(x[2] for x in done)
-        return self._coded(pieces)
-
-    def _coded(self, pieces: list[str]) -> tuple[bytes, str, bytes]:
-        different = set(pieces)
-        if new := [p for p in different if p not in self.packed]:
-            before = len(self.packed)
-            self.learn(new)
-            if len(self.packed) < before + len(new):  # the memo started afresh: known pieces of this text went too
-                if again := [p for p in different if p not in self.packed]:
-                    self.learn(again)
-        out = b"".join(map(self.packed.__getitem__, pieces)), " ".join(map(self.decimal.__getitem__, pieces)), b"".join(map(self.raw.__getitem__, pieces))
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.packed[p], self.decimal[p], self.raw[p]
-        return out
+        pieces, out = self.split(text), []
+        for at in range(0, len(pieces), MEMO_PIECES):  # a vast text of ever new pieces: in parts
+            part = pieces[at:at + MEMO_PIECES]
+            found = list(map(self.memo.get, part))
+            if None in found:
+                new = list({p for p, v in zip(part, found, strict=True) if v is None})
+                learned = dict(zip(new, self.coded(new), strict=True))
+                found = [learned[p] if v is None else v for p, v in zip(part, found, strict=True)]
+                if len(self.memo) + len(learned) > MEMO_PIECES:
+                    self.memo.clear()
+                self.memo.update((p, v) for p, v in learned.items() if len(p) <= MEMO_CHARS)
+            out += found
+        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out]), b"".join([x[2] for x in out])
 
     def offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the code points that each covers; a token with part of a character covers that character."""
@@ -140,8 +129,7 @@ def coder(ranks_path: str, pattern: str) -> Coder:
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: number of ids, digest of the ids in decimal, digest of the decoded bytes, and the ids if asked for."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = coder(ranks_path, pattern)
+    def one(own: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, ids_sha, raw_sha, packed = [], [], [], []
         for text in strings(batch.column(1)):
             ids, decimal, raw = own.encode(text)
@@ -156,10 +144,17 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks_path, pattern)
+        for batch in batches:
+            for part in sliced(batch, 1, SLICE):
+                yield one(own, part)
+        own.memo.clear()  # a waiting worker should hold little
+
     key = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = f"`{id_col}` {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_arrow(docs.select(id_col, text_col), schema, run)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", prefix: str = "bpe_") -> DataFrame:
