@@ -130,8 +130,8 @@ def blobs(rows: list[Blob]) -> pa.RecordBatch:
 
 def slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal keys in a sorted array."""
-    at = np.flatnonzero(np.diff(keys, prepend=-1))
-    for a, b in zip(at, [*at[1:], len(keys)], strict=True):
+    at = starts_of(keys)
+    for a, b in zip(at, [*at[1:], len(keys)][:len(at)], strict=True):
         yield int(keys[a]), slice(int(a), int(b))
 
 
