@@ -155,7 +155,7 @@ def validate_trees(src: Source) -> DataFrame:
 SELECT area_id, count(*) AS trees, CAST(0 AS BIGINT) AS repeated_ids, true AS usable FROM trees_raw JOIN tree_areas ON CAST(lon AS DOUBLE) BETWEEN b_west AND b_east AND CAST(lat AS DOUBLE) BETWEEN b_south AND b_north
 WHERE location = 'Highways' GROUP BY area_id""")
 def tree_extract_counts(src: Source) -> DataFrame:
-    return cx.tree_extract_counts(cx.trees_by_area(src.view("trees_raw"), src.view("tree_areas")))
+    return cx.tree_extract_counts(cx.trees_by_area(src.view("trees_raw"), src.view("tree_areas")), max_trees=None)
 
 
 VIEWS["context_rows"] = """

@@ -25,7 +25,7 @@ VIEWS["shape_steps"] = f"""
     SELECT route_id, seq, part, CASE WHEN seq % 2 = 0 THEN supp ELSE -supp - 1 END AS dlon, {_encoded('(part * 2)')} AS lat_text,
       {_encoded('(CASE WHEN seq % 2 = 0 THEN supp * 2 ELSE supp * 2 + 1 END)')} AS lon_text
     FROM (SELECT l_orderkey AS route_id, l_partkey AS part, l_suppkey AS supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS seq
-      FROM {{lineitem}} WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey AS big_key FROM {{lineitem}} GROUP BY l_orderkey HAVING count(*) > 10000) big WHERE big_key = l_orderkey)) v"""
+      FROM {{lineitem}}) v"""
 
 
 @query("decode_shapes", f"""{given('shape_steps')}

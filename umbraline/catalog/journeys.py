@@ -239,7 +239,7 @@ def complete_coverage(src: Source) -> DataFrame:
     return profile.complete_coverage(_spans(src), ["route_id"])
 
 
-@query("upcoming_exposure", f"""{SPAN_CTES},{given('positions')[5:]},
+@query("upcoming_exposure", f"""{SPAN_CTES.replace('spans AS (', 'spans AS MATERIALIZED (')},{given('positions')[5:]},
 spot AS (SELECT position_id, p.route_id, least(600000.0, distance_m) AS d FROM positions p),
 now AS (SELECT a.*, s.span_no, s.exposure, s.end_m, row_number() OVER (PARTITION BY position_id ORDER BY span_no) AS rn
   FROM spot a JOIN (SELECT *, max(span_no) OVER (PARTITION BY route_id) AS last FROM spans) s ON s.route_id = a.route_id

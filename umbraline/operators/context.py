@@ -16,7 +16,6 @@ LISTED, LOOKAHEAD_MS = 12, 7 * 86_400_000
 DEGREE_M = 111_320.0
 # Bins no finer than a usual segment: a small radius must not list it many times over.
 MIN_BIN_M = 60.0
-MAX_TREES_PER_AREA = 20_000
 
 
 def bounded_option(value: float | None, fallback: float, low: float, high: float) -> float:
@@ -77,9 +76,10 @@ def nearby_features(segs: DataFrame, features: DataFrame, radius_m: float | None
         away = F.sqrt((F.col("_cx") - F.col("px")) * (F.col("_cx") - F.col("px")) + (F.col("_cy") - F.col("py")) * (F.col("_cy") - F.col("py")))
     met = met.withColumn("_away", away)
     kept = [c for c in points.columns if c not in ("area_id", "px", "py")]
-    # Numeric buffers keep this a hash aggregate; equal distances meet at a shared vertex, where progress is equal too.
+    # At equal distances the first segment wins, whatever the order of the rows.
     along = F.col("start_m") + F.col("length_m") * F.col("_f")
-    best = met.groupBy(key, *kept).agg(F.min("_away").alias("raw_m"), F.min_by(along, "_away").alias("_along"), F.max("total_m").alias("_total"))
+    best = met.groupBy(key, *kept).agg(F.min(F.struct(F.col("_away").alias("raw_m"), "seg_idx", along.alias("_along"))).alias("_b"), F.max("total_m").alias("_total"))
+    best = best.select(key, *kept, "_b.raw_m", "_b._along", "_total")
     return best.filter(F.col("raw_m") <= radius).select(
         key, *kept, "raw_m", round_up_10(F.col("raw_m")).alias("distance_m"),
         round_up_10(F.col("raw_m") * 2).alias("return_detour_m"), round_up_10(F.col("_along")).alias("progress_m"),
@@ -250,11 +250,11 @@ def trees_by_area(trees: DataFrame, areas: DataFrame) -> DataFrame:
     return j.filter(F.col("lon").between(F.col("b_west"), F.col("b_east")) & F.col("lat").between(F.col("b_south"), F.col("b_north"))).drop("_bx", "_by")
 
 
-def tree_extract_counts(extract: DataFrame) -> DataFrame:
-    """Trees and repeated ids per area, and whether the extract may be used."""
+def tree_extract_counts(extract: DataFrame, max_trees: int | None) -> DataFrame:
+    """Trees and repeated ids per area, and whether the extract may be used: no id twice, and no more than the caller's limit if there is one."""
     per_id = extract.groupBy("area_id", "tree_id").agg(F.count(F.lit(1)).alias("_n"))
     return per_id.groupBy("area_id").agg(F.sum("_n").alias("trees"), F.sum((F.col("_n") > 1).cast("int")).cast("bigint").alias("repeated_ids")).withColumn(
-        "usable", (F.col("trees") <= MAX_TREES_PER_AREA) & (F.col("repeated_ids") == 0))
+        "usable", (F.lit(True) if max_trees is None else F.col("trees") <= max_trees) & (F.col("repeated_ids") == 0))
 
 
 def replace_generated(features: DataFrame, generated: DataFrame, source_kind: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Route geometry as tables: segments, running distance, samples.
 
-A route carries at most ``MAX_POINTS`` vertices (a longer one is not a walkable
-shape), so a window over one route is a bounded piece of work.
+A window runs over one route at a time. ``MAX_POINTS`` is the limit of a walkable
+shape; routes beyond it are rejected, with output, where shapes are decoded.
 """
 
 from __future__ import annotations
@@ -27,22 +27,16 @@ def split_oversize_routes(vertices: DataFrame, key: str = "route_id", limit: int
     return vertices.join(oversize.select(key), key, "left_anti"), oversize
 
 
-PARTITION_BYTES, MAX_WAVES = 64 * 1024 * 1024, 50
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key, one partition per 64 MB that Spark estimates and never fewer than the cores.
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition by key into as many partitions as the caller says, else as the session's shuffles have.
 
     Samples and ray steps multiply a row a hundredfold after the shuffle, so
-    AQE must not merge these partitions by their (small) size before that.
-    Windows and groupings on the keys reuse the partitioning.
+    AQE must not merge these partitions by their (small) size before that; a
+    stated number is kept. Windows and groupings on the keys reuse the partitioning.
     """
     spark = df.sparkSession
     base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # Estimates multiply through joins, hence the upper bound.
-    count = min(max(base, -(-estimate // PARTITION_BYTES)), base * MAX_WAVES)
-    return df.repartition(count, *keys)
+    return df.repartition(partitions or base, *keys)
 
 
 def span_m(x1: str, y1: str, x2: str, y2: str, metric: str) -> Column:
@@ -54,13 +48,13 @@ def span_m(x1: str, y1: str, x2: str, y2: str, metric: str) -> Column:
 
 
 def segments(vertices: DataFrame, key: str = "route_id", x: str = "lon", y: str = "lat",
-             metric: str = "haversine") -> DataFrame:
+             metric: str = "haversine", partitions: int | None = None) -> DataFrame:
     """Consecutive vertex pairs with length, distance before them and route total.
 
     Output: key, seg_idx, x1, y1, x2, y2, length_m, start_m, total_m.
     """
     order = W.partitionBy(key).orderBy("seq")
-    pairs = spread(vertices, key).select(
+    pairs = spread(vertices, key, partitions=partitions).select(
         key, (F.row_number().over(order) - 1).alias("seg_idx"),
         F.col(x).alias("x1"), F.col(y).alias("y1"),
         F.lead(x).over(order).alias("x2"), F.lead(y).over(order).alias("y2"),

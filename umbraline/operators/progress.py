@@ -140,7 +140,9 @@ def match_positions(positions: DataFrame, segs: DataFrame, routes: DataFrame, st
     px, py = F.col("_ax") + F.col("_dx") * F.col("_f"), F.col("_ay") + F.col("_dy") * F.col("_f")
     away = F.sqrt(px * px + py * py)
     along = F.col("start_m") + F.col("length_m") * F.col("_f")
-    best = joined.groupBy(position, key).agg(F.min(away).alias("away_m"), F.min_by(along, away).alias("_along"), F.max("total_m").alias("_total"))
+    # At equal distances the first segment wins, whatever the order of the rows.
+    best = joined.groupBy(position, key).agg(F.min(F.struct(away.alias("away_m"), "seg_idx", along.alias("_along"))).alias("_b"), F.max("total_m").alias("_total"))
+    best = best.select(position, key, "_b.away_m", "_b._along", "_total")
     out = best.join(routes.select(key, F.greatest(F.lit(0.0), F.coalesce(F.col("distance_m").cast("double"), F.lit(0.0))).alias("route_m")), key)
     out = out.select(position, key, "away_m", "route_m",
                      F.when(F.col("_total") > 0, F.col("_along") / F.col("_total") * F.col("route_m")).otherwise(0.0).alias("along_m"))

@@ -13,9 +13,8 @@ from ..operators import advice, calibration, geometry, labels, raster, rays, rou
 
 
 def prepared_samples(vertices: DataFrame, directions: DataFrame, carry: tuple[str, ...] = ("in_passage",)) -> DataFrame:
-    """Samples of valid-sized routes on the national grid: geometry is prepared once, whatever the number of departures."""
-    kept, _ = geometry.split_oversize_routes(vertices)
-    segs = scoring.mark_passages(geometry.segments(kept), directions)
+    """Samples of all routes on the national grid: geometry is prepared once, whatever the number of departures."""
+    segs = scoring.mark_passages(geometry.segments(vertices), directions)
     return with_bng(geometry.densify(segs, carry=carry), "x_mid", "y_mid")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.basics import between, half_up, holds
@@ -12,9 +12,8 @@ from ..functions.lookups import WEATHER, weather_condition
 from ..functions.text import bounded_text, kind_title, opaque_id, provider_text, trimmed_text
 from ..operators.calibration import Plan
 
-# Limits of the formats.
-MAX_ALTERNATES, MAX_HOURS, MAX_WORKS, MAX_LIFTS, MAX_DISRUPTIONS, MAX_PLACES = 7, 96, 5_000, 5_000, 500, 16
 MAX_FIELD = 2_000
+AFTER_LIFTS = 1 << 20  # disruptions follow all lifts in payload order
 # Column order of the CSV formats.
 TREE_COLUMNS = ["borough", "lat", "lon", "uniqueid", "taxon_species", "common_name", "taxon_genus", "common_genus", "gla_name", "taxon_family",
                 "maintainer", "location", "climate_suitability", "cs_confidence", "age_cat", "canopy_m", "height_m", "girth_dbh"]
@@ -32,11 +31,16 @@ TRIP = "struct<summary:struct<length:double,time:double>,legs:array<struct<shape
        "begin_shape_index:bigint,end_shape_index:bigint,rough:boolean,travel_type:string>>>>>"
 
 
-def read_route_responses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(trips, manoeuvres) of router responses: the primary trip and at most seven alternates each."""
+def leading(items: Column | str, limit: int | None) -> Column:
+    """The whole array, or its first `limit` items where the caller sets one."""
+    return F.col(items) if isinstance(items, str) and limit is None else items if limit is None else F.slice(items, 1, limit)
+
+
+def read_route_responses(spark: SparkSession, path: str, max_alternates: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trips, manoeuvres) of router responses: the primary trip and its alternates."""
     raw = spark.read.schema(f"trip {TRIP}, alternates array<struct<trip:{TRIP}>>").option("multiLine", True).json(path)
     raw = raw.withColumn("response", F.input_file_name())
-    spare = F.transform(F.slice(F.coalesce("alternates", F.expr(f"CAST(array() AS array<struct<trip:{TRIP}>>)")), 1, MAX_ALTERNATES), lambda a: a["trip"])
+    spare = F.transform(leading(F.coalesce("alternates", F.expr(f"CAST(array() AS array<struct<trip:{TRIP}>>)")), max_alternates), lambda a: a["trip"])
     trips = raw.select("response", F.posexplode(F.concat(F.array("trip"), spare)).alias("route_pos", "trip")).filter(F.col("trip").isNotNull())
     trips = trips.select(
         F.concat_ws("#", "response", "route_pos").alias("route_id"), "response", "route_pos", F.col("trip.summary.length").alias("length_km"),
@@ -137,27 +141,27 @@ def read_context(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return features, known
 
 
-def read_transit_issues(spark: SparkSession, lifts: str, disruptions: str) -> DataFrame:
-    """Lift and station-disruption payloads (one JSON array per file) as one issue table."""
+def read_transit_issues(spark: SparkSession, lifts: str, disruptions: str, max_lifts: int | None = None, max_disruptions: int | None = None) -> DataFrame:
+    """Lift and station-disruption payloads (one JSON array per file) as one issue table; lifts come first in payload order."""
     text = lambda p: spark.read.text(p, wholetext=True)
-    a = text(lifts).select(F.posexplode(F.slice(F.from_json("value", "array<struct<naptanCode:string,message:string>>"), 1, MAX_LIFTS)).alias("pos", "r")).select(
+    a = text(lifts).select(F.posexplode(leading(F.from_json("value", "array<struct<naptanCode:string,message:string>>"), max_lifts)).alias("pos", "r")).select(
         F.col("r.naptanCode").alias("station"), F.lit("lift").alias("kind"), bounded_text("r.message").alias("summary"),
         F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("pos").alias("payload_pos"))
     shape = "array<struct<atcoCode:string,stationAtcoCode:string,description:string,fromDate:string,toDate:string>>"
-    b = text(disruptions).select(F.posexplode(F.slice(F.from_json("value", shape), 1, MAX_DISRUPTIONS)).alias("pos", "r"))
+    b = text(disruptions).select(F.posexplode(leading(F.from_json("value", shape), max_disruptions)).alias("pos", "r"))
     codes = F.array_distinct(F.filter(F.array("r.atcoCode", "r.stationAtcoCode"), lambda c: c.isNotNull()))
     b = b.withColumn("station", F.explode(codes)).select(
         "station", F.lit("station-disruption").alias("kind"), bounded_text("r.description").alias("summary"), instant_from_iso("r.fromDate").alias("valid_from"),
-        instant_from_iso("r.toDate").alias("valid_to"), (F.col("pos") + MAX_LIFTS).alias("payload_pos"))
+        instant_from_iso("r.toDate").alias("valid_to"), (F.col("pos") + AFTER_LIFTS).alias("payload_pos"))
     return a.unionByName(b).filter(F.col("summary").isNotNull())
 
 
-def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly forecasts, at most 96 hours per run, values inside their bounds."""
+def read_forecasts(spark: SparkSession, path: str, max_hours: int | None = None) -> DataFrame:
+    """Hourly forecasts, values inside their bounds."""
     series = "array<struct<time:string,screenTemperature:double,feelsLikeTemperature:double,uvIndex:double,significantWeatherCode:double>>"
     raw = spark.read.schema(f"type string, features array<struct<properties:struct<modelRunDate:string,timeSeries:{series}>>>").option("multiLine", True).json(path)
     p = raw.filter("type = 'FeatureCollection'").select(F.input_file_name().alias("payload"), F.get("features", F.lit(0))["properties"].alias("p"))
-    rows = p.select("payload", instant_from_iso("p.modelRunDate").alias("model_run_at"), F.explode(F.slice("p.timeSeries", 1, MAX_HOURS)).alias("r"))
+    rows = p.select("payload", instant_from_iso("p.modelRunDate").alias("model_run_at"), F.explode(leading("p.timeSeries", max_hours)).alias("r"))
     code = F.col("r.significantWeatherCode")
     good = (between("r.screenTemperature", -80, 60) & between("r.feelsLikeTemperature", -100, 70) & between("r.uvIndex", 0, 30)
             & holds((code == F.floor(code)) & code.isin(*[float(c) for c in WEATHER])))
@@ -167,13 +171,13 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
                        one("r.uvIndex").alias("uv_index"), code.cast("int").alias("weather_code"), weather_condition(code).alias("condition"))
 
 
-def read_street_works(spark: SparkSession, path: str) -> DataFrame:
-    """Street works, at most 5,000 features per payload; incomplete records are dropped."""
+def read_street_works(spark: SparkSession, path: str, max_works: int | None = None) -> DataFrame:
+    """Street works; incomplete records are dropped."""
     names = {"reference": ("work_reference_number", 120), "street": ("street", 160), "category": ("work_category_string", 120),
              "traffic_management": ("traffic_management_type_string", 160), "permit_status": ("permit_status_string", 120)}
     props = ",".join(f"{c}:string" for c in [*[n for n, _ in names.values()], "start_date", "end_date", "current_traffic_management_update_date"])
     raw = spark.read.schema(f"type string, features array<struct<properties:struct<{props}>>>").option("multiLine", True).json(path)
-    flat = raw.filter("type = 'FeatureCollection'").select(F.input_file_name().alias("payload"), F.posexplode(F.slice("features", 1, MAX_WORKS)).alias("payload_pos", "f"))
+    flat = raw.filter("type = 'FeatureCollection'").select(F.input_file_name().alias("payload"), F.posexplode(leading("features", max_works)).alias("payload_pos", "f"))
     out = flat.select("payload", "payload_pos", *[bounded_text(f"f.properties.{c}", n).alias(k) for k, (c, n) in names.items()],
                       instant_from_iso("f.properties.start_date").alias("starts_at"), instant_from_iso("f.properties.end_date").alias("ends_at"),
                       instant_from_iso("f.properties.current_traffic_management_update_date").alias("updated_at"))
@@ -198,12 +202,12 @@ def read_heat_metrics(spark: SparkSession, path: str, metric: str, region: str,
     return rows.filter(ok).select(F.lit(region).alias("region"), "payload", "payload_pos", score.cast("int").alias("metric_value"), any_of("date").alias("date")), pages
 
 
-def read_gazetteer(spark: SparkSession, path: str, layout: str) -> DataFrame:
+def read_gazetteer(spark: SparkSession, path: str, layout: str, max_places: int | None = None) -> DataFrame:
     """Places of one provider layout ('grid' or 'lonlat'): place_id, name, kind, lon, lat, payload_pos."""
     if layout == "grid":
         entry = "struct<ID:string,NAME1:string,GEOMETRY_X:double,GEOMETRY_Y:double,LOCAL_TYPE:string>"
         raw = spark.read.schema(f"results array<struct<GAZETTEER_ENTRY:{entry}>>").option("multiLine", True).json(path)
-        rows = raw.select(F.posexplode(F.slice("results", 1, MAX_PLACES)).alias("payload_pos", "r")).select("payload_pos", "r.GAZETTEER_ENTRY.*")
+        rows = raw.select(F.posexplode(leading("results", max_places)).alias("payload_pos", "r")).select("payload_pos", "r.GAZETTEER_ENTRY.*")
         rows = rows.withColumn("name", provider_text("NAME1", 160)).filter(
             F.col("name").isNotNull() & between("GEOMETRY_X", 0, 700_000) & between("GEOMETRY_Y", -100_000, 1_300_000))
         placed = with_lon_lat(rows, "GEOMETRY_X", "GEOMETRY_Y")
@@ -213,7 +217,7 @@ def read_gazetteer(spark: SparkSession, path: str, layout: str) -> DataFrame:
         raise ValueError("layout must be 'grid' or 'lonlat'")
     entry = "struct<place_id:string,lon:double,lat:double,country_code:string,formatted:string,address_line1:string,address_line2:string,result_type:string>"
     raw = spark.read.schema(f"results array<{entry}>").option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode(F.slice("results", 1, MAX_PLACES)).alias("payload_pos", "r")).select("payload_pos", "r.*")
+    rows = raw.select(F.posexplode(leading("results", max_places)).alias("payload_pos", "r")).select("payload_pos", "r.*")
     lines = F.concat_ws(", ", provider_text("address_line1", 120), provider_text("address_line2", 120))
     rows = rows.withColumn("name", F.coalesce(provider_text("formatted", 180), F.when(lines != "", lines)))
     home = F.coalesce(F.lower(provider_text("country_code", 3)) == "gb", F.lit(True))
