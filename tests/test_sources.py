@@ -33,7 +33,8 @@ def test_route_responses_to_distinct_directions(spark, tmp_path):
         {"type": 4, "instruction": "", "time": 1, "length": 0.001, "begin_shape_index": 1, "end_shape_index": 2, "rough": True}]}]}
     body = {"trip": trip(line, 1.1), "alternates": [{"trip": trip(line, 0)}] + [{"trip": trip(line[:2] + [line[2]], 1.2)} for _ in range(9)]}
     (tmp_path / "r.json").write_text(json.dumps(body))
-    trips, steps = rd.read_route_responses(spark, str(tmp_path / "r.json"))
+    assert rd.read_route_responses(spark, str(tmp_path / "r.json"))[0].count() == 11  # without a limit every alternate is kept
+    trips, steps = rd.read_route_responses(spark, str(tmp_path / "r.json"), max_alternates=7)
     assert trips.count() == 8
     good, bad = split_valid(trips, routes.trip_checks())
     assert good.count() == 7 and bad.first().reject_reasons == ["length"]

@@ -13,7 +13,8 @@ from .registry import Source, VIEWS, given, query, r6
 
 NEAR_RADIUS = 15.0
 NEAR = f"""{given('features', 'route_vertices')},
-h AS (SELECT route_id, area_id, seq AS seg_idx, x_m AS x1, y_m AS y1, lead(x_m) OVER w AS x2, lead(y_m) OVER w AS y2 FROM route_vertices WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+h AS (SELECT route_id, area_id, seq AS seg_idx, x_m AS x1, y_m AS y1, CASE WHEN count(*) OVER (PARTITION BY route_id) = 1 THEN x_m ELSE lead(x_m) OVER w END AS x2,
+  CASE WHEN count(*) OVER (PARTITION BY route_id) = 1 THEN y_m ELSE lead(y_m) OVER w END AS y2 FROM route_vertices WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 s AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS m FROM h WHERE x2 IS NOT NULL),
 t AS (SELECT *, sum(m) OVER (PARTITION BY route_id ORDER BY seg_idx) - m AS so_far, sum(m) OVER (PARTITION BY route_id) AS tot FROM s),
 p AS (SELECT t.*, f.feature_id, f.category_no, f.name, f.x_m AS px, f.y_m AS py, CASE WHEN m > 0 THEN greatest(0, least(1, ((f.x_m - x1) * (x2 - x1) + (f.y_m - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) ELSE 0 END AS fr
@@ -24,7 +25,7 @@ b AS (SELECT route_id, feature_id, category_no, name, min(away) AS raw_m FROM d
 
 def _nearby(src: Source) -> DataFrame:
     vertices = src.view("route_vertices")
-    segs = geometry.segments(vertices, x="x_m", y="y_m", metric="planar").withColumn("area_id", F.floor(F.col("route_id") / 15_000).cast("int"))
+    segs = geometry.segments(vertices, x="x_m", y="y_m", metric="planar", lone=True).withColumn("area_id", F.floor(F.col("route_id") / 15_000).cast("int"))
     features = src.view("features").select("feature_id", "area_id", F.col("category_no").alias("category"), "name", F.col("x_m").alias("px"), F.col("y_m").alias("py"))
     return cx.nearby_features(segs, features, NEAR_RADIUS, "planar")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.basics import half_up
 from ..operators import paths, polygons, rings, scoring as sc
 from .registry import Source, VIEWS, given, query, r6
-from .scoring import exposed_journeys, journey_ctes
+from .scoring import journey_scores, journey_ctes
 
 # Twelve nodes per graph, five edges out of each, leading onwards by one to three nodes.
 VIEWS["streets"] = """
@@ -58,7 +58,7 @@ def validate_edges(src: Source) -> DataFrame:
 @query("bucketed_edge_costs", f"""{journey_ctes(single=False, passages=False)}
 SELECT route_id AS edge_id, CAST(journey AS INT) AS bucket, {r6('walk_s')} AS duration_s, {r6('greatest(0, sun_s - unknown_s)')} AS sun_s, {r6('unknown_s')} AS unknown_s FROM scores""")
 def bucketed_edge_costs(src: Source) -> DataFrame:
-    scores = sc.score_journeys(exposed_journeys(src, single=False, passages=False), ["route_id", "journey", "walk_s"])
+    scores = journey_scores(src, single=False, passages=False)
     return paths.edge_costs(scores).withColumns({c: half_up(c, 6) for c in ("duration_s", "sun_s", "unknown_s")})
 
 

@@ -48,9 +48,11 @@ def span_m(x1: str, y1: str, x2: str, y2: str, metric: str) -> Column:
 
 
 def segments(vertices: DataFrame, key: str = "route_id", x: str = "lon", y: str = "lat",
-             metric: str = "haversine", partitions: int | None = None) -> DataFrame:
+             metric: str = "haversine", partitions: int | None = None, lone: bool = False) -> DataFrame:
     """Consecutive vertex pairs with length, distance before them and route total.
 
+    With ``lone`` a route of one vertex is a segment of no length.
+
     Output: key, seg_idx, x1, y1, x2, y2, length_m, start_m, total_m.
     """
     order = W.partitionBy(key).orderBy("seq")
@@ -58,7 +60,11 @@ def segments(vertices: DataFrame, key: str = "route_id", x: str = "lon", y: str
         key, (F.row_number().over(order) - 1).alias("seg_idx"),
         F.col(x).alias("x1"), F.col(y).alias("y1"),
         F.lead(x).over(order).alias("x2"), F.lead(y).over(order).alias("y2"),
-    ).filter(F.col("x2").isNotNull())
+        *([(F.count(F.lit(1)).over(W.partitionBy(key)) == 1).alias("_lone")] if lone else []),
+    )
+    if lone:
+        pairs = pairs.withColumns({a: F.when(F.col("_lone"), F.col(b)).otherwise(F.col(a)) for a, b in (("x2", "x1"), ("y2", "y1"))}).drop("_lone")
+    pairs = pairs.filter(F.col("x2").isNotNull())
     run = W.partitionBy(key).orderBy("seg_idx")
     before = run.rowsBetween(W.unboundedPreceding, -1)
     return pairs.withColumn("length_m", span_m("x1", "y1", "x2", "y2", metric)).withColumns({

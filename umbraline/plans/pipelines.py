@@ -36,6 +36,7 @@ def score_requests(vertices: DataFrame, directions: DataFrame, routes: DataFrame
     exposed = scoring.expose_samples(
         sunny, cells, grids, mode, key=["trip_id", "offset_min", "journey", "sample_idx"], carry=["walk_s", "sample_s", "in_passage"])
     trips = scoring.score_journeys(exposed, ["trip_id", "offset_min", "journey", "walk_s"])
+    trips = scoring.with_unsampled(trips, narrow.join(vertices.select("route_id").distinct(), "route_id", "left_semi"), ["trip_id", "offset_min", "journey"])
     schedules = scoring.score_schedules(trips, ["trip_id", "offset_min"])
     return schedules.join(asked.select("trip_id", "request_id", "route_id", "route_pos", "profile", "distance_m"), "trip_id").drop("trip_id")
 
