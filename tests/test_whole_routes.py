@@ -51,3 +51,11 @@ def test_first_segment_wins_ties_whatever_the_row_order(spark):
         flat = spark.createDataFrame([(r[0], r[1], r[2] / 100, 0.0, r[4] / 100, 0.0, *r[6:]) for r in rows], shape)
         routes = spark.createDataFrame([("r", 200.0)], "route_id string, distance_m double")
         assert progress.match_positions(spots, flat, routes).first().along_m == 50.0
+
+
+def test_cell_numbers_of_a_national_grid_fit(spark):
+    from umbraline.functions.geo import with_cell_index
+
+    df = spark.createDataFrame([(575_990.0, 10.0, 0.0, 661_000.0, 4.0, 144_000, 165_250)], "easting double, northing double, west double, north double, res_m double, width int, height int")
+    r = with_cell_index(df).first()
+    assert (r.x, r.y, r.cell_no) == (143_997, 165_247, 165_247 * 144_000 + 143_997)

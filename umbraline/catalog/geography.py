@@ -98,7 +98,7 @@ def solar_position(src: Source) -> DataFrame:
 
 
 @query("cell_index", f"""{given('route_vertices', 'grids')}
-SELECT route_id, seq, CASE WHEN ok THEN CAST(cx AS INT) END AS x, CASE WHEN ok THEN CAST(cy AS INT) END AS y, CASE WHEN ok THEN CAST(cy * width + cx AS INT) END AS cell_no FROM (
+SELECT route_id, seq, CASE WHEN ok THEN CAST(cx AS INT) END AS x, CASE WHEN ok THEN CAST(cy AS INT) END AS y, CASE WHEN ok THEN CAST(cy * width + cx AS BIGINT) END AS cell_no FROM (
   SELECT route_id, seq, width, floor((x_m * 1.25 - 20 - west) / res_m) AS cx, floor((north - y_m * 1.25 + 20) / res_m) AS cy,
     floor((x_m * 1.25 - 20 - west) / res_m) BETWEEN 0 AND width - 1 AND floor((north - y_m * 1.25 + 20) / res_m) BETWEEN 0 AND height - 1 AS ok
   FROM route_vertices v JOIN grids g ON g.area_id = v.area_id) s""")

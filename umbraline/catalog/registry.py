@@ -89,7 +89,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     # 50 x 40 cells of 4 m per area; one area per 2,000 parts.
     "cells": """
         SELECT CAST(floor(p_partkey / 2000.0) AS INT) AS area_id, CAST(p_partkey % 50 AS INT) AS x,
-          CAST(floor((p_partkey % 2000) / 50.0) AS INT) AS y, CAST(p_partkey % 2000 AS INT) AS cell_no,
+          CAST(floor((p_partkey % 2000) / 50.0) AS INT) AS y, CAST(p_partkey % 2000 AS BIGINT) AS cell_no,
           CAST((p_partkey * 7) % 5 AS INT) AS terrain,
           CAST((p_partkey * 7) % 5 + CASE WHEN p_size > 35 THEN p_size - 20 ELSE 0 END AS INT) AS surf_min,
           CAST((p_partkey * 7) % 5 + CASE WHEN p_size > 35 THEN p_size - 20 ELSE 0 END + p_partkey % 4 AS INT) AS surf_max,

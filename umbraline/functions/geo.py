@@ -188,7 +188,7 @@ def with_cell_index(df: DataFrame, easting: str = "easting", northing: str = "no
     y = F.floor((F.col("north") - F.col(northing)) / F.col("res_m"))
     inside = (x >= 0) & (y >= 0) & (x < F.col("width")) & (y < F.col("height"))
     return df.withColumns({"x": F.when(inside, x).cast("int"), "y": F.when(inside, y).cast("int")}).withColumn(
-        "cell_no", (F.col("y") * F.col("width") + F.col("x")).cast("int"))
+        "cell_no", F.col("y").cast("bigint") * F.col("width") + F.col("x"))
 
 
 def with_grid_corners(grids: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             kind = "<f4" if row.plane in ("terrain", "surf_min", "surf_max") else "u1"
             values = np.frombuffer(row.content, dtype=kind).astype("float64")
-            yield pd.DataFrame({"area_id": row.area_id, "plane": row.plane, "cell_no": np.arange(len(values), dtype="int32"),
+            yield pd.DataFrame({"area_id": row.area_id, "plane": row.plane, "cell_no": np.arange(len(values), dtype="int64"),
                                 "width": np.int32(row.width), "value": values})
 
 
@@ -60,12 +60,12 @@ def read_cell_planes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     size = F.when(F.col("plane").isin("terrain", "surf_min", "surf_max"), 4).otherwise(1)
     sound = F.coalesce(F.col("length") == F.col("width").cast("bigint") * F.col("height") * size, F.lit(False))
     joined = joined.filter(_fail_unless(sound, F.concat(F.lit("incomplete plane "), "file")))
-    flat = joined.select("area_id", "plane", "width", "content").mapInPandas(_unpack, "area_id string, plane string, cell_no int, width int, value double")
+    flat = joined.select("area_id", "plane", "width", "content").mapInPandas(_unpack, "area_id string, plane string, cell_no bigint, width int, value double")
     pick = lambda p: F.max(F.when(F.col("plane") == p, F.col("value")))
     cells = flat.groupBy("area_id", "cell_no", "width").agg(
         pick("height_steps").cast("smallint").alias("height_steps"), F.coalesce(pick("validity"), F.lit(255.0)).cast("smallint").alias("validity"),
         *[pick(p).cast("float").alias(p) for p in ("terrain", "surf_min", "surf_max")])
-    cells = cells.withColumns({"x": F.col("cell_no") % F.col("width"), "y": F.floor(F.col("cell_no") / F.col("width")).cast("int")}).drop("width")
+    cells = cells.withColumns({"x": (F.col("cell_no") % F.col("width")).cast("int"), "y": F.floor(F.col("cell_no") / F.col("width")).cast("int")}).drop("width")
     return cells, grids
 
 
