@@ -59,3 +59,16 @@ def test_cell_numbers_of_a_national_grid_fit(spark):
     df = spark.createDataFrame([(575_990.0, 10.0, 0.0, 661_000.0, 4.0, 144_000, 165_250)], "easting double, northing double, west double, north double, res_m double, width int, height int")
     r = with_cell_index(df).first()
     assert (r.x, r.y, r.cell_no) == (143_997, 165_247, 165_247 * 144_000 + 143_997)
+
+
+def test_rays_work_with_either_type_of_cell_number(spark):
+    from pyspark.sql import functions as F
+    from tests_support import NORTH, WEST, flat_pack
+
+    from umbraline.operators import rays
+
+    cells, grids, _ = flat_pack(spark, 30)
+    points = spark.createDataFrame([("g", WEST + 150.0, NORTH - 4 * 30, 180.0, 30.0), ("g", WEST - 10.0, NORTH, 180.0, 30.0)],
+                                   "area_id string, easting double, northing double, azimuth_deg double, altitude_deg double")
+    seen = [sorted(map(str, rays.classify_points(points, cells.withColumn("cell_no", F.col("cell_no").cast(kind)), grids).collect())) for kind in ("int", "bigint")]
+    assert seen[0] == seen[1] and len(seen[0]) == 2

@@ -28,15 +28,15 @@ def split_oversize_routes(vertices: DataFrame, key: str = "route_id", limit: int
 
 
 def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
-    """Hash-partition by key into as many partitions as the caller says, else as the session's shuffles have.
+    """Hash-partition by key into as many partitions as the caller says, else four times those of the session's shuffles.
 
-    Samples and ray steps multiply a row a hundredfold after the shuffle, so
-    AQE must not merge these partitions by their (small) size before that; a
-    stated number is kept. Windows and groupings on the keys reuse the partitioning.
+    Samples and ray steps multiply a row a hundredfold after the shuffle, hence
+    the smaller partitions, and AQE must not merge them by their size before
+    that; a stated number is kept. Windows and groupings on the keys reuse the partitioning.
     """
     spark = df.sparkSession
     base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(partitions or base, *keys)
+    return df.repartition(partitions or 4 * base, *keys)
 
 
 def span_m(x1: str, y1: str, x2: str, y2: str, metric: str) -> Column:
