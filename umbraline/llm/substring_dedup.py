@@ -34,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as B
-from .common import map_arrow, raw_bytes, release, sliced, stored, text_key
+from .common import raw_bytes, release, sliced, stored, text_key
 
 WIDTH = 50                      # bytes of a string that must not repeat
 GRAM = 20                       # bytes of a minimizer
 REACH = WIDTH - GRAM + 1        # grams of a window
-CONTEXT = WIDTH + REACH - 1     # bytes of a context at most
 STRIDE = 96                     # bytes of a context row, with padding
 COVER_SIZE, COVER = 13, (0, 1, 3, 9)   # every difference modulo 13 is one of two members
 LATE = 2**63 - 1                # stands for a null id
