@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import half_up
-from ..operators import paths, polygons, rings, scoring as sc
+from ..operators import paths, polygons, rings
 from .registry import Source, VIEWS, given, query, r6
 from .scoring import journey_scores, journey_ctes
 
