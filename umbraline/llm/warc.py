@@ -36,6 +36,7 @@ SEPARATOR = SKIPPABLE.to_bytes(4, "little") + bytes(4)
 MIN_REVISIT = 100          # bytes of a payload from which an equal one is a revisit
 DICTIONARY_SAMPLE = 400    # first records of a file that train its dictionary
 DICTIONARY_BYTES = 16_384
+PIECE = 16_384             # bytes of a frame fed to the decoder at once
 BROADCAST_ROWS = 100_000   # repeated payloads are broadcast up to this count
 
 
@@ -109,39 +110,43 @@ def frames(rows: Iterator[bytes]) -> Iterator[bytes]:
         yield packer.compress(raw)
 
 
-def read_archive(raw: bytes) -> Iterator[dict]:
-    """Records of one archive, decoded frame by frame."""
+def read_archive(raw: bytes | memoryview) -> Iterator[dict]:
+    """Records of one archive, decoded frame by frame. A frame is fed in pieces, so what lies behind it is never copied."""
     import zstandard
 
-    if not raw:  # a task without rows
+    if not len(raw):  # a task without rows
         return
-    if int.from_bytes(raw[:4], "little") != DICTIONARY:
+    view = memoryview(raw)
+    if int.from_bytes(view[:4], "little") != DICTIONARY:
         raise DamagedArchive("no leading dictionary frame")
-    size = int.from_bytes(raw[4:8], "little")
-    body = raw[8:8 + size]
+    size = int.from_bytes(view[4:8], "little")
+    body = bytes(view[8:8 + size])
     if len(body) != size:
         raise DamagedArchive("the dictionary frame is cut off")
     kind = zstandard.DICT_TYPE_FULLDICT if body[:4] == (0xEC30A437).to_bytes(4, "little") else zstandard.DICT_TYPE_RAWCONTENT
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body, dict_type=kind))
-    at, view = 8 + size, memoryview(raw)
-    while at < len(raw):
+    at = 8 + size
+    while at < len(view):
         magic = int.from_bytes(view[at:at + 4], "little")
         if magic & 0xFFFFFFF0 == SKIPPABLE:
             at += 8 + int.from_bytes(view[at + 4:at + 8], "little")
-            if at > len(raw):
+            if at > len(view):
                 raise DamagedArchive("a skippable frame is cut off")
             continue
         if magic != FRAME:
             raise DamagedArchive(f"no frame at byte {at}")
-        one = opener.decompressobj()
-        try:
-            text = one.decompress(view[at:])
-        except zstandard.ZstdError as error:
-            raise DamagedArchive(f"frame at byte {at}: {error}") from error
-        if not one.eof:
-            raise DamagedArchive("a frame is cut off")
-        at = len(raw) - len(one.unused_data)
-        yield parse_record(text)
+        one, text, start = opener.decompressobj(), [], at
+        while not one.eof:
+            if at >= len(view):
+                raise DamagedArchive("a frame is cut off")
+            piece = view[at:at + PIECE]
+            try:
+                text.append(one.decompress(piece))
+            except zstandard.ZstdError as error:
+                raise DamagedArchive(f"frame at byte {start}: {error}") from error
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield parse_record(b"".join(text))
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -194,7 +199,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         for batch in batches:
             for raw in batch.column(0):
                 held, size = [], 0
-                for x in read_archive(raw.as_buffer().to_pybytes()):
+                for x in read_archive(memoryview(raw.as_buffer())):
                     held.append(x)
                     size += len(x["payload"])
                     if not with_payload:
