@@ -155,3 +155,60 @@ def holes_to_outers(src: Source) -> DataFrame:
     inners = base.select("relation_id", F.col("p_partkey").alias("inner_id"),
                          F.when(F.col("p_partkey") % 2 == 1, 500.0).otherwise(F.col("p_size") * 0.6 + 0.05).alias("px"), F.lit(1.0).alias("py"))
     return polygons.holes_to_outers(outers, inners, edges)
+
+
+# One building relation per customer: an outer ring of two halves, one stored backwards, a hole in it, and mostly a second outer ring.
+# Others are no multipolygon, hold a node, a foreign role, a missing way, a node without position, or a hole outside every outer ring.
+VIEWS["site"] = """
+    SELECT c_custkey AS relation_id, CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(40 + c_custkey % 20 AS DOUBLE) AS y, c_custkey % 5 <> 1 AS paired, c_custkey % 7 <> 3 AS housed,
+      CASE WHEN c_custkey % 9 = 2 THEN 'site' ELSE 'multipolygon' END AS type, c_custkey % 11 = 4 AS with_node, c_custkey % 13 = 6 AS lost_way, c_custkey % 17 = 8 AS labelled, c_custkey % 19 = 9 AS blind_node
+    FROM {customer}"""
+SITE_MEMBERS = """
+    SELECT relation_id, 'way' AS type, relation_id * 10 AS ref, '' AS role FROM {site} UNION ALL SELECT relation_id, 'way', relation_id * 10 + 1, 'outer' FROM {site}
+    UNION ALL SELECT relation_id, 'way', relation_id * 10 + 2, 'outer' FROM {site} WHERE paired UNION ALL SELECT relation_id, 'way', relation_id * 10 + 3, 'inner' FROM {site}
+    UNION ALL SELECT relation_id, 'node', relation_id, '' FROM {site} WHERE with_node UNION ALL SELECT relation_id, 'way', relation_id * 10 + 3, 'label' FROM {site} WHERE labelled"""
+SITE_NODES = """
+    SELECT relation_id * 100 + k AS node_id, CASE WHEN NOT (blind_node AND k = 1) THEN CASE WHEN k < 4 THEN x + CASE WHEN k IN (1, 2) THEN 4 ELSE 0 END WHEN k < 8 THEN x + 6 + CASE WHEN k IN (5, 6) THEN 1 ELSE 0 END
+        ELSE x + CASE WHEN housed THEN 1 ELSE 20 END + CASE WHEN k IN (9, 10) THEN 0.5 ELSE 0 END END END AS lon,
+      CASE WHEN k < 4 THEN y + CASE WHEN k >= 2 THEN 4 ELSE 0 END WHEN k < 8 THEN y + CASE WHEN k >= 6 THEN 1 ELSE 0 END ELSE y + 1 + CASE WHEN k >= 10 THEN 0.5 ELSE 0 END END AS lat
+    FROM (SELECT s.*, explode(sequence(0, 11)) AS k FROM {site} s)"""
+SITE_OK = "type = 'multipolygon' AND housed AND NOT with_node AND NOT lost_way AND NOT labelled AND NOT blind_node"
+
+
+def _sites(src: Source) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    site = src.view("site")
+    tags = F.create_map(F.lit("type"), F.col("type"), F.lit("building"), F.lit("yes"), F.lit("name"), F.concat(F.lit("Site "), "relation_id"))
+    relations = site.select("relation_id", tags.alias("tags"))
+    base = F.col("relation_id") * 100
+    line = lambda *at: F.array(*(base + k for k in at))
+    parts = [line(0, 1, 2), line(0, 3, 2), line(4, 5, 6, 7, 4), line(8, 9, 10, 11, 8)]
+    way = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), nodes.alias("nodes")) for k, nodes in enumerate(parts))))
+    ways = site.select("relation_id", "lost_way", way.alias("w")).filter(~(F.col("lost_way") & (F.col("w.k") == 1)))
+    kind = F.when(F.col("w.k") == 2, F.create_map(F.lit("building"), F.lit("annexe"))).when(
+        F.col("w.k") == 3, F.create_map(F.lit("leisure"), F.lit("garden"))).otherwise(F.create_map(F.lit("building"), F.lit("half")))
+    ways = ways.select((F.col("relation_id") * 10 + F.col("w.k")).alias("way_id"), F.col("w.nodes").alias("nodes"), kind.alias("tags"))
+    return relations, src.sql(SITE_MEMBERS), ways, src.sql(SITE_NODES)
+
+
+@query("relation_features", f"""{given('site')}
+SELECT relation_id, 'yes' AS class, 'Site ' || relation_id AS name, CASE WHEN paired THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(CASE WHEN paired THEN 2 ELSE 1 END AS INT) AS outers, CAST(1 AS INT) AS holes,
+  format('{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}}', x, y, x + 4, y, x + 4, y + 4, x, y + 4, x, y) AS outer_ring,
+  format('{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}},{{:.1f}} {{:.1f}}', x + 1, y + 1, x + 1, y + 1.5, x + 1.5, y + 1.5, x + 1.5, y + 1, x + 1, y + 1) AS hole_ring
+FROM site WHERE {SITE_OK}""")
+def relation_features(src: Source) -> DataFrame:
+    out = rings.relation_features(*_sites(src))
+    point = lambda p: F.concat_ws(" ", *(F.format_string("%.1f", p[c]) for c in ("lon", "lat")))
+    ring = lambda n: F.array_join(F.transform(F.element_at(F.element_at("polygons", 1), n), point), ",")
+    holes = F.aggregate("polygons", F.lit(0), lambda n, p: n + F.size(p) - 1)
+    return out.select("relation_id", "class", "name", "geometry", F.size("polygons").alias("outers"), holes.alias("holes"), ring(1).alias("outer_ring"), ring(2).alias("hole_ring"))
+
+
+@query("map_features", f"""{given('site')}
+SELECT 'relation' AS source, relation_id AS feature_id, 'building' AS kind, CASE WHEN paired THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(CASE WHEN paired THEN 15 ELSE 10 END AS INT) AS points FROM site WHERE {SITE_OK}
+UNION ALL SELECT 'way', relation_id * 10 + 3, 'green', 'Polygon', 5 FROM site
+UNION ALL SELECT 'way', relation_id * 10 + 2, 'building', 'Polygon', 5 FROM site WHERE NOT (paired AND {SITE_OK})""")
+def map_features(src: Source) -> DataFrame:
+    relations, members, ways, nodes = _sites(src)
+    out = rings.map_features(ways, nodes, relations, members)
+    points = F.coalesce(F.aggregate("polygons", F.lit(0), lambda n, p: n + F.aggregate(p, F.lit(0), lambda m, r: m + F.size(r))), F.size("line"))
+    return out.select("source", "feature_id", "kind", "geometry", points.alias("points"))

@@ -16,6 +16,7 @@ LISTED, LOOKAHEAD_MS = 12, 7 * 86_400_000
 DEGREE_M = 111_320.0
 # Bins no finer than a usual segment: a small radius must not list it many times over.
 MIN_BIN_M = 60.0
+GRAM = 3  # characters by which a place query finds its candidates
 
 
 def bounded_option(value: float | None, fallback: float, low: float, high: float) -> float:
@@ -219,12 +220,15 @@ def distinct_places(places: DataFrame, key: list[str] | None = None) -> DataFram
 def search_places(places: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """Places whose name and kind contain the query text; the first eight distinct ones per query.
 
-    ``queries``: query_id, area_id, text (already normalised).  An area's
-    queries meet an area's places: the equi-key is the area.
+    ``queries``: query_id, area_id, text (already normalised).  A query asks with
+    its first three characters, a place answers to every run of up to three of
+    its own, so a busy area's queries meet only places that may hold them.
     """
-    hay = F.lower(F.concat("name", F.lit(" "), "kind"))
-    met = places.withColumn("_hay", hay).join(queries.select("query_id", "area_id", F.lower("text").alias("_needle")), "area_id").filter(
-        F.col("_hay").contains(F.col("_needle"))).drop("_hay", "_needle")
+    hay = places.withColumn("_hay", F.lower(F.concat("name", F.lit(" "), "kind"))).filter(F.col("_hay").isNotNull())
+    runs = [F.expr(f"transform(sequence(1, length(_hay)), i -> substring(_hay, i, {n}))") for n in (1, 2, GRAM)]
+    keyed = hay.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))))
+    asked = queries.select("query_id", "area_id", F.lower("text").alias("_needle")).withColumn("_gram", F.substring("_needle", 1, GRAM))
+    met = keyed.join(asked, ["area_id", "_gram"]).filter(F.col("_hay").contains(F.col("_needle"))).drop("_hay", "_needle", "_gram")
     return first_listed(distinct_places(met, ["query_id"]), "query_id", "payload_pos", limit)
 
 

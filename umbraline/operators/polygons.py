@@ -162,12 +162,23 @@ def zonal_building_height(edges: DataFrame, cells: DataFrame, grids: DataFrame)
 def holes_to_outers(outers: DataFrame, inners: DataFrame, outer_edges: DataFrame, relation: str = "relation_id") -> DataFrame:
     """Each inner ring with the smallest outer ring around its first point (null when none contains it).
 
-    ``outers`` has polygon_id and area; ``inners`` has inner_id, px, py; rings of
-    one relation meet only each other, so the relation is the area key.
+    ``outers`` has polygon_id and ring_area; ``inners`` has inner_id, px, py.  Rings
+    of one relation meet only each other, on bins about as wide as the outer
+    ring: an outer lies in four bins at most, and a point asks one bin for every
+    bin width of its relation.
     """
-    points = inners.select("inner_id", F.col(relation).alias("area_id"), "px", "py")
-    edges = outer_edges.withColumnRenamed(relation, "area_id").withColumn("ring_no", F.lit(0))
-    held = points_in_polygons(points, edges, "inner_id", bin_m=1e9)
-    sized = held.join(outers.select(F.col(relation).alias("area_id"), "polygon_id", "ring_area"), ["area_id", "polygon_id"])
-    best = sized.groupBy("inner_id").agg(F.min(F.struct("ring_area", "polygon_id")).alias("_b"))
+    extent = outer_edges.groupBy(relation, "polygon_id").agg(
+        F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"),
+        F.min(F.least("y1", "y2")).alias("_s"), F.max(F.greatest("y1", "y2")).alias("_n"))
+    widest = F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s"), F.lit(1e-9))
+    sized = extent.withColumn("_size", F.pow(F.lit(2.0), F.ceil(F.log2(widest))))
+    cell = lambda v: F.floor(F.col(v) / F.col("_size"))
+    boxes = sized.withColumn("_bx", F.explode(F.sequence(cell("_w"), cell("_e")))).withColumn("_by", F.explode(F.sequence(cell("_s"), cell("_n"))))
+    asked = inners.select("inner_id", relation, "px", "py").join(sized.select(relation, "_size").distinct(), relation)
+    asked = asked.withColumns({"_bx": cell("px"), "_by": cell("py")})
+    near = asked.join(boxes, [relation, "_size", "_bx", "_by"]).filter(F.col("px").between(F.col("_w"), F.col("_e")) & F.col("py").between(F.col("_s"), F.col("_n")))
+    tested = near.select("inner_id", relation, "polygon_id", "px", "py").join(outer_edges, [relation, "polygon_id"])
+    held = _inside_rings(tested, ["inner_id", relation, "polygon_id"], F.col("px"), F.col("py")).filter("in_ring")
+    best = held.join(outers.select(relation, "polygon_id", "ring_area"), [relation, "polygon_id"]).groupBy("inner_id").agg(
+        F.min(F.struct("ring_area", "polygon_id")).alias("_b"))
     return inners.select("inner_id", relation).join(best, "inner_id", "left").select("inner_id", relation, F.col("_b.polygon_id").alias("polygon_id"))

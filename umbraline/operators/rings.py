@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basics import is_finite
 from ..session import cut_lineage
+from .polygons import holes_to_outers, ring_edges
 
 # Fixed values.
 GREEN_LAND_USE = ["forest", "grass", "meadow", "recreation_ground", "village_green"]
@@ -50,7 +51,7 @@ def way_features(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def drop_represented_ways(ways: DataFrame, members: DataFrame) -> DataFrame:
-    """Leave out building ways that a usable building relation already draws."""
+    """Leave out building ways that a usable building relation already draws; ``members`` are those of usable relations."""
     inside = members.filter(F.col("type") == "way").select(F.col("ref").alias("way_id")).distinct()
     building = F.coalesce(F.try_element_at("tags", F.lit("building")) != "", F.lit(False))
     return ways.filter(~building).unionByName(ways.filter(building).join(inside, "way_id", "left_anti"))
@@ -140,3 +141,62 @@ def normalise_rings(rings: DataFrame, coordinates: str = "coordinates", outer: s
     return df.withColumns({
         "ring": F.when(F.col("_best").isNotNull(), F.concat("_best", F.slice("_best", 1, 1))), "ring_area": F.abs("_area"),
     }).drop("_run", "_core", "_area", "_best")
+
+
+def relation_features(relations: DataFrame, members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Building features from multipolygon relations: relation_id, class, name, geometry, polygons.
+
+    ``relations``: relation_id, tags; ``members``: relation_id, type, ref, role (none
+    means outer).  ``polygons`` is an array of polygons, each its outer ring and
+    then its holes, all in normal form and in order of their points.
+
+    A relation is left out as a whole for a member that is no way, a foreign role,
+    a way that is missing or too short, an end that meets no other, a ring with
+    an unknown node or without area, or a hole in no outer ring.
+    """
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    wanted = relations.filter((tag("type") == "multipolygon") & F.coalesce(tag("building") != "", F.lit(False)))
+    role = F.when(F.coalesce("role", F.lit("")) == "", "outer").otherwise(F.col("role"))
+    own = members.join(wanted.select("relation_id"), "relation_id", "left_semi").select("relation_id", "type", F.col("ref").alias("way_id"), role.alias("role"))
+    own = own.join(ways.select("way_id", "nodes"), "way_id", "left")
+    usable = F.coalesce((F.col("type") == "way") & F.col("role").isin("outer", "inner") & (F.size("nodes") >= 2), F.lit(False))
+    own = cut_lineage(own.withColumn("_usable", usable))
+    found, refused = stitch_rings(own.filter("_usable").drop("_usable", "type"))
+    lost = own.filter(~F.col("_usable")).select("relation_id").unionByName(refused).distinct()
+    found = found.join(lost, "relation_id", "left_anti").withColumns({
+        "_key": F.struct("relation_id", "role", "ring_id"), "is_outer": F.col("role") == "outer"})
+    shaped = normalise_rings(way_coordinates(found, nodes, "_key"))
+    whole = F.col("ring").isNotNull() & (F.size("coordinates") == F.size("nodes"))
+    shaped = cut_lineage(shaped.select("relation_id", "is_outer", F.col("ring_id").alias("polygon_id"), "ring", "ring_area", whole.alias("_whole")))
+    good = shaped.join(shaped.filter(~F.col("_whole")).select("relation_id").distinct(), "relation_id", "left_anti").drop("_whole")
+    outers, inners = good.filter("is_outer"), good.filter(~F.col("is_outer")).withColumn("inner_id", F.struct("relation_id", "polygon_id"))
+    flat = outers.withColumn("ring", F.transform("ring", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
+    first = F.element_at("ring", 1)
+    placed = holes_to_outers(outers, inners.select("inner_id", "relation_id", first["lon"].alias("px"), first["lat"].alias("py")),
+                             ring_edges(flat, ["relation_id", "polygon_id"]))
+    placed = cut_lineage(placed.join(inners.select("inner_id", "ring"), "inner_id"))
+    homeless = placed.filter(F.col("polygon_id").isNull()).select("relation_id").distinct()
+    # Rings of a polygon and polygons of a relation are one feature's own geometry.
+    holes = placed.groupBy("relation_id", "polygon_id").agg(F.array_sort(F.collect_list("ring")).alias("_holes"))
+    parts = outers.join(homeless, "relation_id", "left_anti").join(holes, ["relation_id", "polygon_id"], "left")
+    rings = F.when(F.col("_holes").isNull(), F.array("ring")).otherwise(F.concat(F.array("ring"), "_holes"))
+    drawn = parts.groupBy("relation_id").agg(F.array_sort(F.collect_list(rings)).alias("polygons"))
+    return wanted.join(drawn, "relation_id").select(
+        "relation_id", tag("building").alias("class"), F.coalesce(tag("name"), F.lit("")).alias("name"),
+        F.when(F.size("polygons") == 1, "Polygon").otherwise("MultiPolygon").alias("geometry"), "polygons")
+
+
+def map_features(ways: DataFrame, nodes: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
+    """Way features, then relation features: source, feature_id, kind, class, name, geometry, polygons, line.
+
+    A building way goes only where one of its relations became a feature.
+    """
+    drawn = cut_lineage(relation_features(relations, members, ways, nodes))
+    held = members.join(drawn.select("relation_id"), "relation_id", "left_semi")
+    single = way_features(drop_represented_ways(ways, held), nodes)
+    area = F.col("geometry") == "Polygon"
+    one = single.select(
+        F.lit("way").alias("source"), F.col("way_id").alias("feature_id"), "kind", "class", "name", "geometry",
+        F.when(area, F.array(F.array("coordinates"))).alias("polygons"), F.when(~area, F.col("coordinates")).alias("line"))
+    two = drawn.select(F.lit("relation").alias("source"), F.col("relation_id").alias("feature_id"), F.lit("building").alias("kind"), "class", "name", "geometry", "polygons")
+    return one.unionByName(two, allowMissingColumns=True)
