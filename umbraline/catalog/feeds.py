@@ -205,6 +205,14 @@ def tumbling_admission(src: Source) -> DataFrame:
     return ev.tumbling_admission(_timed(src), ["client"], 86_400_000, 2)
 
 
+@query("anchored_admission", f"""WITH RECURSIVE {given('op_events')[5:]},
+e AS (SELECT client, epoch_us(ts) // 1000 AS ms, count(*) AS n FROM op_events GROUP BY ALL),
+w AS (SELECT client, min(ms) AS s FROM e GROUP BY client UNION ALL SELECT w.client, min(e.ms) FROM w JOIN e ON e.client = w.client AND e.ms >= w.s + 86400000 GROUP BY w.client)
+SELECT w.client, s AS window_start_ms, CAST(sum(n) AS BIGINT) AS requests, CAST(greatest(0, sum(n) - 2) AS BIGINT) AS refused FROM w JOIN e ON e.client = w.client AND ms >= s AND ms < s + 86400000 GROUP BY w.client, s""")
+def anchored_admission(src: Source) -> DataFrame:
+    return ev.anchored_admission(_timed(src), ["client"], 86_400_000, 2)
+
+
 @query("latest_generation", """SELECT user_id AS task, max(event_id) AS generation, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
 def latest_generation(src: Source) -> DataFrame:
     rows = src.table("events").select(F.col("user_id").alias("task"), F.col("event_id").alias("generation"), "event_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.basics import reasons
 from ..functions.lookups import SITE_TYPES, reported_state
 from ..operators import calibration as cal
 from ..operators import walks as wk
@@ -76,6 +77,30 @@ VIEWS["walk_rows"] = """
     FROM {walks}"""
 
 
+# Entries with one flaw or several, each on its own stride.
+VIEWS["walk_entries"] = """
+    SELECT CASE WHEN route_id % 23 = 5 THEN '-' ELSE concat('c', CAST(comparison_id AS VARCHAR(20))) END AS comparison_id, route_id AS entry_no, concat('r', CAST(route_id AS VARCHAR(20))) AS route_id,
+      CASE WHEN route_id % 29 = 7 THEN 'elsewhere' ELSE area END AS area, CASE WHEN route_id % 31 = 3 THEN '2024-03-31T01:30' WHEN route_id % 37 = 4 THEN '2024-6-1' ELSE '2024-06-01T12:00' END AS comparison_london_datetime,
+      CASE WHEN route_id % 41 = 2 THEN '' ELSE 'v1.2+b/3' END AS model_version, route_id % 43 <> 6 AS walk_complete, CASE WHEN route_id % 47 <> 8 THEN TRUE END AS prediction_frozen_before_walk,
+      CASE WHEN route_id % 53 = 9 THEN 'overcast' ELSE 'clear-direct-sun' END AS weather_visibility,
+      CAST(CASE WHEN route_id % 59 = 1 THEN 240.5 ELSE predicted_duration_min END AS DOUBLE) AS predicted_duration_min, predicted_sun_min, predicted_unknown_min, predicted_shade_min,
+      observed_duration_min, CAST(CASE WHEN route_id % 61 = 2 THEN observed_sun_min + 0.0006 ELSE observed_sun_min END AS DOUBLE) AS observed_sun_min, observed_unknown_min,
+      CAST(CASE WHEN route_id % 67 = 3 THEN observed_shade_min + 0.001 ELSE observed_shade_min END AS DOUBLE) AS observed_shade_min,
+      CAST(CASE WHEN route_id % 71 = 4 THEN 4 ELSE route_id % 3 + 1 END AS INT) AS predicted_order, CAST(CASE WHEN route_id % 73 = 5 THEN 0 WHEN route_id % 2 = 0 THEN NULL ELSE 1 END AS INT) AS observed_order
+    FROM {walk_rows}"""
+
+
+@query("validate_route_walks", f"""{given('walk_entries')}
+SELECT entry_no, concat_ws(',', CASE WHEN entry_no % 23 = 5 THEN 'comparison-id' END, CASE WHEN entry_no % 29 = 7 THEN 'area' END, CASE WHEN entry_no % 31 = 3 OR entry_no % 37 = 4 THEN 'local-time' END,
+  CASE WHEN entry_no % 41 = 2 THEN 'model-version' END, CASE WHEN entry_no % 43 = 6 THEN 'walk-complete' END, CASE WHEN entry_no % 47 = 8 THEN 'predicted-first' END, CASE WHEN entry_no % 53 = 9 THEN 'weather' END,
+  CASE WHEN predicted_duration_min > 240 THEN 'predicted-duration' END, CASE WHEN predicted_sun_min < 0 THEN 'predicted-sun' END, CASE WHEN predicted_shade_min < 0 THEN 'predicted-shade' END,
+  CASE WHEN CAST(predicted_duration_min * 1000 AS BIGINT) <> CAST((predicted_sun_min + predicted_shade_min + predicted_unknown_min) * 1000 AS BIGINT) THEN 'predicted-total' END,
+  CASE WHEN entry_no % 61 = 2 THEN 'observed-sun' END, CASE WHEN observed_shade_min < 0 THEN 'observed-shade' END,
+  CASE WHEN entry_no % 61 = 2 AND entry_no % 67 <> 3 OR entry_no % 67 = 3 THEN 'observed-total' END, CASE WHEN entry_no % 71 = 4 THEN 'predicted-order' END, CASE WHEN entry_no % 73 = 5 THEN 'observed-order' END) AS problems FROM walk_entries""")
+def validate_route_walks(src: Source) -> DataFrame:
+    return src.view("walk_entries").select("entry_no", F.array_join(reasons(wk.entry_checks(["pilot"])), ",").alias("problems"))
+
+
 @query("validate_walk_groups", f"""{given('walk_rows')},
 s AS (SELECT *, lag(predicted_sun_min) OVER (PARTITION BY comparison_id ORDER BY predicted_order) AS pp, lag(observed_sun_min) OVER (PARTITION BY comparison_id ORDER BY observed_order) AS oo FROM walk_rows),
 g AS (SELECT comparison_id, count(*) AS n, bool_or(pp > predicted_sun_min) AS bad_p, bool_or(observed_unknown_min > 0) AS unk, count(observed_order) AS ranked,

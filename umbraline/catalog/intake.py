@@ -174,3 +174,42 @@ SELECT request_id, CASE WHEN {haversine_sql('olat', 'olon', '51.5', '-0.12')} <
 def match_stored_routes(src: Source) -> DataFrame:
     areas = src.sql("SELECT n_nationkey AS area_id, -0.12D AS start_lon, 51.5D AS start_lat, -0.12D + n_nationkey * 0.0001D AS end_lon, 51.504D AS end_lat FROM {nation}")
     return rt.match_stored_routes(src.view("asked"), areas).select("request_id", "stored_direction")
+
+
+# Every group of three routes is an area's stored trip; requests repeat it either way, or go elsewhere.
+VIEWS["stored_areas"] = """
+    SELECT DISTINCT request_id AS area_id, -0.12 AS start_lon, 51.5 AS start_lat, -0.12 + (request_id % 50) * 0.0001 AS end_lon, 51.504 AS end_lat FROM {routes}"""
+VIEWS["stored_asks"] = """
+    SELECT o_orderkey AS request_id, a.area_id, o_custkey % 3 AS turn, CASE WHEN o_custkey % 3 = 1 THEN end_lon ELSE start_lon END AS olon, CASE WHEN o_custkey % 3 = 1 THEN end_lat ELSE start_lat END AS olat,
+      CASE WHEN o_custkey % 3 = 1 THEN start_lon ELSE end_lon END AS dlon, CASE WHEN o_custkey % 3 = 1 THEN start_lat WHEN o_custkey % 3 = 2 THEN end_lat + 0.001 ELSE end_lat END AS dlat
+    FROM {orders} JOIN {stored_areas} a ON a.area_id = CAST(floor(o_orderkey / 3.0) AS BIGINT)"""
+
+
+@query("stored_routes", f"""{given('stored_asks', 'routes', 'geo_vertices', 'directions')},
+v AS (SELECT route_id, count(*) AS points, arg_min(lon, seq) AS first_lon, arg_max(lon, seq) AS last_lon, arg_min(lat, seq) AS first_lat, arg_max(lat, seq) AS last_lat FROM geo_vertices GROUP BY route_id),
+t AS (SELECT route_id, string_agg(instruction, ' ' ORDER BY dir_idx) AS said, count(*) AS steps FROM directions GROUP BY route_id)
+SELECT a.request_id, CASE WHEN turn = 0 THEN 'forward' ELSE 'reverse' END AS stored_direction, CASE WHEN turn = 0 THEN CAST(r.route_id AS VARCHAR) ELSE r.route_id || '-reversed' END AS route_id,
+  CAST(points AS INT) AS points, {r6('CASE WHEN turn = 0 THEN first_lon ELSE last_lon END')} AS first_lon, {r6('CASE WHEN turn = 0 THEN first_lat ELSE last_lat END')} AS first_lat,
+  CASE WHEN turn = 1 THEN said END AS access_reference, CAST(CASE WHEN turn = 0 THEN steps ELSE 0 END AS INT) AS steps
+FROM stored_asks a JOIN routes r ON r.request_id = a.area_id JOIN v ON v.route_id = r.route_id JOIN t ON t.route_id = r.route_id WHERE turn <> 2""")
+def stored_routes(src: Source) -> DataFrame:
+    line = src.view("geo_vertices").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("coordinates"))
+    said = src.view("directions").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("dir_idx", "instruction"))).alias("directions"))
+    routes = src.view("routes").select("route_id", F.col("request_id").alias("area_id")).join(line, "route_id").join(said, "route_id")
+    routes = routes.withColumn("route_id", F.col("route_id").cast("string"))
+    out = rt.stored_routes(rt.match_stored_routes(src.view("stored_asks"), src.view("stored_areas")), routes)
+    first = F.element_at("coordinates", 1)
+    return out.select("request_id", "stored_direction", "route_id", F.size("coordinates").alias("points"), half_up(first["lon"], 6).alias("first_lon"),
+                      half_up(first["lat"], 6).alias("first_lat"), "access_reference", F.size("directions").alias("steps"))
+
+
+# Boxes of different reach that overlap; the earliest in their order wins.
+VIEWS["service_areas"] = """
+    SELECT CAST(n_nationkey AS INT) AS area_id, CAST(n_nationkey * 11 % 25 AS INT) AS area_pos, -0.13 AS west, 51.49 AS south, -0.12015 + n_nationkey % 9 * 0.0001 AS east, 51.501 + n_nationkey % 7 * 0.004 AS north FROM {nation}"""
+
+
+@query("assign_areas", f"""{given('asked', 'service_areas')},
+h AS (SELECT request_id, arg_min(s.area_id, area_pos) AS area_id FROM asked a JOIN service_areas s ON olon BETWEEN west AND east AND dlon BETWEEN west AND east AND olat BETWEEN south AND north AND dlat BETWEEN south AND north GROUP BY request_id)
+SELECT a.request_id, h.area_id FROM asked a LEFT JOIN h ON h.request_id = a.request_id""")
+def assign_areas(src: Source) -> DataFrame:
+    return rt.assign_areas(src.view("asked").drop("area_id"), src.view("service_areas")).select("request_id", "area_id")

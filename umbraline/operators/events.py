@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basics import holds
 from ..functions.lookups import duration_bucket
+from ..session import cut_lineage
 
 # The permitted words of the two event kinds.
 HEAT_OUTCOMES = ["available", "no_active_alert", "stale", "unavailable"]
@@ -62,12 +63,46 @@ def trailing_counts(events: DataFrame, key: list[str], window_ms: int = 60_000,
 
 
 def tumbling_admission(events: DataFrame, key: list[str], window_ms: int = 60_000, limit: int = 30) -> DataFrame:
-    """Requests per client in windows aligned to the clock: an approximation of the client-anchored window,
-    which needs keyed state (see the streaming form)."""
+    """Requests per client in windows aligned to the clock: cheaper than ``anchored_admission`` and close to it."""
     return events.groupBy(*key, F.floor(F.col("at_ms") / window_ms).alias("window_no")).agg(F.count(F.lit(1)).alias("requests")).withColumn(
         "refused", F.greatest(F.lit(0), F.col("requests") - limit).cast("bigint"))
 
 
+def anchored_admission(events: DataFrame, key: list[str], window_ms: int = 60_000, limit: int = 30) -> DataFrame:
+    """Requests and refusals in windows that begin with a key's first request after the one before has ended.
+
+    ``key`` may be a client or an instance.  A request without another in the
+    window before it opens one; from each opening, the first request a window
+    later opens the next.  Following these steps doubles their length in every
+    round, so a key that is never quiet takes a logarithmic number of rounds,
+    and time buckets of one window, copied to a neighbour, keep every sort small.
+    """
+    per_ms = cut_lineage(events.groupBy(*key, F.col("at_ms").cast("bigint").alias("at_ms")).agg(F.count(F.lit(1)).alias("n")))
+    bucket = F.floor(F.col("at_ms") / window_ms)
+    part = W.partitionBy(*key, "_b").orderBy("_at")
+    # Next opening if a window opens here: the first request in this or the following bucket of its end.
+    ends = per_ms.select(*key, "at_ms", (F.col("at_ms") + window_ms).alias("_at"), (bucket + 1).alias("_b"), F.lit(None).cast("bigint").alias("_seen"))
+    seen = per_ms.select(*key, "at_ms", F.col("at_ms").alias("_at"), F.explode(F.array(bucket - 1, bucket)).alias("_b"), F.col("at_ms").alias("_seen"))
+    ahead = F.min("_seen").over(part.rangeBetween(W.currentRow, W.unboundedFollowing))
+    steps = cut_lineage(ends.unionByName(seen).withColumn("_next", ahead).filter("_seen IS NULL AND _next IS NOT NULL").select(*key, "at_ms", F.col("_next").alias("next_ms")))
+    # Openings known from the start: nothing in the window before.
+    near = per_ms.select(*key, "at_ms", F.col("at_ms").alias("_at"), bucket.alias("_home"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    last = F.max("at_ms").over(part.rangeBetween(-(window_ms - 1), -1))
+    opened = near.withColumn("_last", last).filter("_home = _b AND _last IS NULL").select(*key, "at_ms")
+    opened = cut_lineage(opened)
+    while not steps.isEmpty():
+        reached = opened.join(steps, [*key, "at_ms"]).select(*key, F.col("next_ms").alias("at_ms"))
+        opened = cut_lineage(opened.unionByName(reached).distinct())
+        onward = steps.select(*key, F.col("at_ms").alias("next_ms"), F.col("next_ms").alias("_far"))
+        steps = cut_lineage(steps.join(onward, [*key, "next_ms"]).select(*key, "at_ms", F.col("_far").alias("next_ms")))
+    # Every request lies in the latest window opened before it, less than a window ago.
+    starts = opened.select(*key, F.col("at_ms").alias("_at"), F.explode(F.array(bucket, bucket + 1)).alias("_b"), F.col("at_ms").alias("_open"), F.lit(None).cast("bigint").alias("n"))
+    asked = per_ms.select(*key, F.col("at_ms").alias("_at"), bucket.alias("_b"), F.lit(None).cast("bigint").alias("_open"), "n")
+    both = starts.unionByName(asked).withColumn("window_start_ms", F.max("_open").over(part.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    return both.filter("n IS NOT NULL").groupBy(*key, "window_start_ms").agg(F.sum("n").alias("requests")).withColumn(
+        "refused", F.greatest(F.lit(0), F.col("requests") - limit).cast("bigint"))
+
+
 def latest_generation(requests: DataFrame, key: list[str], order: str = "generation") -> DataFrame:
     """The newest request per task key."""
     fields = [c for c in requests.columns if c not in (*key, order)]

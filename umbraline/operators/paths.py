@@ -61,8 +61,10 @@ def pareto_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, m
     Level by level: extend every live label over its out-edges, keep the
     undominated labels per (pair, node), continue with the new ones.  The loop
     runs over levels, not rows; each level is written to a reliable checkpoint.
-    A pair that expands more labels than allowed yields one row with
-    ``problem`` set and no path.
+    Nothing is cut in silence.  A pair that expands more labels than allowed
+    yields one row with ``problem`` set and no path; a pair with labels beyond
+    ``max_labels`` at a node, or still growing after ``max_hops``, has its paths
+    and one more row, without path, that names the bound.
     """
     if min(max_hops, max_labels, max_results, max_expanded) < 1:
         raise ValueError("bounds must be positive")
@@ -79,6 +81,7 @@ def pareto_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, m
     live = kept
     spent = cut_lineage(pairs.select("pair_id", F.lit(0).cast("bigint").alias("expanded")))
     text = F.array_join(F.col("edge_ids").cast("array<string>"), " ")
+    cut: list[DataFrame] = []
     for hop in range(1, max_hops + 1):
         growing = live.filter(F.col("node") != F.col("destination"))
         spent = cut_lineage(spent.unionByName(growing.groupBy("pair_id").agg(F.count(F.lit(1)).alias("expanded")))
@@ -93,16 +96,26 @@ def pareto_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, m
         both = kept.unionByName(reached).withColumn("_path", text)
         best = skyline(both, ["pair_id", "node"], ["unknown_s", "_path"], salt=F.pmod(F.hash("_path"), F.lit(SALT)))
         ranked = W.partitionBy("pair_id", "node").orderBy("duration_s", "exposure_s", "unknown_s", "_path")
-        kept = cut_lineage(best.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= max_labels).select(*names))
+        most = cut_lineage(best.withColumn("_rank", F.row_number().over(ranked)).select(*names, "_rank"))
+        kept = most.filter(F.col("_rank") <= max_labels).select(*names)
+        beyond = most.filter((F.col("_rank") > max_labels) & (F.col("node") != F.col("destination"))).select("pair_id").distinct()
+        if not beyond.isEmpty():
+            cut.append(beyond.withColumn("problem", F.lit("node-label-bound")))
         live = kept.filter(F.col("hop") == hop)
         if live.isEmpty():
             break
+    else:
+        growing = live.filter(F.col("node") != F.col("destination")).select("pair_id").distinct()
+        cut.append(growing.withColumn("problem", F.lit("hop-bound")))
     order = W.partitionBy("pair_id").orderBy("duration_s", "exposure_s", "unknown_s", text)
     over = spent.filter(F.col("expanded") > max_expanded).select("pair_id")
     found = kept.filter(F.col("node") == F.col("destination")).join(over, "pair_id", "left_anti")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_results)
     found = found.select("pair_id", "rank", "duration_s", "sun_s", "unknown_s", "exposure_s", "edge_ids", "nodes", F.lit(None).cast("string").alias("problem"))
-    return found.unionByName(over.withColumn("problem", F.lit("label-expansion-bound")), allowMissingColumns=True)
+    problems = over.withColumn("problem", F.lit("label-expansion-bound"))
+    for part in cut:
+        problems = problems.unionByName(part.join(over, "pair_id", "left_anti"))
+    return found.unionByName(problems.distinct(), allowMissingColumns=True)
 
 
 def edge_costs(bucket_scores: DataFrame) -> DataFrame:

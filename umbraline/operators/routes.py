@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.basics import half_up, holds, is_finite
 from ..functions.geo import haversine_m
 from ..session import cut_lineage
-from .geometry import DUPLICATE_SAMPLES, MAX_POINTS, resample, segments, span_m
+from .geometry import DUPLICATE_SAMPLES, MAX_POINTS, resample, reverse_routes, segments, span_m
 
 # Fixed values.
 MAX_TRIP_M, MAX_TRIP_S = 10_000.0, 14_400.0
@@ -230,6 +230,34 @@ def match_stored_routes(requests: DataFrame, areas: DataFrame) -> DataFrame:
     return j.withColumn("stored_direction", F.when(forward, "forward").when(back, "reverse")).drop("start_lon", "start_lat", "end_lon", "end_lat")
 
 
+def stored_routes(matched: DataFrame, routes: DataFrame) -> DataFrame:
+    """The answer of every request that repeats a stored trip: its area's routes, reversed where the request is.
+
+    ``matched`` comes from ``match_stored_routes``; ``routes`` has area_id, route_id
+    (text), coordinates and directions.  Routes are turned round once per area,
+    not once per request.
+    """
+    forward = routes.withColumn("access_reference", F.lit(None).cast("string"))
+    both = forward.withColumn("stored_direction", F.lit("forward")).unionByName(reverse_routes(routes).withColumn("stored_direction", F.lit("reverse")))
+    return matched.filter(F.col("stored_direction").isNotNull()).select("request_id", "area_id", "stored_direction").join(both, ["area_id", "stored_direction"])
+
+
+def assign_areas(requests: DataFrame, areas: DataFrame, order: str = "area_pos", bin_deg: float = 0.05) -> DataFrame:
+    """Requests with the first area whose closed box holds both ends (null when none does).
+
+    ``areas``: area_id, west, south, east, north and their order.  Boxes meet
+    origins on bins of a few kilometres.
+    """
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bin_deg), F.floor(F.col(high) / bin_deg)))
+    boxes = areas.select(F.col("area_id").alias("_area"), F.col(order).alias("_order"), "west", "south", "east", "north")
+    boxes = boxes.withColumn("_bx", bins("west", "east")).withColumn("_by", bins("south", "north"))
+    asked = requests.select("request_id", "olon", "olat", "dlon", "dlat").withColumns({
+        "_bx": F.floor(F.col("olon") / bin_deg), "_by": F.floor(F.col("olat") / bin_deg)})
+    held = asked.join(boxes, ["_bx", "_by"]).filter(in_box("olon", "olat") & in_box("dlon", "dlat"))
+    first = held.groupBy("request_id").agg(F.min(F.struct("_order", "_area")).alias("_b"))
+    return requests.join(first, "request_id", "left").withColumn("area_id", F.col("_b._area")).drop("_b")
+
+
 def in_box(x: str, y: str) -> Column:
     """Point inside the closed box of the row."""
     return F.col(x).between(F.col("west"), F.col("east")) & F.col(y).between(F.col("south"), F.col("north"))

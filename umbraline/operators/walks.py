@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import half_up
+from ..functions.basics import half_up, holds
+from ..functions.civil import instant_from_local
 
 MINUTES = ["duration", "sun", "shade", "unknown"]
 MAX_MINUTES = 240.0
+# Id and version patterns, the permitted weather.
+WALK_ID, WALK_VERSION = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,119}$", r"^[A-Za-z0-9][A-Za-z0-9._:+/-]{0,79}$"
+WALK_WEATHER = "clear-direct-sun"
 
 
 def minute_ok(name: str, positive: bool = False) -> Column:
@@ -31,6 +35,20 @@ def row_checks() -> list[tuple[str, Column]]:
     return checks
 
 
+def entry_checks(areas: list[str], schema: str | None = None, schema_version: int | None = None) -> list[tuple[str, Column]]:
+    """Rules for a whole entry: what names it, how it was walked, then its minutes and ranks."""
+    checks = [
+        ("comparison-id", holds(F.col("comparison_id").cast("string").rlike(WALK_ID))), ("area", holds(F.col("area").isin(*areas))),
+        ("local-time", instant_from_local("comparison_london_datetime").isNotNull()), ("model-version", holds(F.col("model_version").rlike(WALK_VERSION))),
+        ("route-id", holds(F.col("route_id").cast("string").rlike(WALK_ID))), ("walk-complete", holds(F.col("walk_complete"))),
+        ("predicted-first", holds(F.col("prediction_frozen_before_walk"))), ("weather", holds(F.col("weather_visibility") == WALK_WEATHER))]
+    if schema is not None:
+        checks.insert(0, ("schema", holds(F.col("schema") == schema)))
+    if schema_version is not None:
+        checks.insert(len(checks) - 8, ("schema-version", holds(F.col("schema_version") == schema_version)))
+    return checks + row_checks()
+
+
 def group_verdicts(walks: DataFrame, constant: list[str] | None = None) -> DataFrame:
     """One row per comparison with the rules it breaks (empty when valid).
 
