@@ -100,6 +100,8 @@ def stitch_rings(member_ways: DataFrame, max_rounds: int = 40) -> tuple[DataFram
         chain, span = doubled.drop("moved"), span * 2
         if doubled.filter("moved").isEmpty() and span > 1:
             break
+    else:
+        raise ValueError(f"rings of more than {span} halves: raise max_rounds")
     # A ring is found in both directions; the one led by a forward half of its smallest way stays.
     kept = chain.filter(F.col("lead.dir") == 0).join(live, [*here, "way_id"])
     # hops counts forward to the leader, so larger means earlier in the ring after the leader.

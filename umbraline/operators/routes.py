@@ -128,11 +128,10 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
     the routes of pairs left over are resampled and compared point by point, as
     plain aggregates.
     """
-    segs = segments(vertices, x=x, y=y, metric=metric).filter(F.col("total_m") > 0)
-    first = lambda c: F.max(F.when(F.col("seg_idx") == 0, F.col(c)))
-    ends = segs.groupBy("route_id").agg(
-        first("x1").alias("hx"), first("y1").alias("hy"), F.max_by("x2", "seg_idx").alias("tx"), F.max_by("y2", "seg_idx").alias("ty")).select(
-        "route_id", F.struct(F.col("hx").alias("x"), F.col("hy").alias("y")).alias("head"), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")).alias("tail"))
+    point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    # A route moves when its points differ; ends are plain aggregates, so only routes of pairs left over are cut into segments.
+    ends = vertices.groupBy("route_id").agg(
+        F.min_by(point, "seq").alias("head"), F.max_by(point, "seq").alias("tail"), (F.min(point) < F.max(point)).alias("_moves")).filter("_moves").drop("_moves")
     own = routes.select(request, "route_id", "route_pos").join(ends, "route_id")
     side = lambda p: own.select(request, *[F.col(c).alias(f"{p}_{n}") for c, n in (("route_id", "id"), ("route_pos", "pos"), ("head", "head"), ("tail", "tail"))])
     pairs = side("a").join(side("b"), request).filter(F.col("a_pos") < F.col("b_pos"))
@@ -147,7 +146,7 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
     # Few pairs are left and four branches below read them: written once rather than planned four times.
     pairs = cut_lineage(pairs.filter(worst <= MAX_APART_M).select(request, "a_id", "a_pos", "b_id", "b_pos", "turned"))
     wanted = pairs.select(F.col("a_id").alias("route_id")).unionByName(pairs.select(F.col("b_id").alias("route_id"))).distinct()
-    points = resample(segs.join(wanted, "route_id", "left_semi")).select("route_id", "sample_no", F.struct("x", "y").alias("p"))
+    points = resample(segments(vertices.join(wanted, "route_id", "left_semi"), x=x, y=y, metric=metric)).select("route_id", "sample_no", F.struct("x", "y").alias("p"))
     a = points.select(F.col("route_id").alias("a_id"), F.col("sample_no").alias("k"), F.col("p").alias("a"))
     b = points.select(F.col("route_id").alias("b_id"), F.col("sample_no").alias("k"), F.col("p").alias("b"))
     last = DUPLICATE_SAMPLES - 1
