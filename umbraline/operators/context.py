@@ -227,9 +227,11 @@ def search_places(places: DataFrame, queries: DataFrame, limit: int = 8) -> Data
     hay = places.withColumn("_hay", F.lower(F.concat("name", F.lit(" "), "kind"))).filter(F.col("_hay").isNotNull())
     runs = [F.expr(f"transform(sequence(1, length(_hay)), i -> substring(_hay, i, {n}))") for n in (1, 2, GRAM)]
     keyed = hay.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))))
-    asked = queries.select("query_id", "area_id", F.lower("text").alias("_needle")).withColumn("_gram", F.substring("_needle", 1, GRAM))
-    met = keyed.join(asked, ["area_id", "_gram"]).filter(F.col("_hay").contains(F.col("_needle"))).drop("_hay", "_needle", "_gram")
-    return first_listed(distinct_places(met, ["query_id"]), "query_id", "payload_pos", limit)
+    asked = queries.select("query_id", F.struct("area_id", F.lower("text").alias("text")).alias("_asked"))
+    # Equal texts of an area are looked up once, however often they are asked.
+    needles = asked.select("_asked").distinct().select("_asked", F.col("_asked.area_id").alias("area_id"), F.substring("_asked.text", 1, GRAM).alias("_gram"))
+    met = keyed.join(needles, ["area_id", "_gram"]).filter(F.col("_hay").contains(F.col("_asked.text"))).drop("_hay", "_gram")
+    return asked.join(first_listed(distinct_places(met, ["_asked"]), "_asked", "payload_pos", limit), "_asked").drop("_asked")
 
 
 def tree_checks() -> list[tuple[str, Column]]:
