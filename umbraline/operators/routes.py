@@ -128,10 +128,11 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
     the routes of pairs left over are resampled and compared point by point, as
     plain aggregates.
     """
-    point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    # A route moves when its points differ; ends are plain aggregates, so only routes of pairs left over are cut into segments.
+    # Ends are plain aggregates of numbers, so only routes of pairs left over are cut into segments.  A route moves when its points differ.
     ends = vertices.groupBy("route_id").agg(
-        F.min_by(point, "seq").alias("head"), F.max_by(point, "seq").alias("tail"), (F.min(point) < F.max(point)).alias("_moves")).filter("_moves").drop("_moves")
+        *(fn(c, "seq").alias(f"_{n}{k}") for n, fn in (("h", F.min_by), ("t", F.max_by)) for k, c in (("x", x), ("y", y))),
+        ((F.min(x) < F.max(x)) | (F.min(y) < F.max(y))).alias("_moves")).filter("_moves")
+    ends = ends.select("route_id", *(F.struct(F.col(f"_{n}x").alias("x"), F.col(f"_{n}y").alias("y")).alias(name) for n, name in (("h", "head"), ("t", "tail"))))
     own = routes.select(request, "route_id", "route_pos").join(ends, "route_id")
     side = lambda p: own.select(request, *[F.col(c).alias(f"{p}_{n}") for c, n in (("route_id", "id"), ("route_pos", "pos"), ("head", "head"), ("tail", "tail"))])
     pairs = side("a").join(side("b"), request).filter(F.col("a_pos") < F.col("b_pos"))
