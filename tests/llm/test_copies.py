@@ -110,6 +110,73 @@ def test_shared_group_whenever_linked():
                 assert np.intersect1d(jaccard_join.all_digests(a), jaccard_join.all_digests(b)).size
 
 
+def plain_components(docs, width, percent):
+    sets = {i: brute.shingle_set(t, width) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for j, t in sets.items():
+            if j < i and s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_pipeline_join_takes_five_words_and_four_fifths(spark, monkeypatch):
+    """Pairs just above and below 0.8 of five-word shingles; most above it are under 0.9 of three-word shingles."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = np.random.default_rng(21)
+    docs, group = [], 0
+    for length in (24, 60, 150, 300, 700):
+        for cut in range(1, length // 5, max(1, length // 60)):
+            base = [f"g{group}_{j}" for j in range(length)]
+            at = int(rng.integers(0, length - cut))
+            other = [*base[:at], *(f"x{group}_{j}" for j in range(cut)), *base[at + cut:]]
+            docs += [(2 * group, " ".join(base)), (2 * group + 1, " ".join(other))]
+            group += 1
+    block = [f"b{j}" for j in range(300)]
+    docs += [(9_000, " ".join(block)), (9_001, " ".join([*block[:140], *(f"c{j}" for j in range(20)), *block[160:]]))]
+    docs += [(10_000 + i, " ".join(f"y{i}_{j}" if rng.random() < 0.015 else f"h{j}" for j in range(200))) for i in range(60)]
+    want = plain_components(docs, 5, 80)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.join_stage(spark, frame, "").collect()}
+    assert got == {i for i, c in want.items() if i == c} and 9_001 not in got
+    assert len(got) < len({c for c in plain_components(docs, 3, 90).values()})
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(frame).collect()} == plain_components(docs, 3, 90)
+
+
+def test_shared_group_whenever_linked_at_four_fifths():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 80), 100, 500, 2_000, 9_000]:
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            drop = int(rng.integers(0, n // 5 + 1))
+            add = int(rng.integers(0, n // 4 + 1)) if drop == 0 else int((n - drop) / 0.8 - n + 1e-9)
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, max(add, 0), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert abs(jaccard_join.size_class(len(a)) - jaccard_join.size_class(len(b))) <= 1
+                assert np.intersect1d(jaccard_join.all_digests(a, 80), jaccard_join.all_digests(b, 80)).size
+
+
+def test_group_counts_bound_the_overlap():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 7, 8, 9, 100, 3_000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[:int(n * share)], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
+            x, y = jaccard_join.group_counts(a), jaccard_join.group_counts(b)
+            assert (x.sum(), y.sum()) == (len(a), len(b)) and jaccard_join.most_common(x, y) == jaccard_join.most_common(y, x)
+            assert len(np.intersect1d(a, b)) <= jaccard_join.most_common(x, y) <= min(len(a), len(b))
+
+
 def test_tree_search_keeps_every_close_point():
     rng = np.random.default_rng(4)
     points = rng.integers(0, 6, (500, 128)).astype(np.int32)

@@ -1,19 +1,22 @@
 """N-gram Jaccard join over count vectors.
 
-A document's set holds the hashes of its distinct 3-word shingles. Documents with equal sets are one class. Two classes
-link when the intersection is at least 90 % of the union; then their sets differ in at most (a + b) / 19 elements.
+A document's set holds the hashes of its distinct shingles of `words` words. Documents with equal sets are one class. Two
+classes link when the intersection is at least `percent` of the union; then their sets differ in at most
+(a + b) * (100 - percent) / (100 + percent) elements. The defaults, 3 words and 90 %, are those of the query op4;
+`percent` may be 80 or more, as a partner must lie in the same size class or the next one.
 
 Points: the elements of a set are hashed into VECTOR groups, and the counts of the groups are its point. The overlap of two
 sets is at most the sum of the coordinate minima of their points; that bound, per pair and per box of an R-tree, drops
-most candidates, and the rest are verified on their exact sets.
+most candidates. What passes meets the same bound with groups of about GROUP elements, as few groups tell long sets
+apart badly, and the rest are verified on their exact sets.
 
 Co-location: in a size class whose pairs differ in at most r elements, elements are hashed into r + 1 + SLACK finer
-groups. At least one of them is untouched by the difference, so linked sets share the digest of a whole group (its count
-and the sum of its elements). Sets with fewer than r + 1 groups in use also emit their unused groups, which keeps
-the argument exact. Groups shared by two sets or more form runs.
+groups or some more. At least one of them is untouched by the difference, so linked sets share the digest of a whole group
+(its count and the sum of its elements). Sets with no more groups in use than they may differ from a partner of their own
+also emit their unused groups, which keeps the argument exact. Groups shared by two sets or more form runs.
 
 Runs are joined without listing pairs: each member is verified against LEADERS members of its run, which are then done, and
-components are merged. Only runs whose other members still lie in different components go
+components are merged; first one leader for each member, then the pairs that are still in different components. Only runs whose other members still lie in different components go
 through the R-tree, which looks at pairs across components; large runs are cut into blocks, and a task holds two blocks.
 So a group of near copies costs a few verifications per member, and no link between different texts is lost.
 
@@ -37,9 +40,10 @@ from ..session import cut_lineage
 from . import bytes_text as B
 from .common import bounded_broadcast, components, map_arrow, raw_bytes, release, sliced, stored, text_key
 
-WORDS = 3
-PERCENT = 90        # of the union
+WORDS = 3           # of a shingle, unless the caller names another width
+PERCENT = 90        # of the union, likewise
 VECTOR = 32         # groups of a coarse point, for single pairs
+GROUP = 8           # elements of a group, at most, in the last bound before the exact sets
 FINE = 128          # groups of a fine point, for the R-tree
 BROADCAST_ROWS = 300_000  # sets to fetch, up to which their ids are broadcast (16 bytes each)
 GROWTH = 1.25       # size classes
@@ -60,16 +64,27 @@ def lower_end(c: int) -> float:
     return 4 * GROWTH ** c if c else 0
 
 
-def most_apart(c: int) -> int:
+def share_apart(percent: int) -> float:
+    """Largest symmetric difference of a linked pair, as a share of its smaller set."""
+    return (1 + 100 / percent) * (100 - percent) / (100 + percent)
+
+
+def most_apart(c: int, percent: int = PERCENT) -> int:
     """Largest symmetric difference of a linked pair whose smaller set is of class c."""
     end = 4 * GROWTH ** (c + 1) + 1
-    return int(end * (1 + 100 / PERCENT) * (100 - PERCENT) / (100 + PERCENT)) + 1
+    return int(end * share_apart(percent)) + 1
+
+
+def group_count(c: int, percent: int = PERCENT) -> int:
+    """Groups of class c: SLACK more than a difference can touch, and twice as many more as its largest sets leave unused."""
+    m = most_apart(c, percent) + 1 + SLACK
+    return m + int(2 * m * math.exp(-1 / share_apart(percent)))
 
 
-def group_digests(own: np.ndarray, c: int) -> np.ndarray:
+def group_digests(own: np.ndarray, c: int, percent: int = PERCENT) -> np.ndarray:
     """Digests of the groups of a sorted set, as a member of size class c."""
-    apart = most_apart(c)
-    m = apart + 1 + SLACK
+    apart = int(len(own) * share_apart(percent) + 1e-6)  # of this set and any partner, smaller or larger
+    m = group_count(c, percent)
     group = (own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # rises with the element, so groups are slices
     at = np.flatnonzero(np.diff(group, prepend=np.uint64(m)))
     used = group[at]
@@ -83,23 +98,23 @@ def group_digests(own: np.ndarray, c: int) -> np.ndarray:
     return out
 
 
-def all_digests(own: np.ndarray) -> np.ndarray:
+def all_digests(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Those of its own size class, and of the class below when a smaller partner may lie there."""
     c = size_class(len(own))
-    out = [group_digests(own, c)]
-    if c and len(own) * PERCENT <= 100 * lower_end(c) + 100:
-        out.append(group_digests(own, c - 1))
+    out = [group_digests(own, c, percent)]
+    if c and len(own) * percent <= 100 * lower_end(c) + 100:
+        out.append(group_digests(own, c - 1, percent))
     return np.concatenate(out)
 
 
-def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+def sets_of(column: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every row."""
     data, ends = raw_bytes(column)
     hashes, starts = B.words(data, ends)
-    runs = B.shingles(hashes, WORDS)
+    runs = B.shingles(hashes, width)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if b - a >= WORDS:
-            own = np.sort(runs[a:b - WORDS + 1])
+        if b - a >= width:
+            own = np.sort(runs[a:b - width + 1])
             yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif b > a:
             yield B.shingles(hashes[a:b], int(b - a)) ^ np.uint64(b - a)
@@ -116,19 +131,19 @@ def list_of(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, k_text, n, sid, point, fine, digests): k_text tells texts of one id apart, sid names the set, point and fine
     count its groups."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in sliced(batch, 2, SLICE):
             sizes, names, points, fine, digests = [], [], [], [], []
-            for own in sets_of(part.column(2)):
+            for own in sets_of(part.column(2), words):
                 sizes.append(len(own))
                 names.append(int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0]) if len(own) else None)
                 points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32))
                 fine.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=FINE).astype("<i4").tobytes())
-                digests.append(signed(all_digests(own)) if len(own) else np.zeros(0, np.int64))
+                digests.append(signed(all_digests(own, percent)) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), list_of(points, np.int32), pa.array(fine, pa.binary()),
                  list_of(digests, np.int64)],
@@ -139,32 +154,57 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(docs.select(id_key.alias("id"), hashed, text_col), f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, digests array<bigint>", run)
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sid, elements): the exact sets of the wanted (sid, rep), worked out again from the text of one document each."""
+def group_counts(own: np.ndarray) -> np.ndarray:
+    """How many elements lie in each of 2^k equal ranges of hashes, GROUP on average at most."""
+    bits = max(0, math.ceil(math.log2(max(1, len(own)) / GROUP)))
+    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64), minlength=1 << bits).astype("<i4")
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Bound of the overlap of two sets from their group counts; the longer list is summed down to the shorter."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+
+
+def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(sid, counts, elements): the exact sets of the wanted (sid, rep), worked out again from the text of one document each."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS), texts["id"].eqNullSafe(wanted["rep"])).select("sid", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in sliced(batch, 1, SLICE):
-            names, sets = [], []
-            for sid, own in zip(part.column(0).to_pylist(), sets_of(part.column(1)), strict=True):
+            names, counts, sets = [], [], []
+            for sid, own in zip(part.column(0).to_pylist(), sets_of(part.column(1), words), strict=True):
                 name = int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0])
                 if name == sid:  # another document may share the id
                     names.append(sid)
+                    counts.append(group_counts(own).tobytes())
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "counts", "elements"])
 
-    return map_arrow(joined, "sid bigint, elements binary", run)
+    return map_arrow(joined, "sid bigint, counts binary, elements binary", run)
 
 
-def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: first by the bound of the points, then on the exact sets."""
     one = points.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
     two = points.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
-    need = F.expr(f"aggregate(zip_with(p_a, p_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) * {100 + PERCENT} >= {PERCENT} * (n_a + n_b)")
+    need = F.expr(f"aggregate(zip_with(p_a, p_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) * {100 + percent} >= {percent} * (n_a + n_b)")
     near = cut_lineage(pairs.join(one, "a").join(two, "b").where(need).select("a", "b"))
-    full = near.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("s_a")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("elements").alias("s_b")), "b").select("a", "b", "s_a", "s_b")
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        return pairs.join(sets.select(F.col("sid").alias("a"), F.col(column).alias("s_a")), "a").join(
+            sets.select(F.col("sid").alias("b"), F.col(column).alias("s_b")), "b").select("a", "b", "s_a", "s_b")
+
+    def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), "<i4") for v in (left, right))
+            keep.append((100 + percent) * most_common(x, y) >= percent * int(x.sum() + y.sum()))
+        return batch.select([0, 1]).filter(pa.array(keep))
+
+    full = both(cut_lineage(map_arrow(both(near, "counts"), "a bigint, b bigint", bounded)), "elements")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -172,7 +212,7 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
             both = np.sort(np.concatenate([x, y]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
         return batch.select([0, 1]).filter(pa.array(keep))
 
     return map_arrow(full, "a bigint, b bigint", run)
@@ -182,7 +222,8 @@ class CountTree:
     """An R-tree over points: leaves of LEAF points in the order of a recursive sort, boxes of LEAF boxes above them.
     Only the upper corners are kept, as the bound needs no more."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         self.order = self.packed(points, np.arange(len(points)))
         self.levels = [points[self.order]]
         while len(self.levels[-1]) > 1 and len(self.levels) < 12:
@@ -200,20 +241,21 @@ class CountTree:
 
     def search(self, point: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
         """Rows whose overlap bound with the point suffices. A box is entered when the bound of its upper corner does;
-        sizes of rows are at least PERCENT of the other's."""
-        least = PERCENT * (size + PERCENT * size / 100)
+        sizes of rows are at least `percent` of the other's."""
+        percent = self.percent
+        least = percent * (size + percent * size / 100)
         boxes = np.arange(len(self.levels[-1]))
         for level in range(len(self.levels) - 1, 0, -1):
             bound = np.minimum(self.levels[level][boxes], point).sum(1, dtype=np.int64)
-            boxes = boxes[(100 + PERCENT) * bound >= least]
+            boxes = boxes[(100 + percent) * bound >= least]
             below = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
             boxes = below[below < len(self.levels[level - 1])]
         bound = np.minimum(self.levels[0][boxes], point).sum(1, dtype=np.int64)
         rows = self.order[boxes]
-        return rows[(100 + PERCENT) * bound >= PERCENT * (size + sizes[rows])]
+        return rows[(100 + percent) * bound >= percent * (size + sizes[rows])]
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
+def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of each run's members (digest, sid, component, n, fine) in different components that the bound allows."""
     sizes = members.groupBy("digest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = cut_lineage(sizes)
@@ -227,7 +269,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         points = np.frombuffer(b"".join(group.column("fine").to_pylist()), "<i4").reshape(-1, FINE)
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         inside = np.flatnonzero(block == low)
-        tree, local = CountTree(points[inside]), n[inside]
+        tree, local = CountTree(points[inside], percent), n[inside]
         left, right = [], []
         for row in (inside if low == high else np.flatnonzero(block == high)):
             found = inside[tree.search(points[row], int(n[row]), local)]
@@ -240,7 +282,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return split.groupBy("digest", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another set, from the stored description of the documents."""
     spark = docs.sparkSession
     entries = described.where("n > 0").select("sid", F.explode("digests").alias("digest"))
@@ -252,14 +294,14 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str) ->
     wanted = cut_lineage(members.select("sid").distinct())
     points = described.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
     points = stored(points.join(wanted, "sid", "left_semi"), "points")
-    sets = stored(set_table(docs, points.select("sid", "rep"), id_col, text_col), "sets")
+    sets = stored(set_table(docs, points.select("sid", "rep"), id_col, text_col, words), "sets")
     release(spark)
 
     label = wanted.select("sid", F.col("sid").alias("component"))
 
     def merge(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Verify the pairs; links between components merge them."""
-        found = verified(pairs.distinct(), points, sets)
+        found = verified(pairs.distinct(), points, sets, percent)
         one, two = (label.select(F.col("sid").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
         into = components(found.join(one, "a").join(two, "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
         return cut_lineage(label.join(into, "component", "left").select("sid", F.coalesce("into", "component").alias("component")))
@@ -268,20 +310,26 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str) ->
     led = members.groupBy("digest").agg(F.array_distinct(F.array(*(F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(LEADERS)))).alias("leaders"))
     led = cut_lineage(members.join(led, "digest"))
     met = led.select("sid", F.explode("leaders").alias("leader")).where("sid <> leader")
-    label = merge(met.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")), label)
+    one = met.groupBy("sid").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader"))
+    label = merge(one.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")), label)
+    met = met.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
+    ends = (label.select(F.col("sid").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
+    label = merge(met.join(next(ends), "a").join(next(ends), "b").where("c_a <> c_b").select("a", "b"), label)
     # Other members that are still in different components.
     left = led.where(~F.array_contains("leaders", F.col("sid"))).select("digest", "sid").join(label, "sid")
     mixed = left.groupBy("digest").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("digest")
     left = cut_lineage(left.join(mixed, "digest", "left_semi"))
     if not left.isEmpty():
-        label = merge(tree_pairs(left.join(points.select("sid", "n", "fine"), "sid")), label)
+        label = merge(tree_pairs(left.join(points.select("sid", "n", "fine"), "sid"), percent), label)
     return label.withColumnRenamed("sid", "node")
 
 
-def components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def components_of(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, k_text, n, component_id), one row per document."""
-    described = stored(describe(docs, id_col, text_col), "described")
-    label = links(docs, described, id_col, text_col)
+    if percent * GROWTH < 100:
+        raise ValueError(f"partners at {percent} % may lie two size classes apart")
+    described = stored(describe(docs, id_col, text_col, words, percent), "described")
+    label = links(docs, described, id_col, text_col, words, percent)
     narrow = described.select("id", "k_text", "n", "sid")
     marked = narrow.join(label, narrow["sid"] == label["node"], "left").select("id", "k_text", "n", F.coalesce("component", "sid").alias("component"))
     marked = cut_lineage(marked)
@@ -290,14 +338,14 @@ def components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return marked.join(least, marked["component"] == least["c"], "left").select("id", "k_text", "n", F.coalesce("least", "id").alias("component_id"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    return components_of(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return components_of(docs, id_col, text_col, words, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns. Documents without words stay, and so
     do those without an id; rows that share id and text stay or go together."""
-    gone = components_of(docs, id_col, text_col).where("component_id < id").select(F.col("id").alias("gone_id"), F.col("k_text").alias("gone_text")).distinct()
+    gone = components_of(docs, id_col, text_col, words, percent).where("component_id < id").select(F.col("id").alias("gone_id"), F.col("k_text").alias("gone_text")).distinct()
     id_key, hashed = text_key(id_col, text_col)
     return docs.join(gone, (id_key == gone["gone_id"]) & (hashed == gone["gone_text"]), "left_anti")
