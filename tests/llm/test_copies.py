@@ -227,6 +227,16 @@ def test_lines_equal_brute_force(odd_docs, no_docs, texts):
     assert line_dedup.report(no_docs).collect() == [] and line_dedup.drop_repeats(no_docs).collect() == []
 
 
+def test_rows_given_twice_are_one_document_to_line_runs(spark):
+    """Six lines of 12 words, the earlier document given twice: runs of three lines are found, and rows do not multiply."""
+    lines = ["\n".join(" ".join(f"r{k}_{i}_{j}" for j in range(12)) for i in range(n)) for k, n in enumerate((6, 40))]
+    docs = [(1, lines[0]), (1, lines[0]), (2, lines[0] + "\nown"), (3, lines[1]), (3, lines[1]), (3, lines[1]), (4, "x\n" + lines[1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.report(frame).collect())
+    assert got == [(1, 6, 0), (1, 6, 0), (2, 7, 6), (3, 40, 0), (3, 40, 0), (3, 40, 0), (4, 41, 40)]
+    assert line_dedup.repeated_lines(frame, "doc_id", "text").count() == 92
+
+
 def test_pipeline_equals_the_plain_stages(spark, tmp_path, texts):
     import corpus_pipeline
     import tiktoken

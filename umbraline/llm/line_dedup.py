@@ -40,7 +40,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k_id, k_text, n, words, name): lines that occur twice or more, each with the name of its class."""
     lines = docs.where(F.col(text_col).isNotNull()).select(*text_key(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("n", "line"))
     lines = lines.select(*KEY, "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), n_words(F.col("line")).alias("words"))
-    lines, _ = counted(lines)
+    lines, _ = counted(lines.dropDuplicates([*KEY, "n"]))  # equal rows are one document
     return named(lines, ["h1", "h2"])
 
 
