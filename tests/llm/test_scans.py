@@ -90,6 +90,14 @@ def test_license_labels(odd_docs, no_docs, texts):
     assert len(licenses.build_rules()) > 200
 
 
+def test_every_match_of_a_license_rule_counts(spark):
+    """A first match inside a longer rule's interval hides no later one; one blank may end a match and open the next."""
+    lines = ["images licensed under cc-by-nc-sa, text licensed under cc-by-nc.", "MIT license MIT license mit licensed", "licensed under mit or licensed under mit2, licensed under (mit)", "license: mit license: mit",
+             "licensed under mitx, licensed under mit. " * 50]
+    got = {r.doc_id: (r.labels, r.score, r.n_detections) for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ("cc-by,cc-by-nc,cc-by-nc-sa", 0.95, 2), 1: ("mit", 0.8, 2), 2: ("mit", 0.95, 1), 3: ("mit", 0.8, 3), 4: ("mit", 0.95, 50)}
+
+
 def test_urls_follow_rules_then_globs(spark):
     urls = ["https://a.ORG/x", "http://org", "http://org?x/", "http://www.example.org/es/1", "http://example.org/en/12?q", "http://b.com/fr/1", "http://com/de/", "http://x.net/login/a", "http://x.net/a",
             "notaurl", None, "", "http://ads.x.net/b", "http://x.net/a?sid=1#f", "http://evilorg/x", "http://org.net/é" + "y" * 5_000, "http://x.net/" + "z" * 200 + ".exe"]

@@ -1,7 +1,7 @@
 """License scan by ordered signature rules: DataFrame operations only.
 
 Base: fixed phrases are looked for in the words of a text. The method adds detections line by line: a line that holds a
-gate word is tried against the rules whose own keyword it holds; each rule's first match is an interval. A detection
+gate word is tried against the rules whose own keyword it holds; every match of a rule is an interval. A detection
 inside the interval of one with higher priority is dropped, as is the longer-named rule's shorter rival at the same
 place. What remains gives labels and a score.
 
@@ -104,12 +104,13 @@ FORMS = [
     ("licen", 0.7, r"licen[cs]e: *{}"),
 ]
 GATES = sorted({gate for gate, _, _ in FORMS})
+STOP = r"([^a-z0-9]|$)"
 
 
 def build_rules() -> list[tuple[int, str, str, str, float, str]]:
     """(priority, gate, keyword, regular expression, weight, label): forms first, then the order of the families."""
-    edge, stop = r"(^|[^a-z0-9])", r"([^a-z0-9]|$)"
-    return [(n * len(FAMILIES) + k, gate, key, edge + form.replace("{}", name) + stop, weight, label)
+    edge = r"(^|[^a-z0-9])"
+    return [(n * len(FAMILIES) + k, gate, key, edge + form.replace("{}", name) + STOP, weight, label)
             for n, (gate, weight, form) in enumerate(FORMS) for k, (label, key, name) in enumerate(FAMILIES)]
 
 
@@ -118,8 +119,9 @@ def quoted(text: str) -> str:
 
 
 def rules_column() -> Column:
+    """The rules as an array. A rule only looks at the character behind a match, as that may open the rule's next match."""
     return F.expr("array(" + ", ".join(
-        f"named_struct('pri', {p}, 'gate', {quoted(g)}, 'key', {quoted(k)}, 'rx', {quoted(x)}, 'weight', {w}D, 'label', {quoted(lab)})"
+        f"named_struct('pri', {p}, 'gate', {quoted(g)}, 'key', {quoted(k)}, 'rx', {quoted(x.removesuffix(STOP) + '(?=' + STOP[1:])}, 'weight', {w}D, 'label', {quoted(lab)})"
         for p, g, k, x, w, lab in build_rules()) + ")")
 
 
@@ -144,12 +146,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(any_of(F.col("low")), F.filter(F.split("low", "\n"), any_of)).alias("lines"))
     places = [f"""filter(sequence(0, size(words) - 1), i -> {' AND '.join(f"get(words, i + {k}) <=> '{w}'" for k, w in enumerate(phrase.split()))})""" for phrase, _ in PHRASES]
     looked = looked.select("id", "n_words", "lines", *(F.expr(f"CASE WHEN words IS NOT NULL THEN {p} ELSE CAST(array() AS array<int>) END").alias(f"p{n}") for n, p in enumerate(places)))
-    # Detections of every gated line: rules whose gate and keyword the line holds, their first match as an interval.
+    # Detections of every gated line: rules whose gate and keyword the line holds, each match as an interval. A match starts
+    # behind the earlier matches and the gaps before them.
     found = looked.select("*", F.when(F.size("lines") > 0, rules_column()).alias("rules")).select("*", F.expr("""
         CASE WHEN size(lines) > 0 THEN transform(lines, line ->
-          filter(transform(filter(rules, r -> contains(line, r.gate) AND contains(line, r.key)),
-            r -> named_struct('pri', r.pri, 'label', r.label, 'weight', r.weight, 'a', regexp_instr(line, r.rx), 'n', length(regexp_extract(line, r.rx, 0)))),
-          d -> d.a > 0)) END""").alias("found"))
+          flatten(transform(filter(transform(filter(rules, r -> contains(line, r.gate) AND contains(line, r.key)),
+            r -> named_struct('r', r, 'hits', transform(regexp_extract_all(line, r.rx, 0), h -> length(h)))), m -> size(m.hits) > 0),
+            m -> aggregate(zip_with(m.hits, transform(split(line, m.r.rx), g -> length(g)), (h, g) -> named_struct('hit', h, 'gap', g)),
+              named_struct('at', 1, 'spans', CAST(array() AS array<struct<pri: int, label: string, weight: double, a: int, n: int>>)),
+              (s, x) -> named_struct('at', s.at + x.gap + coalesce(x.hit, 0), 'spans', IF(x.hit IS NULL, s.spans, concat(s.spans, array(
+                named_struct('pri', m.r.pri, 'label', m.r.label, 'weight', m.r.weight, 'a', s.at + x.gap, 'n', x.hit))))),
+              s -> s.spans)))) END""").alias("found"))
     kept = found.select("*", F.expr("""
         coalesce(flatten(transform(found, f -> filter(f, d ->
           NOT exists(f, e -> e.pri < d.pri AND e.a <= d.a AND e.a + e.n >= d.a + d.n)))), array())""").alias("kept"))
