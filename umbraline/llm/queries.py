@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, licenses, line_dedup, quality, secret_scan, sql_twins, substring_dedup, url_filter, warc
+from . import (
+    bpe, conversation_repair, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, pu_quality, quality, secret_scan, sql_twins, substring_dedup,
+    url_filter, warc)
 from .common import table
 
 #: Fixed values of the URL rules: verdict, host, path.
@@ -54,7 +56,20 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_suffix_array_dedup, op3_url_filter, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_line_dedup,
-    op7_quality_rules, op8_license_scan, op9_warc, op10_byte_level_bpe)}
+    op7_quality_rules, op8_license_scan, op9_warc, op10_byte_level_bpe, op11_filter_audit,
+    op12_quality_classifier, op13_conversation_repair)}
 ORACLE = sql_twins.twins(URL_RULES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, quality, url_filter
+from . import decontaminate, filter_audit, licenses, line_dedup, quality, url_filter
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 GAP = r"[\x20\x09-\x0D]+"
@@ -117,7 +117,33 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
 
+def audit_twin() -> str:
+    a = filter_audit
+    sums = ", ".join(f"coalesce(sum({what}) FILTER (WHERE (mask & seen) = 0 AND (mask & bit) {test} 0), 0)::BIGINT AS {name}" for what, test, name in (
+        ("n", "=", "kept"), ("n", "<>", "removed"), ("good", "<>", "good_lost"), ("toxic", "<>", "toxic_lost")))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT t AS first_text, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(w) < {a.MIN_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {a.DISTINCT_PERCENT} * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {a.UPPER_PERCENT} * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '{a.SYMBOLS}') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first_id THEN 16 ELSE 0 END AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d JOIN f ON t = first_text LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM v a, v b, v c, v d, v e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([0] || list_transform(range(1, step), i -> 1 << (ascii(filter_order[i]) - 65))) AS seen FROM o, (SELECT unnest(range(1, 6)) AS step)),
+p AS (SELECT part, filter_order, step, bit, {sums},
+    coalesce(sum(n) FILTER (WHERE (mask & seen) <> 0 AND (mask & bit) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM p"""
+
+
 def twins(url_rules: list[tuple[str, str, str]]) -> dict[str, str]:
     return {
         "op3_url_filter": url_twin(url_rules), "op5_benchmark_decontamination": containment_twin(), "op6_line_dedup": line_twin(),
-        "op7_quality_rules": quality_twin(), "op8_license_scan": license_twin(), "op9_warc": warc_twin()}
+        "op7_quality_rules": quality_twin(), "op8_license_scan": license_twin(), "op9_warc": warc_twin(),
+        "op11_filter_audit": audit_twin()}
