@@ -6,7 +6,8 @@ are not used. The model minimises the non-negative unbiased risk: with class pri
 whose second part is turned back when it falls below zero, so a flexible model cannot make it negative by overfitting.
 The prior is estimated first: a model that tells positives from unlabelled text ranks all documents, and the share of
 unlabelled text above a threshold, over that of positives above it, is smallest where only positives are left
-(best-bin estimate with its confidence terms).
+(best-bin estimate with its confidence terms). Rows are dealt into two halves, and each half is ranked by the model of the
+other, as a model ranks the positives it has seen above their like among the unlabelled.
 
 A text is described by SIZE numbers about its form (bytes by kind, repetition, words, lines); no label, language, source or
 id is among them. Their means and deviations, and the ranking behind the prior, take in all documents; only the fit runs on a
@@ -17,7 +18,8 @@ Documents whose crc32 of the id, modulo 5, is 0 are held out: neither their labe
 
 Results for odd input: null and empty texts have the form of an empty text and a score; a null id counts as the empty string
 for the fold; rows that repeat each get a row; several labels of one id are positive where one of them is; without
-positives or without unlabelled text nothing can be learnt and every score is 0.5; other columns are not read.
+positives or without unlabelled text nothing can be learnt and every score is 0.5; where a half has none of either, the
+prior is 0.5; other columns are not read.
 """
 
 from __future__ import annotations
@@ -182,17 +184,23 @@ def train(forms: DataFrame, labels: DataFrame) -> tuple[Net | None, float | None
     """The fitted model and the prior from stored forms; (None, None) where there is nothing to learn from."""
     marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     open_rows = forms.where("NOT held_out")
-    joined = stored(open_rows.join(marks, open_rows["id"] == marks["label_id"], "left").select("id", "form", "label_id", "good"), "pu-rows")
+    half = F.pmod(F.xxhash64(F.lit(1), "id", "form"), F.lit(2)).cast("int")
+    joined = stored(open_rows.join(marks, open_rows["id"] == marks["label_id"], "left").select("id", "form", "label_id", "good", half.alias("half")), "pu-rows")
     positive, unlabelled = joined.where("good = 1"), joined.where("label_id IS NULL")
-    p, u = matrix(positive, MOST_POSITIVE), matrix(unlabelled, MOST_UNLABELLED)
+    halves = [[matrix(rows.where(F.col("half") == k), most // 2) for rows, most in ((positive, MOST_POSITIVE), (unlabelled, MOST_UNLABELLED))] for k in (0, 1)]
+    p, u = (np.concatenate([h[k] for h in halves]) for k in (0, 1))
     if not len(p) or not len(u):
         return None, None
     stats = forms.select(*(F.get("form", F.lit(k)).cast("double").alias(f"f{k}") for k in range(SIZE))).agg(
         *(F.avg(f"f{k}") for k in range(SIZE)), *(F.stddev_pop(f"f{k}") for k in range(SIZE))).first()
     mean, spread = np.array(stats[:SIZE], float), np.array(stats[SIZE:], float)
     scale = np.where(spread > 1e-9, spread, 1.0)
-    ranking = fit(mean, scale, p, u, None)
-    prior = best_bin_prior(histogram(scored(positive.select("form"), ranking)), histogram(scored(unlabelled.select("form"), ranking)))
+    if all(len(x) for h in halves for x in h):
+        ranked = [[histogram(scored(rows.where(F.col("half") == k).select("form"), fit(mean, scale, *halves[1 - k], None))) for rows in (positive, unlabelled)]
+                  for k in (0, 1)]
+        prior = best_bin_prior(ranked[0][0] + ranked[1][0], ranked[0][1] + ranked[1][1])
+    else:
+        prior = 0.5
     return fit(mean, scale, p, u, prior), prior
 
 

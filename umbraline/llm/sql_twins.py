@@ -134,7 +134,7 @@ v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
 o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM v a, v b, v c, v d, v e
     WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
 s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
-    list_sum([0] || list_transform(range(1, step), i -> 1 << (ascii(filter_order[i]) - 65))) AS seen FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS seen FROM o, (SELECT unnest(range(1, 6)) AS step)),
 p AS (SELECT part, filter_order, step, bit, {sums},
     coalesce(sum(n) FILTER (WHERE (mask & seen) <> 0 AND (mask & bit) <> 0), 0)::BIGINT AS redundant,
     coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails FROM c, s GROUP BY part, filter_order, step, bit)
