@@ -57,9 +57,9 @@ def shingle_set(text: str | None, k: int = 3) -> set[tuple[str, ...]]:
     return {tuple(w)} if len(w) < k else {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
-def near_components(docs: list[tuple[int, str | None]], percent: int = 90) -> dict[int, tuple[int, int]]:
+def near_components(docs: list[tuple[int, str | None]], percent: int = 90, width: int = 3) -> dict[int, tuple[int, int]]:
     """doc_id -> (size of the set, smallest id of the component)."""
-    sets = [(key, shingle_set(text)) for key, text in docs]
+    sets = [(key, shingle_set(text, width)) for key, text in docs]
     root = {key: key for key, _ in docs}
 
     def find(x: int) -> int:

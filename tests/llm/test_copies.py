@@ -243,7 +243,9 @@ def test_pipeline_equals_the_plain_stages(spark, tmp_path, texts):
 
     from umbraline.llm import bpe, quality
 
-    docs = [(i, t, "en", "h", 0 if t is None else len(t)) for i, t in enumerate(texts) if t is None or len(t) < 90_000]
+    base = [f"pipe{k}x{k * k % 97}" for k in range(300)]   # near copies by five words at 0.8 that three words at 0.9 tell apart
+    docs = [(i, t, "en", "h", 0 if t is None else len(t)) for i, t in enumerate([*texts, " ".join(base), " ".join([*base[:100], *(w + "y" for w in base[100:120]), *base[120:]])])
+            if t is None or len(t) < 90_000]
     items = [(0, " ".join(texts[-1].split()[5:25])), (1, "not in any of these texts at all")]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -252,7 +254,8 @@ def test_pipeline_equals_the_plain_stages(spark, tmp_path, texts):
     gone = brute.later_lines(stage, line_dedup.MIN_WORDS)
     stage = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))) for i, t in stage]
     stage = [(i, t) for i, t in stage if brute.words(t) or i not in gone]
-    near = brute.near_components(stage)
+    near = brute.near_components(stage, 80, 5)
+    assert near != brute.near_components(stage) and any(near[i][1] != i for i in near)
     stage = [(i, t) for i, t in stage if near[i][1] == i]
     bad = {w[0] for w in brute.leaks(stage, items)}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})

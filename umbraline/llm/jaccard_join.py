@@ -13,7 +13,9 @@ apart badly, and the rest are verified on their exact sets.
 Co-location: in a size class whose pairs differ in at most r elements, elements are hashed into r + 1 + SLACK finer
 groups or some more. At least one of them is untouched by the difference, so linked sets share the digest of a whole group
 (its count and the sum of its elements). Sets with no more groups in use than they may differ from a partner of their own
-also emit their unused groups, which keeps the argument exact. Groups shared by two sets or more form runs.
+also emit their unused groups, which keeps the argument exact. Groups shared by two sets or more form runs. To find them,
+the digests of a few megabytes of text travel sorted and packed, each once, and only those met elsewhere come back, so the
+bulk of the digests, which no other set has, is shuffled once in a few bytes each and never becomes rows.
 
 Runs are joined without listing pairs: each member is verified against LEADERS members of its run, which are then done, and
 components are merged; first one leader for each member, then the pairs that are still in different components. Only runs whose other members still lie in different components go
@@ -33,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import bytes_text as B
-from .common import bounded_broadcast, components, map_arrow, raw_bytes, release, sliced, stored, text_key
+from .common import bounded_broadcast, components, discard, map_arrow, raw_bytes, release, sliced, stored, text_key
+from .substring_dedup import packed, unpacked
 
 WORDS = 3           # of a shingle, unless the caller names another width
 PERCENT = 90        # of the union, likewise
@@ -46,7 +50,9 @@ VECTOR = 32         # groups of a coarse point, for single pairs
 GROUP = 8           # elements of a group, at most, in the last bound before the exact sets
 FINE = 128          # groups of a fine point, for the R-tree
 BROADCAST_ROWS = 300_000  # sets to fetch, up to which their ids are broadcast (16 bytes each)
-GROWTH = 1.25       # size classes
+GROWTH = 1.5        # size classes
+BITS = 48           # of a digest; two digests that agree by chance only add a pair to verify
+BUCKET = 1_000_000  # digests of a bucket, on average
 SLACK = 2
 LEADERS = 3         # members of a run that meet all others before the R-tree
 BLOCK = 2_048       # points of a block
@@ -132,26 +138,109 @@ def list_of(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, k_text, n, sid, point, fine, digests): k_text tells texts of one id apart, sid names the set, point and fine
-    count its groups."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batch, 2, SLICE):
-            sizes, names, points, fine, digests = [], [], [], [], []
-            for own in sets_of(part.column(2), words):
-                sizes.append(len(own))
-                names.append(int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0]) if len(own) else None)
-                points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32))
-                fine.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=FINE).astype("<i4").tobytes())
-                digests.append(signed(all_digests(own, percent)) if len(own) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), list_of(points, np.int32), pa.array(fine, pa.binary()),
-                 list_of(digests, np.int64)],
-                names=["id", "k_text", "n", "sid", "point", "fine", "digests"])
+    """Rows of documents (id, k_text, n, sid, point, fine): k_text tells texts of one id apart, sid names the set, point and
+    fine count its groups. Rows of slices (home, n, sids, digests): the sets of at most SLICE bytes of text, and the n
+    digests of their groups, sorted, with the set of each; home numbers the slice."""
+    names = ["id", "k_text", "n", "sid", "point", "fine", "home", "sids", "digests"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in sliced(batch, 2, SLICE):
+                sizes, sids, points, fine, digests = [], [], [], [], []
+                for own in sets_of(part.column(2), words):
+                    sizes.append(len(own))
+                    sids.append(int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0]) if len(own) else None)
+                    points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32))
+                    fine.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=FINE).astype("<i4").tobytes())
+                    digests.append(all_digests(own, percent) >> np.uint64(64 - BITS) if len(own) else np.zeros(0, np.uint64))
+                rows = len(sizes)
+                kinds = [pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), list_of(points, np.int32), pa.array(fine, pa.binary()),
+                     *(pa.nulls(rows, k) for k in kinds)], names=names)
+                # One row per slice; a set that the slice holds twice is there once.
+                first = {sid: k for k, sid in reversed(list(enumerate(sids))) if sid is not None}
+                held = list(first.items())
+                many = np.array([len(digests[k]) for _, k in held], np.int64)
+                values, owner = np.concatenate([np.zeros(0, np.uint64), *(digests[k] for _, k in held)]), np.repeat(np.arange(len(held), dtype=np.uint32), many)
+                order = np.lexsort((owner, values))
+                blob = packed(np.diff(values[order], prepend=np.uint64(0)), owner[order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, part.column(0).type), pa.nulls(1, pa.int64()), pa.array([len(values)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
+                     pa.nulls(1, pa.binary()), pa.array([home], pa.int64()), pa.array([packed(np.array([sid for sid, _ in held], np.int64))], pa.binary()), pa.array([blob], pa.binary())],
+                    names=names)
+                home += 1
 
     key = docs.schema[id_col].dataType.simpleString()
     id_key, hashed = text_key(id_col, text_col)
-    return map_arrow(docs.select(id_key.alias("id"), hashed, text_col), f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, digests array<bigint>", run)
+    return docs.select(id_key.alias("id"), hashed, text_col).mapInArrow(
+        run, f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, home bigint, sids binary, digests binary")
+
+
+def slice_digests(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted digests, set of each) of a slice."""
+    steps, owner = unpacked(blob, "<u8", "<u4")
+    return np.cumsum(steps, dtype=np.uint64), owner
+
+
+def met_elsewhere(slices: DataFrame, buckets: int) -> DataFrame:
+    """(home, found): for each slice the digests that other slices hold too. A slice sends each digest once, packed, to the
+    bucket of its range, so that a digest of very many sets is one entry per slice."""
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        to, homes, raws = [], [], []
+        for home, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            values = np.unique(slice_digests(blob)[0])
+            where = ((values >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            for bucket, own in ranges(where):
+                to.append(bucket)
+                homes.append(home)
+                raws.append(packed(np.diff(values[own], prepend=np.uint64(0))))
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(homes, pa.int64()), pa.array(raws, pa.binary())], names=["bucket", "home", "raw"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        homes = group.column("home").to_numpy()
+        parts = [np.cumsum(unpacked(raw, "<u8")[0], dtype=np.uint64) for raw in group.column("raw").to_pylist()]
+        values, owner = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        again = values[1:] == values[:-1]
+        many = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        values, owner = values[many], owner[many]
+        by = np.argsort(owner, kind="stable")
+        values = values[by]
+        found = [(int(homes[k]), packed(values[s])) for k, s in ranges(owner[by])]
+        return pa.table({"home": pa.array([h for h, _ in found], pa.int64()), "found": pa.array([f for _, f in found], pa.binary())})
+
+    asked = map_arrow(slices.select("home", "digests"), "bucket bigint, home bigint, raw binary", ask)
+    return asked.groupBy("bucket").applyInArrow(compare, "home bigint, found binary")
+
+
+def shared_entries(slices: DataFrame, buckets: int) -> DataFrame:
+    """(sid, digest) of digests that two slices or two sets of one slice hold. Equal sets of two slices are among them."""
+    found = met_elsewhere(slices, buckets).groupBy(F.col("home").alias("to")).agg(F.collect_list("found").alias("found"))  # no more than the slice holds
+    joined = slices.join(found, slices["home"] == found["to"], "left").select("sids", "digests", "found")
+
+    def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for sids, blob, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            values, owner = slice_digests(blob)
+            again = values[1:] == values[:-1]
+            many = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(values) else np.zeros(0, bool)
+            if found:
+                known = np.sort(np.concatenate([unpacked(x, "<u8")[0] for x in found]))
+                many |= known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+            names = unpacked(sids, "<i8")[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names[owner[many]]), pa.array(values[many].astype(np.int64))], names=["sid", "digest"])
+
+    return map_arrow(joined, "sid bigint, digest bigint", pick)
+
+
+def ranges(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal keys in a sorted array."""
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    for a, b in zip(at, [*at[1:], len(keys)][:len(at)], strict=True):
+        yield int(keys[a]), slice(int(a), int(b))
 
 
 def group_counts(own: np.ndarray) -> np.ndarray:
@@ -285,14 +374,15 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another set, from the stored description of the documents."""
     spark = docs.sparkSession
-    entries = described.where("n > 0").select("sid", F.explode("digests").alias("digest"))
-    shared = entries.groupBy("digest").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("digest")
-    shared = cut_lineage(shared)
-    release(spark)
-    members = stored(entries.join(shared, "digest").distinct(), "members")
+    slices = described.where("home IS NOT NULL")
+    total = slices.agg(F.sum("n")).first()[0] or 0
+    entries = stored(shared_entries(slices.select("home", "sids", "digests"), max(1, -(-total // BUCKET))).distinct(), "entries")
     release(spark)
+    shared = entries.groupBy("digest").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("digest")
+    members = stored(entries.join(shared, "digest"), "members")
+    discard(entries)
     wanted = cut_lineage(members.select("sid").distinct())
-    points = described.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    points = described.where("home IS NULL AND n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
     points = stored(points.join(wanted, "sid", "left_semi"), "points")
     sets = stored(set_table(docs, points.select("sid", "rep"), id_col, text_col, words), "sets")
     release(spark)
@@ -321,6 +411,7 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wor
     left = cut_lineage(left.join(mixed, "digest", "left_semi"))
     if not left.isEmpty():
         label = merge(tree_pairs(left.join(points.select("sid", "n", "fine"), "sid"), percent), label)
+    discard(members, points, sets)
     return label.withColumnRenamed("sid", "node")
 
 
@@ -330,9 +421,11 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, words: int, perce
         raise ValueError(f"partners at {percent} % may lie two size classes apart")
     described = stored(describe(docs, id_col, text_col, words, percent), "described")
     label = links(docs, described, id_col, text_col, words, percent)
-    narrow = described.select("id", "k_text", "n", "sid")
+    narrow = described.where("home IS NULL").select("id", "k_text", "n", "sid")
     marked = narrow.join(label, narrow["sid"] == label["node"], "left").select("id", "k_text", "n", F.coalesce("component", "sid").alias("component"))
     marked = cut_lineage(marked)
+    discard(described)
+    release(docs.sparkSession)
     least = marked.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
     least = cut_lineage(least.withColumnRenamed("component", "c"))
     return marked.join(least, marked["component"] == least["c"], "left").select("id", "k_text", "n", F.coalesce("least", "id").alias("component_id"))
