@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from umbraline.llm import bpe, decontaminate, jaccard_join, line_dedup, quality  # noqa: E402
-from umbraline.llm.common import stored, table  # noqa: E402
+from umbraline.llm.common import release, stored, table  # noqa: E402
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark)
     return docs
