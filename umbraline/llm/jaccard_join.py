@@ -31,7 +31,7 @@ table; only the two named columns are read. Hashes have 64 bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,27 +138,28 @@ def list_of(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Rows of documents (id, k_text, n, sid, point, fine): k_text tells texts of one id apart, sid names the set, point and
-    fine count its groups. Rows of slices (home, n, sids, digests): the sets of at most SLICE bytes of text, and the n
+    """Rows of documents (id, k_text, n, sid, point, fine, counts): k_text tells texts of one id apart, sid names the set, the
+    last three count its groups. Rows of slices (home, n, sids, digests): the sets of at most SLICE bytes of text, and the n
     digests of their groups, sorted, with the set of each; home numbers the slice."""
-    names = ["id", "k_text", "n", "sid", "point", "fine", "home", "sids", "digests"]
+    names = ["id", "k_text", "n", "sid", "point", "fine", "counts", "home", "sids", "digests"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in sliced(batch, 2, SLICE):
-                sizes, sids, points, fine, digests = [], [], [], [], []
+                sizes, sids, points, fine, counts, digests = [], [], [], [], [], []
                 for own in sets_of(part.column(2), words):
                     sizes.append(len(own))
                     sids.append(int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0]) if len(own) else None)
                     points.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32))
                     fine.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=FINE).astype("<i4").tobytes())
+                    counts.append(group_counts(own).tobytes())
                     digests.append(all_digests(own, percent) >> np.uint64(64 - BITS) if len(own) else np.zeros(0, np.uint64))
                 rows = len(sizes)
                 kinds = [pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), list_of(points, np.int32), pa.array(fine, pa.binary()),
-                     *(pa.nulls(rows, k) for k in kinds)], names=names)
+                     pa.array(counts, pa.binary()), *(pa.nulls(rows, k) for k in kinds)], names=names)
                 # One row per slice; a set that the slice holds twice is there once.
                 first = {sid: k for k, sid in reversed(list(enumerate(sids))) if sid is not None}
                 held = list(first.items())
@@ -168,14 +169,14 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                 blob = packed(np.diff(values[order], prepend=np.uint64(0)), owner[order])
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, part.column(0).type), pa.nulls(1, pa.int64()), pa.array([len(values)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
-                     pa.nulls(1, pa.binary()), pa.array([home], pa.int64()), pa.array([packed(np.array([sid for sid, _ in held], np.int64))], pa.binary()), pa.array([blob], pa.binary())],
+                     *[pa.nulls(1, pa.binary())] * 2, pa.array([home], pa.int64()), pa.array([packed(np.array([sid for sid, _ in held], np.int64))], pa.binary()), pa.array([blob], pa.binary())],
                     names=names)
                 home += 1
 
     key = docs.schema[id_col].dataType.simpleString()
     id_key, hashed = text_key(id_col, text_col)
     return docs.select(id_key.alias("id"), hashed, text_col).mapInArrow(
-        run, f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, home bigint, sids binary, digests binary")
+        run, f"id {key}, k_text bigint, n bigint, sid bigint, point array<int>, fine binary, counts binary, home bigint, sids binary, digests binary")
 
 
 def slice_digests(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -257,32 +258,32 @@ def most_common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(sid, counts, elements): the exact sets of the wanted (sid, rep), worked out again from the text of one document each."""
+    """(sid, elements): the exact sets of the wanted (sid, rep), worked out again from the text of one document each."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS), texts["id"].eqNullSafe(wanted["rep"])).select("sid", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in sliced(batch, 1, SLICE):
-            names, counts, sets = [], [], []
+            names, sets = [], []
             for sid, own in zip(part.column(0).to_pylist(), sets_of(part.column(1), words), strict=True):
                 name = int(signed(B.mix(np.array([B.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)))[0])
                 if name == sid:  # another document may share the id
                     names.append(sid)
-                    counts.append(group_counts(own).tobytes())
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "counts", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "elements"])
 
-    return map_arrow(joined, "sid bigint, counts binary, elements binary", run)
+    return map_arrow(joined, "sid bigint, elements binary", run)
 
 
-def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: first by the bound of the points, then on the exact sets."""
+def verified(pairs: DataFrame, points: DataFrame, exact: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) that link: first by the bounds of the points and of the finer counts, then on the exact sets, which are
+    worked out only for what is left."""
     one = points.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
     two = points.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
     need = F.expr(f"aggregate(zip_with(p_a, p_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) * {100 + percent} >= {percent} * (n_a + n_b)")
     near = cut_lineage(pairs.join(one, "a").join(two, "b").where(need).select("a", "b"))
 
-    def both(pairs: DataFrame, column: str) -> DataFrame:
+    def both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         return pairs.join(sets.select(F.col("sid").alias("a"), F.col(column).alias("s_a")), "a").join(
             sets.select(F.col("sid").alias("b"), F.col(column).alias("s_b")), "b").select("a", "b", "s_a", "s_b")
 
@@ -293,7 +294,9 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int)
             keep.append((100 + percent) * most_common(x, y) >= percent * int(x.sum() + y.sum()))
         return batch.select([0, 1]).filter(pa.array(keep))
 
-    full = both(cut_lineage(map_arrow(both(near, "counts"), "a bigint, b bigint", bounded)), "elements")
+    left = cut_lineage(map_arrow(both(near, points, "counts"), "a bigint, b bigint", bounded))
+    ends = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = stored(exact(points.join(ends, "sid", "left_semi").select("sid", "rep")), "sets")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -304,7 +307,9 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int)
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         return batch.select([0, 1]).filter(pa.array(keep))
 
-    return map_arrow(full, "a bigint, b bigint", run)
+    found = cut_lineage(map_arrow(both(left, sets, "elements"), "a bigint, b bigint", run))
+    discard(sets)
+    return found
 
 
 class CountTree:
@@ -382,16 +387,15 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wor
     members = stored(entries.join(shared, "digest"), "members")
     discard(entries)
     wanted = cut_lineage(members.select("sid").distinct())
-    points = described.where("home IS NULL AND n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    points = described.where("home IS NULL AND n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("point", "fine", "counts")))
     points = stored(points.join(wanted, "sid", "left_semi"), "points")
-    sets = stored(set_table(docs, points.select("sid", "rep"), id_col, text_col, words), "sets")
     release(spark)
 
     label = wanted.select("sid", F.col("sid").alias("component"))
 
     def merge(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Verify the pairs; links between components merge them."""
-        found = verified(pairs.distinct(), points, sets, percent)
+        found = verified(pairs.distinct(), points, lambda wanted: set_table(docs, wanted, id_col, text_col, words), percent)
         one, two = (label.select(F.col("sid").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
         into = components(found.join(one, "a").join(two, "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
         return cut_lineage(label.join(into, "component", "left").select("sid", F.coalesce("into", "component").alias("component")))
@@ -411,7 +415,7 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wor
     left = cut_lineage(left.join(mixed, "digest", "left_semi"))
     if not left.isEmpty():
         label = merge(tree_pairs(left.join(points.select("sid", "n", "fine"), "sid"), percent), label)
-    discard(members, points, sets)
+    discard(members, points)
     return label.withColumnRenamed("sid", "node")
 
 
