@@ -207,3 +207,20 @@ def test_more_unknown_never_lowers_the_estimate(spark):
     b = classify(spark, cell_table(spark, w, h, lambda x, y: worse[(x, y)]), points, w, h, 30.0)
     sun = lambda r: 1 - (r.shade_fraction or 0)
     assert all(sun(b[i]) >= sun(a[i]) - 1e-12 for i in a)
+
+
+def test_tiles_with_halos_give_what_one_tile_gives(spark):
+    """Rays and shadows cross the borders of small tiles; holes, missing cells and a grid that is no multiple of a tile."""
+    rng = random.Random(12)
+    w, h = 83, 71
+    rows = [(0, x, y, y * w + x, rng.randint(0, 60), 200 if rng.random() < 0.01 else 255, 0.0, g := rng.uniform(0, 30) if rng.random() < 0.05 else 0.0, g + rng.choice([0, 3]))
+            for y in range(h) for x in range(w) if rng.random() > 0.005]
+    cells = spark.createDataFrame(rows, CELL)
+    grids = spark.createDataFrame([(0, w, h, 0.0, h * 4.0, 4.0, 0.5, 33.0), (1, 5, 5, 0.0, 0.0, 4.0, 0.5, None)], GRID)
+    points = spark.createDataFrame([(i, 0, rng.uniform(-5, w * 4 + 5), rng.uniform(-5, h * 4 + 5), rng.uniform(0, 360), rng.choice([4.0, 7.0, 12.0])) for i in range(300)], POINT)
+    frames = spark.createDataFrame([(i, 0, rng.uniform(0, 360), rng.choice([6.0, 9.0, 30.0])) for i in range(40)], "frame_id int, area_id int, azimuth_deg double, altitude_deg double")
+    for mode in ("absolute", "legacy"):
+        seen = [sorted(map(str, rays.classify_points(points, cells, grids, mode, side=side).collect())) for side in (256, 16)]
+        assert seen[0] == seen[1] and len(seen[0]) == 300
+    cast = [sorted(map(tuple, shadows.ground_shadow(cells, grids, frames, side=side).collect())) for side in (256, 16)]
+    assert cast[0] == cast[1] and len(cast[0]) == 40 * len(rows)

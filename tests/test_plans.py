@@ -24,3 +24,25 @@ def test_scoring_shuffles_samples_once(spark):
     assert "hashpartitioning(route_id, journey" not in plan
     read = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "l_orderkey" in line]
     assert read and all("l_comment" not in line and "l_quantity" not in line for line in read)
+
+
+def without_broadcasts(spark, make):
+    """The plan of a frame where no side is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ray_steps_are_not_shuffled(spark):
+    """Steps meet the tile of their ray behind the join; only whole rays are combined afterwards."""
+    plan = without_broadcasts(spark, lambda: catalog.QUERIES["predict_observations"](spark, FOLDER))
+    above = plan.split("Generate explode(CASE WHEN (_steps")[0]
+    assert "Generate explode(CASE WHEN (_steps" in plan and above.count("Exchange ") == 1 and "Join" not in above
+
+
+def test_shadow_offsets_are_not_shuffled(spark):
+    plan = without_broadcasts(spark, lambda: catalog.QUERIES["ground_shadow"](spark, FOLDER))
+    above = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "Exchange" not in above and "offsets" not in above

@@ -76,7 +76,7 @@ def test_cell_planes(spark, tmp_path):
     cells, grids = gr.read_cell_planes(spark, str(tmp_path))
     rows = {r.cell_no: r for r in cells.collect()}
     assert len(rows) == 6 and rows[5].height_steps == 255 and (rows[4].x, rows[4].y) == (1, 1) and rows[1].terrain == 1.5
-    assert rays.usable_cells(cells).count() == 5
+    assert cells.filter(rays.usable()).count() == 5
     assert grids.first().north == 8
     summary = grids.select("area_id", "width", "height")
     gr.write_cells(cells, summary, str(tmp_path / "pack"))
