@@ -177,10 +177,31 @@ def test_densify_counts(spark):
     assert len(points) == 41 and points[0].y == lat and points[-1].y == pytest.approx(lat + step)
 
 
-def test_oversize_routes_are_rejected_whole(spark):
-    df = spark.range(30).select((F.col("id") % 2).alias("route_id"), F.col("id").alias("seq")).filter("route_id = 0 OR seq < 10")
-    kept, over = geometry.split_oversize_routes(df, limit=10)
-    assert {r.route_id for r in kept.collect()} == {1} and [r.route_id for r in over.collect()] == [0]
+def test_chunks_give_what_whole_routes_give(spark):
+    """Running sums, sample numbers and resampled points do not depend on where a route is cut; gaps in seq and lone vertices too."""
+    rng = random.Random(21)
+    rows = [(r, s, float(rng.choice([0, 0, 3, 9, 40]) + s), float(rng.randint(0, 30))) for r, n in enumerate((1, 2, 7, 8, 9, 60, 200)) for s in sorted(rng.sample(range(3 * n), n))]
+    rows += [(r, s + 1, x, y) for r, s, x, y in rows if r == 5 and (r, s + 1) not in {(q, t) for q, t, _, _ in rows}][:9]   # segments of no length
+    df = spark.createDataFrame(rows, "route_id int, seq int, x double, y double")
+
+    def made(chunk):
+        segs = geometry.segments(df, x="x", y="y", metric="planar", lone=True, chunk=chunk)
+        frames = [segs.drop("chunk"), geometry.densify(segs).drop("chunk"), geometry.densify(segs, skip_zero=True).drop("chunk"), geometry.resample(segs)]
+        return [sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in f.collect()) for f in frames]
+
+    cut, whole = made(7), made(4_096)
+    assert cut == whole and len(whole[0]) == sum(1 for _ in rows) - 7 + 1
+    numbers = {}
+    for r in geometry.densify(geometry.segments(df, x="x", y="y", metric="planar", chunk=7)).collect():
+        numbers.setdefault(r.route_id, []).append(r.sample_idx)
+    assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
+
+
+def test_a_long_route_is_spread_over_tasks(spark):
+    df = spark.range(200_000).selectExpr("id DIV 1000000 AS route_id", "CAST(id AS INT) AS seq", "CAST(id * 2 AS DOUBLE) AS x", "0D AS y")
+    segs = geometry.segments(df, x="x", y="y", metric="planar")
+    tasks = segs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("start_m").alias("far")).collect()
+    assert len(tasks) > 8 and max(t.n for t in tasks) < 50_000 and max(t.far for t in tasks) == 2.0 * 199_998
 
 
 def test_passages_pace_and_percent(spark):

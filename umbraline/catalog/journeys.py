@@ -239,16 +239,15 @@ def complete_coverage(src: Source) -> DataFrame:
     return profile.complete_coverage(_spans(src), ["route_id"])
 
 
-@query("upcoming_exposure", f"""{SPAN_CTES.replace('spans AS (', 'spans AS MATERIALIZED (')},{given('positions')[5:]},
-spot AS (SELECT position_id, p.route_id, least(600000.0, distance_m) AS d FROM positions p),
-now AS (SELECT a.*, s.span_no, s.exposure, s.end_m, row_number() OVER (PARTITION BY position_id ORDER BY span_no) AS rn
-  FROM spot a JOIN (SELECT *, max(span_no) OVER (PARTITION BY route_id) AS last FROM spans) s ON s.route_id = a.route_id
-   AND (s.end_m > d + 0.01 OR (s.span_no = s.last AND d <= s.end_m + 0.01))),
-later AS (SELECT n.position_id, min(s.span_no) AS nxt FROM now n JOIN spans s ON s.route_id = n.route_id AND s.span_no > n.span_no AND s.exposure <> n.exposure WHERE n.rn = 1 GROUP BY n.position_id)
+@query("upcoming_exposure", f"""{given('sections', 'positions')},{SPAN_CTES[len(given('sections')) + 1:]},
+s0 AS (SELECT *, lag(end_m) OVER w AS before, lag(exposure) OVER w AS held, lead(span_no) OVER w IS NULL AS final FROM spans WINDOW w AS (PARTITION BY route_id ORDER BY span_no)),
+s1 AS (SELECT *, lead(CASE WHEN held <> exposure THEN exposure END IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY span_no) AS later FROM s0),
+spot AS (SELECT position_id, route_id, least(600000.0, distance_m) AS d FROM positions),
+hits AS (SELECT a.position_id, s.exposure, s.end_m, s.later, s.span_no FROM spot a JOIN s1 s ON s.route_id = a.route_id
+  WHERE (a.d < s.end_m - 0.01 AND (before IS NULL OR a.d >= before - 0.01)) OR (final AND a.d <= s.end_m + 0.01 AND a.d >= coalesce(before, 0) - 0.01))
 SELECT a.position_id, CASE WHEN a.d >= 599999.99 THEN 'unknown' ELSE coalesce(n.exposure, 'unknown') END AS exposure,
-  CASE WHEN a.d >= 599999.99 THEN 0.0 ELSE coalesce(n.end_m - a.d, 600000.0 - a.d) END AS exposure_left_m, CASE WHEN a.d < 599999.99 THEN s.exposure END AS next_exposure
-FROM spot a LEFT JOIN now n ON n.position_id = a.position_id AND n.rn = 1 LEFT JOIN later l ON l.position_id = a.position_id
-LEFT JOIN spans s ON s.route_id = a.route_id AND s.span_no = l.nxt""")
+  CASE WHEN a.d >= 599999.99 THEN 0.0 ELSE coalesce(n.end_m - a.d, 600000.0 - a.d) END AS exposure_left_m, CASE WHEN a.d < 599999.99 THEN n.later END AS next_exposure
+FROM spot a LEFT JOIN hits n ON n.position_id = a.position_id""")
 def upcoming_exposure(src: Source) -> DataFrame:
     spans = profile.complete_coverage(_spans(src), ["route_id"])
     positions = src.view("positions").select("position_id", "route_id", "distance_m", F.lit(ROUTE_M).alias("route_m"))
@@ -327,8 +326,11 @@ m0 AS (SELECT p.position_id, p.route_id, v.seq, v.along - v.hop AS sofar, v.hop,
 m1 AS (SELECT *, CASE WHEN (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) > 0 THEN greatest(0.0, least(1.0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) ELSE 0.0 END AS f FROM m0),
 m2 AS (SELECT *, sqrt((ax + (bx - ax) * f) * (ax + (bx - ax) * f) + (ay + (by_ - ay) * f) * (ay + (by_ - ay) * f)) AS away FROM m1),
 m3 AS (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY floor(away * 1e6), seq) AS rn FROM m2),
-m4 AS (SELECT position_id, m3.route_id, away, CASE WHEN total > 0 THEN (sofar + hop * f) / total * r.distance_m ELSE 0.0 END AS along FROM m3 JOIN reported r ON r.route_id = m3.route_id WHERE rn = 1)
-SELECT position_id, {r6('away')} AS away_m FROM m4""")
+m4 AS (SELECT position_id, m3.route_id, away, CASE WHEN total > 0 THEN (sofar + hop * f) / total * r.distance_m ELSE 0.0 END AS along FROM m3 JOIN reported r ON r.route_id = m3.route_id WHERE rn = 1),
+k AS (SELECT m4.position_id, min(s.dir_idx) AS hit FROM m4 JOIN steps s ON s.route_id = m4.route_id AND {r6('s.end_m')} > {r6('along')} + 0.01 GROUP BY m4.position_id),
+n AS (SELECT route_id, count(*) AS many FROM steps GROUP BY route_id)
+SELECT m4.position_id, {r6('away')} AS away_m, {r6('along')} AS along_m, CAST(coalesce(k.hit, n.many - 1) AS INT) AS step_idx
+FROM m4 LEFT JOIN k ON k.position_id = m4.position_id LEFT JOIN n ON n.route_id = m4.route_id""")
 def match_positions(src: Source) -> DataFrame:
-    out = progress.match_positions(src.view("positions"), _geo_segments(src), src.view("reported"))
-    return out.select("position_id", half_up("away_m", 6).alias("away_m"))
+    out = progress.match_positions(src.view("positions"), _geo_segments(src), src.view("reported"), _steps(src))
+    return out.select("position_id", half_up("away_m", 6).alias("away_m"), half_up("along_m", 6).alias("along_m"), F.col("step_idx").cast("int").alias("step_idx"))

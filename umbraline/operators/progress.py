@@ -11,14 +11,14 @@ from ..functions.basics import clamp
 # Planar metres per degree used for map matching.
 METRES_PER_LON, METRES_PER_LAT = 111_320.0, 110_540.0
 NEAR_M = 0.01
+BUCKET_M = 500.0
 
 
 def vertex_distances(segs: DataFrame, key: str = "route_id") -> DataFrame:
     """Distance along the route of every vertex: key, idx, along_m, total_m."""
-    last = F.lead("seg_idx").over(W.partitionBy(key).orderBy("seg_idx")).isNull()
     start = F.struct(F.col("seg_idx").alias("idx"), F.col("start_m").alias("along_m"))
     end = F.struct((F.col("seg_idx") + 1).alias("idx"), F.col("total_m").alias("along_m"))
-    points = F.when(last, F.array(start, end)).otherwise(F.array(start))
+    points = F.when(F.col("last"), F.array(start, end)).otherwise(F.array(start))
     return segs.withColumn("p", points).select(key, "total_m", F.explode("p").alias("p")).select(key, "p.*", "total_m")
 
 
@@ -81,43 +81,56 @@ def step_arrays(steps: DataFrame, key: str = "route_id") -> DataFrame:
 
 
 def journey_progress(active: DataFrame, steps: DataFrame, key: str = "route_id") -> DataFrame:
-    """Current and next step of each (route, active_idx) row, and what remains."""
-    joined = active.join(step_arrays(steps, key), key)
-    index = clamp(F.floor(F.coalesce(F.col("active_idx"), F.lit(0))), 0, F.size("steps") - 1).cast("int")
-    joined = joined.withColumn("active_idx", index).withColumns({
-        "now": F.get("steps", F.col("active_idx")), "next": F.get("steps", F.col("active_idx") + 1)})
+    """Current and next step of each (route, active_idx) row, and what remains. A row meets its one step by number."""
+    line = W.partitionBy(key).orderBy("dir_idx")
+    numbered = steps.select(
+        F.col(key).alias("_key"), (F.row_number().over(line) - 1).alias("_no"), "instruction", F.lead("instruction").over(line).alias("next_instruction"),
+        "start_m", "start_s", "route_m", "route_s")
+    many = steps.groupBy(F.col(key).alias("_route")).agg(F.count(F.lit(1)).alias("_many"))
+    placed = active.join(many, active[key] == many["_route"]).withColumn(
+        "active_idx", clamp(F.floor(F.coalesce(F.col("active_idx"), F.lit(0))), 0, F.col("_many") - 1).cast("int"))
+    joined = placed.join(numbered, (placed[key] == numbered["_key"]) & (placed["active_idx"] == numbered["_no"]))
     joined = joined.withColumns({
-        "remaining_m": F.greatest(F.lit(0.0), F.col("route_m") - F.col("now.start_m")),
-        "remaining_s": F.greatest(F.lit(0.0), F.col("route_s") - F.col("now.start_s"))})
+        "remaining_m": F.greatest(F.lit(0.0), F.col("route_m") - F.col("start_m")), "remaining_s": F.greatest(F.lit(0.0), F.col("route_s") - F.col("start_s"))})
     return joined.select(
-        *active.columns, F.col("now.instruction").alias("instruction"), F.col("next.instruction").alias("next_instruction"),
-        F.col("now.start_m").alias("start_m"), F.col("now.start_s").alias("start_s"), "remaining_m", "remaining_s",
+        *active.columns, "instruction", "next_instruction", "start_m", "start_s", "remaining_m", "remaining_s",
         ((F.col("remaining_m") <= NEAR_M) & (F.col("remaining_s") <= NEAR_M)).alias("complete"), "route_m")
 
 
 def upcoming_exposure(positions: DataFrame, spans: DataFrame, key: str = "route_id", at: str = "distance_m",
-                      route_m: str = "route_m") -> DataFrame:
+                      route_m: str = "route_m", bucket_m: float = BUCKET_M) -> DataFrame:
     """State under each position, metres left in it, and the next different state.
 
     ``spans`` (span_no, exposure, start_m, end_m) must cover each route gaplessly.
+
+    An as-of window: spans and positions meet by route and stretch of ``bucket_m``, sorted by distance, and a position takes the
+    nearest span end ahead of it. A span is copied to the stretches that it answers for, so routes of any length spread out.
     """
-    packed = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("span_no", "exposure", "end_m"))).alias("_spans"))
-    joined = positions.join(packed, key, "left").withColumn("_spans", F.coalesce("_spans", F.expr(
-        "CAST(array() AS array<struct<span_no:bigint,exposure:string,end_m:double>>)")))
-    here = clamp(F.greatest(F.lit(0.0), F.coalesce(F.col(at), F.lit(0.0))), 0.0, route_m)
-    joined = joined.withColumn("_at", here)
-    size = F.size("_spans")
-    ahead = F.filter("_spans", lambda s, i: (s["end_m"] > F.col("_at") + NEAR_M) | ((i == size - 1) & (F.col("_at") <= s["end_m"] + NEAR_M)))
-    joined = joined.withColumn("_ahead", ahead).withColumn("_now", F.get("_ahead", F.lit(0)))
+    line = W.partitionBy(key).orderBy("span_no")
+    back = W.partitionBy(key).orderBy(F.desc("span_no"))
+    marked = spans.select(
+        key, "span_no", "exposure", "end_m", F.coalesce(F.lag("end_m").over(line), F.lit(0.0)).alias("_from"), F.lead("span_no").over(line).isNull().alias("_last"),
+        F.coalesce(F.lag("exposure").over(line) != F.col("exposure"), F.lit(False)).alias("_fresh"))
+    change = F.last(F.when(F.col("_fresh"), F.col("exposure")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1))
+    marked = marked.withColumn("_later", change)
+    stretch = lambda metres: F.floor(metres / bucket_m)
+    # A span answers for positions up to NEAR_M before its end; the last one of a route to NEAR_M beyond, that place included.
+    answers = marked.select(
+        key, F.explode(F.sequence(stretch(F.col("_from") - NEAR_M), stretch(F.col("end_m") + NEAR_M))).alias("_bucket"),
+        F.when(F.col("_last"), F.col("end_m") + NEAR_M).otherwise(F.col("end_m") - NEAR_M).alias("_at"), F.when(F.col("_last"), 0).otherwise(2).alias("_rank"),
+        F.struct("exposure", "end_m", F.col("_later").alias("later")).alias("_now"))
+    here = positions.withColumn("_at", clamp(F.greatest(F.lit(0.0), F.coalesce(F.col(at), F.lit(0.0))), 0.0, route_m))
+    both = here.withColumns({"_bucket": stretch(F.col("_at")), "_rank": F.lit(1)}).unionByName(answers, allowMissingColumns=True)
+    ahead = W.partitionBy(key, "_bucket").orderBy(F.desc("_at"), "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = both.withColumn("_now", F.last("_now", ignorenulls=True).over(ahead)).filter("_rank = 1")
     finished = (F.col(route_m) <= NEAR_M) | (F.col("_at") >= F.col(route_m) - NEAR_M)
     state = F.coalesce(F.col("_now.exposure"), F.lit("unknown"))
-    later = F.get(F.filter("_ahead", lambda s: s["exposure"] != F.col("_now.exposure")), F.lit(0))
     left = F.greatest(F.lit(0.0), F.coalesce(F.col("_now.end_m"), F.col(route_m)) - F.col("_at"))
     return joined.withColumns({
         "exposure": F.when(finished, "unknown").otherwise(state),
         "exposure_left_m": F.when(finished, 0.0).otherwise(left),
-        "next_exposure": F.when(~finished, later["exposure"]),
-    }).drop("_spans", "_at", "_ahead", "_now")
+        "next_exposure": F.when(~finished, F.col("_now.later")),
+    }).drop("_at", "_bucket", "_rank", "_now")
 
 
 def match_positions(positions: DataFrame, segs: DataFrame, routes: DataFrame, steps: DataFrame | None = None,

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.basics import half_up, holds, is_finite
 from ..functions.geo import haversine_m
 from ..session import cut_lineage
-from .geometry import DUPLICATE_SAMPLES, MAX_POINTS, resample, reverse_routes, segments, span_m
+from .geometry import DUPLICATE_SAMPLES, resample, reverse_routes, segments, span_m
 
 # Fixed values.
+MAX_POINTS = 10_000  # vertices of a walkable shape
 MAX_TRIP_M, MAX_TRIP_S = 10_000.0, 14_400.0
 MAX_DIRECTIONS, MAX_TEXT, MAX_TRAVEL_TYPE = 512, 500, 40
 END_TOLERANCE_M, LENGTH_SLACK_M, LENGTH_SLACK = 100.0, 100.0, 0.15
