@@ -237,6 +237,15 @@ def test_rows_given_twice_are_one_document_to_line_runs(spark):
     assert line_dedup.repeated_lines(frame, "doc_id", "text").count() == 92
 
 
+def test_runs_inside_each_other_are_merged(spark):
+    """Runs that lie in each other: two documents with 200 blank lines before a long one."""
+    long = "\n" * 200 + " ".join(f"w{j}" for j in range(40))
+    rows = [(1, long), (2, "own line\n" + long + "\nend"), (3, "\n\n\n")]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (201, 0), 2: (203, 201), 3: (4, 0)}
+    assert [r.text for r in line_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id = 2").collect()] == ["own line\nend"]
+
+
 def test_pipeline_equals_the_plain_stages(spark, tmp_path, texts):
     import corpus_pipeline
     import tiktoken

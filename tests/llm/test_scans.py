@@ -151,6 +151,14 @@ def test_damaged_archives_are_refused():
             warc.parse_record(bad)
 
 
+def plain_offsets(plain, text, ids):
+    """Starts and ends in code points from the bytes of the tokens, as 32-bit numbers."""
+    char_of = [n for n, c in enumerate(text) for _ in c.encode()]
+    ends = np.cumsum([len(plain.decode_single_token_bytes(i)) for i in ids], dtype=int)
+    starts = [char_of[e - len(plain.decode_single_token_bytes(i))] for e, i in zip(ends, ids, strict=True)]
+    return np.array([*starts, *(char_of[e - 1] + 1 for e in ends)], "<i4").tobytes()
+
+
 def test_tokens_equal_the_rank_file(odd_docs, no_docs, texts):
     import tiktoken
 
@@ -159,6 +167,7 @@ def test_tokens_equal_the_rank_file(odd_docs, no_docs, texts):
         text = texts[6 if r.doc_id is None else r.doc_id] or ""
         ids = plain.encode_ordinary(text)
         assert (r.n_tokens, r.ids, r.ids_sha256, r.decoded_sha256) == (len(ids), ids, brute.sha(" ".join(map(str, ids))), brute.sha(text))
+        assert r.offsets_sha256 == brute.sha(plain_offsets(plain, text, ids))
     assert bpe.digests(no_docs, RANKS, PATTERN).collect() == []
 
 

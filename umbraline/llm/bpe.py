@@ -76,7 +76,7 @@ class Coder:
         byte_of = {c: b for b, c in enumerate(self.letters)}
         self.token_bytes = {v: bytes(byte_of[c] for c in k) for k, v in self.model.get_vocab().items()}
         self.spelling = {b: c for b, c in enumerate(self.letters)}
-        self.memo: dict[str, tuple[bytes, str, bytes]] = {}
+        self.memo: dict[str, tuple[bytes, str, bytes, bytes, bytes]] = {}
 
     def spelled(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.spelling)
@@ -85,14 +85,22 @@ class Coder:
         """Bytes of the ids; a character split over tokens is whole again once its bytes stand together."""
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def coded(self, pieces: list[str]) -> Iterator[tuple[bytes, str, bytes]]:
-        """Packed ids, ids in decimal and decoded bytes of each piece."""
-        for x in self.model.encode_batch_fast([self.spelled(p) for p in pieces], add_special_tokens=False):
-            ids = x.ids
-            yield array("i", ids).tobytes(), " ".join(map(str, ids)), self.decode(ids)
-
-    def encode(self, text: str) -> tuple[bytes, str, bytes]:
-        """Packed ids, ids in decimal, and the bytes that the ids decode to."""
+    def coded(self, pieces: list[str]) -> Iterator[tuple[bytes, str, bytes, bytes, bytes]]:
+        """Packed ids, ids in decimal, decoded bytes, and packed first and last-but-one code points of each piece's tokens."""
+        for p, x in zip(pieces, self.model.encode_batch([self.spelled(p) for p in pieces], add_special_tokens=False), strict=True):
+            ids, spans = x.ids, x.offsets
+            if len(p.encode()) != len(p):
+                spans = self.spans(p, spans)
+            yield array("i", ids).tobytes(), " ".join(map(str, ids)), self.decode(ids), array("i", [a for a, _ in spans]).tobytes(), array("i", [b for _, b in spans]).tobytes()
+
+    @staticmethod
+    def spans(piece: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Byte offsets of tokens as code points; a token with part of a character covers that character."""
+        char_of = [n for n, c in enumerate(piece) for _ in range(len(c.encode()))]
+        return [(char_of[a], char_of[b - 1] + 1) for a, b in spans]
+
+    def encode(self, text: str) -> tuple[bytes, str, bytes, np.ndarray, np.ndarray]:
+        """Packed ids, ids in decimal, the bytes that the ids decode to, and start and end of each id in code points."""
         pieces, out = self.split(text), []
         for at in range(0, len(pieces), MEMO_PIECES):  # a vast text of ever new pieces: in parts
             part = pieces[at:at + MEMO_PIECES]
@@ -105,20 +113,10 @@ class Coder:
                     self.memo.clear()
                 self.memo.update((p, v) for p, v in learned.items() if len(p) <= MEMO_CHARS)
             out += found
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out]), b"".join([x[2] for x in out])
-
-    def offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids with the code points that each covers; a token with part of a character covers that character."""
-        ids, starts, ends, at = [], [], [], 0
-        for piece in self.split(text):
-            char_of = [n for n, c in enumerate(piece) for _ in range(len(c.encode()))]
-            coded = self.model.encode(self.spelled(piece), add_special_tokens=False)
-            ids += coded.ids
-            for a, b in coded.offsets:
-                starts.append(at + char_of[a])
-                ends.append(at + char_of[b - 1] + 1)
-            at += len(piece)
-        return ids, starts, ends
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        base = np.repeat(np.cumsum(size, dtype=np.int32) - size, np.fromiter((len(x[0]) // 4 for x in out), np.int32, len(out)))
+        starts, ends = (np.frombuffer(b"".join([x[k] for x in out]), np.int32) + base for k in (3, 4))
+        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out]), b"".join([x[2] for x in out]), starts, ends
 
 
 @lru_cache(maxsize=2)
@@ -127,18 +125,20 @@ def coder(ranks_path: str, pattern: str) -> Coder:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per document: number of ids, digest of the ids in decimal, digest of the decoded bytes, and the ids if asked for."""
+    """One row per document: number of ids, digest of the ids in decimal, digest of the decoded bytes, digest of the offsets (all
+    starts, then all ends, in code points, as 32-bit little-endian numbers), and the ids if asked for."""
 
     def one(own: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, ids_sha, raw_sha, packed = [], [], [], []
+        counts, ids_sha, raw_sha, spans_sha, packed = [], [], [], [], []
         for text in strings(batch.column(1)):
-            ids, decimal, raw = own.encode(text)
+            ids, decimal, raw, starts, ends = own.encode(text)
             counts.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
             raw_sha.append(hashlib.sha256(raw).hexdigest())
+            spans_sha.append(hashlib.sha256(starts.tobytes() + ends.tobytes()).hexdigest())
             if with_ids:
                 packed.append(ids)
-        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())]
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(spans_sha, pa.string())]
         if with_ids:
             ends = np.cumsum([0, *counts]).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))))
@@ -152,8 +152,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         own.memo.clear()  # a waiting worker should hold little
 
     key = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -167,8 +167,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = coder(ranks_path, pattern)
-        out = [own.offsets(t) for t in strings(batch.column(kept.index(text_col)))]
-        lists = [pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in range(3)]
+        out = [own.encode(t) for t in strings(batch.column(kept.index(text_col)))]
+        lists = [pa.array([np.frombuffer(x[0], np.int32) for x in out], pa.list_(pa.int32())), *(pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in (3, 4))]
         return pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*kept, *added])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in added)])

@@ -67,7 +67,7 @@ def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
     part = W.partitionBy(*KEY, "island")
     answers = events.select(
         *KEY, "n", "asks",
-        F.min(F.when(~F.col("asks"), F.col("n"))).over(part.orderBy("ahead").rangeBetween(W.currentRow, W.unboundedFollowing)).alias("until"),
+        F.min(F.when(~F.col("asks"), F.col("n"))).over(part.orderBy(F.desc("ahead")).rangeBetween(W.unboundedPreceding, W.currentRow)).alias("until"),
         F.max(F.when(~F.col("asks"), F.col("n"))).over(part.orderBy("back").rangeBetween(W.unboundedPreceding, W.currentRow)).alias("since")).where("asks")
     forwards = answers.where("until >= n").select(*KEY, "n", (F.col("until") - F.col("n") + 1).alias("c"))
     backwards = answers.where("since <= n").select(*KEY, F.col("since").alias("n"), (F.col("n") - F.col("since") + 1).alias("c"))
@@ -82,7 +82,7 @@ def doubled(ranks: DataFrame, step: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(k_id, k_text, lines): the lines to delete, one row per document that has any."""
+    """(k_id, k_text, gone): the lines to delete as intervals, one row per document that has any."""
     lines, n = counted(repeated_lines(docs, id_col, text_col))
     runs, _ = counted(shortest_runs(lines, least))
     longest = runs.agg(F.max("c")).first()[0] or 0
@@ -103,8 +103,20 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = runs.groupBy(*own).agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first < last").drop("last")
     first, _ = counted(first.withColumnsRenamed({c: f"f_{c}" for c in own}))
     later = runs.join(first, [runs[c] == first[f"f_{c}"] for c in own]).where(F.col("first") < place())
-    gone = later.select(*KEY, F.explode(F.sequence(F.col("n"), F.col("n") + F.col("c") - 1)).alias("n"))
-    return gone.groupBy(*KEY).agg(F.collect_set("n").alias("lines"))
+    return merged(later)
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """(k_id, k_text, gone): the lines that runs (n, c) cover, as sorted intervals (start, end) that do not touch. Runs may lie
+    in each other by the thousand (blank lines before a long one), so they are merged before anything is said per line."""
+    from pyspark.sql import Window as W
+
+    ends = runs.groupBy(*KEY, "n").agg((F.col("n") + F.max("c") - 1).alias("end"))
+    doc = W.partitionBy(*KEY).orderBy("n")
+    reach = F.max("end").over(doc.rowsBetween(W.unboundedPreceding, -1))
+    fresh = ends.withColumn("fresh", F.when(reach.isNull() | (F.col("n") > reach + 1), 1).otherwise(0))
+    islands = fresh.withColumn("island", F.sum("fresh").over(doc)).groupBy(*KEY, "island").agg(F.min("n").alias("start"), F.max("end").alias("end"))
+    return islands.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
 
 def with_kept(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -113,10 +125,14 @@ def with_kept(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
     id_key, hashed = text_key(id_col, text_col)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_key.alias("k_id"), hashed.alias("k_text"), F.col(text_col).alias("whole"))
     joined = rows.join(gone, rows["k_id"].eqNullSafe(gone["g_id"]) & (rows["k_text"] == gone["g_text"]), "left")
-    kept = F.when(F.col("lines").isNull(), F.col("whole")).otherwise(
-        F.array_join(F.filter(F.split("whole", "\n"), lambda x, n: ~F.array_contains("lines", n)), "\n"))
-    total = F.when(F.col("whole").isNull(), 0).otherwise(F.size(F.split("whole", "\n")))
-    return joined.select("row", kept.alias("kept_text"), total.cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
+    # What stays lies before, between and behind the intervals; slices keep this linear in lines.
+    kept = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.expr("""array_join(flatten(transform(sequence(0, size(gone)), j -> slice(parts,
+        if(j = 0, 0, gone[greatest(j - 1, 0)].end + 1) + 1,
+        if(j = size(gone), size(parts), gone[least(j, size(gone) - 1)].start) - if(j = 0, 0, gone[greatest(j - 1, 0)].end + 1)))), '\n')"""))
+    joined = joined.withColumn("parts", F.split("whole", "\n"))
+    total = F.when(F.col("whole").isNull(), 0).otherwise(F.size("parts"))
+    removed = F.aggregate("gone", F.lit(0), lambda s, g: s + g["end"] - g["start"] + 1)
+    return joined.select("row", kept.alias("kept_text"), total.cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
