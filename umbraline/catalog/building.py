@@ -24,21 +24,36 @@ def rectangle_edges(df: DataFrame, xa: str, ya: str, xb: str, yb: str, keys: lis
     return polygons.ring_edges(df.select(*keys, ring.alias("ring")), keys).withColumn("ring_no", F.lit(0))
 
 
-@query("building_heights", f"""{given('outlines', 'cells', 'grids')},
+HEIGHTS_SQL = """
 spot AS (SELECT *, x * 4 + 2.0 AS cx, -(y * 4 + 2.0) AS cy, height_steps * 0.5 AS h FROM cells WHERE validity = 255 AND height_steps > 0),
 near AS (SELECT o.area_id, building_id, h, cx BETWEEN xa AND xb AND cy BETWEEN ya AND yb AS inside,
     sqrt(pow(greatest(xa - cx, 0, cx - xb), 2) + pow(greatest(ya - cy, 0, cy - yb), 2)) AS away
   FROM outlines o JOIN spot s ON s.area_id = o.area_id AND cx BETWEEN xa - 8 AND xb + 8 AND cy BETWEEN ya - 8 AND yb + 8),
 med AS (SELECT area_id, building_id, coalesce(median(h) FILTER (inside), median(h) FILTER (away <= 4)) AS m FROM near GROUP BY area_id, building_id),
-ras AS (SELECT area_id, building_id, floor(greatest(3, least(120, m)) / 0.5 + 0.5) * 0.5 AS raster_m FROM med WHERE m IS NOT NULL)
-SELECT o.area_id, o.building_id, CAST(CASE building_id % 6 WHEN 0 THEN 12.5 WHEN 1 THEN 12.19 ELSE CASE WHEN levels_tag = '3' THEN 9.0 ELSE coalesce(raster_m, 12.0) END END AS DOUBLE) AS height_m,
-  CASE WHEN building_id % 6 < 2 THEN 'explicit' WHEN levels_tag = '3' THEN 'levels' WHEN raster_m IS NOT NULL THEN 'raster' ELSE 'fallback' END AS height_source
-FROM outlines o LEFT JOIN ras USING (area_id, building_id)""")
-def building_heights(src: Source) -> DataFrame:
+ras AS (SELECT area_id, building_id, floor(greatest(3, least(120, m)) / 0.5 + 0.5) * 0.5 AS raster_m FROM med WHERE m IS NOT NULL),
+resolved AS (SELECT o.area_id, o.building_id, CAST(CASE building_id % 6 WHEN 0 THEN 12.5 WHEN 1 THEN 12.19 ELSE CASE WHEN levels_tag = '3' THEN 9.0 ELSE coalesce(raster_m, 12.0) END END AS DOUBLE) AS height_m,
+    CASE WHEN building_id % 6 < 2 THEN 'explicit' WHEN levels_tag = '3' THEN 'levels' WHEN raster_m IS NOT NULL THEN 'raster' ELSE 'fallback' END AS source
+  FROM outlines o LEFT JOIN ras USING (area_id, building_id))"""
+
+
+def _resolved(src: Source) -> DataFrame:
     outlines = src.view("outlines")
     edges = rectangle_edges(outlines, "xa", "ya", "xb", "yb", ["area_id", "building_id"]).withColumn("polygon_id", F.col("building_id"))
     raster = polygons.zonal_building_height(edges, src.view("cells"), src.view("grids"))
-    return footprints.resolve_building_heights(outlines, raster).select("area_id", "building_id", "height_m", "height_source")
+    return footprints.resolve_building_heights(outlines, raster)
+
+
+@query("building_heights", f"""{given('outlines', 'cells', 'grids')},{HEIGHTS_SQL}
+SELECT area_id, building_id, height_m, source AS height_source FROM resolved""")
+def building_heights(src: Source) -> DataFrame:
+    return _resolved(src).select("area_id", "building_id", "height_m", "height_source")
+
+
+@query("height_source_counts", f"""{given('outlines', 'cells', 'grids')},{HEIGHTS_SQL}
+SELECT area_id, count(*) AS buildings, count(*) FILTER (source = 'explicit') AS explicit, count(*) FILTER (source = 'levels') AS levels,
+  count(*) FILTER (source = 'raster') AS raster, count(*) FILTER (source = 'fallback') AS fallback FROM resolved GROUP BY area_id""")
+def height_source_counts(src: Source) -> DataFrame:
+    return footprints.height_source_counts(_resolved(src))
 
 
 def _blocks(src: Source) -> tuple[DataFrame, DataFrame]:
@@ -91,10 +106,13 @@ def footprint_point_shade(src: Source) -> DataFrame:
 @query("footprint_route_score", f"""{given('buildings', 'route_vertices', 'routes')},{SEGMENT_SQL},
 timed AS (SELECT row_number() OVER () AS ray_id, s.area_id, s.route_id, easting + 0.013 AS px, northing - 0.017 AS py, piece_m,
     CAST(floor((departure_ms + mid_fraction * total_m / 1.2 * 1000) / 60000) AS BIGINT) AS minute FROM samples s JOIN routes r ON r.route_id = s.route_id WHERE length_positive),
-pts AS (SELECT *, {SUN_SQL} FROM timed),{shade_ctes('pts')}
-SELECT route_id, {r6('sum(piece_m)')} AS distance_m, {r6('sum(piece_m / 1.2)')} AS duration_s, {r6('sum(CASE WHEN daylight THEN piece_m / 1.2 * direct ELSE 0 END)')} AS sun_s,
-  {r6('sum(CASE WHEN daylight THEN piece_m / 1.2 * best ELSE 0 END)')} AS best_s, {r6('sum(CASE WHEN daylight THEN piece_m / 1.2 * worst ELSE 0 END)')} AS worst_s,
-  sum(CASE WHEN daylight THEN piece_m ELSE 0 END) > 0 AS is_daylight FROM lit GROUP BY route_id""".replace("WHERE length_positive", "WHERE piece_m > 1e-9"))
+pts AS (SELECT *, {SUN_SQL} FROM timed),{shade_ctes('pts')},
+sums AS (SELECT route_id, sum(piece_m) AS m, sum(CASE WHEN daylight THEN piece_m / 1.2 ELSE 0 END) AS up, sum(CASE WHEN daylight THEN piece_m / 1.2 * direct ELSE 0 END) AS su,
+    sum(CASE WHEN daylight THEN piece_m / 1.2 * best ELSE 0 END) AS be, sum(CASE WHEN daylight THEN piece_m / 1.2 * worst ELSE 0 END) AS wo FROM lit GROUP BY route_id)
+SELECT r.route_id, {r6('coalesce(m, 0)')} AS distance_m, {r6('coalesce(m, 0) / 1.2')} AS duration_s, {r6('coalesce(su, 0)')} AS sun_s, {r6('coalesce(be, 0)')} AS best_s, {r6('coalesce(wo, 0)')} AS worst_s,
+  coalesce(up, 0) > 0 AS is_daylight, CASE WHEN up > 0 THEN {r6('greatest(0, least(100, (up - su) / up * 100))')} END AS shade_percent,
+  CASE WHEN m IS NOT NULL AND r.area_id IN (SELECT area_id FROM blk) THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage_percent
+FROM routes r LEFT JOIN sums USING (route_id)""".replace("WHERE length_positive", "WHERE piece_m > 1e-9"))
 def footprint_route_score(src: Source) -> DataFrame:
     blocks, edges = _blocks(src)
     samples = planar_samples(src).filter(F.col("piece_m") > 1e-9)
@@ -103,5 +121,6 @@ def footprint_route_score(src: Source) -> DataFrame:
         F.struct("route_id", "sample_idx").alias("point_id"), "route_id", "area_id", (F.col("easting") + 0.013).alias("px"), (F.col("northing") - 0.017).alias("py"),
         "piece_m", F.floor((F.col("departure_ms") + F.col("mid_fraction") * F.col("total_m") / footprints.WALKING_MPS * 1000) / 60_000).alias("minute"))
     shaded = footprints.point_shade(with_slot_sun(points), edges, blocks)
-    out = footprints.route_score(shaded, ["route_id"])
-    return out.select("route_id", *[half_up(c, 6).alias(c) for c in ("distance_m", "duration_s", "sun_s", "best_s", "worst_s")], "is_daylight")
+    out = footprints.route_score(shaded, ["route_id"], routes=routes)
+    return out.select("route_id", *[half_up(c, 6).alias(c) for c in ("distance_m", "duration_s", "sun_s", "best_s", "worst_s")], "is_daylight",
+                      half_up("shade_percent", 6).alias("shade_percent"), "coverage_percent")

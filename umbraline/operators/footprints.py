@@ -10,11 +10,11 @@ from ..functions.heights import (
     FALLBACK_HEIGHT_M, FALLBACK_SPREAD_M, MAX_TAGGED_LEVELS, RECEIVER_HEIGHT_M, STOREY_HEIGHT_M,
     bounded_positive, parsed_height_m, required_height, triangular_exceedance,
 )
-from .polygons import ray_hits
+from .outlines import ray_hits
 
 # Fixed values.
 WALKING_MPS = 1.2
-SHADE_FROM, SUN_UP_TO = 0.95, 0.05
+HEIGHT_SOURCES = ["explicit", "levels", "raster", "fallback"]
 
 
 def footprint_heights(buildings: DataFrame) -> DataFrame:
@@ -44,31 +44,40 @@ def resolve_building_heights(buildings: DataFrame, raster: DataFrame) -> DataFra
         .when(F.col("raster_m").isNotNull(), "raster").otherwise("fallback")}).drop("_tag", "_lev", "raster_m")
 
 
-def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key: str = "point_id",
-                max_shadow_m: float | None = None, bin_m: float = 32.0) -> DataFrame:
+def height_source_counts(resolved: DataFrame) -> DataFrame:
+    """Buildings per area and source of their height; a source without buildings counts 0."""
+    n = lambda source: F.sum((F.col("height_source") == source).cast("bigint")).alias(source)
+    return resolved.groupBy("area_id").agg(F.count(F.lit(1)).alias("buildings"), *(n(s) for s in HEIGHT_SOURCES))
+
+
+def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key: str = "point_id", max_shadow_m: float | None = None) -> DataFrame:
     """Chance of shade at each point from the outlines sunward of it.
 
     ``points`` needs area_id, px, py, azimuth_deg, altitude_deg; buildings carry
     polygon_id and the columns of :func:`footprint_heights`.  A ray need not go
-    beyond where the tallest building could still block it.
+    beyond where the tallest building could still block it.  ``covered``: the
+    area has buildings at all.
     """
     tallest = buildings.groupBy("area_id").agg(F.max("high_m").alias("_tallest"))
+    located = points.join(tallest, "area_id", "left")
     day = F.col("altitude_deg") > 0
     reach = F.greatest(F.lit(0.0), (F.col("_tallest") - RECEIVER_HEIGHT_M) / F.tan(F.radians("altitude_deg")))
     if max_shadow_m is not None:
         reach = F.least(reach, F.lit(float(max_shadow_m)))
-    cast = points.join(tallest, "area_id").filter(day).withColumn("reach_m", reach)
-    hits = ray_hits(cast, edges, key, bin_m).join(
-        buildings.select("area_id", "polygon_id", "low_m", "mode_m", "high_m"), ["area_id", "polygon_id"])
-    hits = hits.join(points.select(key, "altitude_deg"), key)
-    need = required_height("distance_m", "altitude_deg")
-    chance = F.when(F.col("low_m") < F.col("high_m"), triangular_exceedance(F.col("_need"), "low_m", "mode_m", "high_m")).otherwise(
+    cast = located.filter(day & F.col("_tallest").isNotNull()).withColumn("reach_m", reach)
+    heights = ["low_m", "mode_m", "high_m"]
+    sides = edges.join(buildings.select("area_id", "polygon_id", *heights), ["area_id", "polygon_id"])
+    chance = F.when(F.col("low_m") < F.col("high_m"), triangular_exceedance(F.col("_need"), *heights)).otherwise(
         F.when(F.col("mode_m") >= F.col("_need"), 1.0).otherwise(0.0))
-    hits = hits.withColumn("_need", need).withColumn("_p", chance).filter(F.col("_p") > 0)
-    shade = hits.groupBy(key).agg(
+    hits = ray_hits(cast, sides, [key, "altitude_deg"], heights)
+    hits = hits.withColumn("_need", required_height("distance_m", "altitude_deg")).withColumn("_p", chance).filter(F.col("_p") > 0)
+    # One exchange by point serves the outlines that were met in two bins, the points and the join below.
+    once = hits.select(key, "polygon_id", "distance_m", "_p").repartition(key).groupBy(key, "polygon_id").agg(
+        F.min("distance_m").alias("distance_m"), F.max("_p").alias("_p"))
+    shade = once.groupBy(key).agg(
         F.product(1 - F.col("_p")).alias("_clear"), F.max(F.col("_p") >= 1 - 1e-12).alias("guaranteed"),
         F.min("distance_m").alias("nearest_m"), F.array_sort(F.collect_set("polygon_id")).alias("occluders"))
-    out = points.join(shade, key, "left").withColumn("daylight", day)
+    out = located.withColumn("covered", F.col("_tallest").isNotNull()).drop("_tallest").join(shade, key, "left").withColumn("daylight", day)
     direct = F.when(~F.col("daylight"), 0.0).otherwise(clamp(F.coalesce("_clear", F.lit(1.0)), 0.0, 1.0))
     hit = F.col("_clear").isNotNull()
     return out.withColumns({
@@ -78,21 +87,20 @@ def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key:
     }).withColumn("shade_probability", 1 - F.col("direct_probability")).drop("_clear", "guaranteed")
 
 
-def route_score(shaded: DataFrame, keys: list[str], speed_mps: float = WALKING_MPS, has_buildings: bool = True) -> DataFrame:
-    """Route totals at constant speed; night pieces add no seconds."""
+def route_score(shaded: DataFrame, keys: list[str], speed_mps: float = WALKING_MPS, routes: DataFrame | None = None) -> DataFrame:
+    """Route totals at constant speed; night pieces add no seconds.  Coverage is that of the route's area.
+
+    ``routes`` adds a row of zeros, without coverage or percentage, for routes that have no piece.
+    """
     s = F.col("piece_m") / speed_mps
     lit = lambda value: F.sum(F.when(F.col("daylight"), s * value).otherwise(0.0))
     out = shaded.groupBy(*keys).agg(
         F.sum("piece_m").alias("distance_m"), F.sum(s).alias("duration_s"), lit(F.lit(1.0)).alias("daylight_s"),
         lit(F.col("direct_probability")).alias("sun_s"), lit(F.col("shade_probability")).alias("_shade"),
-        lit(F.col("best_direct")).alias("best_s"), lit(F.col("worst_direct")).alias("worst_s"))
+        lit(F.col("best_direct")).alias("best_s"), lit(F.col("worst_direct")).alias("worst_s"), F.max("covered").alias("_covered"))
+    if routes is not None:
+        out = routes.select(*keys).join(out, keys, "left").fillna(0.0, [c for c in out.columns if c not in (*keys, "_covered")])
     return out.withColumns({
         "shade_percent": F.when(F.col("daylight_s") > 0, clamp(F.col("_shade") / F.col("daylight_s") * 100, 0.0, 100.0)),
-        "is_daylight": F.col("daylight_s") > 0, "coverage_percent": F.lit(100.0 if has_buildings else 0.0)}).drop("_shade")
-
-
-def piece_exposure():
-    p = F.col("shade_probability")
-    return F.when(~F.col("daylight"), "night").when(p >= SHADE_FROM, "shade").when(p <= SUN_UP_TO, "sun").otherwise("mixed")
-
-
+        "is_daylight": F.col("daylight_s") > 0,
+        "coverage_percent": F.when(F.col("_covered"), 100.0).otherwise(0.0)}).drop("_shade", "_covered")

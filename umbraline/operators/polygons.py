@@ -25,10 +25,6 @@ def ring_edges(rings: DataFrame, keys: list[str], ring: str = "ring") -> DataFra
                        F.col("_q.x").alias("x2"), F.col("_q.y").alias("y2"))
 
 
-def _bins(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
-
-
 def on_edge(px: Column, py: Column) -> Column:
     """Point lies on the edge of the row, within a tiny tolerance."""
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -50,66 +46,6 @@ def _inside_rings(pairs: DataFrame, keys: list[str], px: Column, py: Column) ->
         ((F.sum(crosses(px, py).cast("int")) % 2 == 1) | F.max(on_edge(px, py))).alias("in_ring"))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, bin_m: float = 32.0) -> DataFrame:
-    """(point, polygon) pairs where the point is inside or on the outer ring and in no hole.
-
-    ``points`` needs area_id, px, py.
-    """
-    outline = edges.groupBy("area_id", "polygon_id").agg(
-        F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"),
-        F.min(F.least("y1", "y2")).alias("_s"), F.max(F.greatest("y1", "y2")).alias("_n"))
-    boxes = outline.withColumn("_bx", F.explode(_bins(F.col("_w"), F.col("_e"), bin_m))).withColumn(
-        "_by", F.explode(_bins(F.col("_s"), F.col("_n"), bin_m)))
-    located = points.select(point_key, "area_id", "px", "py").withColumns({
-        "_bx": F.floor(F.col("px") / bin_m).cast("int"), "_by": F.floor(F.col("py") / bin_m).cast("int")})
-    near = located.join(boxes, ["area_id", "_bx", "_by"]).filter(
-        F.col("px").between(F.col("_w") - BOUNDARY, F.col("_e") + BOUNDARY) & F.col("py").between(F.col("_s") - BOUNDARY, F.col("_n") + BOUNDARY))
-    tested = near.select(point_key, "area_id", "polygon_id", "px", "py").join(edges, ["area_id", "polygon_id"])
-    rings = _inside_rings(tested, [point_key, "area_id", "polygon_id", "ring_no"], F.col("px"), F.col("py"))
-    return rings.groupBy(point_key, "area_id", "polygon_id").agg(
-        F.max(F.when(F.col("ring_no") == 0, F.col("in_ring")).otherwise(False)).alias("_in"),
-        F.max(F.when(F.col("ring_no") > 0, F.col("in_ring")).otherwise(False)).alias("_hole"),
-    ).filter(F.col("_in") & ~F.col("_hole")).select(point_key, "area_id", "polygon_id")
-
-
-def ray_hits(rays: DataFrame, edges: DataFrame, ray_key: str, bin_m: float = 32.0) -> DataFrame:
-    """First distance at which each ray meets each polygon; 0 for a ray that starts inside.
-
-    ``rays`` needs area_id, px, py, azimuth_deg and a finite reach_m.
-    Output: ray key, area_id, polygon_id, distance_m.
-    """
-    ux, uy = F.sin(F.radians("azimuth_deg")), F.cos(F.radians("azimuth_deg"))
-    aimed = rays.select(ray_key, "area_id", "px", "py", "reach_m", ux.alias("ux"), uy.alias("uy"))
-    qx, qy = F.col("px") + F.col("ux") * F.col("reach_m"), F.col("py") + F.col("uy") * F.col("reach_m")
-    slack = 1e-6
-    aimed = aimed.withColumns({"_qx": qx, "_qy": qy}).withColumn(
-        "_bx", F.explode(_bins(F.least("px", "_qx") - slack, F.greatest("px", "_qx") + slack, bin_m)))
-    # Part of the ray inside this column of bins, as fractions of its length.
-    run = F.col("_qx") - F.col("px")
-    t_of = lambda x: F.when(F.abs(run) > slack, (x - F.col("px")) / run)
-    ta, tb = t_of(F.col("_bx") * bin_m), t_of((F.col("_bx") + 1) * bin_m)
-    t_low = F.greatest(F.lit(0.0), F.coalesce(F.least(ta, tb), F.lit(0.0)))
-    t_high = F.least(F.lit(1.0), F.coalesce(F.greatest(ta, tb), F.lit(1.0)))
-    rise = F.col("_qy") - F.col("py")
-    aimed = aimed.withColumns({"_ya": F.col("py") + rise * t_low, "_yb": F.col("py") + rise * t_high})
-    aimed = aimed.withColumn("_by", F.explode(_bins(F.least("_ya", "_yb") - slack, F.greatest("_ya", "_yb") + slack, bin_m)))
-    listed = edges.withColumn("_bx", F.explode(_bins(F.least("x1", "x2") - slack, F.greatest("x1", "x2") + slack, bin_m))).withColumn(
-        "_by", F.explode(_bins(F.least("y1", "y2") - slack, F.greatest("y1", "y2") + slack, bin_m)))
-    met = aimed.select(ray_key, "area_id", "px", "py", "ux", "uy", "reach_m", "_bx", "_by").join(listed, ["area_id", "_bx", "_by"])
-    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    ox, oy = F.col("x1") - F.col("px"), F.col("y1") - F.col("py")
-    turn = F.col("ux") * ey - F.col("uy") * ex
-    usable = (F.abs(turn) > 1e-12) & (ex * ex + ey * ey > 1e-24)
-    met = met.filter(usable).select(
-        ray_key, "area_id", "polygon_id", "reach_m",
-        ((ox * ey - oy * ex) / turn).alias("_d"), ((ox * F.col("uy") - oy * F.col("ux")) / turn).alias("_f"))
-    met = met.filter((F.col("_d") >= -BOUNDARY) & (F.col("_f") >= -BOUNDARY) & (F.col("_f") <= 1 + BOUNDARY) & (F.col("_d") <= F.col("reach_m") + BOUNDARY))
-    within = points_in_polygons(rays, edges.filter(F.col("ring_no") == 0), ray_key, bin_m)
-    hits = met.select(ray_key, "area_id", "polygon_id", F.greatest(F.lit(0.0), F.col("_d")).alias("distance_m")).unionByName(
-        within.withColumn("distance_m", F.lit(0.0)))
-    return hits.groupBy(ray_key, "area_id", "polygon_id").agg(F.min("distance_m").alias("distance_m"))
-
-
 def _segment_distance(px: Column, py: Column) -> Column:
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     square = ex * ex + ey * ey
