@@ -21,9 +21,10 @@ def _compose(values: pd.Series) -> pd.Series:
 
 
 def compatibility_form(value: ColumnLike) -> Column:
-    """NFKC; plain ASCII text never leaves the JVM."""
+    """NFKC; the Python worker gets nulls in place of plain ASCII text, which is its own form."""
     text = col(value)
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.pandas_udf(_compose, "string")(text))
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, text).otherwise(F.pandas_udf(_compose, "string")(F.when(~plain, text)))
 
 
 def squeeze(value: ColumnLike) -> Column:

@@ -54,11 +54,18 @@ def route_features(routes: DataFrame) -> DataFrame:
 
 
 def map_features(features: DataFrame) -> DataFrame:
-    """Way features with class and name; polygons hold one ring."""
-    line = F.transform("coordinates", lambda p: F.array(p["lon"], p["lat"]))
-    area = feature_json("Polygon", F.array(line), kind=F.col("kind"), **{"class": F.col("class"), "name": F.col("name")})
-    plain = feature_json("LineString", line, kind=F.col("kind"), **{"class": F.col("class"), "name": F.col("name")})
-    return features.select(F.when(F.col("geometry") == "Polygon", area).otherwise(plain).alias("value"))
+    """Map features with kind, class and name: lines, polygons with their holes, and several polygons as one.
+
+    ``features``: geometry, polygons (polygon, ring, point) and line, as ``operators.rings.map_features`` gives them;
+    a ``height_m`` column, where there is one, goes along.
+    """
+    spot = lambda p: F.array(p["lon"], p["lat"])
+    drawn = F.transform("polygons", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, spot)))
+    own = {"kind": F.col("kind"), "class": F.col("class"), "name": F.col("name")} | ({"heightMetres": F.col("height_m")} if "height_m" in features.columns else {})
+    several = feature_json("MultiPolygon", drawn, **own)
+    one = feature_json("Polygon", F.get(drawn, F.lit(0)), **own)
+    plain = feature_json("LineString", F.transform("line", spot), **own)
+    return features.select(F.when(F.col("geometry") == "MultiPolygon", several).when(F.col("geometry") == "Polygon", one).otherwise(plain).alias("value"))
 
 
 def write_geojson(lines: DataFrame, path: str) -> None:
