@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from umbraline.functions.geo import MEAN_RADIUS_M
 from umbraline.functions.lookups import SITE_TYPES
 from umbraline.operators import advice, calibration, context, labels, paths, profile, progress
 
@@ -175,3 +177,31 @@ def test_hot_key_results_stay_whole(spark):
     reads = spark.range(5_000).select(F.col("id").alias("request_id"), F.lit("hot").alias("feed"), F.col("id").alias("at_ms"))
     fresh = context.feed_freshness(reads, spark.createDataFrame([("hot", 100, True), ("hot", 4_000, False)], "feed string, at_ms bigint, ok boolean"), 1_000, 2_000)
     assert {r.state: r["count"] for r in fresh.groupBy("state").count().collect()} == {"unavailable": 100 + 2_900, "available": 1_000, "stale": 1_000}
+
+
+def test_outlines_of_points_give_the_farthest_pair():
+    rng = np.random.default_rng(5)
+    for lat0, count, step in ((51.5, 400, 1e-7), (-33.0, 60, 1e-5), (0.0, 3, 1e-6), (84.0, 300, 1e-9), (51.5, 1, 1e-7)):
+        lat = lat0 + rng.integers(-1000, 1000, count) * step
+        lon = -0.1 + rng.integers(-1000, 1000, count) * step
+        la, lo = np.radians(lat), np.radians(lon)
+        a = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la[:, None]) * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+        want = (2 * MEAN_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))).max()
+        corners = calibration.convex_outline(lat, lon)
+        assert len(corners) < 60 and abs(calibration.outline_width_m(lat[corners], lon[corners]) - want) < 1e-7
+    # Equal coordinates, and all on one line.
+    assert list(calibration.convex_outline(np.full(9, 51.5), np.full(9, 0.1))) == [0]
+    line = calibration.convex_outline(51.5 + np.arange(50) * 1e-6, np.full(50, 0.1))
+    assert sorted(line) == [0, 49]
+
+
+def test_spread_of_many_fine_coordinates_needs_no_group(spark):
+    # A disc a little wider than 24.9 m with coordinates of any fineness, and one of 25.1 m; extents alone settle neither.
+    disc = lambda point, width: spark.range(60_000).select(
+        F.lit("a").alias("area"), F.lit(point).alias("point_id"), (F.rand(1) * 2 * 3.141592653589793).alias("t"), (F.sqrt(F.rand(2)) * (width / 2)).alias("r"), "id").select(
+        "area", "point_id", (51.5 + F.when(F.col("id") < 2, (F.col("id") - 0.5) * width * 0.6).otherwise(F.sin("t") * F.col("r")) / 111_195.0).alias("lat"),
+        (F.when(F.col("id") < 2, (F.col("id") - 0.5) * width * 0.8).otherwise(F.cos("t") * F.col("r")) / 69_220.0).alias("lon"))
+    rows = disc(1, 24.9).unionByName(disc(2, 25.1))
+    wide = calibration.wide_points(rows, 25)
+    assert {r.point_id: r.spread_over for r in wide.collect()} == {1: False, 2: True}
+    assert "FlatMapGroups" not in wide._jdf.queryExecution().toString()

@@ -82,6 +82,29 @@ def test_places_by_runs(spark):
     assert got == {1: [0, 1, 4], 2: [0, 1, 2, 3, 4], 3: [2], 4: [1]}
 
 
+def test_places_are_asked_for_by_the_rarest_run(spark):
+    # Every place of the area is a street; only one holds "zeb".
+    rows = [(1, n, f"Street number {n}", "street", float(n), 1.0) for n in range(300)] + [(1, 300, "Street Zebra", "street", 900.0, 1.0), (2, 0, "Zebra", "zebra", 0.0, 0.0)]
+    places = spark.createDataFrame(rows, "area_id long, payload_pos long, name string, kind string, lon double, lat double")
+    asked = spark.createDataFrame([(1, 1, "street zebra"), (2, 1, "street"), (3, 1, "street zzz"), (4, 2, "street"), (5, 1, "")], "query_id long, area_id long, text string")
+    got: dict[int, list[int]] = {}
+    for r in context.search_places(places, asked).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append(r.payload_pos)
+    assert got == {1: [300], 2: list(range(8)), 5: list(range(8))}
+    postings = places.select("area_id", F.explode(context._runs("lower(name)", 3)).alias("_gram"))
+    needles = asked.select(F.struct("area_id", "text").alias("_asked"))
+    asks = {r._asked.text: r._gram for r in context.rarest_runs(postings, needles).collect()}
+    # A run of the rare word stands for the whole text; runs that no place holds ask for nothing.
+    assert asks["street zebra"] in ("zeb", "ebr", "bra", " ze", "t z") and "street zzz" not in asks
+
+
+def test_windows_ahead_are_running_ones(spark):
+    # One client, busy in every millisecond of two windows: quadratic frames would take minutes.
+    rows = spark.range(60_000).select(F.lit("c").alias("client"), F.col("id").alias("at_ms"))
+    got = events.anchored_admission(rows, ["client"], 30_000, 10).orderBy("window_start_ms").collect()
+    assert [(r.window_start_ms, r.requests, r.refused) for r in got] == [(0, 30_000, 29_990), (30_000, 30_000, 29_990)]
+
+
 def test_path_bounds_show(spark):
     edges = spark.createDataFrame([(1, k, 0, 1, 10.0 + k, 9.0 - k, 0.0) for k in range(4)] + [(1, 9, 1, 2, 5.0, 1.0, 0.0)],
                                   "graph_id long, edge_id long, src int, dst int, duration_s double, sun_s double, unknown_s double")

@@ -55,6 +55,36 @@ def test_freshness(spark, tmp_path):
     assert {r.request_id: r.state for r in spark.table("fresh").collect()} == {1: "unavailable", 2: "available", 3: "stale", 4: "unavailable"}
 
 
+def states_left(frame, name):
+    query = drain(frame, name)
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_idle_clients_leave_the_state_and_answers_stay(spark, tmp_path):
+    at = lambda s: f"2026-06-01T{10 + s // 3600}:{s % 3600 // 60:02d}:{s % 60:02d}.000Z"
+    many = [{"client": c, "ts": at(c % 50)} for c in range(200)]
+    quiet = [{"client": 1, "ts": at(3 * 3600)}]
+    back = [{"client": c, "ts": at(3 * 3600 + 5)} for c in (1, 7, 7, 7)]
+    stream = spark.readStream.schema("client bigint, ts timestamp").option("maxFilesPerTrigger", 1).json(write_lines(tmp_path / "in", many, quiet, back))
+    left = states_left(jobs.admission_stream(stream, limit=2), "idle_clients")
+    assert max(left) >= 200 and left[-1] <= 2
+    rows = {(r.client, r.at_ms % 3_600_000 // 1000, r.window_start_ms == r.at_ms): (r.requests, r.refused) for r in spark.table("idle_clients").collect()}
+    # Client 7 opened a window at 7 s, was forgotten, and opens a new one; client 1 is still in the window of a trigger ago.
+    assert rows[7, 7, True] == (1, 0) and rows[7, 5, True] == (3, 1) and rows[1, 5, False] == (1, 0)
+
+
+def test_idle_feeds_leave_the_state(spark, tmp_path):
+    row = lambda feed, t, read, req=None: {"feed": feed, "at_ms": t, "is_read": read, "ok": None if read else True, "request_id": req}
+    many = [row(f"f{n}", 10, False) for n in range(50)]
+    late = [row("f1", 9_000_000, False)]
+    reads = [row("f2", 9_000_010, True, 1), row("f1", 9_000_020, True, 2), row("f1", 9_000_020, True, 3), row("f1", 9_400_000, True, 4)]
+    stream = spark.readStream.schema("feed string, at_ms bigint, is_read boolean, ok boolean, request_id bigint").option("maxFilesPerTrigger", 1).json(
+        write_lines(tmp_path / "in", many, late, reads))
+    left = states_left(jobs.freshness_stream(stream), "idle_feeds")
+    assert max(left) >= 50 and left[-1] <= 1
+    assert {r.request_id: r.state for r in spark.table("idle_feeds").collect()} == {1: "unavailable", 2: "available", 3: "available", 4: "stale"}
+
+
 def test_generations_and_sliding_counts(spark, tmp_path):
     rows = [{"task": "score", "generation": g, "payload": f"p{g}", "gate": "g", "ts": f"2026-06-01T10:00:{g:02d}Z"} for g in (1, 3, 2)]
     schema = "task string, generation int, payload string, gate string, ts timestamp"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,18 +73,91 @@ def exclusion_counts(marked: DataFrame) -> DataFrame:
     return marked.filter(F.col("exclusion").isNotNull()).groupBy("exclusion").agg(F.count(F.lit(1)).alias("observations"))
 
 
+def convex_outline(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Positions of the corners of the convex outline, counter-clockwise (degrees, one small neighbourhood).
+
+    Coordinates are projected from the sphere's centre onto the plane at the
+    first of them, where great circles are straight and circles stay convex: the
+    farthest pair of all coordinates is a pair of corners.
+    """
+    la, lo = np.radians(lat), np.radians(lon - lon[0])
+    near = np.sin(la[0]) * np.sin(la) + np.cos(la[0]) * np.cos(la) * np.cos(lo)
+    # As sums of small terms: nothing cancels.
+    x = np.cos(la) * np.sin(lo) / near
+    y = (np.sin(la - la[0]) + 2 * np.cos(la) * np.sin(la[0]) * np.sin(lo / 2) ** 2) / near
+    order = np.lexsort((y, x))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    order = order[first]
+    if len(order) < 3:
+        return order
+
+    def chain(points):
+        kept: list[int] = []
+        for i in points:
+            while len(kept) > 1:
+                a, b = kept[-2], kept[-1]
+                if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) > 0:
+                    break
+                kept.pop()
+            kept.append(i)
+        return kept[:-1]
+
+    return np.array(chain(order) + chain(order[::-1]))
+
+
+def outline_width_m(lat: np.ndarray, lon: np.ndarray) -> float:
+    """Largest distance between corners of a convex outline, by opposite corners: one turn around it."""
+    h = len(lat)
+    la, lo = np.radians(lat), np.radians(lon)
+
+    def apart(i, j):
+        a = np.sin((la[j] - la[i]) / 2) ** 2 + np.cos(la[i]) * np.cos(la[j]) * np.sin((lo[j] - lo[i]) / 2) ** 2
+        return 2 * MEAN_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+    if h < 4:
+        return max((float(apart(i, j)) for i in range(h) for j in range(i)), default=0.0)
+    x, y = (lo - lo[0]) * np.cos(la[0]), la - la[0]
+    area = lambda a, b, c: (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+    best, j = 0.0, 1
+    for i in range(h):
+        k = (i + 1) % h
+        while area(i, k, (j + 1) % h) > area(i, k, j):
+            j = (j + 1) % h
+            best = max(best, float(apart(i, j)), float(apart(k, j)))
+        # The next corner too: equally far ones of parallel sides.
+        for other in (j, (j + 1) % h):
+            best = max(best, float(apart(i, other)), float(apart(k, other)))
+    return best
+
+
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Corners per point and batch, before any shuffle."""
+    for batch in batches:
+        parts = [part.iloc[convex_outline(part["lat"].to_numpy(), part["lon"].to_numpy())] for _, part in batch.groupby(["area", "point_id"], sort=False)]
+        if parts:
+            yield pd.concat(parts)
+
+
 def _widest_over(limit_m: float):
-    """Does any pair of a point's outline lie farther apart than the limit?  A few thousand rows at most."""
-
-    def check(key, rows: pd.DataFrame) -> pd.DataFrame:
-        lat, lon = np.radians(rows["lat"].to_numpy()), np.radians(rows["lon"].to_numpy())
-        over = False
-        for i in range(len(lat)):
-            a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat) * np.sin((lon - lon[i]) / 2) ** 2
-            if (2 * MEAN_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) > limit_m).any():
-                over = True
-                break
-        return pd.DataFrame({"area": [key[0]], "point_id": [key[1]], "spread_over": [over]})
+    """Verdict per point from rows sorted by point; only the outline so far is held."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, lat, lon = None, np.empty(0), np.empty(0)
+        for batch in batches:
+            out = []
+            for now, part in batch.groupby(["area", "point_id"], sort=False):
+                if now != key:
+                    if key is not None:
+                        out.append((*key, outline_width_m(lat, lon) > limit_m))
+                    key, lat, lon = now, np.empty(0), np.empty(0)
+                lat, lon = np.append(lat, part["lat"].to_numpy()), np.append(lon, part["lon"].to_numpy())
+                corners = convex_outline(lat, lon)
+                lat, lon = lat[corners], lon[corners]
+            if out:
+                yield pd.DataFrame(out, columns=["area", "point_id", "spread_over"])
+        if key is not None:
+            yield pd.DataFrame([(*key, outline_width_m(lat, lon) > limit_m)], columns=["area", "point_id", "spread_over"])
 
     return check
 
@@ -92,9 +166,10 @@ def wide_points(eligible: DataFrame, limit_m: float) -> DataFrame:
     """(area, point_id, spread_over): whether repeats of a point lie farther apart than the limit.
 
     Extents settle most points.  For the rest only the two latitude extremes per
-    longitude can be farthest apart; on validated seven-decimal coordinates
-    inside one limit-sized box those are a few thousand rows, whatever the
-    number of observations.
+    longitude can be farthest apart, and of those only corners of the convex
+    outline.  Outlines merge: each task reduces its batches to corners, these are
+    shuffled and sorted by point, and one pass keeps the outline so far, so
+    memory follows the corners and not the coordinates, however fine they are.
     """
     ends = eligible.groupBy("area", "point_id", "lon").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
     box = ends.groupBy("area", "point_id").agg(
@@ -110,7 +185,8 @@ def wide_points(eligible: DataFrame, limit_m: float) -> DataFrame:
     open_ = ends.join(box.filter(F.col("verdict").isNull()).select("area", "point_id"), ["area", "point_id"], "left_semi")
     open_ = open_.select("area", "point_id", "lon", F.explode(corners).alias("lat"))
     fields = {f.name: f.dataType.simpleString() for f in eligible.schema.fields}
-    checked = open_.groupBy("area", "point_id").applyInPandas(
+    corners = open_.mapInPandas(_outlines, f"area {fields['area']}, point_id {fields['point_id']}, lon double, lat double")
+    checked = corners.repartition("area", "point_id").sortWithinPartitions("area", "point_id").mapInPandas(
         _widest_over(limit_m), f"area {fields['area']}, point_id {fields['point_id']}, spread_over boolean")
     return settled.unionByName(checked)
 

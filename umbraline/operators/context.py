@@ -217,19 +217,39 @@ def distinct_places(places: DataFrame, key: list[str] | None = None) -> DataFram
     return first.select(*scope, "b.*")
 
 
+def _runs(text: str, size: int) -> Column:
+    """Every run of ``size`` characters of a text column; none where the text is shorter."""
+    return F.expr(f"CASE WHEN length({text}) >= {size} THEN transform(sequence(1, length({text}) - {size - 1}), i -> substring({text}, i, {size})) ELSE array() END")
+
+
+def rarest_runs(postings: DataFrame, needles: DataFrame) -> DataFrame:
+    """(_asked, area_id, _gram) with the run of each text that the fewest places of its area hold.
+
+    ``postings``: area_id, _gram per place; ``needles``: _asked (area_id, text).
+    A text with a run that no place holds is left out.  Texts shorter than a run
+    ask with themselves.  Counts combine before the shuffle.
+    """
+    short = F.length("_asked.text") < GRAM
+    flat = needles.select("_asked", F.col("_asked.area_id").alias("area_id"), F.col("_asked.text").alias("_text"))
+    flat = flat.select("_asked", "area_id", F.explode(F.when(short, F.array("_text")).otherwise(F.array_distinct(_runs("_text", GRAM)))).alias("_gram"))
+    sizes = postings.groupBy("area_id", "_gram").agg(F.count(F.lit(1)).alias("_size"))
+    best = flat.join(sizes, ["area_id", "_gram"], "left").groupBy("_asked").agg(F.min(F.struct(F.coalesce("_size", F.lit(0)).alias("n"), "_gram")).alias("b"))
+    return best.filter("b.n > 0").select("_asked", F.col("_asked.area_id").alias("area_id"), F.col("b._gram").alias("_gram"))
+
+
 def search_places(places: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """Places whose name and kind contain the query text; the first eight distinct ones per query.
 
-    ``queries``: query_id, area_id, text (already normalised).  A query asks with
-    its first three characters, a place answers to every run of up to three of
-    its own, so a busy area's queries meet only places that may hold them.
+    ``queries``: query_id, area_id, text (already normalised).  A place answers
+    to every run of up to three of its characters; a query asks with the one of
+    its own that is rarest in its area, so a word that every street carries does
+    not bring all streets to all queries.
     """
     hay = places.withColumn("_hay", F.lower(F.concat("name", F.lit(" "), "kind"))).filter(F.col("_hay").isNotNull())
-    runs = [F.expr(f"transform(sequence(1, length(_hay)), i -> substring(_hay, i, {n}))") for n in (1, 2, GRAM)]
-    keyed = hay.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))))
+    keyed = hay.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_runs("_hay", n) for n in (1, 2, GRAM)]))))
     asked = queries.select("query_id", F.struct("area_id", F.lower("text").alias("text")).alias("_asked"))
     # Equal texts of an area are looked up once, however often they are asked.
-    needles = asked.select("_asked").distinct().select("_asked", F.col("_asked.area_id").alias("area_id"), F.substring("_asked.text", 1, GRAM).alias("_gram"))
+    needles = rarest_runs(keyed.select("area_id", "_gram"), asked.select("_asked").distinct())
     met = keyed.join(needles, ["area_id", "_gram"]).filter(F.col("_hay").contains(F.col("_asked.text"))).drop("_hay", "_gram")
     return asked.join(first_listed(distinct_places(met, ["_asked"]), "_asked", "payload_pos", limit), "_asked").drop("_asked")
 

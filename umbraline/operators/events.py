@@ -83,7 +83,9 @@ def anchored_admission(events: DataFrame, key: list[str], window_ms: int = 60_00
     # Next opening if a window opens here: the first request in this or the following bucket of its end.
     ends = per_ms.select(*key, "at_ms", (F.col("at_ms") + window_ms).alias("_at"), (bucket + 1).alias("_b"), F.lit(None).cast("bigint").alias("_seen"))
     seen = per_ms.select(*key, "at_ms", F.col("at_ms").alias("_at"), F.explode(F.array(bucket - 1, bucket)).alias("_b"), F.col("at_ms").alias("_seen"))
-    ahead = F.min("_seen").over(part.rangeBetween(W.currentRow, W.unboundedFollowing))
+    # What lies ahead is a running minimum from the far end; a frame that ends at the last row would be folded anew for every row.
+    back = W.partitionBy(*key, "_b").orderBy(F.desc("_at"))
+    ahead = F.min("_seen").over(back.rangeBetween(W.unboundedPreceding, W.currentRow))
     steps = cut_lineage(ends.unionByName(seen).withColumn("_next", ahead).filter("_seen IS NULL AND _next IS NOT NULL").select(*key, "at_ms", F.col("_next").alias("next_ms")))
     # Openings known from the start: nothing in the window before.
     near = per_ms.select(*key, "at_ms", F.col("at_ms").alias("_at"), bucket.alias("_home"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
