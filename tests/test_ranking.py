@@ -101,6 +101,18 @@ def test_progress_at_the_end(spark):
     assert got == {1: ("sun", 40.0, "shade"), 2: ("unknown", 0.0, None), 3: ("sun", 50.0, "shade")}
 
 
+def test_long_spans_are_not_copied(spark):
+    """A span as long as ten thousand million stretches is one row; positions far from its end still meet it."""
+    far = 5e12
+    spans = spark.createDataFrame([(1, 0, "sun", 0.0, 10.0), (1, 1, "shade", 10.0, 1_700.0), (1, 2, "sun", 1_700.0, far), (1, 3, "night", far, 2 * far), (2, 0, "sun", 0.0, 700.0)],
+                                  "route_id int, span_no bigint, exposure string, start_m double, end_m double")
+    at = spark.createDataFrame([(1, 1, 9.995, far * 2), (2, 1, 600.0, far * 2), (3, 1, 1_699.995, far * 2), (4, 1, far / 2, far * 2), (5, 1, far + 1, far * 2), (6, 2, 699.0, 900.0), (7, 2, 800.0, 900.0), (8, 3, 1.0, 9.0)],
+                               "id int, route_id int, distance_m double, route_m double")
+    got = {r.id: (r.exposure, round(r.exposure_left_m, 3), r.next_exposure) for r in progress.upcoming_exposure(at, spans).collect()}
+    assert got == {1: ("shade", 1_690.005, "sun"), 2: ("shade", 1_100.0, "sun"), 3: ("sun", far - 1_699.995, "night"), 4: ("sun", far / 2, "night"), 5: ("night", far - 1, None),
+                   6: ("sun", 1.0, None), 7: ("unknown", 100.0, None), 8: ("unknown", 8.0, None)}
+
+
 def field_rows(spark, change=None):
     rows, n = [], 0
     for area in ("a", "b"):
