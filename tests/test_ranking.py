@@ -191,6 +191,19 @@ def test_hot_key_results_stay_whole(spark):
     assert {r.state: r["count"] for r in fresh.groupBy("state").count().collect()} == {"unavailable": 100 + 2_900, "available": 1_000, "stale": 1_000}
 
 
+def test_trailing_counts_are_running_sums(spark):
+    from umbraline.operators import events
+    rng = np.random.default_rng(8)
+    times = [(g, int(t)) for g in ("a", "b", None) for t in rng.integers(-3_000, 9_000, 400)] + [("a", 0), ("a", 1_000), ("b", 2_000), ("b", None)]
+    got = events.trailing_counts(spark.createDataFrame(times, "gate string, at_ms bigint"), ["gate"], 1_000, 30)
+    want = {(g, t): sum(h == g and u is not None and t - 1_000 < u <= t for h, u in times) for g, t in times if t is not None}
+    assert {(r.gate, r.at_ms): r.in_window for r in got.collect()} == want
+    assert all(r.over_limit == (r.in_window > 30) for r in got.collect())
+    # A frame that slides is summed anew for every row.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
+
+
 def test_outlines_of_points_give_the_farthest_pair():
     rng = np.random.default_rng(5)
     for lat0, count, step in ((51.5, 400, 1e-7), (-33.0, 60, 1e-5), (0.0, 3, 1e-6), (84.0, 300, 1e-9), (51.5, 1, 1e-7)):

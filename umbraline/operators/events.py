@@ -50,15 +50,19 @@ def event_rollup(events: DataFrame, every: str = "1 minute") -> DataFrame:
 def trailing_counts(events: DataFrame, key: list[str], window_ms: int = 60_000, limit: int = 120) -> DataFrame:
     """Requests in the trailing window (t - window, t] at every millisecond with one, and whether they pass the limit.
 
-    Counts per millisecond come first; then time is cut into buckets of one
-    window, each copied to the next, so a bucket holds at most two windows of
-    milliseconds however busy the key is.
+    Counts per millisecond come first. Each comes in at its time and leaves a
+    window later, so what is inside is a running sum; time is cut into buckets of
+    one window that begin with the sum of the one before, however busy the key is.
     """
-    per_ms = events.groupBy(*key, F.col("at_ms")).agg(F.count(F.lit(1)).alias("n"))
+    per_ms = events.groupBy(*key, F.col("at_ms")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("at_ms").isNotNull())
     bucket = F.floor(F.col("at_ms") / window_ms)
-    spread = per_ms.withColumn("_home", bucket).withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
-    line = W.partitionBy(*key, "_bucket").orderBy("at_ms").rangeBetween(-(window_ms - 1), 0)
-    counted = spread.withColumn("in_window", F.sum("n").over(line)).filter(F.col("_home") == F.col("_bucket"))
+    entry = lambda at, n, here, b: F.struct(at.alias("_at"), n.alias("_n"), F.lit(here).alias("_here"), b.alias("_bucket"))
+    moves = per_ms.select(*key, "at_ms", "n", F.explode(F.array(
+        entry(F.col("at_ms"), F.col("n"), True, bucket), entry(F.col("at_ms") + window_ms, -F.col("n"), False, bucket + 1))).alias("_m")).select(*key, "at_ms", "n", "_m.*")
+    opening = per_ms.groupBy(*key, bucket.alias("_home")).agg(F.sum("n").alias("_n")).select(
+        *key, ((F.col("_home") + 1) * window_ms).alias("_at"), "_n", F.lit(False).alias("_here"), (F.col("_home") + 1).alias("_bucket"))
+    line = W.partitionBy(*key, "_bucket").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = moves.unionByName(opening, allowMissingColumns=True).withColumn("in_window", F.sum("_n").over(line)).filter("_here")
     return counted.select(*key, "at_ms", "n", "in_window", (F.col("in_window") > limit).alias("over_limit"))
 
 
