@@ -18,6 +18,34 @@ def frames(spark, members, lines, tags=None):
             spark.createDataFrame([(n, *xy) for n, xy in SQUARE.items()], "node_id long, lon double, lat double"))
 
 
+def test_walked_rings_are_those_of_the_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for relation in range(60):
+        for role in ("outer", "inner")[: 1 + relation % 2]:
+            for ring in range(rng.randint(1, 3)):
+                size = rng.randint(1, 9)
+                ends = [relation * 1_000 + ring * 50 + i for i in range(size)]
+                ids = rng.sample(range(100), size)
+                for i in range(size):
+                    nodes = [ends[i], 10_000_000 + ends[i], ends[(i + 1) % size]]
+                    rows.append((relation, role, ring * 100 + ids[i], nodes if rng.random() < 0.5 else nodes[::-1]))
+        if relation % 7 == 3:
+            rows.pop()
+    rows += [(70, "outer", 1, [1, 2, 3]), (70, "outer", 1, [1, 2, 3]), (70, "outer", 2, [3, 9, 1]), (71, "outer", 1, [1, 2]), (71, "outer", 2, [1, 2]),
+             (72, None, 1, [1, 2, 1]), (73, "outer", None, [1, 2]), (73, "outer", 5, [2, 1]), (74, "outer", 1, [7]), (74, "outer", 2, [1, 2, 3, 1]), (None, "outer", 3, [4, 5, 4])]
+    ways = spark.createDataFrame(rows, "relation_id bigint, role string, way_id bigint, nodes array<bigint>").repartition(5)
+    rows_of = lambda parts: [sorted(map(str, d.collect())) for d in parts]
+    want = rows_of(rings.stitch_by_joins(ways))
+    assert len(want[0]) > 60 and len(want[1]) >= 8
+    for at_once in (rings.NODES_AT_ONCE, 30, 0):
+        assert rows_of(rings.stitch_rings(ways, at_once=at_once)) == want
+    # Relations of common size are not joined at all.
+    monkeypatch.setattr(rings, "stitch_by_joins", None)
+    found, refused = rings.stitch_rings(ways.filter("relation_id < 72"))
+    assert found.count() > 60 and refused.count() > 5
+
+
 def test_relation_features(spark):
     lines = {1: [1, 2, 3], 2: [1, 4, 3], 3: [5, 8, 7, 6, 5], 4: [9, 10, 11, 9], 5: [9, 10, 99, 9], 6: [1], 7: [9, 9, 9, 9]}
     way = lambda r, ref, role: (r, "way", ref, role)

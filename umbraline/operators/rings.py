@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.basics import is_finite
 from ..session import cut_lineage
@@ -11,6 +16,9 @@ from .polygons import holes_to_outers, ring_edges
 
 # Fixed values.
 GREEN_LAND_USE = ["forest", "grass", "meadow", "recreation_ground", "village_green"]
+# Nodes of a relation that one task may hold; relations with more are stitched by joins.
+NODES_AT_ONCE = 100_000
+RING, REJECTED, LEFT = 0, 1, 2
 
 
 def osm_kind(tags: str = "tags") -> Column:
@@ -57,13 +65,100 @@ def drop_represented_ways(ways: DataFrame, members: DataFrame) -> DataFrame:
     return ways.filter(~building).unionByName(ways.filter(building).join(inside, "way_id", "left_anti"))
 
 
-def stitch_rings(member_ways: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+def _walked(ways: list[tuple]) -> list[tuple] | None:
+    """Rings (role, ring_id, nodes) of one relation's (role, way_id, nodes); None for an open or branching end."""
+    rings, at = [], {}
+    for way in ways:
+        role, way_id, nodes = way
+        if nodes[0] == nodes[-1]:
+            rings.append(way)
+        else:
+            at.setdefault((role, nodes[0]), []).append(way)
+            at.setdefault((role, nodes[-1]), []).append(way)
+    if any(len(met) != 2 for met in at.values()):
+        return None
+    done = set()
+    for role, way_id, nodes in sorted((w for met in at.values() for w in met), key=lambda w: w[:2]):
+        if (role, way_id) in done:
+            continue
+        # The smallest way of its ring runs forward.
+        ring, last = list(nodes), way_id
+        done.add((role, way_id))
+        while ring[-1] != ring[0]:
+            one, two = at[role, ring[-1]]
+            _, last, more = two if one[1] == last else one
+            done.add((role, last))
+            ring += more[1:] if more[0] == ring[-1] else more[-2::-1]
+        rings.append((role, way_id, ring))
+    return rings
+
+
+def _stitched(schema: pa.Schema, most: int):
+    """Relations in order of relation_id, role and way_id, one after the other; those with gaps or too many nodes are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, here, size, left = [], [], None, 0, True
+
+        def close() -> None:
+            if held and not left:
+                rings = _walked(held)
+                out.extend([(here, None, None, None, REJECTED)] if rings is None else [(here, *ring, RING) for ring in rings])
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for relation, role, way_id, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if relation != here or relation is None:
+                    close()
+                    here, held, size, left = relation, [], 0, relation is None
+                if not left and held and held[-1][:2] == (role, way_id):
+                    continue
+                size += len(nodes or ())
+                if not left and (role is None or way_id is None or nodes is None or len(nodes) < 2 or nodes[0] is None or nodes[-1] is None or size > most):
+                    out.extend((here, *way, LEFT) for way in held)
+                    held, left = [], True
+                if left:
+                    out.append((relation, role, way_id, nodes, LEFT))
+                else:
+                    held.append((role, way_id, nodes))
+            if out:
+                yield batch_of()
+        close()
+        if out:
+            yield batch_of()
+
+    return run
+
+
+def stitch_rings(member_ways: DataFrame, max_rounds: int = 40, at_once: int = NODES_AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """Join member ways into closed rings, for many relations at once.
 
     ``member_ways``: relation_id, role, way_id, nodes (array of at least two).
     Returns (rings: relation_id, role, ring_id, nodes; rejected: relation_id).
     A relation with an open or branching end is rejected as a whole.
 
+    Relations meet their ways in one exchange and are walked one after the other;
+    those with more than ``at_once`` nodes or with nulls go to ``stitch_by_joins``.
+    """
+    ways = member_ways.select("relation_id", "role", "way_id", "nodes")
+    wide = StructType([StructField(f.name, f.dataType) for f in ways.schema]).add("_state", IntegerType())
+    ordered = ways.repartition("relation_id").sortWithinPartitions("relation_id", "role", "way_id")
+    walked = cut_lineage(ordered.mapInArrow(_stitched(to_arrow_schema(wide), at_once), wide))
+    rings = walked.filter(F.col("_state") == RING).select("relation_id", "role", F.col("way_id").alias("ring_id"), "nodes")
+    rejected = walked.filter(F.col("_state") == REJECTED).select("relation_id")
+    rest = walked.filter(F.col("_state") == LEFT).drop("_state")
+    if rest.isEmpty():
+        return rings, rejected
+    more, refused = stitch_by_joins(rest, max_rounds)
+    return rings.unionByName(more), rejected.unionByName(refused)
+
+
+def stitch_by_joins(member_ways: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """``stitch_rings`` for relations of any size.
+
     Each way is two directed halves; the half leaving a node follows the half
     arriving there.  Pointer doubling finds every cycle's leader and each half's
     place in it in log2(longest ring) rounds, with no ring gathered in a task
