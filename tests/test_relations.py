@@ -46,6 +46,15 @@ def test_walked_rings_are_those_of_the_joins(spark, monkeypatch):
     assert found.count() > 60 and refused.count() > 5
 
 
+def test_unfolded_sides_are_not_broadcast(spark):
+    """A few rows that unfold into many look small to Spark; nodes of ways and parts of relations stay off the driver."""
+    lines = {1: [1, 2, 3], 2: [1, 4, 3], 3: [5, 8, 7, 6, 5]}
+    relations, parts, ways, nodes = frames(spark, [(1, "way", 1, ""), (1, "way", 2, ""), (1, "way", 3, "inner")], lines)
+    for frame in (rings.way_coordinates(ways, nodes), rings.relation_features(relations, parts, ways, nodes), rings.map_features(ways, nodes, relations, parts)):
+        frame.collect()
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_relation_features(spark):
     lines = {1: [1, 2, 3], 2: [1, 4, 3], 3: [5, 8, 7, 6, 5], 4: [9, 10, 11, 9], 5: [9, 10, 99, 9], 6: [1], 7: [9, 9, 9, 9]}
     way = lambda r, ref, role: (r, "way", ref, role)

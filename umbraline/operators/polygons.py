@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import half_up
+from ..functions.basics import half_up, shuffled
 
 # Fixed values.
 BOUNDARY = 1e-8
@@ -110,11 +110,11 @@ def holes_to_outers(outers: DataFrame, inners: DataFrame, outer_edges: DataFrame
     sized = extent.withColumn("_size", F.pow(F.lit(2.0), F.ceil(F.log2(widest))))
     cell = lambda v: F.floor(F.col(v) / F.col("_size"))
     boxes = sized.withColumn("_bx", F.explode(F.sequence(cell("_w"), cell("_e")))).withColumn("_by", F.explode(F.sequence(cell("_s"), cell("_n"))))
-    asked = inners.select("inner_id", relation, "px", "py").join(sized.select(relation, "_size").distinct(), relation)
+    asked = inners.select("inner_id", relation, "px", "py").join(shuffled(sized.select(relation, "_size").distinct()), relation)
     asked = asked.withColumns({"_bx": cell("px"), "_by": cell("py")})
-    near = asked.join(boxes, [relation, "_size", "_bx", "_by"]).filter(F.col("px").between(F.col("_w"), F.col("_e")) & F.col("py").between(F.col("_s"), F.col("_n")))
-    tested = near.select("inner_id", relation, "polygon_id", "px", "py").join(outer_edges, [relation, "polygon_id"])
+    near = asked.join(shuffled(boxes), [relation, "_size", "_bx", "_by"]).filter(F.col("px").between(F.col("_w"), F.col("_e")) & F.col("py").between(F.col("_s"), F.col("_n")))
+    tested = near.select("inner_id", relation, "polygon_id", "px", "py").join(shuffled(outer_edges), [relation, "polygon_id"])
     held = _inside_rings(tested, ["inner_id", relation, "polygon_id"], F.col("px"), F.col("py")).filter("in_ring")
-    best = held.join(outers.select(relation, "polygon_id", "ring_area"), [relation, "polygon_id"]).groupBy("inner_id").agg(
+    best = held.join(shuffled(outers.select(relation, "polygon_id", "ring_area")), [relation, "polygon_id"]).groupBy("inner_id").agg(
         F.min(F.struct("ring_area", "polygon_id")).alias("_b"))
-    return inners.select("inner_id", relation).join(best, "inner_id", "left").select("inner_id", relation, F.col("_b.polygon_id").alias("polygon_id"))
+    return inners.select("inner_id", relation).join(shuffled(best), "inner_id", "left").select("inner_id", relation, F.col("_b.polygon_id").alias("polygon_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.basics import is_finite
+from ..functions.basics import is_finite, shuffled
 from ..session import cut_lineage
 from .polygons import holes_to_outers, ring_edges
 
@@ -41,10 +41,10 @@ def way_coordinates(ways: DataFrame, nodes: DataFrame, key: str = "way_id") -> D
     """Ways with ``coordinates`` in node order, six decimals; unknown nodes are left out."""
     known = nodes.filter(is_finite("lon") & is_finite("lat")).select(
         "node_id", F.round(F.col("lon").cast("double"), 6).alias("lon"), F.round(F.col("lat").cast("double"), 6).alias("lat"))
-    flat = ways.select(key, F.posexplode("nodes").alias("pos", "node_id")).join(known, "node_id")
+    flat = ways.select(key, F.posexplode("nodes").alias("pos", "node_id")).join(shuffled(known), "node_id")
     # A way holds at most a few thousand nodes, so its list is a bounded value.
     line = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("_l"))
-    return ways.join(line, key, "left").withColumn(
+    return ways.join(shuffled(line), key, "left").withColumn(
         "coordinates", F.transform(F.coalesce("_l", F.expr("CAST(array() AS array<struct<pos:int,lon:double,lat:double>>)")),
                                    lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))).drop("_l")
 
@@ -62,7 +62,7 @@ def drop_represented_ways(ways: DataFrame, members: DataFrame) -> DataFrame:
     """Leave out building ways that a usable building relation already draws; ``members`` are those of usable relations."""
     inside = members.filter(F.col("type") == "way").select(F.col("ref").alias("way_id")).distinct()
     building = F.coalesce(F.try_element_at("tags", F.lit("building")) != "", F.lit(False))
-    return ways.filter(~building).unionByName(ways.filter(building).join(inside, "way_id", "left_anti"))
+    return ways.filter(~building).unionByName(ways.filter(building).join(shuffled(inside), "way_id", "left_anti"))
 
 
 def _walked(ways: list[tuple]) -> list[tuple] | None:
@@ -254,31 +254,31 @@ def relation_features(relations: DataFrame, members: DataFrame, ways: DataFrame,
     tag = lambda k: F.try_element_at("tags", F.lit(k))
     wanted = relations.filter((tag("type") == "multipolygon") & F.coalesce(tag("building") != "", F.lit(False)))
     role = F.when(F.coalesce("role", F.lit("")) == "", "outer").otherwise(F.col("role"))
-    own = members.join(wanted.select("relation_id"), "relation_id", "left_semi").select("relation_id", "type", F.col("ref").alias("way_id"), role.alias("role"))
-    own = own.join(ways.select("way_id", "nodes"), "way_id", "left")
+    own = members.join(shuffled(wanted.select("relation_id")), "relation_id", "left_semi").select("relation_id", "type", F.col("ref").alias("way_id"), role.alias("role"))
+    own = own.join(shuffled(ways.select("way_id", "nodes")), "way_id", "left")
     usable = F.coalesce((F.col("type") == "way") & F.col("role").isin("outer", "inner") & (F.size("nodes") >= 2), F.lit(False))
     own = cut_lineage(own.withColumn("_usable", usable))
     found, refused = stitch_rings(own.filter("_usable").drop("_usable", "type"))
     lost = own.filter(~F.col("_usable")).select("relation_id").unionByName(refused).distinct()
-    found = found.join(lost, "relation_id", "left_anti").withColumns({
+    found = found.join(shuffled(lost), "relation_id", "left_anti").withColumns({
         "_key": F.struct("relation_id", "role", "ring_id"), "is_outer": F.col("role") == "outer"})
     shaped = normalise_rings(way_coordinates(found, nodes, "_key"))
     whole = F.col("ring").isNotNull() & (F.size("coordinates") == F.size("nodes"))
     shaped = cut_lineage(shaped.select("relation_id", "is_outer", F.col("ring_id").alias("polygon_id"), "ring", "ring_area", whole.alias("_whole")))
-    good = shaped.join(shaped.filter(~F.col("_whole")).select("relation_id").distinct(), "relation_id", "left_anti").drop("_whole")
+    good = shaped.join(shuffled(shaped.filter(~F.col("_whole")).select("relation_id").distinct()), "relation_id", "left_anti").drop("_whole")
     outers, inners = good.filter("is_outer"), good.filter(~F.col("is_outer")).withColumn("inner_id", F.struct("relation_id", "polygon_id"))
     flat = outers.withColumn("ring", F.transform("ring", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
     first = F.element_at("ring", 1)
     placed = holes_to_outers(outers, inners.select("inner_id", "relation_id", first["lon"].alias("px"), first["lat"].alias("py")),
                              ring_edges(flat, ["relation_id", "polygon_id"]))
-    placed = cut_lineage(placed.join(inners.select("inner_id", "ring"), "inner_id"))
+    placed = cut_lineage(placed.join(shuffled(inners.select("inner_id", "ring")), "inner_id"))
     homeless = placed.filter(F.col("polygon_id").isNull()).select("relation_id").distinct()
     # Rings of a polygon and polygons of a relation are one feature's own geometry.
     holes = placed.groupBy("relation_id", "polygon_id").agg(F.array_sort(F.collect_list("ring")).alias("_holes"))
-    parts = outers.join(homeless, "relation_id", "left_anti").join(holes, ["relation_id", "polygon_id"], "left")
+    parts = outers.join(shuffled(homeless), "relation_id", "left_anti").join(shuffled(holes), ["relation_id", "polygon_id"], "left")
     rings = F.when(F.col("_holes").isNull(), F.array("ring")).otherwise(F.concat(F.array("ring"), "_holes"))
     drawn = parts.groupBy("relation_id").agg(F.array_sort(F.collect_list(rings)).alias("polygons"))
-    return wanted.join(drawn, "relation_id").select(
+    return wanted.join(shuffled(drawn), "relation_id").select(
         "relation_id", tag("building").alias("class"), F.coalesce(tag("name"), F.lit("")).alias("name"),
         F.when(F.size("polygons") == 1, "Polygon").otherwise("MultiPolygon").alias("geometry"), "polygons")
 
@@ -289,7 +289,7 @@ def map_features(ways: DataFrame, nodes: DataFrame, relations: DataFrame, member
     A building way goes only where one of its relations became a feature.
     """
     drawn = cut_lineage(relation_features(relations, members, ways, nodes))
-    held = members.join(drawn.select("relation_id"), "relation_id", "left_semi")
+    held = members.join(shuffled(drawn.select("relation_id")), "relation_id", "left_semi")
     single = way_features(drop_represented_ways(ways, held), nodes)
     area = F.col("geometry") == "Polygon"
     one = single.select(
