@@ -245,3 +245,28 @@ def test_tiles_with_halos_give_what_one_tile_gives(spark):
         assert seen[0] == seen[1] and len(seen[0]) == 300
     cast = [sorted(map(tuple, shadows.ground_shadow(cells, grids, frames, side=side).collect())) for side in (256, 16)]
     assert cast[0] == cast[1] and len(cast[0]) == 40 * len(rows)
+
+
+@pytest.mark.parametrize("mode", ["absolute", "legacy"])
+def test_points_cut_from_lines_see_what_points_see(spark, mode):
+    """Lines across tiles, off the grid, of no length, in no area, without a place: each sample once, judged as on its own."""
+    rng = random.Random(3)
+    cells = cell_table(spark, 40, 40, lambda x, y: (rng.randrange(60), 255 if rng.random() < 0.97 else 200, 0.0, (h := rng.choice([0.0, 0.0, 0.0, 25.0])), h + rng.randrange(4)))
+    cells = spark.createDataFrame(cells.collect(), cells.schema)
+    grids = spark.createDataFrame([(0, 40, 40, 0.0, 160.0, 4.0, 0.5, 28.0)], GRID)
+    far = lambda: rng.uniform(-60.0, 220.0)
+    rows = [(i, rng.choice([0, 0, 0, 7]), far(), far(), far(), far()) for i in range(30)]
+    rows += [(90, 0, 64.0, 64.0, 64.0, 64.0), (91, None, 1.0, 1.0, 9.0, 9.0), (92, 0, None, 4.0, 80.0, 9.0), (93, 0, float("nan"), 4.0, 80.0, 9.0), (94, 0, 0.0, 0.0, 160.0, 160.0)]
+    lines = spark.createDataFrame(rows, "line int, area_id int, x1 double, y1 double, x2 double, y2 double")
+
+    def cut(df, along=()):
+        f = F.col("no") / 9.0
+        return df.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
+            "line", "no", *dict.fromkeys(["area_id", *along]), (F.col("x1") + (F.col("x2") - F.col("x1")) * f).alias("easting"), (F.col("y1") + (F.col("y2") - F.col("y1")) * f).alias("northing"),
+            (F.col("no") * 37.0 + 0.5).alias("azimuth_deg"), F.when(F.col("no") == 4, -1.0).otherwise(30.0 + F.col("no")).alias("altitude_deg"))
+
+    key = ["line", "no"]
+    want = sorted(map(str, rays.classify_points(cut(lines), cells, grids, mode, key=key).collect()))
+    for side in (256, 16):
+        got = rays.classify_cut(lines, cut, cells, grids, mode, key, side=side, salt="line")
+        assert sorted(map(str, got.select(*key, *[c for c in got.columns if c not in key]).collect())) == want
