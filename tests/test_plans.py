@@ -46,3 +46,22 @@ def test_shadow_offsets_are_not_shuffled(spark):
     plan = without_broadcasts(spark, lambda: catalog.QUERIES["ground_shadow"](spark, FOLDER))
     above = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and "Exchange" not in above and "offsets" not in above
+
+
+@pytest.mark.parametrize("name", ["score_journeys", "score_schedules", "bucketed_edge_costs"])
+def test_samples_are_cut_behind_the_tile_join(spark, name):
+    """No sample is shuffled: above the sampling, exchanges deal out journeys only."""
+    plan = without_broadcasts(spark, lambda: catalog.QUERIES[name](spark, FOLDER))
+    assert "Generate explode(sequence(0, (pieces" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sample_idx" in line]
+    above = plan.split("Generate explode(sequence(0, (pieces")[0].splitlines()
+    assert not [line for line in above if "Exchange hashpartitioning" in line and "area_id" in line]
+
+
+def test_rays_at_outlines_are_folded_where_they_met(spark):
+    """Samples take what they need of their route and area from their segment; sides are folded without another exchange."""
+    plan = without_broadcasts(spark, lambda: catalog.QUERIES["footprint_route_score"](spark, FOLDER))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in dealt if "polygon_id" in line and "_bx" in line]
+    above = [line for line in plan.split("Generate explode(sequence(0, (pieces")[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert above and not [line for line in above if "hashpartitioning(area_id" in line and "_bx" not in line]

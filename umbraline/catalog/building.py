@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import half_up
-from ..operators import footprints, polygons
+from ..operators import footprints, geometry, polygons
 from .registry import Source, VIEWS, given, query, r6
-from .scoring import SEGMENT_SQL, SUN_SQL, planar_samples, with_slot_sun
+from .scoring import SEGMENT_SQL, SUN_SQL, planar_segments, with_slot_sun
 
 # Outlines a little off the cell grid, one to three cells wide, with tag text.
 VIEWS["outlines"] = """
@@ -115,11 +115,13 @@ SELECT r.route_id, {r6('coalesce(m, 0)')} AS distance_m, {r6('coalesce(m, 0) / 1
 FROM routes r LEFT JOIN sums USING (route_id)""".replace("WHERE length_positive", "WHERE piece_m > 1e-9"))
 def footprint_route_score(src: Source) -> DataFrame:
     blocks, edges = _blocks(src)
-    samples = planar_samples(src).filter(F.col("piece_m") > 1e-9)
     routes = src.view("routes").select("route_id", "area_id", "departure_ms")
-    points = samples.join(routes, "route_id").select(
-        F.struct("route_id", "sample_idx").alias("point_id"), "route_id", "area_id", (F.col("easting") + 0.013).alias("px"), (F.col("northing") - 0.017).alias("py"),
-        "piece_m", F.floor((F.col("departure_ms") + F.col("mid_fraction") * F.col("total_m") / footprints.WALKING_MPS * 1000) / 60_000).alias("minute"))
+    # What a sample takes from its route and area is joined to segments, before they are cut into samples.
+    segs = footprints.with_outlooks(planar_segments(src).join(routes, "route_id"), edges, blocks)
+    samples = geometry.densify(segs, carry=("area_id", "departure_ms", "_tallest", "_powers")).filter(F.col("piece_m") > 1e-9)
+    points = samples.select(
+        F.struct("route_id", "sample_idx").alias("point_id"), "route_id", "area_id", (F.col("x_mid") + 0.013).alias("px"), (F.col("y_mid") - 0.017).alias("py"),
+        "piece_m", F.floor((F.col("departure_ms") + F.col("mid_fraction") * F.col("total_m") / footprints.WALKING_MPS * 1000) / 60_000).alias("minute"), "_tallest", "_powers")
     shaded = footprints.point_shade(with_slot_sun(points), edges, blocks)
     out = footprints.route_score(shaded, ["route_id"], routes=routes)
     return out.select("route_id", *[half_up(c, 6).alias(c) for c in ("distance_m", "duration_s", "sun_s", "best_s", "worst_s")], "is_daylight",

@@ -10,7 +10,7 @@ from ..functions.heights import (
     FALLBACK_HEIGHT_M, FALLBACK_SPREAD_M, MAX_TAGGED_LEVELS, RECEIVER_HEIGHT_M, STOREY_HEIGHT_M,
     bounded_positive, parsed_height_m, required_height, triangular_exceedance,
 )
-from .outlines import ray_hits
+from .outlines import bin_powers, outline_rows, ray_hits
 
 # Fixed values.
 WALKING_MPS = 1.2
@@ -50,6 +50,15 @@ def height_source_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("area_id").agg(F.count(F.lit(1)).alias("buildings"), *(n(s) for s in HEIGHT_SOURCES))
 
 
+def with_outlooks(df: DataFrame, edges: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Adds by area_id what a ray must know before it is cast: height of the tallest building, widths of the bins of the outlines.
+
+    :func:`point_shade` adds it to its points; whoever cuts points from longer rows adds it to those, which are fewer.
+    """
+    tallest = buildings.groupBy("area_id").agg(F.max("high_m").alias("_tallest"))
+    return df.join(tallest, "area_id", "left").join(bin_powers(outline_rows(edges)), "area_id", "left")
+
+
 def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key: str = "point_id", max_shadow_m: float | None = None) -> DataFrame:
     """Chance of shade at each point from the outlines sunward of it.
 
@@ -58,8 +67,7 @@ def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key:
     beyond where the tallest building could still block it.  ``covered``: the
     area has buildings at all.
     """
-    tallest = buildings.groupBy("area_id").agg(F.max("high_m").alias("_tallest"))
-    located = points.join(tallest, "area_id", "left")
+    located = points if "_powers" in points.columns else with_outlooks(points, edges, buildings)
     day = F.col("altitude_deg") > 0
     reach = F.greatest(F.lit(0.0), (F.col("_tallest") - RECEIVER_HEIGHT_M) / F.tan(F.radians("altitude_deg")))
     if max_shadow_m is not None:
@@ -77,7 +85,7 @@ def point_shade(points: DataFrame, edges: DataFrame, buildings: DataFrame, key:
     shade = once.groupBy(key).agg(
         F.product(1 - F.col("_p")).alias("_clear"), F.max(F.col("_p") >= 1 - 1e-12).alias("guaranteed"),
         F.min("distance_m").alias("nearest_m"), F.array_sort(F.collect_set("polygon_id")).alias("occluders"))
-    out = located.withColumn("covered", F.col("_tallest").isNotNull()).drop("_tallest").join(shade, key, "left").withColumn("daylight", day)
+    out = located.withColumn("covered", F.col("_tallest").isNotNull()).drop("_tallest", "_powers").join(shade, key, "left").withColumn("daylight", day)
     direct = F.when(~F.col("daylight"), 0.0).otherwise(clamp(F.coalesce("_clear", F.lit(1.0)), 0.0, 1.0))
     hit = F.col("_clear").isNotNull()
     return out.withColumns({
