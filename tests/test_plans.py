@@ -65,3 +65,10 @@ def test_rays_at_outlines_are_folded_where_they_met(spark):
     assert not [line for line in dealt if "polygon_id" in line and "_bx" in line]
     above = [line for line in plan.split("Generate explode(sequence(0, (pieces")[0].splitlines() if "Exchange hashpartitioning" in line]
     assert above and not [line for line in above if "hashpartitioning(area_id" in line and "_bx" not in line]
+
+
+def test_exchanges_begin_in_small_shares(spark):
+    """The tables' size shows in the number of tasks, not in the rows of one."""
+    plan = without_broadcasts(spark, lambda: catalog.QUERIES["exposure_profile"](spark, FOLDER))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all(", 1024), ENSURE_REQUIREMENTS" in line for line in dealt)
