@@ -127,7 +127,7 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
     A request has at most eight candidates, so a route meets at most seven
     others.  End points settle the direction of comparison and most pairs; only
     the routes of pairs left over are resampled and compared point by point, as
-    plain aggregates.
+    plain aggregates.  Segments are dealt out, points are not.
     """
     # Ends are plain aggregates of numbers, so only routes of pairs left over are cut into segments.  A route moves when its points differ.
     ends = vertices.groupBy("route_id").agg(
@@ -145,19 +145,29 @@ def near_duplicates(vertices: DataFrame, routes: DataFrame, request: str = "requ
         "_hh": apart("a_head", "b_head"), "_tt": apart("a_tail", "b_tail"), "_ht": apart("a_head", "b_tail"), "_th": apart("a_tail", "b_head")})
     pairs = pairs.withColumn("turned", F.col("_ht") + F.col("_th") < F.col("_hh") + F.col("_tt"))
     worst = F.when(F.col("turned"), F.greatest("_ht", "_th")).otherwise(F.greatest("_hh", "_tt"))
-    # Few pairs are left and four branches below read them: written once rather than planned four times.
+    # Few pairs are left and the branches below read them: written once rather than planned in every branch.
     pairs = cut_lineage(pairs.filter(worst <= MAX_APART_M).select(request, "a_id", "a_pos", "b_id", "b_pos", "turned"))
     wanted = pairs.select(F.col("a_id").alias("route_id")).unionByName(pairs.select(F.col("b_id").alias("route_id"))).distinct()
-    points = resample(segments(vertices.join(wanted, "route_id", "left_semi"), x=x, y=y, metric=metric)).select("route_id", "sample_no", F.struct("x", "y").alias("p"))
-    a = points.select(F.col("route_id").alias("a_id"), F.col("sample_no").alias("k"), F.col("p").alias("a"))
-    b = points.select(F.col("route_id").alias("b_id"), F.col("sample_no").alias("k"), F.col("p").alias("b"))
+    segs = segments(vertices.join(wanted, "route_id", "left_semi"), x=x, y=y, metric=metric)
+    # The segments of a chunk travel in one row to the pairs of their route; points are cut where both routes of a pair have met.
+    carried = ["seg_idx", "x1", "y1", "x2", "y2", "length_m", "start_m", "last"]
+    packed = segs.filter(F.col("total_m") > 0).groupBy("route_id", "chunk", "total_m").agg(F.collect_list(F.struct(*carried)).alias("segs"))
+    pair = [request, "a_id", "a_pos", "b_id", "b_pos"]
+    sides = pairs.select(*pair, F.col("a_id").alias("route_id"), F.lit(True).alias("_of_a"), F.col("turned").alias("_flip")).unionByName(
+        pairs.select(*pair, F.col("b_id").alias("route_id"), F.lit(False).alias("_of_a"), F.lit(False).alias("_flip")))
+    met = sides.join(packed, "route_id").repartition("a_id", "b_id")
+    points = resample(met.select(*pair, "_of_a", "_flip", "total_m", F.explode("segs").alias("s")).select(*pair, "_of_a", "_flip", "total_m", "s.*"),
+                      key=[*pair, "_of_a", "_flip"])
     last = DUPLICATE_SAMPLES - 1
-    lined = pairs.join(a, "a_id").withColumn("k", F.when(F.col("turned"), last - F.col("k")).otherwise(F.col("k"))).join(b, ["b_id", "k"])
-    gaps = lined.select(request, "a_id", "a_pos", "b_id", "b_pos", apart("a", "b").alias("gap"))
+    of = lambda a, c: F.max(F.when(F.col("_of_a") == a, F.col(c)))
+    many = lambda a: F.count(F.when(F.col("_of_a") == a, True))
+    lined = points.withColumn("k", F.when(F.col("_flip"), last - F.col("sample_no")).otherwise(F.col("sample_no"))).groupBy(*pair, "k").agg(
+        of(True, "x").alias("_ax"), of(True, "y").alias("_ay"), of(False, "x").alias("_bx"), of(False, "y").alias("_by"), (many(True) * many(False)).alias("_met"))
+    gaps = lined.filter(F.col("_met") > 0).select(*pair, "_met", span_m("_ax", "_ay", "_bx", "_by", metric).alias("gap"))
     # The 37th of 41 ordered gaps is the ninetieth percentile: at least 37 must be small enough.
     needed = -(-DUPLICATE_SAMPLES * 9 // 10)
-    found = gaps.groupBy(request, "a_id", "a_pos", "b_id", "b_pos").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("gap").alias("mean_m"), F.max("gap").alias("max_m"),
+    found = gaps.groupBy(*pair).agg(
+        F.sum("_met").alias("_n"), F.avg("gap").alias("mean_m"), F.max("gap").alias("max_m"),
         F.sum(F.when(F.col("gap") <= P90_APART_M, 1).otherwise(0)).alias("close_points"))
     return found.filter(
         (F.col("_n") == DUPLICATE_SAMPLES) & (F.col("mean_m") <= MEAN_APART_M) & (F.col("close_points") >= needed) & (F.col("max_m") <= MAX_APART_M)).drop("_n")
