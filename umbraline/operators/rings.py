@@ -51,10 +51,12 @@ def way_coordinates(ways: DataFrame, nodes: DataFrame, key: str = "way_id") -> D
 
 def way_features(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Map features from tagged ways: at least two points, areas closed."""
-    shaped = way_coordinates(ways, nodes).withColumns({
-        "kind": osm_kind(), "class": osm_class(), "name": F.coalesce(F.try_element_at("tags", F.lit("name")), F.lit(""))})
+    # Ways that are nothing on the map meet no nodes.
+    drawn = ways.withColumn("kind", osm_kind()).filter(F.col("kind").isNotNull())
+    shaped = way_coordinates(drawn, nodes).withColumns({
+        "class": osm_class(), "name": F.coalesce(F.try_element_at("tags", F.lit("name")), F.lit(""))})
     closed = F.element_at("coordinates", 1) == F.element_at("coordinates", -1)
-    return shaped.filter(F.col("kind").isNotNull() & (F.size("coordinates") >= 2)).filter((F.col("kind") == "road") | closed).withColumn(
+    return shaped.filter(F.size("coordinates") >= 2).filter((F.col("kind") == "road") | closed).withColumn(
         "geometry", F.when(F.col("kind") == "road", "LineString").otherwise("Polygon"))
 
 
@@ -62,7 +64,8 @@ def drop_represented_ways(ways: DataFrame, members: DataFrame) -> DataFrame:
     """Leave out building ways that a usable building relation already draws; ``members`` are those of usable relations."""
     inside = members.filter(F.col("type") == "way").select(F.col("ref").alias("way_id")).distinct()
     building = F.coalesce(F.try_element_at("tags", F.lit("building")) != "", F.lit(False))
-    return ways.filter(~building).unionByName(ways.filter(building).join(shuffled(inside), "way_id", "left_anti"))
+    held = shuffled(inside.select(F.col("way_id").alias("_held")))
+    return ways.join(held, building & (ways["way_id"] == held["_held"]), "left_anti")
 
 
 def _walked(ways: list[tuple]) -> list[tuple] | None:
