@@ -180,6 +180,29 @@ def test_pareto_set(spark):
     assert [(r.problem, r.edge_ids) for r in bounded] == [("label-expansion-bound", None)]
 
 
+def test_labels_are_shuffled_once_a_level(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, "x", "a", "b", 2.0, 1.0, 0.0), (1, "y", "b", "c", 2.0, 1.0, 0.0)], EDGE)
+    pairs = spark.createDataFrame([(1, 1, "a", "c")], "pair_id int, graph_id int, origin string, destination string")
+    plans, cut = [], paths.cut_lineage
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df)
+
+    monkeypatch.setattr(paths, "cut_lineage", seen)
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert [r.edge_ids for r in paths.pareto_paths(edges, pairs).collect()] == [["x", "y"]]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    levels = [plan for columns, plan in plans if "_rank" in columns]
+    assert len(levels) >= 2 and all(plan.count("Exchange hashpartitioning(pair_id") == 1 for plan in levels)
+
+
 def test_hot_key_results_stay_whole(spark):
     # One feed holds nearly everything; the counts must not change.
     hot = spark.range(20_000).select(F.lit("hot").alias("gate"), (F.col("id") % 3_000).alias("at_ms"))

@@ -87,14 +87,17 @@ def pareto_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, m
         spent = cut_lineage(spent.unionByName(growing.groupBy("pair_id").agg(F.count(F.lit(1)).alias("expanded")))
                             .groupBy("pair_id").agg(F.sum("expanded").alias("expanded")))
         over = spent.filter(F.col("expanded") > max_expanded).select("pair_id")
-        reached = growing.join(over, "pair_id", "left_anti").join(out, ["graph_id", "node"])
+        if not over.isEmpty():
+            growing = growing.join(over, "pair_id", "left_anti")
+        reached = growing.join(out, ["graph_id", "node"])
         reached = reached.filter(~F.array_contains("nodes", F.col("_to"))).select(
             "pair_id", "graph_id", "destination", F.col("_to").alias("node"), (F.col("duration_s") + F.col("_d")).alias("duration_s"),
             (F.col("sun_s") + F.col("_s")).alias("sun_s"), (F.col("unknown_s") + F.col("_u")).alias("unknown_s"),
             (F.col("exposure_s") + F.col("_s") + F.col("_u")).alias("exposure_s"),
             F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.concat("nodes", F.array("_to")).alias("nodes"), F.lit(hop).alias("hop"))
-        both = kept.unionByName(reached).withColumn("_path", text)
-        best = skyline(both, ["pair_id", "node"], ["unknown_s", "_path"], salt=F.pmod(F.hash("_path"), F.lit(SALT)))
+        # One exchange, which text and ranks do without; a node has max_labels labels for each edge into it at most.
+        both = kept.unionByName(reached).repartition("pair_id", "node").withColumn("_path", text)
+        best = skyline(both, ["pair_id", "node"], ["unknown_s", "_path"])
         ranked = W.partitionBy("pair_id", "node").orderBy("duration_s", "exposure_s", "unknown_s", "_path")
         most = cut_lineage(best.withColumn("_rank", F.row_number().over(ranked)).select(*names, "_rank"))
         kept = most.filter(F.col("_rank") <= max_labels).select(*names)
