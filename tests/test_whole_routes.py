@@ -72,3 +72,30 @@ def test_rays_work_with_either_type_of_cell_number(spark):
                                    "area_id string, easting double, northing double, azimuth_deg double, altitude_deg double")
     seen = [sorted(map(str, rays.classify_points(points, cells.withColumn("cell_no", F.col("cell_no").cast(kind)), grids).collect())) for kind in ("int", "bigint")]
     assert seen[0] == seen[1] and len(seen[0]) == 2
+
+
+def test_segments_of_any_length_meet_what_is_near(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = []
+    for n in range(120):
+        reach = rng.choice([0.0, 5.0, 40.0, 170.0, 400.0, 3_000.0])
+        x, y = rng.uniform(-900, 900), rng.uniform(-900, 900)
+        rows.append((f"r{n}", 0, x, y, x + rng.uniform(-reach, reach), y + rng.uniform(-reach, reach), 1.0, 0.0, 1.0))
+    shape = "route_id string, seg_idx int, x1 double, y1 double, x2 double, y2 double, length_m double, start_m double, total_m double"
+    spots = [(1, k, rng.uniform(-1_000, 1_000), rng.uniform(-1_000, 1_000)) for k in range(150)]
+    segs = spark.createDataFrame(rows, shape).selectExpr("*", "1 AS area_id")
+    got = {(r.route_id, r.feature_id) for r in context.nearby_features(segs, spark.createDataFrame(spots, "area_id int, feature_id int, px double, py double"), 25.0, "planar").collect()}
+
+    def away(a, p):
+        dx, dy = a[4] - a[2], a[5] - a[3]
+        t = max(0, min(1, ((p[2] - a[2]) * dx + (p[3] - a[3]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(a[2] + t * dx - p[2], a[3] + t * dy - p[3])
+
+    assert got == {(a[0], p[1]) for a in rows for p in spots if away(a, p) <= 25.0}
+    # A box that reaches over many narrow bins is not listed in all of them.
+    listed = context.in_bins(segs, F.lit(25.0), F.lit(25.0), 60.0, 60.0).groupBy("route_id").agg(F.count("*").alias("n"), F.first(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))).alias("m"))
+    assert max(r.n for r in listed.collect() if r.m <= 430) <= 4

@@ -16,6 +16,8 @@ LISTED, LOOKAHEAD_MS = 12, 7 * 86_400_000
 DEGREE_M = 111_320.0
 # Bins no finer than a usual segment: a small radius must not list it many times over.
 MIN_BIN_M = 60.0
+# Bins of 1, 2, 4 ... times that width: a box is listed in the widest ones it needs to touch four at most, a longer one in more.
+WIDTHS = 4
 GRAM = 3  # characters by which a place query finds its candidates
 
 
@@ -39,12 +41,27 @@ def _offsets(metric: str) -> tuple[Column, Column, Column, Column]:
     return ax, ay, (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * ky
 
 
+def in_bins(segs: DataFrame, grow_x: Column, grow_y: Column, size_x: float, size_y: float) -> DataFrame:
+    """Segments in the bins (_level, _bx, _by) that their grown boxes touch. The level is that of the first width which
+    reaches across the box, so four bins hold it, unless it is longer than the widest."""
+    box = {"_x0": F.least("x1", "x2") - grow_x, "_x1": F.greatest("x1", "x2") + grow_x, "_y0": F.least("y1", "y2") - grow_y, "_y1": F.greatest("y1", "y2") + grow_y}
+    extent = F.greatest((F.col("_x1") - F.col("_x0")) / size_x, (F.col("_y1") - F.col("_y0")) / size_y)
+    level = F.lit(WIDTHS - 1)
+    for k in reversed(range(WIDTHS - 1)):
+        level = F.when(extent <= 2 ** k, k).otherwise(level)
+    wide = F.expr("shiftleft(1, _level)")
+    bins = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / (wide * size)).cast("int"), F.floor(F.col(b) / (wide * size)).cast("int")))
+    listed = segs.withColumns(box).withColumn("_level", level)
+    return listed.withColumn("_bx", bins("_x0", "_x1", size_x)).withColumn("_by", bins("_y0", "_y1", size_y)).drop(*box)
+
+
 def nearby_features(segs: DataFrame, features: DataFrame, radius_m: float | None = None, metric: str = "haversine",
                     key: str = "route_id") -> DataFrame:
     """(route, feature) pairs within the radius, with distance, return detour and progress.
 
     ``segs`` needs area_id.  Joined on area and bin: a segment is listed in the
-    bins its radius-grown box touches, a feature asks only its own.
+    bins its radius-grown box touches, of a width that follows the box, and a
+    feature asks its own bin of every width.
     """
     radius = bounded_option(radius_m, RADIUS_M, *RADIUS_RANGE)
     points = features.withColumnsRenamed({"x": "px", "y": "py"}) if "px" not in features.columns else features
@@ -57,11 +74,11 @@ def nearby_features(segs: DataFrame, features: DataFrame, radius_m: float | None
     else:
         grow_x = grow_y = F.lit(radius)
         size_x = size_y = max(radius, MIN_BIN_M)
-    spread = lambda a, b, grow, size: F.explode(F.sequence(
-        F.floor((F.least(a, b) - grow) / size).cast("int"), F.floor((F.greatest(a, b) + grow) / size).cast("int")))
-    listed = segs.withColumn("_gx", grow_x).withColumn("_bx", spread("x1", "x2", F.col("_gx"), size_x)).withColumn("_by", spread("y1", "y2", grow_y, size_y)).drop("_gx")
-    asked = points.withColumns({"_bx": F.floor(F.col("px") / size_x).cast("int"), "_by": F.floor(F.col("py") / size_y).cast("int")})
-    met = listed.join(asked, ["area_id", "_bx", "_by"])
+    listed = in_bins(segs, grow_x, grow_y, size_x, size_y)
+    wide = F.expr("shiftleft(1, _level)")
+    asked = points.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in range(WIDTHS)))))
+    asked = asked.withColumns({"_bx": F.floor(F.col("px") / (wide * size_x)).cast("int"), "_by": F.floor(F.col("py") / (wide * size_y)).cast("int")})
+    met = listed.join(asked, ["area_id", "_level", "_bx", "_by"])
     ax, ay, dx, dy = _offsets(metric)
     dot, square = ax * dx + ay * dy, dx * dx + dy * dy
     # A zero span divides to null, which least() skips: any fraction of nothing is the start.
