@@ -271,3 +271,19 @@ def test_pipeline_equals_the_plain_stages(spark, tmp_path, texts):
     want = {i: plain.encode_ordinary(t) for i, t in stage if i not in bad}
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and bad and len(want) < len(stage) < len(docs)
+
+
+def test_rounds_give_the_drivers_heap_back(spark, monkeypatch):
+    """Plans of many tasks let the driver's heap grow; each round of components gives it back, and no round runs without links."""
+    from umbraline.llm import common, jaccard_join
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda s: calls.append("release"))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)], "a bigint, b bigint")
+    assert {r.component for r in common.components(chain, "a", "b").collect()} == {0}
+    assert len(calls) >= 2
+    tried = []
+    monkeypatch.setattr(jaccard_join, "components", lambda *a: tried.append(a) or common.components(*a))
+    words = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, words), (2, words + " " + " ".join(f"x{k}" for k in range(14)))], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()} == {1: 1, 2: 2} and not tried

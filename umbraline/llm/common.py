@@ -106,7 +106,8 @@ def discard(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find shuffles of plans that a stored table has replaced; their files would stay until the
-    driver's next full collection."""
+    driver's next full collection. It also gives the driver's free heap back, which plans of many tasks let grow to its
+    limit, so loops over stored frames call it in every round."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -126,6 +127,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         after = cut_lineage(heard.join(jump, heard["near"] == jump["at"]).select("node", "old", F.least("near", "far").alias("label")))
         labels = after.select("node", "label")
+        release(edges.sparkSession)
         if after.where("label <> old").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
 

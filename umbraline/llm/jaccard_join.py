@@ -297,6 +297,7 @@ def verified(pairs: DataFrame, points: DataFrame, exact: Callable[[DataFrame], D
     left = cut_lineage(map_arrow(both(near, points, "counts"), "a bigint, b bigint", bounded))
     ends = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sets = stored(exact(points.join(ends, "sid", "left_semi").select("sid", "rep")), "sets")
+    release(points.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -396,6 +397,9 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wor
     def merge(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Verify the pairs; links between components merge them."""
         found = verified(pairs.distinct(), points, lambda wanted: set_table(docs, wanted, id_col, text_col, words), percent)
+        release(spark)
+        if found.isEmpty():
+            return label
         one, two = (label.select(F.col("sid").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
         into = components(found.join(one, "a").join(two, "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
         return cut_lineage(label.join(into, "component", "left").select("sid", F.coalesce("into", "component").alias("component")))
@@ -403,6 +407,7 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wor
     # Leaders of each run meet all its members, and are done.
     led = members.groupBy("digest").agg(F.array_distinct(F.array(*(F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(LEADERS)))).alias("leaders"))
     led = cut_lineage(members.join(led, "digest"))
+    release(spark)
     met = led.select("sid", F.explode("leaders").alias("leader")).where("sid <> leader")
     one = met.groupBy("sid").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader"))
     label = merge(one.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")), label)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, counted, text_key
+from .common import SPACES, counted, release, text_key
 
 MIN_WORDS = 30
 KEY = ["k_id", "k_text"]
@@ -85,6 +85,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(k_id, k_text, gone): the lines to delete as intervals, one row per document that has any."""
     lines, n = counted(repeated_lines(docs, id_col, text_col))
     runs, _ = counted(shortest_runs(lines, least))
+    release(docs.sparkSession)
     longest = runs.agg(F.max("c")).first()[0] or 0
     ranks = lines.select(*KEY, "n", "name")
     every, step, level = ranks.withColumn("level", F.lit(0)), 1, 0
@@ -92,6 +93,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranks, n = counted(doubled(ranks, step))
         step, level = 2 * step, level + 1
         every = every.unionByName(ranks.withColumn("level", F.lit(level)))
+        release(docs.sparkSession)
     runs = runs.select("*", F.floor(F.log2("c")).cast("int").alias("level"))
     for end, start in (("a", F.col("n")), ("b", F.col("n") + F.col("c") - F.expr("shiftleft(1, level)"))):
         one = every.select(F.col("k_id").alias("e_id"), F.col("k_text").alias("e_text"), F.col("n").alias("e_n"), F.col("level").alias("e_level"), F.col("name").alias(f"rank_{end}"))
@@ -99,6 +101,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         runs = asked.join(one, asked["k_id"].eqNullSafe(one["e_id"]) & (asked["k_text"] == one["e_text"]) & (asked["at"] == one["e_n"]) & (asked["level"] == one["e_level"]))
         runs = runs.drop("at", "e_id", "e_text", "e_n", "e_level")
     runs, _ = counted(runs)
+    release(docs.sparkSession)
     own = ["c", "rank_a", "rank_b"]  # the lengths tell the levels apart
     first = runs.groupBy(*own).agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first < last").drop("last")
     first, _ = counted(first.withColumnsRenamed({c: f"f_{c}" for c in own}))
