@@ -1,7 +1,10 @@
 """Outlines in bins of their own size: holes, far and large polygons, areas without buildings."""
 
+import random
+
 from pyspark.sql import functions as F
 
+import umbraline.catalog as catalog
 from umbraline.operators import footprints, outlines
 
 EDGES = "area_id int, polygon_id int, ring_no int, x1 double, y1 double, x2 double, y2 double"
@@ -41,3 +44,46 @@ def test_coverage_follows_the_area_and_routes_without_pieces_stay(spark):
     routes = spark.createDataFrame([(1,), (2,), (3,)], "route_id int")
     got = {r["route_id"]: (r["distance_m"], r["sun_s"], r["shade_percent"], r["coverage_percent"]) for r in footprints.route_score(shaded, ["route_id"], routes=routes).collect()}
     assert got == {1: (12.0, 0.0, 100.0, 100.0), 2: (12.0, 10.0, 0.0, 0.0), 3: (0.0, 0.0, None, 0.0)}
+
+
+def test_points_cut_from_lines_are_shaded_as_points(spark):
+    """Short and long rays, lines over several tiles, rows that come twice, courtyards, areas without buildings, nights."""
+    rng = random.Random(5)
+    blocks, sides = [], []
+    for k in range(150):
+        x, y, w, d = rng.uniform(-400, 700), rng.uniform(-500, 500), rng.uniform(3, 40), rng.uniform(3, 40)
+        blocks.append((1, k, rng.choice([None, 9.0, 30.0]), rng.choice([None, 2.0])))
+        rings = [[(x, y), (x + w, y), (x + w, y + d), (x, y + d)]]
+        if k % 7 == 0:
+            rings.append([(x + w / 4, y + d / 4), (x + w / 2, y + d / 4), (x + w / 2, y + d / 2)])
+        sides += [(1, k, no, *a, *b) for no, ring in enumerate(rings) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    far = lambda: rng.uniform(-450, 650)
+    lines = [(i, rng.choice([1, 1, 1, 2]), x := far(), y := far(), x + rng.uniform(-300, 300), y + rng.uniform(-300, 300)) for i in range(25)]
+    lines = spark.createDataFrame([*lines, lines[3], lines[4], (90, None, 0.0, 0.0, 5.0, 5.0)], "line int, area_id int, x1 double, y1 double, x2 double, y2 double")
+
+    def cut(df, along):
+        f = F.col("no") / 9.0
+        return df.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
+            "line", "no", *along, (F.col("x1") + (F.col("x2") - F.col("x1")) * f).alias("px"), (F.col("y1") + (F.col("y2") - F.col("y1")) * f).alias("py"),
+            (F.col("no") * 37.0 + 0.5).alias("azimuth_deg"), F.when(F.col("no") == 4, -1.0).when(F.col("no") % 3 == 0, 2.5).otherwise(20.0 + F.col("no")).alias("altitude_deg"))
+
+    buildings = footprints.footprint_heights(spark.createDataFrame(blocks, "area_id int, polygon_id int, height_m double, levels double"))
+    edges = spark.createDataFrame(sides, EDGES)
+    names = ["line", "no", "daylight", "covered", *(F.round(c, 9).alias(c) for c in ("direct_probability", "shade_probability", "best_direct", "worst_direct", "nearest_m")), "occluders"]
+    points = cut(lines, ["area_id"]).withColumn("point_id", F.struct("line", "no"))
+    for most in (None, 60.0):
+        want = footprints.point_shade(points, edges, buildings, max_shadow_m=most).select(*names)
+        got = footprints.cut_shade(lines, cut, edges, buildings, ["line", "no"], [], "line", {}, max_shadow_m=most).select(*names)
+        seen = sorted(map(str, got.collect()))
+        assert seen == sorted(map(str, want.collect())) and len(seen) == 280
+
+
+def test_rays_from_routes_are_not_shuffled(spark):
+    """Samples are cut in the tile that holds what they meet; only rays longer than its halo travel."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["footprint_route_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "point_id" in line or "_power" in line]

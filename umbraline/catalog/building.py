@@ -116,13 +116,16 @@ FROM routes r LEFT JOIN sums USING (route_id)""".replace("WHERE length_positive"
 def footprint_route_score(src: Source) -> DataFrame:
     blocks, edges = _blocks(src)
     routes = src.view("routes").select("route_id", "area_id", "departure_ms")
-    # What a sample takes from its route and area is joined to segments, before they are cut into samples.
-    segs = footprints.with_outlooks(planar_segments(src).join(routes, "route_id"), edges, blocks)
-    samples = geometry.densify(segs, carry=("area_id", "departure_ms", "_tallest", "_powers")).filter(F.col("piece_m") > 1e-9)
-    points = samples.select(
-        F.struct("route_id", "sample_idx").alias("point_id"), "route_id", "area_id", (F.col("x_mid") + 0.013).alias("px"), (F.col("y_mid") - 0.017).alias("py"),
-        "piece_m", F.floor((F.col("departure_ms") + F.col("mid_fraction") * F.col("total_m") / footprints.WALKING_MPS * 1000) / 60_000).alias("minute"), "_tallest", "_powers")
-    shaded = footprints.point_shade(with_slot_sun(points), edges, blocks)
+    segs = planar_segments(src).join(routes, "route_id")
+
+    def cut(lines: DataFrame, along: list[str]) -> DataFrame:
+        samples = geometry.densify(lines, carry=("departure_ms", *along)).filter(F.col("piece_m") > 1e-9)
+        return with_slot_sun(samples.select(
+            "route_id", "sample_idx", (F.col("x_mid") + 0.013).alias("px"), (F.col("y_mid") - 0.017).alias("py"), "piece_m",
+            F.floor((F.col("departure_ms") + F.col("mid_fraction") * F.col("total_m") / footprints.WALKING_MPS * 1000) / 60_000).alias("minute"), *along))
+
+    shaded = footprints.cut_shade(segs, cut, edges, blocks, ["route_id", "sample_idx"], ["piece_m"], salt="route_id",
+                                  blank={"pieces": F.lit(1), "length_m": F.lit(1.0)}, slack_m=0.02)
     out = footprints.route_score(shaded, ["route_id"], routes=routes)
     return out.select("route_id", *[half_up(c, 6).alias(c) for c in ("distance_m", "duration_s", "sun_s", "best_s", "worst_s")], "is_daylight",
                       half_up("shade_percent", 6).alias("shade_percent"), "coverage_percent")
