@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -121,14 +122,16 @@ def cut_shade(lines: DataFrame, cut: Callable[[DataFrame, list[str]], DataFrame]
     hash deals out a tile with very many lines.  ``blank``: values that let ``cut`` keep a row that is no line, which brings a tile.
     """
     sides = edges.join(buildings.select("area_id", "polygon_id", *HEIGHTS), ["area_id", "polygon_id"])
-    tiles, located = outline_tiles(sides, HEIGHTS), with_tallest(lines, buildings)
+    # Lines that come twice: their rays count as one when it is asked on which side of an outline they begin (see ray_hits).
+    alike = lines.withColumn("_alike", F.count(F.lit(1)).over(W.partitionBy(*lines.columns)))
+    tiles, located = outline_tiles(sides, HEIGHTS), with_tallest(alike, buildings)
     held = list(dict.fromkeys([*key, *carry]))
     # What the task works out from few columns stays out of the plan: code of more than 8,000 bytes in a method is interpreted.
     turned = {"ux": F.sin(F.radians("azimuth_deg")), "uy": F.cos(F.radians("azimuth_deg")), "_tan": F.tan(F.radians("altitude_deg"))}
-    ray = ["px", "py", *turned, "altitude_deg", "_tallest", *TILE, "_tile"]
+    ray = ["px", "py", *turned, "altitude_deg", "_tallest", "_alike", *TILE, "_tile"]
 
     def settled(dealt: DataFrame) -> DataFrame:
-        points = cut(dealt, list(dict.fromkeys(["_tallest", *TILE, "_tile"]))).withColumns(turned)
+        points = cut(dealt, list(dict.fromkeys(["_tallest", "_alike", *TILE, "_tile"]))).withColumns(turned)
         return points.filter(F.col("_tile").isNotNull() | in_tile()).select(*dict.fromkeys([*held, *ray]))
 
     wanted = cut(located, ["_tallest"]).schema
@@ -140,8 +143,8 @@ def cut_shade(lines: DataFrame, cut: Callable[[DataFrame, list[str]], DataFrame]
     ready, work = _shading(held, to_arrow_type(polygon), max_shadow_m, False)
     short = beside(line_tiles(located, slack_m, salt), tiles.withColumns(blank), TILE, settled, ready, work, shape(held))
 
-    rays = cut(located, ["area_id", "_tallest"]).withColumn("reach_m", _reach(max_shadow_m)).filter(F.col("reach_m") > HALO_M)
-    rays = rays.select(*dict.fromkeys([*held, "area_id", "px", "py", "azimuth_deg", "altitude_deg", "reach_m", "_tallest"]), F.array(F.lit(TILE_POWER)).alias("_powers"))
+    rays = cut(located, ["area_id", "_tallest", "_alike"]).withColumn("reach_m", _reach(max_shadow_m)).filter(F.col("reach_m") > HALO_M)
+    rays = rays.select(*dict.fromkeys([*held, "area_id", "px", "py", "azimuth_deg", "altitude_deg", "reach_m", "_tallest", "_alike"]), F.array(F.lit(TILE_POWER)).alias("_powers"))
     rays = ray_bins(rays).withColumns({**turned, "_here": in_tile(), "_salt": F.pmod(F.hash(*key), F.lit(SALT))})
     passing = [*held, "_here", "_bx", "_by"]
     ready, work = _shading(passing, to_arrow_type(polygon), max_shadow_m, True)
@@ -182,10 +185,11 @@ def _shading(keep: list[str], polygon: pa.DataType, max_shadow_m: float | None,
         n = rays.num_rows
         clear, nearest, sure, many, who = np.ones(n), np.full(n, np.inf), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), []
         px, py, ux, uy, tan = (column(c) for c in ("px", "py", "ux", "uy", "_tan"))
+        alike = column("_alike")
         cast = np.flatnonzero(reach >= 0) if tile else np.zeros(0, dtype=np.int64)
         for k in range(0, len(cast), at_once):
             some = cast[k:k + at_once]
-            ray, outline, distance = meet(tile, px[some], py[some], ux[some], uy[some], reach[some])
+            ray, outline, distance = meet(tile, px[some], py[some], ux[some], uy[some], reach[some], alike[some])
             ray = some[ray]
             with np.errstate(all="ignore"):
                 p = chance(RECEIVER_HEIGHT_M + distance * tan[ray], *(tile[c][outline] for c in HEIGHTS))
